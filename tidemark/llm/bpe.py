@@ -20,15 +20,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.chunks import Remembered, cut
+from tidemark.llm.chunks import PieceIds
 from tidemark.llm.common import slices, small_batches, text_list
 
-#: Chunks whose ids a Python worker remembers.
-MOST_CHUNKS = 800_000
+#: Pieces whose ids a Python worker remembers.
+MOST_PIECES = 500_000
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 _DDL = "doc_id long, n_tokens long, ids binary"
 
@@ -87,29 +86,19 @@ class Encoder:
 
         self.tokens = read_ranks(ranks)
         self.whole = {t: i for i, t in enumerate(self.tokens)}
-        self.pattern = regex.compile(pattern)
         self.letters = {i: c for i, c in enumerate(byte_letters())}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
-        self.pre_tokens = Remembered(self._encode, MOST_CHUNKS)
-        self.chunks = Remembered(self._join, MOST_CHUNKS)
-
-    def _encode(self, pre_tokens: list[str]) -> list[list[int]]:
-        out = [self.whole.get(x.encode()) for x in pre_tokens]
-        merged = [i for i, x in enumerate(out) if x is None]
-        spelt = [pre_tokens[i].encode().decode("latin-1").translate(self.letters) for i in merged]
-        out = [[x] if x is not None else x for x in out]
-        for i, ids in zip(merged, self.model.encode(spelt, num_threads=1), strict=True):
-            out[i] = ids
-        return out
-
-    def _join(self, chunks: list[str]) -> list[bytes]:
-        split = [self.pattern.findall(c) for c in chunks]
-        ids = iter(self.pre_tokens.of([p for s in split for p in s]))
-        return [np.array([i for _ in s for i in next(ids)], "<u4").tobytes() for s in split]
+        self.pieces = PieceIds(self._encode, pattern, MOST_PIECES)
+
+    def _encode(self, pre_token: str) -> bytes:
+        raw = pre_token.encode()
+        whole = self.whole.get(raw)
+        ids = [whole] if whole is not None else self.model.encode(raw.decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self.chunks.of(cut(text)))
+        return self.pieces.of(text)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -1,49 +1,59 @@
-"""Texts cut before white space, so that each chunk can be tokenised alone and remembered.
+"""Texts cut before white space, so that each piece can be tokenised alone and remembered.
 
 The pre-token pattern never lets a token reach over a single white-space character that stands
 before a visible one: that character starts the next token, or is one itself. A text may therefore be
-cut before every space or line feed that stands alone, and the chunks' ids be strung together.
+cut before every space or line feed that a visible character follows, and the pieces' ids be strung together.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
+
+import regex
 
 #: White space other than the space and the line feed, by the Unicode property, and the separators U+001C to U+001F.
-_OTHER = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_PIECES = re.compile(r"(?s).+?(?=[ \n][^\s\x1c-\x1f\x85])|.+")
-
-
-def cut(text: str) -> list[str]:
-    """Chunks that, joined, are the text."""
-    if not text:
-        return []
-    if _OTHER.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-        return _PIECES.findall(text)
-    first, *rest = text.replace("\n", " \n").split(" ")
-    rest = [x if x[:1] == "\n" else " " + x for x in rest]
-    return [first, *rest] if first else rest
-
-
-class Remembered:
-    """chunk -> value, filled for the missing chunks of a text at once; emptied when it holds `most` chunks."""
-
-    def __init__(self, fill: Callable[[list[str]], list], most: int, longest: int = 64):
-        self.fill, self.most, self.longest, self.known = fill, most, longest, {}
-
-    def of(self, chunks: list[str]) -> list:
-        try:
-            return [self.known[x] for x in chunks]
-        except KeyError:
-            pass
-        missing = list({x for x in chunks if x not in self.known})
-        if len(self.known) + len(missing) > self.most:
-            self.known.clear()
-            missing = list(set(chunks))
-        self.known.update(zip(missing, self.fill(missing), strict=True))
-        out = [self.known[x] for x in chunks]
-        for x in missing:
-            if len(x) > self.longest:
-                del self.known[x]
-        return out
+_OTHER = "".join(map(chr, (9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_CHUNKS = re.compile(r"(?s).+?(?=[ \n][^\s\x1c-\x1f\x85])|.+")
+_ODD = ("  ", "\n\n", " \n", "\n ", *_OTHER)
+
+
+class PieceIds(dict):
+    """Piece -> its ids as bytes. A piece is what stands between two spaces, or from a line feed on; the space before it
+    belongs to it and is left out. A piece is kept from its second use on, as most different pieces are used once;
+    emptied when it holds `most` pieces; pieces of over `longest` characters aren't kept."""
+
+    SEEN = 1 << 23
+
+    def __init__(self, encode: Callable[[str], bytes], pattern: str, most: int, longest: int = 64):
+        super().__init__()
+        self.encode, self.find, self.most, self.longest = encode, regex.compile(pattern).findall, most, longest
+        self.seen, self.stops = bytearray(self.SEEN), {x: encode(x) for x in ".,"}
+
+    def chunk(self, text: str) -> bytes:
+        """The ids of a text, pre-token by pre-token."""
+        return b"".join([self[p[1:]] if p[:1] == " " and p[1:].isalpha() else self.encode(p) for p in self.find(text)])
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha():
+            ids = self.encode(" " + piece)
+        elif piece[-1:] in self.stops and piece[:-1].isalpha():
+            ids = self[piece[:-1]] + self.stops[piece[-1]]
+        else:
+            ids = self.chunk(piece if piece[:1] == "\n" else " " + piece)
+        if len(piece) <= self.longest:
+            bit = hash(piece) & (self.SEEN - 1)
+            if self.seen[bit]:
+                if len(self) >= self.most:
+                    self.clear()
+                self[piece] = ids
+            self.seen[bit] = 1
+        return ids
+
+    def of(self, text: str) -> bytes:
+        """The ids of a whole text."""
+        if any(map(text.__contains__, _ODD)):
+            return b"".join([self[c[1:]] if c[0] == " " and len(c) > 1 and c[1] not in " \n" else self.chunk(c) for c in _CHUNKS.findall(text)])
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return b"".join(chain((self.chunk(first),), map(self.__getitem__, rest)))

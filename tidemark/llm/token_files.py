@@ -14,6 +14,7 @@ content; ids that never occur rank last, by id; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,76 +22,88 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import byte_letters
-from tidemark.llm.chunks import Remembered, cut
+from tidemark.llm.chunks import PieceIds
 from tidemark.llm.common import shared_folder, slices, small_batches, staged, text_list
 
 #: The id appended to each document.
 END_ID = 0
 #: Texts in one file, about; the number of files follows the corpus.
 FILE_BYTES = 48 << 20
-MOST_CHUNKS, MOST_PRE_TOKENS = 300_000, 500_000
+#: Pieces whose ids a Python worker remembers.
+MOST_PIECES = 600_000
 #: Lengths of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
 class HubEncoder:
-    """Ids by the tokenizers library, remembered for pre-tokens and chunks."""
+    """Ids by the tokenizers library, remembered for pieces of text."""
 
-    def __init__(self, content: str, pattern: str):
+    def __init__(self, content: str, pattern: str, width: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(content).model
-        self.pattern = regex.compile(pattern)
+        self.model, self.code = Tokenizer.from_str(content).model, "H" if width == "<u2" else "I"
         self.letters = dict(enumerate(byte_letters()))
-        self.pre_tokens = Remembered(self._encode, MOST_PRE_TOKENS)
-        self.chunks = Remembered(self._join, MOST_CHUNKS)
+        self.pieces = PieceIds(self._encode, pattern, MOST_PIECES)
 
-    def _encode(self, pre_tokens: list[str]) -> list[bytes]:
-        spelt = (x.encode().decode("latin-1").translate(self.letters) for x in pre_tokens)
-        return [np.array([t.id for t in self.model.tokenize(x)], "<u4").tobytes() for x in spelt]
-
-    def _join(self, chunks: list[str]) -> list[bytes]:
-        split = [self.pattern.findall(c) for c in chunks]
-        ids = iter(self.pre_tokens.of([p for s in split for p in s]))
-        return [b"".join([next(ids) for _ in s]) for s in split]
+    def _encode(self, pre_token: str) -> bytes:
+        tokens = self.model.tokenize(pre_token.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(tokens)}{self.code}", *[t.id for t in tokens])
 
     def encode(self, text: str) -> bytes:
-        return b"".join(self.chunks.of(cut(text)))
+        return self.pieces.of(text)
 
 
 @lru_cache(maxsize=2)
-def hub_encoder(content: str, pattern: str) -> HubEncoder:
+def hub_encoder(content: str, pattern: str, width: str) -> HubEncoder:
     """One encoder for each Python worker."""
-    return HubEncoder(content, pattern)
+    return HubEncoder(content, pattern, width)
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """data cut into values of these sizes."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
 
+def _joined(column: pa.Array) -> np.ndarray:
+    """The bytes of all values of a binary column, strung together."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
 
-def vbyte_encode(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of unsigned 32-bit values."""
+
+def vbyte_encode(values: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """control and data of documents of counts[i] unsigned 32-bit values each, strung together."""
     values = values.astype("<u4")
     size = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= size[:, None]].tobytes()
-    padded = np.zeros(-(-len(size) // 4) * 4, np.uint8)
-    padded[: len(size)] = size
+    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= size[:, None]]
+    quads = -(-counts // 4)
+    padded = np.zeros(4 * int(quads.sum()), np.uint8)
+    padded[_slots(counts, quads)] = size
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    return control.tobytes(), data
+    before = np.concatenate([[0], np.cumsum(size.astype(np.int64) + 1)])
+    edge = np.concatenate([[0], np.cumsum(counts)])
+    return _binary(control, quads), _binary(data, np.diff(before[edge]))
+
+
+def _slots(counts: np.ndarray, quads: np.ndarray) -> np.ndarray:
+    """The place of each value among the slots of the documents' control bytes."""
+    start, slot = np.cumsum(counts) - counts, 4 * (np.cumsum(quads) - quads)
+    return np.repeat(slot - start, counts) + np.arange(int(counts.sum()))
 
 
-def vbyte_decode(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n values of `vbyte_encode`, by table lookup."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
+def vbyte_decode(control: pa.Array, data: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """The values of `vbyte_encode`, by table lookup."""
+    size = LENGTHS[_joined(control)].reshape(-1)[_slots(counts, -(-counts // 4))].astype(np.int64)
     at = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
-    out = raw[at]
+    raw = np.concatenate([_joined(data), np.zeros(3, np.uint8)])
+    out = raw[at].astype(np.uint32)
     for k in (1, 2, 3):
-        longer = size > k
-        if longer.any():
-            out[longer] |= raw[at[longer] + k] << np.uint32(8 * k)
+        longer = np.flatnonzero(size > k)
+        out[longer] |= raw[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -113,12 +126,13 @@ def tokenised(docs: DataFrame, content: str, pattern: str, end_id: int = END_ID)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("file", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = hub_encoder(given.value, pattern)
-        end = np.array([end_id], "<u4").tobytes()
+        enc = hub_encoder(given.value, pattern, width)
+        end = np.array([end_id], width).tobytes()
         for part in slices(batches):
-            ids = [np.frombuffer(enc.encode(t) + end, "<u4").astype(width) for t in text_list(part)]
+            ids = [enc.encode(t) + end for t in text_list(part)]
+            counts = pa.array([len(x) // len(end) for x in ids], pa.int64())
             file = np.searchsorted(edges, part.column("doc_id").to_numpy(zero_copy_only=False), side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(file)], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), counts, pa.array(ids, pa.binary()), pa.array(file)], schema=schema)
 
     out = docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary, file int")
     out = out.repartitionById(len(edges) + 1, "file").sortWithinPartitions("doc_id", "ids")
@@ -131,9 +145,8 @@ def frequency_ranks(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for ids in batch.column("ids"):
-                counts += np.bincount(np.frombuffer(ids.as_buffer(), width), minlength=vocabulary)
+        for batch in slices(batches, "ids"):
+            counts += np.bincount(_joined(batch.column("ids")).view(width), minlength=vocabulary)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["id", "n"])
 
@@ -162,8 +175,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "ids"):
-            coded = [vbyte_encode(table.value[np.frombuffer(x, width)]) for x in part.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary()), part.column("file")], schema=schema)
+            ranked = table.value[_joined(part.column("ids")).view(width)]
+            control, data = vbyte_encode(ranked, part.column("n_tokens").to_numpy())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), control, data, part.column("file")], schema=schema)
 
     # each staged file is read in order and written in order, so no further shuffle is needed
     coded = tokens.mapInArrow(run, "doc_id long, n_tokens long, control binary, data binary, file int")
@@ -179,9 +193,9 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "data"):
-            streams = zip(part.column("control").to_pylist(), part.column("data").to_pylist(), part.column("n_tokens").to_pylist(), strict=True)
-            ids = [ids_of.value[vbyte_decode(c, d, n)].tobytes() for c, d, n in streams]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), pa.array(ids, pa.binary()), part.column("file")], schema=schema)
+            counts = part.column("n_tokens").to_numpy()
+            ids = ids_of.value[vbyte_decode(part.column("control"), part.column("data"), counts)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), _binary(ids, 4 * counts), part.column("file")], schema=schema)
 
     coded = spark.read.schema("doc_id long, n_tokens long, control binary, data binary, file int").parquet(f"{folder}/files")
     return coded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, file int")
