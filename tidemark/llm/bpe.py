@@ -7,7 +7,7 @@ encoded one by one; a pre-token that is itself in the vocabulary is its id at on
 the inverse mapping from ids to bytes.
 
 Defined results: null and empty texts have no ids; ids are those of the rank file; text that looks
-like a special token is ordinary text; extra columns are ignored.
+like a special token is ordinary text; extra columns are ignored; a row without a doc_id is left out.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import PieceIds
-from tidemark.llm.common import slices, small_batches, text_list
+from tidemark.llm.common import slices, small_batches, text_list, texts
 
 #: Pieces whose ids a Python worker remembers.
 MOST_PIECES = 500_000
@@ -139,7 +139,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
             ids = [enc.encode(t) for t in text_list(part)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=_SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _DDL)
+    return texts(docs).mapInArrow(run, _DDL)
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -174,4 +174,4 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
                 decoded.append(hashlib.sha256(enc.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

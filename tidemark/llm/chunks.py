@@ -57,3 +57,8 @@ class PieceIds(dict):
             return b"".join([self[c[1:]] if c[0] == " " and len(c) > 1 and c[1] not in " \n" else self.chunk(c) for c in _CHUNKS.findall(text)])
         first, *rest = text.replace("\n", " \n").split(" ")
         return b"".join(chain((self.chunk(first),), map(self.__getitem__, rest)))
+
+
+def cut(text: str) -> list[str]:
+    """Chunks that, joined, are the text, cut at every space or line feed before a visible character."""
+    return _CHUNKS.findall(text)

@@ -22,6 +22,11 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id as long, text and the columns named; a row without a doc_id is no document and is left out."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).filter("doc_id IS NOT NULL")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in tests a folder of this process."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -10,7 +10,7 @@ searched in all shards, so neither side has to fit in memory.
 
 Defined results: words are maximal runs of ASCII letters and digits and all other non-ASCII characters, A-Z
 lower-cased; a null text or item has no words; an item without words is in no document; equal items each count; an
-item shorter than WINDOW is one window; doc_id and text identify a document; extra columns are ignored.
+item shorter than WINDOW is one window; doc_id and text identify a document; extra columns are ignored; a row without a doc_id is left out.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, small_batches, text_list
+from tidemark.llm.common import slices, small_batches, text_list, texts
 from tidemark.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -163,7 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, body (hash of the text), n_words, spans of hit words (start, end) and the item_ids that occur, for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
+    docs = texts(docs).withColumn("body", F.xxhash64("text"))
     parts = [docs.mapInArrow(_search(spark.sparkContext.broadcast(phrases(block))), _DDL) for block in _blocks(benchmark)]
     if len(parts) == 1:
         return parts[0]

@@ -16,7 +16,7 @@ A document's set is its distinct five-word shingles; two documents link when 100
 
 Defined results: words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer than
 five words is one shingle; a null text or one without words has no shingles and links with nothing; rows with the same
-doc_id and text are one document; extra columns are ignored. Shingles are compared by 64-bit hashes.
+doc_id and text are one document; extra columns are ignored; a row without a doc_id is left out. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, slices, small_batches, staged, text_list
+from tidemark.llm.common import attach, slices, small_batches, staged, text_list, texts
 from tidemark.llm.components import components
 from tidemark.llm.hashing import shingle_sets
 
@@ -92,7 +92,7 @@ def shingle_prefixes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     """doc_id, n (size of the set), set_key (digest of the set) and prefix (array of long) of each row."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = texts(docs)
     ranked = frequent_grams(docs, size)
     order = np.argsort(ranked, kind="stable")
     given = spark.sparkContext.broadcast((ranked[order], order))
@@ -193,7 +193,7 @@ def verified_links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -
     members = pairs.groupBy(F.col("member").alias("doc_id")).agg(F.collect_list("hub").alias("hubs"))
     hubs = pairs.select(F.col("hub").alias("doc_id")).distinct().withColumn("is_hub", F.lit(True))
     roles = staged(members.join(hubs, "doc_id", "full"), "candidate-roles")
-    rows = attach(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), roles, "doc_id", row_bytes=96, how="inner")
+    rows = attach(texts(docs), roles, "doc_id", row_bytes=96, how="inner")
     parts = rows.mapInArrow(_fragments_of(size), "hub long, fragment int, member long, n int, grams binary")
     parts = parts.repartition("hub", "fragment").sortWithinPartitions("hub", "fragment", F.col("member").asc_nulls_first())
     counts = parts.mapInArrow(_count_overlaps, "hub long, member long, hub_n int, n int, overlap long")

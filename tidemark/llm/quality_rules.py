@@ -7,7 +7,7 @@ all of them but the text with the smallest doc_id, and a document that keeps les
 is depleted and rejected.
 
 Defined results: a null or empty text has zero words and fails the base rules; a null host is a
-host of its own; rows with the same doc_id are reported once each; extra columns are ignored.
+host of its own; rows with the same doc_id are reported once each; extra columns are ignored; a row without a doc_id is left out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, slices, staged, text_list
+from tidemark.llm.common import slices, small_batches, staged, text_list, texts
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -79,7 +79,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def base_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the five counts and base_failed for each row of docs(doc_id, text)."""
     small_batches(docs.sparkSession)
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measure, _DDL)
+    found = texts(docs).mapInArrow(_measure, _DDL)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return found.withColumn("base_failed", failed)
 
@@ -91,7 +91,7 @@ def _normalised(line: Column) -> Column:
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
     """One row for each document and distinct line with a word: line (hash with host), doc_id, body (hash of the text), words."""
     line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("raw")
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).alias("host"), F.xxhash64("text").alias("body"), line)
+    lines = texts(docs, F.col(host).alias("host")).select("doc_id", "host", F.xxhash64("text").alias("body"), line)
     lines = lines.select("doc_id", "body", "host", _normalised(F.col("raw")).alias("norm")).filter("norm != ''")
     words = F.size(F.split("norm", " ")).cast("long")
     return lines.select("doc_id", "body", F.xxhash64("host", "norm").alias("line"), words.alias("words"))

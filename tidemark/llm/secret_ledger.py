@@ -5,7 +5,7 @@ ledger has not seen under the present rule version are scanned, each once, and t
 joined back to all paths that ever held the blob.
 
 Defined results: a null text is the empty blob; copies share one scan; offsets are code points, end
-exclusive; a path may occur in any number of versions; extra columns are ignored.
+exclusive; a path may occur in any number of versions; extra columns are ignored; a row without a doc_id is left out.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, slices, small_batches, staged, text_list
+from tidemark.llm.common import attach, slices, small_batches, staged, text_list, texts
 
 # The base kinds and their patterns, in the order that ranks equal starts.
 ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -103,7 +103,7 @@ def redacted(text: str, findings: list[tuple[int, int]], mark: str = "<SECRET>")
 
 def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """doc_id and findings, for docs as one version of each path."""
-    versions = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    versions = texts(docs)
     new = scan_new_blobs(versions, ledger, "doc_id")
     known = staged(new if ledger is None else new.unionByName(ledger.filter(F.col("rule_version") == RULE_VERSION)), "secret-ledger")
     return join_paths(versions, known.filter(F.size("findings") > 0), "doc_id").withColumn("findings", F.coalesce("findings", F.array().cast(_DDL.split("findings ")[1])))

@@ -18,7 +18,7 @@ Work and shuffles grow with the sampled rows; a group of copies costs its size.
 comparison uses two of them.
 
 Defined results: texts are UTF-8 bytes, null is empty; texts of fewer than LENGTH bytes lose nothing; doc_id
-identifies a document and repeated rows count as one; extra columns are ignored.
+identifies a document and repeated rows count as one; extra columns are ignored; a row without a doc_id is left out.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, slices, small_batches, staged, text_list
+from tidemark.llm.common import attach, slices, small_batches, staged, text_list, texts
 from tidemark.llm.hashing import mix
 
 LENGTH = 100
@@ -170,7 +170,7 @@ def removal_mask(n_bytes: int, starts: np.ndarray, spans: np.ndarray) -> np.ndar
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, removed (array of start, end) and kept (the bytes left) of each row of docs(doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = texts(docs)
     repeats = staged(repeated_spans(docs), "repeats")
     joined = attach(docs, repeats, "doc_id", row_bytes=1024)
     runs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

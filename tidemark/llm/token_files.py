@@ -8,7 +8,7 @@ occur most take one byte. The rank table is a second Parquet table, `ranks`. Dec
 of a control byte up in a table and gathers the data with numpy.
 
 Defined results: a null or empty text is the end id alone; rows that share a doc_id keep an order by
-content; ids that never occur rank last, by id; extra columns are ignored.
+content; ids that never occur rank last, by id; extra columns are ignored; a row without a doc_id is left out.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import byte_letters
 from tidemark.llm.chunks import PieceIds
-from tidemark.llm.common import shared_folder, slices, small_batches, staged, text_list
+from tidemark.llm.common import shared_folder, slices, small_batches, staged, text_list, texts
 
 #: The id appended to each document.
 END_ID = 0
@@ -163,7 +163,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, pattern
     import json
 
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = texts(docs)
     with open(tokenizer_path, encoding="utf-8") as f:
         content = f.read()
     vocabulary = max(json.loads(content)["model"]["vocab"].values()) + 1
