@@ -6,10 +6,10 @@ A document's set is its distinct five-word shingles; two documents link when 100
 2. All n-grams have one global order: those found in many documents last (by a list of bounded
    size; any order gives the same links, a good one gives short lists), the rest by hash. Two sets that link share
    an n-gram of their prefixes, the first n - ceil(percent * n / 100) + 1 in this order. Only prefixes are listed.
-3. In each n-gram's list, candidates are paired with hubs: first the list's least class, then, as long
-   as a list spans several components, the next `HUBS` members of the list in turn. Members of one
+3. In each n-gram's list, candidates are paired with hubs: first each class with one least class of its lists, then, as
+   long as a list spans several components, with `HUBS` members of the list at a time. Members of one
    component need no further test, so a group of copies costs its size, not its square, and no link between
-   components is missed.
+   components is missed. Pairs whose prefixes have too few n-grams in common are dropped.
 4. Candidates are verified by vertical partitioning: the n-gram order is cut into fragments, the
    overlap of a pair is counted in each fragment alone, and the counts are summed per pair.
 5. Links give components, and classes give them to their documents.
@@ -124,9 +124,24 @@ def prefix_lists(sets: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Each class with one hub: of the least classes of its lists the one it shares most lists with."""
     least = F.min(F.struct("cid", "n")).over(Window.partitionBy("gram"))
     rows = lists.withColumn("hub", least).filter((F.col("hub.cid") != F.col("cid")) & _long_enough(F.col("hub.n"), F.col("n"), percent))
-    return rows.select(F.col("hub.cid").alias("hub"), F.col("cid").alias("member")).distinct()
+    shared = rows.groupBy(F.col("cid").alias("member"), F.col("hub.cid").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
+    return shared.groupBy("member").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select("hub", "member")
+
+
+def plausible(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """pairs whose prefixes overlap enough for a link.
+
+    Of the two sets, take the one whose prefix ends first in the order: what it shares with the other is shared by
+    the prefixes, or lies behind its own prefix. So overlap <= common prefix n-grams + n - prefix length.
+    """
+    side = lambda name: held.select(F.col("cid").alias(name), F.col("n").alias(f"{name}_n"), F.col("grams").alias(f"{name}_grams"))
+    rows = pairs.join(side("hub"), "hub").join(side("member"), "member")
+    longest = F.greatest("hub_n", "member_n")
+    most = F.size(F.array_intersect("hub_grams", "member_grams")) + F.ceil(percent * longest / F.lit(100)) - 1
+    return rows.filter(most * (100 + percent) >= percent * (F.col("hub_n") + F.col("member_n"))).select("hub", "member")
 
 
 def _next_lists(lists: DataFrame, labels: DataFrame, after: int) -> DataFrame:
@@ -207,14 +222,15 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     sets = staged(shingle_prefixes(docs, size, percent), "shingle-prefixes", "snappy")
     classes = staged(sets.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("cid")), "set-classes")
     lists = prefix_lists(sets, classes)
-    links = verified_links(docs, _first_pairs(lists, percent), size, percent)
+    held = staged(lists.groupBy("cid", "n").agg(F.collect_list("gram").alias("grams")), "listed-prefixes", "snappy")
+    links = verified_links(docs, plausible(_first_pairs(lists, percent), held, percent), size, percent)
     labels = staged(components(links), "component-labels")
-    done = 1
+    done = 0
     while True:
         rows = staged(_next_lists(lists, labels, done), "open-lists")
         if rows.isEmpty():
             break
-        more = verified_links(docs, _next_pairs(rows, done + 1, done + HUBS, percent), size, percent)
+        more = verified_links(docs, plausible(_next_pairs(rows, done + 1, done + HUBS, percent), held, percent), size, percent)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = staged(components(links), "component-labels")
