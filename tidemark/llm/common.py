@@ -57,14 +57,13 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def attach(docs: DataFrame, table: DataFrame, key: str, row_bytes: int, how: str = "left") -> DataFrame:
+def attach(docs: DataFrame, table: DataFrame, key: str, row_bytes: int | None, how: str = "left") -> DataFrame:
     """docs joined with a staged table on `key` (at most one row a key), without moving the texts where that is safe.
 
-    The table is counted first. Under BROADCAST_BYTES it is broadcast; beyond that both sides are
-    shuffled, the table being the built side. A left join where nothing is preserved twice.
+    The table is counted first. Under BROADCAST_BYTES it is broadcast; beyond that, and with row_bytes None, both
+    sides are shuffled and a hash table is made of each partition of the table, not of the texts.
     """
-    n = table.count()
-    if n * row_bytes <= BROADCAST_BYTES:
+    if row_bytes is not None and table.count() * row_bytes <= BROADCAST_BYTES:
         return docs.join(F.broadcast(table), key, how)
     return docs.join(table.hint("shuffle_hash"), key, how)
 
