@@ -27,7 +27,7 @@ from tidemark.llm.chunks import PieceIds
 from tidemark.llm.common import slices, small_batches, text_list, texts
 
 #: Pieces whose ids a Python worker remembers.
-MOST_PIECES = 500_000
+MOST_PIECES = 300_000
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 _DDL = "doc_id long, n_tokens long, ids binary"
 
@@ -88,7 +88,7 @@ class Encoder:
         self.whole = {t: i for i, t in enumerate(self.tokens)}
         self.letters = {i: c for i, c in enumerate(byte_letters())}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
-        self.pieces = PieceIds(self._encode, pattern, MOST_PIECES)
+        self.pieces = PieceIds(self._encode, self._encode_words, pattern, MOST_PIECES)
 
     def _encode(self, pre_token: str) -> bytes:
         raw = pre_token.encode()
@@ -96,6 +96,9 @@ class Encoder:
         ids = [whole] if whole is not None else self.model.encode(raw.decode("latin-1").translate(self.letters))
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        return [self._encode(" " + w) for w in words]
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         return self.pieces.of(text)
@@ -136,8 +139,10 @@ def bpe_encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value, pattern)
         for part in slices(batches):
-            ids = [enc.encode(t) for t in text_list(part)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=_SCHEMA)
+            ids, counts = enc.pieces.many(text_list(part))
+            ends = pa.py_buffer(np.concatenate([[0], 4 * np.cumsum(counts)]).astype(np.int32))
+            binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, ends, pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), binary], schema=_SCHEMA)
 
     return texts(docs).mapInArrow(run, _DDL)
 
@@ -165,13 +170,13 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
         enc = encoder(ranks.value, pattern)
         spelt = [str(i) for i in range(len(enc.tokens))]
         for part in slices(batches):
-            counts, digests, decoded = [], [], []
-            for t in text_list(part):
-                ids = enc.encode(t)
-                as_list = np.frombuffer(ids, "<u4").tolist()
-                counts.append(len(as_list))
-                digests.append(hashlib.sha256(" ".join(map(spelt.__getitem__, as_list)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(enc.decode(ids)).hexdigest())
+            ids, counts = enc.pieces.many(text_list(part))
+            as_list, at, digests, decoded = ids.tolist(), 0, [], []
+            for n in counts.tolist():
+                own = as_list[at : at + n]
+                at += n
+                digests.append(hashlib.sha256(" ".join(map(spelt.__getitem__, own)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(enc.tokens.__getitem__, own))).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], schema=schema)
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: White space other than the space and the line feed, by the Unicode property, and the separators U+001C to U+001F.
@@ -21,42 +23,99 @@ _ODD = ("  ", "\n\n", " \n", "\n ", *_OTHER)
 
 class PieceIds(dict):
     """Piece -> its ids as bytes. A piece is what stands between two spaces, or from a line feed on; the space before it
-    belongs to it and is left out. A piece is kept from its second use on, as most different pieces are used once;
-    emptied when it holds `most` pieces; pieces of over `longest` characters aren't kept."""
+    belongs to it and is left out, and START stands before the first. Emptied when it holds `most` pieces; pieces of
+    over `longest` characters aren't kept. encode: the ids of a pre-token; encode_words: of many words with a space before each."""
 
-    SEEN = 1 << 23
+    START = "\x1f"  # a text that holds it is cut the slow way
 
-    def __init__(self, encode: Callable[[str], bytes], pattern: str, most: int, longest: int = 64):
+    def __init__(self, encode: Callable[[str], bytes], encode_words: Callable[[list[str]], list[bytes]], pattern: str, most: int, longest: int = 64, dtype: str = "<u4"):
         super().__init__()
-        self.encode, self.find, self.most, self.longest = encode, regex.compile(pattern).findall, most, longest
-        self.seen, self.stops = bytearray(self.SEEN), {x: encode(x) for x in ".,"}
+        self.encode_words = encode_words
+        self.encode, self.find, self.most, self.longest, self.dtype = encode, regex.compile(pattern).findall, most, longest, np.dtype(dtype)
+        self.bare: dict[str, bytes] = {}
+
+    def pre_token(self, text: str) -> bytes:
+        """The ids of one pre-token; those without a space before them are few and are kept apart."""
+        if text[:1] == " " and text[1:].isalpha():
+            return self[text[1:]]
+        ids = self.bare.get(text)
+        if ids is None:
+            ids = self.encode(text)
+            if len(text) <= self.longest:
+                if len(self.bare) > self.most // 8:
+                    self.bare.clear()
+                self.bare[text] = ids
+        return ids
 
     def chunk(self, text: str) -> bytes:
         """The ids of a text, pre-token by pre-token."""
-        return b"".join([self[p[1:]] if p[:1] == " " and p[1:].isalpha() else self.encode(p) for p in self.find(text)])
+        return b"".join(map(self.pre_token, self.find(text)))
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha():
-            ids = self.encode(" " + piece)
-        elif piece[-1:] in self.stops and piece[:-1].isalpha():
-            ids = self[piece[:-1]] + self.stops[piece[-1]]
+        core = piece[:-1] if piece[-1:] in (".", ",") else piece
+        if core.isalpha():
+            if core is not piece:
+                return self[core] + self.pre_token(piece[-1])
+            ids = self.encode(" " + core)
+        elif core[:1] == "\n" and core[1:].isalpha():
+            ids = self.pre_token("\n") + self.pre_token(core[1:]) + (b"" if core is piece else self.pre_token(piece[-1]))
+        elif core[:1] == self.START:
+            return self.chunk(piece[1:])
         else:
             ids = self.chunk(piece if piece[:1] == "\n" else " " + piece)
         if len(piece) <= self.longest:
-            bit = hash(piece) & (self.SEEN - 1)
-            if self.seen[bit]:
-                if len(self) >= self.most:
-                    self.clear()
-                self[piece] = ids
-            self.seen[bit] = 1
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = ids
         return ids
 
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces; the words among them that aren't known are encoded at once."""
+        get, stops = self.get, {x: self.pre_token(x) for x in ".,"}
+        values = list(map(get, pieces))
+        lacking = [(i, pieces[i]) for i, v in enumerate(values) if v is None]
+        cores = {p[:-1] if p[-1:] in stops else p for _, p in lacking}
+        new = [c for c in cores if c not in self and len(c) <= self.longest and c.isalpha()]
+        if len(self) + len(new) > self.most:
+            self.clear()
+        if new:
+            self.update(zip(new, self.encode_words(new), strict=True))
+        for i, p in lacking:
+            stop = stops.get(p[-1:])
+            core = get(p[:-1]) if stop and p[:-1].isalpha() else None
+            values[i] = core + stop if core is not None else self[p]
+        return values
+
+    def odd(self, text: str) -> bytes:
+        """The ids of a text with white space that doesn't stand alone."""
+        return b"".join([self[c[1:]] if c[0] == " " and len(c) > 1 and c[1] not in " \n" else self.chunk(c) for c in _CHUNKS.findall(text)])
+
     def of(self, text: str) -> bytes:
         """The ids of a whole text."""
         if any(map(text.__contains__, _ODD)):
-            return b"".join([self[c[1:]] if c[0] == " " and len(c) > 1 and c[1] not in " \n" else self.chunk(c) for c in _CHUNKS.findall(text)])
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return b"".join(chain((self.chunk(first),), map(self.__getitem__, rest)))
+            return self.odd(text)
+        return b"".join(map(self.__getitem__, (self.START + text.replace("\n", " \n")).split(" ")))
+
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, strung together, and how many each has. Each different piece is looked up once."""
+        odd = [any(map(t.__contains__, _ODD)) for t in texts]
+        plain = pa.array(["" if o else self.START + t.replace("\n", " \n") for t, o in zip(texts, odd, strict=True)], pa.large_string())
+        lists = pc.split_pattern(plain, " ")
+        coded = lists.flatten().dictionary_encode()
+        which, edge = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        values = self._values(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        extra = len(values)
+        values += [self.odd(t) for t, o in zip(texts, odd, strict=True) if o]
+        if extra < len(values):  # an odd text is one piece; its plain form was empty, which gave one empty piece
+            which = which.copy()
+            which[edge[:-1][np.array(odd)]] = np.arange(extra, len(values))
+        size = np.fromiter(map(len, values), np.int32, len(values)) // self.dtype.itemsize
+        pool = np.frombuffer(b"".join(values), self.dtype)
+        n = size[which]
+        total = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        place = np.repeat((np.cumsum(size, dtype=np.int32) - size)[which] - total[:-1], n)
+        place += np.arange(total[-1], dtype=np.int32)
+        return pool[place], np.diff(total[edge]).astype(np.int64)
 
 
 def cut(text: str) -> list[str]:

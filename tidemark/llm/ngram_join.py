@@ -62,7 +62,7 @@ def _count_frequent(size: int):
 
         for part in slices(batches):
             held += shingle_sets(text_list(part), size)
-            if sum(map(len, held)) > 1 << 21:
+            if sum(map(len, held)) > 1 << 20:
                 compact()
         compact()
         often = np.flatnonzero(counts >= 3)

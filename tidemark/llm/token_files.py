@@ -14,7 +14,6 @@ content; ids that never occur rank last, by id; extra columns are ignored; a row
 from __future__ import annotations
 
 import os
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,6 +34,8 @@ END_ID = 0
 FILE_BYTES = 48 << 20
 #: Pieces whose ids a Python worker remembers.
 MOST_PIECES = 600_000
+#: Text that is cut into pieces at once.
+SLICE_BYTES = 6 << 20
 #: Lengths of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -46,16 +47,25 @@ class HubEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.code = Tokenizer.from_str(content).model, "H" if width == "<u2" else "I"
+        self.model, self.width = Tokenizer.from_str(content).model, width
+        self.words = Tokenizer(self.model)  # without a pre-tokenizer: words come cut
         self.letters = dict(enumerate(byte_letters()))
-        self.pieces = PieceIds(self._encode, pattern, MOST_PIECES)
+        self.opens = np.zeros(max(self.words.get_vocab().values()) + 1, bool)
+        self.opens[[i for t, i in self.words.get_vocab().items() if t[:1] == self.letters[32]]] = True
+        self.pieces = PieceIds(self._encode, self._encode_words, pattern, MOST_PIECES, dtype=width)
+
+    def _spelt(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.letters)
 
     def _encode(self, pre_token: str) -> bytes:
-        tokens = self.model.tokenize(pre_token.encode().decode("latin-1").translate(self.letters))
-        return struct.pack(f"<{len(tokens)}{self.code}", *[t.id for t in tokens])
+        return np.array([t.id for t in self.model.tokenize(self._spelt(pre_token))], self.width).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        return self.pieces.of(text)
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        found = self.words.encode_batch_fast([[self._spelt(" " + w) for w in words]], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(found.ids, self.width)
+        first = np.flatnonzero(self.opens[ids]) * ids.itemsize  # a word's space is in its first token and in no other
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(raw)], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -127,16 +137,20 @@ def tokenised(docs: DataFrame, content: str, pattern: str, end_id: int = END_ID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = hub_encoder(given.value, pattern, width)
-        end = np.array([end_id], width).tobytes()
-        for part in slices(batches):
-            ids = [enc.encode(t) + end for t in text_list(part)]
-            counts = pa.array([len(x) // len(end) for x in ids], pa.int64())
+        for part in slices(batches, limit=SLICE_BYTES):
+            ids, counts = enc.pieces.many(text_list(part))
+            ends = np.cumsum(counts + 1) - 1
+            whole = np.full(len(ids) + len(counts), end_id, width)
+            mask = np.ones(len(whole), bool)
+            mask[ends] = False
+            whole[mask] = ids
             file = np.searchsorted(edges, part.column("doc_id").to_numpy(zero_copy_only=False), side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), counts, pa.array(ids, pa.binary()), pa.array(file)], schema=schema)
+            columns = [part.column("doc_id"), pa.array(counts + 1), _binary(whole, (counts + 1) * whole.itemsize), pa.array(file)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     out = docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary, file int")
     out = out.repartitionById(len(edges) + 1, "file").sortWithinPartitions("doc_id", "ids")
-    return staged(out, "token-ids").withMetadata("ids", {"width": width})
+    return staged(out, "token-ids", "snappy").withMetadata("ids", {"width": width})
 
 
 def frequency_ranks(tokens: DataFrame, vocabulary: int) -> np.ndarray:
