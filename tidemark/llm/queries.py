@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, ngram_join, quality_classifier, quality_rules, secret_ledger, substring_dedup, token_counts, token_files
+from tidemark.llm import bpe, decontaminate, license_scan, ngram_join, quality_classifier, quality_rules, secret_ledger, substring_dedup, token_counts, token_files
 from tidemark.llm.common import documents
 
 
@@ -38,6 +38,13 @@ def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_scan(documents(spark, sf_dir))
+    families = F.array_join(F.array_sort(F.array_distinct("licences.family")), ",")
+    spans = F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["place"].cast("string"), x["family"])), ",")
+    return found.select("doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licensed"), families.alias("families"), spans.alias("paragraphs"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
@@ -60,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
-_ALL = (op1_secret_ledger, op2_token_files, op3_suffix_dedup, op4_fm_index, op6_bpe, op7_edit_counts, op8_ngram_join, op9_co_training, op10_quality_rules)
+_ALL = (op1_secret_ledger, op2_token_files, op3_suffix_dedup, op4_fm_index, op5_license_scan, op6_bpe, op7_edit_counts, op8_ngram_join, op9_co_training, op10_quality_rules)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {}
