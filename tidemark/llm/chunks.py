@@ -19,6 +19,12 @@ import regex
 _OTHER = "".join(map(chr, (9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _CHUNKS = re.compile(r"(?s).+?(?=[ \n][^\s\x1c-\x1f\x85])|.+")
 _ODD = ("  ", "\n\n", " \n", "\n ", *_OTHER)
+_ODD_ASCII = tuple(x for x in _ODD if x.isascii())
+
+
+def is_odd(text: str) -> bool:
+    """Whether white space stands together, or other white space than spaces and line feeds occurs."""
+    return any(map(text.__contains__, _ODD_ASCII if text.isascii() else _ODD))
 
 
 class PieceIds(dict):
@@ -92,13 +98,13 @@ class PieceIds(dict):
 
     def of(self, text: str) -> bytes:
         """The ids of a whole text."""
-        if any(map(text.__contains__, _ODD)):
+        if is_odd(text):
             return self.odd(text)
         return b"".join(map(self.__getitem__, (self.START + text.replace("\n", " \n")).split(" ")))
 
     def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, strung together, and how many each has. Each different piece is looked up once."""
-        odd = [any(map(t.__contains__, _ODD)) for t in texts]
+        odd = [is_odd(t) for t in texts]
         plain = pa.array(["" if o else self.START + t.replace("\n", " \n") for t, o in zip(texts, odd, strict=True)], pa.large_string())
         lists = pc.split_pattern(plain, " ")
         coded = lists.flatten().dictionary_encode()

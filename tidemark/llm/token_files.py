@@ -33,9 +33,10 @@ END_ID = 0
 #: Texts in one file, about; the number of files follows the corpus.
 FILE_BYTES = 48 << 20
 #: Pieces whose ids a Python worker remembers.
-MOST_PIECES = 600_000
+MOST_PIECES = 800_000
+BATCH = 10_000
 #: Text that is cut into pieces at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 #: Lengths of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -61,7 +62,13 @@ class HubEncoder:
         return np.array([t.id for t in self.model.tokenize(self._spelt(pre_token))], self.width).tobytes()
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        found = self.words.encode_batch_fast([[self._spelt(" " + w) for w in words]], is_pretokenized=True, add_special_tokens=False)[0]
+        """At most BATCH at once, as the library keeps much beside each id."""
+        return [x for i in range(0, len(words), BATCH) for x in self._encode_batch(words[i : i + BATCH])]
+
+    def _encode_batch(self, words: list[str]) -> list[bytes]:
+        space = self.letters[32]
+        spelt = [space + (w if w.isascii() else self._spelt(w)) for w in words]  # ASCII letters stand for themselves
+        found = self.words.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)[0]
         ids = np.array(found.ids, self.width)
         first = np.flatnonzero(self.opens[ids]) * ids.itemsize  # a word's space is in its first token and in no other
         raw = ids.tobytes()
