@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, license_scan, ngram_join, quality_classifier, quality_rules, secret_ledger, substring_dedup, token_counts, token_files
+from tidemark.llm import bpe, decontaminate, license_scan, ngram_join, oracles, quality_classifier, quality_rules, secret_ledger, substring_dedup, token_counts, token_files
 from tidemark.llm.common import documents
 
 
@@ -70,4 +70,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (op1_secret_ledger, op2_token_files, op3_suffix_dedup, op4_fm_index, op5_license_scan, op6_bpe, op7_edit_counts, op8_ngram_join, op9_co_training, op10_quality_rules)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {name: oracles.BY_OPERATOR[n] for name in QUERIES if (n := int(name[2:].split("_")[0])) in oracles.BY_OPERATOR}
