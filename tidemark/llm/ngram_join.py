@@ -6,10 +6,11 @@ A document's set is its distinct five-word shingles; two documents link when 100
 2. All n-grams have one global order: those found in many documents last (by a list of bounded
    size; any order gives the same links, a good one gives short lists), the rest by hash. Two sets that link share
    an n-gram of their prefixes, the first n - ceil(percent * n / 100) + 1 in this order. Only prefixes are listed.
-3. In each n-gram's list, candidates are paired with hubs: first each class with one least class of its lists, then, as
-   long as a list spans several components, with `HUBS` members of the list at a time. Members of one
-   component need no further test, so a group of copies costs its size, not its square, and no link between
-   components is missed. Pairs whose prefixes have too few n-grams in common are dropped.
+3. Listed sets with too many n-grams of their own to link with any other of the list are left out. In each n-gram's
+   list, candidates are paired with hubs: first each class with one class of its lists, then, as long as a list spans
+   several components, with `HUBS` members of the list at a time. Members of one component need no further test,
+   so a group of copies costs its size, not its square, and no link between components is missed. Pairs whose
+   prefixes have too few n-grams in common are dropped.
 4. Candidates are verified by vertical partitioning: the n-gram order is cut into fragments, the
    overlap of a pair is counted in each fragment alone, and the counts are summed per pair.
 5. Links give components, and classes give them to their documents.
@@ -110,23 +111,45 @@ def shingle_prefixes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     return docs.mapInArrow(run, "doc_id long, n int, set_key binary, prefix array<long>")
 
 
-def _long_enough(n: Column, m: Column, percent: int) -> Column:
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-
 def prefix_lists(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """gram, cid and n for the n-grams that are in the prefixes of two classes or more."""
     stands = staged(classes.select(F.col("cid").alias("doc_id"), "set_key"), "class-stands")
     rows = attach(sets.select("doc_id", "n", "set_key", "prefix"), stands.withColumnRenamed("set_key", "own_key"), "doc_id", row_bytes=64, how="inner")
     rows = rows.filter("set_key = own_key").select("doc_id", "n", F.explode("prefix").alias("gram"))
     lists = rows.withColumn("in_list", F.count(F.lit(1)).over(Window.partitionBy("gram")))
-    return staged(lists.filter("in_list > 1").select("gram", F.col("doc_id").alias("cid"), "n", "in_list"), "prefix-lists")
+    return staged(lists.filter("in_list > 1").select("gram", F.col("doc_id").alias("cid"), "n"), "prefix-lists")
+
+
+def linkable(lists: DataFrame, percent: int) -> DataFrame:
+    """gram, cid, n, cap, weight and in_list of the rows that can be part of a link; none that can is left out.
+
+    A prefix n-gram in no other prefix is shared with no set that links, so a set shares at most
+    cap = n - prefix length + its listed n-grams, and a link needs cap * (100 + percent) >= percent * (n + m) on both sides.
+    The smaller of the two is therefore strong: cap * (100 + percent) >= 2 * percent * n. A weak set needs a strong one
+    of a fitting size in its list.
+    """
+    whole = Window.partitionBy("gram")
+    held = lists.groupBy("cid").agg(F.count(F.lit(1)).alias("listed"))
+    rows = lists.join(held, "cid").withColumn("cap", (F.ceil(percent * F.col("n") / F.lit(100)) - 1 + F.col("listed")).cast("int"))
+    strong = F.col("cap") * (100 + percent) >= 2 * percent * F.col("n")
+    size = F.when(strong, F.col("n"))
+    rows = rows.withColumns({"_least": F.min(size).over(whole), "_most": F.max(size).over(whole)})
+    fits = (percent * (F.col("_least") + F.col("n")) <= F.col("cap") * (100 + percent)) & (100 * F.col("_most") >= percent * F.col("n"))
+    rows = rows.filter(strong | fits).withColumn("in_list", F.count(F.lit(1)).over(whole)).filter("in_list > 1")
+    return staged(rows.select("gram", "cid", "n", "cap", (-F.col("cap") / F.col("n")).alias("weight"), "in_list"), "linkable-lists")
+
+
+def _may_link(a: Column | str, b: Column | str, percent: int) -> Column:
+    """Whether sizes and caps of two rows (a prefix of column names, or a struct) allow a link."""
+    get = lambda x, c: F.col(f"{x}{c}") if isinstance(x, str) else x[c]
+    n, m = get(a, "n"), get(b, "n")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(get(a, "cap"), get(b, "cap")) * (100 + percent) >= percent * (n + m))
 
 
 def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each class with one hub: of the least classes of its lists the one it shares most lists with."""
-    least = F.min(F.struct("cid", "n")).over(Window.partitionBy("gram"))
-    rows = lists.withColumn("hub", least).filter((F.col("hub.cid") != F.col("cid")) & _long_enough(F.col("hub.n"), F.col("n"), percent))
+    """Each class with one hub: of the first classes of its lists the one it shares most lists with."""
+    first = F.min(F.struct("weight", "cid", "n", "cap")).over(Window.partitionBy("gram"))
+    rows = lists.withColumn("hub", first).filter((F.col("hub.cid") != F.col("cid")) & _may_link("hub.", "", percent))
     shared = rows.groupBy(F.col("cid").alias("member"), F.col("hub.cid").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
     return shared.groupBy("member").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select("hub", "member")
 
@@ -150,14 +173,15 @@ def _next_lists(lists: DataFrame, labels: DataFrame, after: int) -> DataFrame:
     rows = lists.filter(F.col("in_list") > after).join(known, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     whole = Window.partitionBy("gram")
     rows = rows.withColumn("many", F.min("label").over(whole) != F.max("label").over(whole)).filter("many")
-    return rows.withColumn("rank", F.row_number().over(whole.orderBy("cid")))
+    return rows.withColumn("rank", F.row_number().over(whole.orderBy("weight", "cid")))
 
 
 def _next_pairs(rows: DataFrame, first: int, last: int, percent: int) -> DataFrame:
     """Members paired with the hubs of rank first..last before them that are in another component."""
-    block = F.when(F.col("rank").between(first, last), F.struct("cid", "n", "label", "rank"))
+    block = F.when(F.col("rank").between(first, last), F.struct("cid", "n", "cap", "label", "rank"))
     rows = rows.withColumn("hubs", F.collect_list(block).over(Window.partitionBy("gram")))
-    fits = lambda h: (h["rank"] < F.col("rank")) & (h["label"] != F.col("label")) & _long_enough(h["n"], F.col("n"), percent)
+    own = F.struct("n", "cap")
+    fits = lambda h: (h["rank"] < F.col("rank")) & (h["label"] != F.col("label")) & _may_link(h, own, percent)
     return rows.select(F.explode(F.filter("hubs", fits)).alias("h"), F.col("cid").alias("member")).select(F.col("h.cid").alias("hub"), "member").distinct()
 
 
@@ -221,7 +245,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     """doc_id, n_shingles, class_id (least doc_id with the same set) and component_id of each row of docs(doc_id, text)."""
     sets = staged(shingle_prefixes(docs, size, percent), "shingle-prefixes", "snappy")
     classes = staged(sets.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("cid")), "set-classes")
-    lists = prefix_lists(sets, classes)
+    lists = linkable(prefix_lists(sets, classes), percent)
     held = staged(lists.groupBy("cid", "n").agg(F.collect_list("gram").alias("grams")), "listed-prefixes", "snappy")
     links = verified_links(docs, plausible(_first_pairs(lists, percent), held, percent), size, percent)
     labels = staged(components(links), "component-labels")
@@ -234,7 +258,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = staged(components(links), "component-labels")
-        lists, done = rows.select("gram", "cid", "n", "in_list"), done + HUBS
+        lists, done = rows.select("gram", "cid", "n", "cap", "weight", "in_list"), done + HUBS
     of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     of_class = of_class.select("set_key", F.col("cid").alias("class_id"), F.coalesce("label", "cid").alias("component_id"))
     out = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
