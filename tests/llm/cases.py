@@ -6,7 +6,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_
 
 
 def frame(spark, texts, parts=3):
-    rows = [(i, t, "en" if i % 3 else None, "src0" if i % 2 else None, len(t or ""), -1, "x", None, "p", "b") for i, t in texts]
+    rows = [(i, t, "en" if (i or 0) % 3 else None, "src0" if (i or 0) % 2 else None, len(t or ""), -1, "x", None, "p", "b") for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA).repartition(parts)
 
 

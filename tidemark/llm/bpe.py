@@ -143,6 +143,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
             ends = pa.py_buffer(np.concatenate([[0], 4 * np.cumsum(counts)]).astype(np.int32))
             binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, ends, pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), binary], schema=_SCHEMA)
+        enc.pieces.forget()
 
     return texts(docs).mapInArrow(run, _DDL)
 
@@ -178,5 +179,6 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
                 digests.append(hashlib.sha256(" ".join(map(spelt.__getitem__, own)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join(map(enc.tokens.__getitem__, own))).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], schema=schema)
+        enc.pieces.forget()
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -40,6 +40,11 @@ class PieceIds(dict):
         self.encode, self.find, self.most, self.longest, self.dtype = encode, regex.compile(pattern).findall, most, longest, np.dtype(dtype)
         self.bare: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Give the memory back, for a worker that goes on to other stages."""
+        self.clear()
+        self.bare.clear()
+
     def pre_token(self, text: str) -> bytes:
         """The ids of one pre-token; those without a space before them are few and are kept apart."""
         if text[:1] == " " and text[1:].isalpha():

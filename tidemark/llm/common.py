@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A table is broadcast only where its rows, at their estimated width, stay under this many bytes.
 BROADCAST_BYTES = 48 << 20
 #: Python works on slices of an Arrow batch with about so many bytes of text (one longer text is a slice alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _own_folder: list[str] = []
 
@@ -79,6 +79,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             size += n
         if at < batch.num_rows:
             yield batch.slice(at)
+    pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
 
 def _lengths(column: pa.Array) -> list[int]:

@@ -8,8 +8,8 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Multipliers of the words of a shingle; odd numbers without a pattern, made by mixing.
-_BLOCK = 1 << 20
+#: Bytes that are hashed at once.
+_BLOCK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = []

@@ -57,13 +57,13 @@ def _count_frequent(size: int):
             held.clear()
             grams, at = np.unique(g, return_inverse=True)
             counts = np.bincount(at, w, len(grams)).astype(np.int64)
-            if len(grams) > 1 << 21:  # the rare ones need no place in the list
-                keep = np.argsort(-counts, kind="stable")[: 1 << 20]
+            if len(grams) > 1 << 20:  # the rare ones need no place in the list
+                keep = np.argsort(-counts, kind="stable")[: 1 << 19]
                 grams, counts = grams[keep], counts[keep]
 
         for part in slices(batches):
             held += shingle_sets(text_list(part), size)
-            if sum(map(len, held)) > 1 << 20:
+            if sum(map(len, held)) > 1 << 19:
                 compact()
         compact()
         often = np.flatnonzero(counts >= 3)
