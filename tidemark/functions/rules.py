@@ -19,7 +19,7 @@ from tidemark.schemas import KEYS
 _TOKEN = re.compile(r"\s*(?:(?P<num>\d+\.?\d*|\.\d+)|(?P<name>[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)*)|(?P<op>[<>=!]=|[<>+\-*/()\[\],]))")
 _PRICES = ("open", "high", "low", "close", "volume")
 _BUILT_IN = {*_PRICES, "hl2", "hlc3", "ohlc4", "bar_index", "na"}
-#: Functions by name, with the numbers of arguments they take.
+# Functions by name, with the numbers of arguments they take.
 CALLS = {"ta.crossover": (2,), "ta.crossunder": (2,), "ta.cross": (2,), "nz": (1, 2), "abs": (1,), "math.abs": (1,), "math.sign": (1,)}
 CALLS |= {f"{p}{f}": (2,) for p in ("", "math.") for f in ("min", "max")} | {"barstate.isconfirmed": (0,)}
 

@@ -16,7 +16,7 @@ from tidemark.operators import positions, recursive
 from tidemark.schemas import KEYS
 
 _PRICES = ("open", "high", "low", "close", "volume", "hl2", "hlc3", "ohlc4")
-#: Types that bounded windows compute: builder, default parameters, outputs.
+# Types that bounded windows compute: builder, default parameters, outputs.
 _FINITE: dict[str, tuple[Callable[..., DataFrame], dict[str, float], tuple[str, ...]]] = {
     "SMA": (finite.sma, {"period": 20}, ()),
     "WMA": (finite.wma, {"period": 20}, ()),
