@@ -96,7 +96,9 @@ def vbyte_encode(values: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.A
     """control and data of documents of counts[i] unsigned 32-bit values each, strung together."""
     values = values.astype("<u4")
     size = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= size[:, None]]
+    width = 1 + int(size.max(initial=0))
+    kept = np.arange(width, dtype=np.uint8) <= size[:, None]
+    data = values.view(np.uint8).reshape(-1, 4)[:, :width].reshape(-1)[kept.reshape(-1)]
     quads = -(-counts // 4)
     padded = np.zeros(4 * int(quads.sum()), np.uint8)
     padded[_slots(counts, quads)] = size
@@ -109,13 +111,15 @@ def vbyte_encode(values: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.A
 def _slots(counts: np.ndarray, quads: np.ndarray) -> np.ndarray:
     """The place of each value among the slots of the documents' control bytes."""
     start, slot = np.cumsum(counts) - counts, 4 * (np.cumsum(quads) - quads)
-    return np.repeat(slot - start, counts) + np.arange(int(counts.sum()))
+    out = np.repeat((slot - start).astype(np.int32), counts)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def vbyte_decode(control: pa.Array, data: pa.Array, counts: np.ndarray) -> np.ndarray:
     """The values of `vbyte_encode`, by table lookup."""
-    size = LENGTHS[_joined(control)].reshape(-1)[_slots(counts, -(-counts // 4))].astype(np.int64)
-    at = np.cumsum(size) - size
+    size = LENGTHS[_joined(control)].reshape(-1)[_slots(counts, -(-counts // 4))]
+    at = np.cumsum(size, dtype=np.int32) - size
     raw = np.concatenate([_joined(data), np.zeros(3, np.uint8)])
     out = raw[at].astype(np.uint32)
     for k in (1, 2, 3):
