@@ -8,7 +8,7 @@ A document's set is its distinct five-word shingles; two documents link when 100
    an n-gram of their prefixes, the first n - ceil(percent * n / 100) + 1 in this order. Only prefixes are listed.
 3. Listed sets with too many n-grams of their own to link with any other of the list are left out. In each n-gram's
    list, candidates are paired with hubs: first each class with one class of its lists, then, as long as a list spans
-   several components, with `HUBS` members of the list at a time. Members of one component need no further test,
+   several components, with blocks of its members, the first of `HUBS`, each twice the one before. Members of one component need no further test,
    so a group of copies costs its size, not its square, and no link between components is missed. Pairs whose
    prefixes have too few n-grams in common are dropped.
 4. Candidates are verified by vertical partitioning: the n-gram order is cut into fragments, the
@@ -249,16 +249,17 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     held = staged(lists.groupBy("cid", "n").agg(F.collect_list("gram").alias("grams")), "listed-prefixes", "snappy")
     links = verified_links(docs, plausible(_first_pairs(lists, percent), held, percent), size, percent)
     labels = staged(components(links), "component-labels")
-    done = 0
+    done, hubs = 0, HUBS
     while True:
         rows = staged(_next_lists(lists, labels, done), "open-lists")
         if rows.isEmpty():
             break
-        more = verified_links(docs, plausible(_next_pairs(rows, done + 1, done + HUBS, percent), held, percent), size, percent)
+        more = verified_links(docs, plausible(_next_pairs(rows, done + 1, done + hubs, percent), held, percent), size, percent)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = staged(components(links), "component-labels")
-        lists, done = rows.select("gram", "cid", "n", "cap", "weight", "in_list"), done + HUBS
+        # blocks double, as few members are left to pair, so rounds grow with the logarithm of the longest list
+        lists, done, hubs = rows.select("gram", "cid", "n", "cap", "weight", "in_list"), done + hubs, 2 * hubs
     of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     of_class = of_class.select("set_key", F.col("cid").alias("class_id"), F.coalesce("label", "cid").alias("component_id"))
     out = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
