@@ -89,15 +89,24 @@ def in_order(grams: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> np.n
     return np.concatenate([grams[~often], grams[often][np.argsort(place[at[often]], kind="stable")]])
 
 
+def rank_of(grams: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rank of each n-gram among the frequent ones, -1 for the others, which come before them by hash."""
+    if not len(frequent):
+        return np.full(len(grams), -1, np.int32)
+    at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+    return np.where(frequent[at] == grams, place[at], -1).astype(np.int32)
+
+
 def shingle_prefixes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (size of the set), set_key (digest of the set) and prefix (array of long) of each row."""
+    """doc_id, n (size of the set), set_key (digest of the set), prefix (array of long) and the place of its last n-gram
+    in the order (last_rank, last_gram) of each row."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = texts(docs)
     ranked = frequent_grams(docs, size)
     order = np.argsort(ranked, kind="stable")
     given = spark.sparkContext.broadcast((ranked[order], order))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("last_rank", pa.int32()), ("last_gram", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -106,9 +115,11 @@ def shingle_prefixes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
             prefixes = [in_order(s, *given.value)[: prefix_length(len(s), percent)] if len(s) else s for s in sets]
             ends = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.binary()), lists], schema=schema)
+            last = np.array([p[-1] if len(p) else 0 for p in prefixes], np.int64)
+            columns = [part.column("doc_id"), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.binary()), lists, pa.array(rank_of(last, *given.value)), pa.array(last)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n int, set_key binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, set_key binary, prefix array<long>, last_rank int, last_gram long")
 
 
 def prefix_lists(sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -120,35 +131,37 @@ def prefix_lists(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return staged(lists.filter("in_list > 1").select("gram", F.col("doc_id").alias("cid"), "n"), "prefix-lists")
 
 
-def linkable(lists: DataFrame, percent: int) -> DataFrame:
-    """gram, cid, n, cap, weight and in_list of the rows that can be part of a link; none that can is left out.
+def linkable(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """gram, cid, n, cap, last, weight and in_list of the rows that can be part of a link; none that can is left out.
 
-    A prefix n-gram in no other prefix is shared with no set that links, so a set shares at most
-    cap = n - prefix length + its listed n-grams, and a link needs cap * (100 + percent) >= percent * (n + m) on both sides.
-    The smaller of the two is therefore strong: cap * (100 + percent) >= 2 * percent * n. A weak set needs a strong one
-    of a fitting size in its list.
+    Of two sets take the one, A, whose prefix ends first in the order: its prefix n-grams that the other has are in the
+    other's prefix, so A shares at most cap = n - prefix length + its listed n-grams. A link therefore needs
+    slack(A) = cap * (100 + percent) - percent * n >= percent * m, m being the other's size. A row stays where it can be A
+    for some row that ends later, or where some row that ends earlier can be A for it.
     """
     whole = Window.partitionBy("gram")
-    held = lists.groupBy("cid").agg(F.count(F.lit(1)).alias("listed"))
+    ends = sets.select(F.col("doc_id").alias("cid"), F.struct("last_rank", "last_gram").alias("last")).groupBy("cid").agg(F.min("last").alias("last"))
+    held = staged(lists.groupBy("cid").agg(F.count(F.lit(1)).alias("listed")).join(ends, "cid"), "listed-classes")
     rows = lists.join(held, "cid").withColumn("cap", (F.ceil(percent * F.col("n") / F.lit(100)) - 1 + F.col("listed")).cast("int"))
-    strong = F.col("cap") * (100 + percent) >= 2 * percent * F.col("n")
-    size = F.when(strong, F.col("n"))
-    rows = rows.withColumns({"_least": F.min(size).over(whole), "_most": F.max(size).over(whole)})
-    fits = (percent * (F.col("_least") + F.col("n")) <= F.col("cap") * (100 + percent)) & (100 * F.col("_most") >= percent * F.col("n"))
-    rows = rows.filter(strong | fits).withColumn("in_list", F.count(F.lit(1)).over(whole)).filter("in_list > 1")
-    return staged(rows.select("gram", "cid", "n", "cap", (-F.col("cap") / F.col("n")).alias("weight"), "in_list"), "linkable-lists")
+    slack = F.col("cap") * (100 + percent) - percent * F.col("n")
+    earlier, later = whole.orderBy("last"), whole.orderBy(F.desc("last"))
+    rows = rows.withColumns({"_best": F.max(slack).over(earlier), "_least": F.min("n").over(later)})
+    can_be = 100 * slack >= percent * F.greatest(100 * F.col("_least"), percent * F.col("n"))
+    rows = rows.filter(can_be | (F.col("_best") >= percent * F.col("n"))).withColumn("in_list", F.count(F.lit(1)).over(whole)).filter("in_list > 1")
+    return staged(rows.select("gram", "cid", "n", "cap", "last", (-F.col("cap") / F.col("n")).alias("weight"), "in_list"), "linkable-lists")
 
 
 def _may_link(a: Column | str, b: Column | str, percent: int) -> Column:
-    """Whether sizes and caps of two rows (a prefix of column names, or a struct) allow a link."""
+    """Whether sizes, caps and prefix ends of two rows (a prefix of column names, or a struct) allow a link."""
     get = lambda x, c: F.col(f"{x}{c}") if isinstance(x, str) else x[c]
     n, m = get(a, "n"), get(b, "n")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(get(a, "cap"), get(b, "cap")) * (100 + percent) >= percent * (n + m))
+    cap = F.when(get(a, "last") <= get(b, "last"), get(a, "cap")).otherwise(get(b, "cap"))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (cap * (100 + percent) >= percent * (n + m))
 
 
 def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Each class with one hub: of the first classes of its lists the one it shares most lists with."""
-    first = F.min(F.struct("weight", "cid", "n", "cap")).over(Window.partitionBy("gram"))
+    first = F.min(F.struct("weight", "cid", "n", "cap", "last")).over(Window.partitionBy("gram"))
     rows = lists.withColumn("hub", first).filter((F.col("hub.cid") != F.col("cid")) & _may_link("hub.", "", percent))
     shared = rows.groupBy(F.col("cid").alias("member"), F.col("hub.cid").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
     return shared.groupBy("member").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select("hub", "member")
@@ -178,9 +191,9 @@ def _next_lists(lists: DataFrame, labels: DataFrame, after: int) -> DataFrame:
 
 def _next_pairs(rows: DataFrame, first: int, last: int, percent: int) -> DataFrame:
     """Members paired with the hubs of rank first..last before them that are in another component."""
-    block = F.when(F.col("rank").between(first, last), F.struct("cid", "n", "cap", "label", "rank"))
+    block = F.when(F.col("rank").between(first, last), F.struct("cid", "n", "cap", "last", "label", "rank"))
     rows = rows.withColumn("hubs", F.collect_list(block).over(Window.partitionBy("gram")))
-    own = F.struct("n", "cap")
+    own = F.struct("n", "cap", "last")
     fits = lambda h: (h["rank"] < F.col("rank")) & (h["label"] != F.col("label")) & _may_link(h, own, percent)
     return rows.select(F.explode(F.filter("hubs", fits)).alias("h"), F.col("cid").alias("member")).select(F.col("h.cid").alias("hub"), "member").distinct()
 
@@ -245,7 +258,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     """doc_id, n_shingles, class_id (least doc_id with the same set) and component_id of each row of docs(doc_id, text)."""
     sets = staged(shingle_prefixes(docs, size, percent), "shingle-prefixes", "snappy")
     classes = staged(sets.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("cid")), "set-classes")
-    lists = linkable(prefix_lists(sets, classes), percent)
+    lists = linkable(prefix_lists(sets, classes), sets, percent)
     held = staged(lists.groupBy("cid", "n").agg(F.collect_list("gram").alias("grams")), "listed-prefixes", "snappy")
     links = verified_links(docs, plausible(_first_pairs(lists, percent), held, percent), size, percent)
     labels = staged(components(links), "component-labels")
@@ -259,7 +272,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
             links = links.unionByName(more)
             labels = staged(components(links), "component-labels")
         # blocks double, as few members are left to pair, so rounds grow with the logarithm of the longest list
-        lists, done, hubs = rows.select("gram", "cid", "n", "cap", "weight", "in_list"), done + hubs, 2 * hubs
+        lists, done, hubs = rows.select("gram", "cid", "n", "cap", "last", "weight", "in_list"), done + hubs, 2 * hubs
     of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     of_class = of_class.select("set_key", F.col("cid").alias("class_id"), F.coalesce("label", "cid").alias("component_id"))
     out = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
