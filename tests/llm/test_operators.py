@@ -132,6 +132,23 @@ def test_ngram_join(spark, docs, hubs, monkeypatch):
     assert got == brute_components(awkward())
 
 
+def test_ngram_join_of_many_near_copies(spark, monkeypatch):
+    """Short sets of words from few letters: prefixes end anywhere, sizes differ, own n-grams abound."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "HUBS", 2)
+    rnd = random.Random(5)
+    base = [[rnd.choice("abcdefghijklmnop") + rnd.choice("xyz") for _ in range(60)] for _ in range(4)]
+    texts = []
+    for i in range(200):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.choice([0, 1, 1, 2, 2, 3, 4])):
+            w[rnd.randrange(len(w))] = rnd.choice("qrst") * 2
+        texts.append((i, " ".join(w[rnd.randrange(20) :] if rnd.random() < 0.3 else w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(frame(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
 def brute_removed(texts):
     seen, out = set(), {}
     for i, t in sorted(texts):
