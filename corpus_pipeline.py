@@ -1,14 +1,14 @@
 """A corpus pipeline over `documents`: quality rules, near duplicates, decontamination, secrets, encoding.
 
 Each stage takes the documents that the stage before has kept, as they are after it, and all its decisions
-take effect: rejected documents go, texts are cut or redacted. A row without a doc_id is left out by the
+take effect: rejected documents go, lines and texts are cut or redacted. A row without a doc_id is left out by the
 first stage; empty tables give empty results; other columns of documents pass through unchanged.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, ngram_join, quality_rules, secret_ledger
@@ -20,26 +20,35 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return attach(docs, staged(ids.select("doc_id").distinct(), "kept-ids"), "doc_id", row_bytes=24, how="left_semi")
 
 
-def _with_text(docs: DataFrame, edits: DataFrame, new_text) -> DataFrame:
-    """docs with text and n_chars changed where edits(doc_id, spans) has spans; new_text: (text, spans) -> text."""
+def _with_text(docs: DataFrame, edits: DataFrame, new_text, body: Column | None = None) -> DataFrame:
+    """docs with text and n_chars changed where edits(doc_id, spans) has spans; new_text: (text, spans) -> text.
+
+    With `body`, an expression over docs, edits has a column body too and holds for the rows of that doc_id and body.
+    """
     small_batches(docs.sparkSession)
-    at = "_edit_spans"
-    edits = staged(edits.select("doc_id", F.col("spans").alias(at)).dropDuplicates(["doc_id"]), "edits")
+    at, of = "_edit_spans", "_edit_body"
+    one = F.lit(0).cast("long")
+    edits = edits.select("doc_id", (one if body is None else F.col("body")).alias(of), F.col("spans").alias(at))
+    edits = staged(edits.dropDuplicates(["doc_id", of]), "edits")
+    width = 64 + 32 * int(edits.agg(F.avg(F.size(at))).first()[0] or 0)
 
     @F.pandas_udf("string")
     def edited(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else new_text(t or "", [(int(x["start"]), int(x["end"])) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
 
     columns = docs.columns
-    joined = attach(docs.drop(at), edits, "doc_id", row_bytes=128).withColumn("text", edited("text", at))
+    keyed = docs.drop(at, of).withColumn(of, one if body is None else body)
+    joined = attach(keyed, edits, ["doc_id", of], row_bytes=width).withColumn("text", edited("text", at))
     if "n_chars" in columns:
         joined = joined.withColumn("n_chars", F.when(F.col(at).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return joined.select(columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _only(docs, quality_rules.quality_rules(docs).filter("kept"))
+    """Documents that the quality rules keep, without the lines that too many documents of their host share."""
+    lost = staged(quality_rules.lost_lines(docs), "lost-lines")
+    kept = _only(docs, quality_rules.quality_rules(docs, lost=lost).filter("kept"))
+    return _with_text(kept, quality_rules.removed_spans(lost), quality_rules.without_lines, quality_rules.body_of())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

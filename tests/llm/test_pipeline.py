@@ -50,3 +50,18 @@ def test_pipeline_keeps_other_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = common.staged(stage(spark, docs, SMALL), "stage")
     assert docs.columns[-2:] == ["spans", "kept"] and docs.filter("spans = 1 AND kept = 'x'").count() == docs.count() > 0
+
+
+def test_frequent_lines_go_from_the_texts(spark, tmp_path):
+    """A line in more than 50 documents of a host stays in its first text only, also where its case, spaces and digits differ."""
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    line = lambda i: ["Read more on page 12", "read  MORE on page 47 "][i % 2]
+    texts = [(2 * i, f"{line(i)}\n{body(i)}\n\n{line(i + 1)}\ntail{i} é漢\n") for i in range(60)]
+    texts += [(200, texts[0][1]), (7, f"{line(0)}\n{body(7)}"), (300, f"{line(0)}\n{body(300)}"), (300, f"{body(301)}\n{line(0)}")]  # a copy of the first text, another host, an id of two texts
+    before = frame(spark, texts).withColumn("source", F.when(F.col("doc_id") % 2 == 0, "h").otherwise("other"))
+    after = corpus_pipeline.quality(spark, before, str(tmp_path))
+    rows = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in after.collect())
+    whole = {0, 200, 7}
+    want = [(i, t if i in whole else "\n".join(x for x in t.split("\n") if "more" not in x.lower())) for i, t in texts]
+    assert rows == sorted((i, t, len(t)) for i, t in want)
+    assert after.columns == before.columns and quality_rules.lost_lines(after).count() == 0

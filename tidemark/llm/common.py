@@ -57,7 +57,7 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def attach(docs: DataFrame, table: DataFrame, key: str, row_bytes: int | None, how: str = "left") -> DataFrame:
+def attach(docs: DataFrame, table: DataFrame, key: str | list[str], row_bytes: int | None, how: str = "left") -> DataFrame:
     """docs joined with a staged table on `key` (at most one row a key), without moving the texts where that is safe.
 
     The table is counted first. Under BROADCAST_BYTES it is broadcast; beyond that, and with row_bytes None, both

@@ -4,7 +4,7 @@ Method: cross-document line frequency. Lines are normalised (lower case, runs of
 space, digits as 0) and hashed together with their host. The distinct documents of each hashed line
 are counted, exact copies of a text once. A line in more than `max_docs` documents of its host is removed from
 all of them but the text with the smallest doc_id, and a document that keeps less than `min_left` of its words
-is depleted and rejected.
+is depleted and rejected. `lost_lines` names the lines that go, `without_lines` cuts them from a text.
 
 Defined results: a null or empty text has zero words and fails the base rules; a null host is a
 host of its own; rows with the same doc_id are reported once each; extra columns are ignored; a row without a doc_id is left out.
@@ -88,28 +88,46 @@ def _normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[ \t\x0B\f\r]+", " "), "[0-9]", "0"))
 
 
+def body_of(host: str = "source") -> Column:
+    """A hash of a row's text and host."""
+    return F.xxhash64("text", host)
+
+
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
-    """One row for each document and distinct line with a word: line (hash with host), doc_id, body (hash of the text), words."""
-    line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("raw")
-    lines = texts(docs, F.col(host).alias("host")).select("doc_id", "host", F.xxhash64("text").alias("body"), line)
-    lines = lines.select("doc_id", "body", "host", _normalised(F.col("raw")).alias("norm")).filter("norm != ''")
+    """One row for each line with a word of each document: doc_id, body (hash of text and host), place (0-based line), line (hash with host), words."""
+    line = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "raw")
+    lines = texts(docs, F.col(host).alias("host")).select("doc_id", "host", body_of("host").alias("body"), line)
+    lines = lines.select("doc_id", "body", "host", "place", _normalised(F.col("raw")).alias("norm")).filter("norm != ''")
     words = F.size(F.split("norm", " ")).cast("long")
-    return lines.select("doc_id", "body", F.xxhash64("host", "norm").alias("line"), words.alias("words"))
+    return lines.select("doc_id", "body", "place", F.xxhash64("host", "norm").alias("line"), words.alias("words"))
 
 
-def line_rule(docs: DataFrame, host: str = "source", max_docs: int = 50) -> DataFrame:
-    """doc_id and removed_words, for documents that lose lines."""
+def lost_lines(docs: DataFrame, host: str = "source", max_docs: int = 50) -> DataFrame:
+    """doc_id, body (as `body_of`), place (0-based line) and words of the lines that the line rule removes."""
     lines = staged(host_lines(docs, host), "host-lines")
     per_text = lines.groupBy("line", "body").agg(F.min("doc_id").alias("doc_id"))
     frequent = per_text.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"), F.min_by("body", "doc_id").alias("first_body"))
     frequent = staged(frequent.filter(F.col("n_docs") > max_docs), "frequent-lines")
     lost = lines.join(frequent, "line").filter(F.col("body") != F.col("first_body"))
-    return lost.groupBy("doc_id").agg(F.sum("words").alias("removed_words"))
+    return lost.select("doc_id", "body", "place", "words")
+
+
+def removed_spans(lost: DataFrame) -> DataFrame:
+    """doc_id, body and spans (start, end: line numbers, sorted) of the texts that lose lines."""
+    span = F.struct(F.col("place").alias("start"), (F.col("place") + 1).alias("end"))
+    return lost.groupBy("doc_id", "body").agg(F.sort_array(F.collect_set(span)).alias("spans"))
+
+
+def without_lines(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without its lines start..end of each span."""
+    gone = {i for start, end in spans for i in range(start, end)}
+    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
 
-def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = 50, min_left: float = 0.3) -> DataFrame:
-    """The counts of `base_rules` with removed_words and kept, one row for each document."""
-    lost = line_rule(docs, host, max_docs)
+def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = 50, min_left: float = 0.3, lost: DataFrame | None = None) -> DataFrame:
+    """The counts of `base_rules` with removed_words and kept, one row for each document; lost: `lost_lines` of docs, if known."""
+    lost = lost_lines(docs, host, max_docs) if lost is None else lost
+    lost = lost.groupBy("doc_id").agg(F.sum("words").alias("removed_words"))
     out = base_rules(docs).join(lost, "doc_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     depleted = F.col("n_words") - F.col("removed_words") < min_left * F.col("n_words")
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
