@@ -125,30 +125,44 @@ def brute_components(texts):
     return {i: (len(s), top(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("hubs", [2, 32])
-def test_ngram_join(spark, docs, hubs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HUBS", hubs)
+@pytest.mark.parametrize("block", [3, 1024])
+def test_ngram_join(spark, docs, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs).collect()}
     assert got == brute_components(awkward())
 
 
-def test_ngram_join_of_many_near_copies(spark, monkeypatch):
+def near_copies(seed, n=200):
     """Short sets of words from few letters: prefixes end anywhere, sizes differ, own n-grams abound."""
     import random
 
-    monkeypatch.setattr(ngram_join, "HUBS", 2)
-    rnd = random.Random(5)
+    rnd = random.Random(seed)
     base = [[rnd.choice("abcdefghijklmnop") + rnd.choice("xyz") for _ in range(60)] for _ in range(4)]
     texts = []
-    for i in range(200):
+    for i in range(n):
         w = list(rnd.choice(base))
         for _ in range(rnd.choice([0, 1, 1, 2, 2, 3, 4])):
             w[rnd.randrange(len(w))] = rnd.choice("qrst") * 2
         texts.append((i, " ".join(w[rnd.randrange(20) :] if rnd.random() < 0.3 else w)))
+    return texts
+
+
+@pytest.mark.parametrize("seed, block, rounds", [(5, 1024, 3), (6, 7, 1), (7, 50, 0)])
+def test_ngram_join_of_many_near_copies(spark, seed, block, rounds, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", rounds)
+    texts = near_copies(seed)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(frame(spark, texts)).collect()}
     assert got == brute_components(texts)
 
 
+def test_ngram_join_of_repeated_rows_and_of_ids_with_two_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a), (1, a), (1, b), (2, b + " tail"), (3, a + " end"), (3, a + " end"), (4, None), (4, None)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(frame(spark, rows)).collect())
+    assert got == [(1, 36, 1), (1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 37, 1), (3, 37, 1), (4, 0, 4), (4, 0, 4)]
+
+
 def brute_removed(texts):
     seen, out = set(), {}
     for i, t in sorted(texts):

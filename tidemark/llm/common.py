@@ -85,6 +85,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 def _lengths(column: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 
+    if pa.types.is_list(column.type):
+        return pc.fill_null(pc.multiply(pc.list_value_length(column), 8), 0).to_pylist()
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 

@@ -2,22 +2,25 @@
 
 A document's set is its distinct five-word shingles; two documents link when 100 * intersection >= percent * union.
 
-1. Equal sets are one class, which its smallest doc_id stands for.
-2. All n-grams have one global order: those found in many documents last (by a list of bounded
-   size; any order gives the same links, a good one gives short lists), the rest by hash. Two sets that link share
-   an n-gram of their prefixes, the first n - ceil(percent * n / 100) + 1 in this order. Only prefixes are listed.
-3. Listed sets with too many n-grams of their own to link with any other of the list are left out. In each n-gram's
-   list, candidates are paired with hubs: first each class with one class of its lists, then, as long as a list spans
-   several components, with blocks of its members, the first of `HUBS`, each twice the one before. Members of one component need no further test,
-   so a group of copies costs its size, not its square, and no link between components is missed. Pairs whose
-   prefixes have too few n-grams in common are dropped.
-4. Candidates are verified by vertical partitioning: the n-gram order is cut into fragments, the
-   overlap of a pair is counted in each fragment alone, and the counts are summed per pair.
-5. Links give components, and classes give them to their documents.
+1. Equal sets are one class. From here on classes are joined, not rows.
+2. All n-grams have one global order: by frequency class (the power of two below the number of texts, for a list of the most frequent of
+   bounded size; all others are class 0), then by hash. Any order gives the same links; this one gives short lists. The order is cut into
+   `FRAGMENTS` fragments: in every frequency class at the same hashes.
+3. Lists. Let t = ceil(percent * n / 100), the least overlap of a set of n with any set it links with. Of two sets that link, that one whose
+   first n - t + l n-grams end first in the order has l of them in common with the other's first. With l = 1 they meet in the list of
+   an n-gram; with a larger l, sets that find too few companions are left out before their whole sets are read.
+4. Partial overlaps. For the sets that are left, the n-grams that another of them has are counted in each fragment. The overlap of two sets is at most
+   the sum over the fragments of the smaller count, which decides nearly all pairs without a comparison.
+5. Hubs. Each class is compared with one class of its lists, a member of the largest component, the one that it shares most lists
+   with; links make components, and this is done `HUB_ROUNDS` times. So a large group of near copies becomes one component with few comparisons.
+6. Lists that still span components are joined in blocks: of two members in different components those are candidates that the sum of partial
+   overlaps allows to link. Members of one component need no further test, and no link between components is missed.
+7. Candidates are verified by vertical partitioning: the overlap of a pair is counted in each group of fragments alone and summed.
 
 Defined results: words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer than
 five words is one shingle; a null text or one without words has no shingles and links with nothing; rows with the same
-doc_id and text are one document; extra columns are ignored; a row without a doc_id is left out. Shingles are compared by 64-bit hashes.
+doc_id and text are one document; rows with the same doc_id and different texts are linked only where their texts are; extra columns are ignored;
+a row without a doc_id is left out. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import attach, slices, small_batches, staged, text_list, texts
@@ -36,14 +39,25 @@ from tidemark.llm.hashing import shingle_sets
 
 SHINGLE = 5
 PERCENT = 75
-FRAGMENTS = 8
-HUBS = 32
+#: Cuts of the order that partial overlaps are counted in, and groups of them that verification works on one at a time.
+FRAGMENTS, GROUPS = 64, 8
+#: A prefix holds 1 + n / EXTRA n-grams more than any link needs, and as many must be shared.
+EXTRA = 20
+HUB_ROUNDS = 3
+#: Members of a list that are compared at once; longer lists are joined block by block.
+BLOCK = 1024
 #: The list of frequent n-grams: how many at most, and from how many documents on. It orders, it drops nothing.
 FREQUENT, FREQUENT_FROM = 1 << 18, 8
+_MOST = np.iinfo(np.uint16).max
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def least_overlap(n: int, percent: int) -> int:
+    return -(-percent * n // 100)
+
+
+def shared_least(n: int, percent: int) -> int:
+    """How many n-grams of their prefixes two sets share at least if they link and the one of n n-grams ends first."""
+    return min(least_overlap(n, percent), 1 + n // EXTRA)
 
 
 def _count_frequent(size: int):
@@ -73,207 +87,230 @@ def _count_frequent(size: int):
     return run
 
 
-def frequent_grams(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
-    """The most frequent n-grams, rarest first; at most FREQUENT."""
+def frequency_classes(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams, sorted, and the frequency class of each; at most FREQUENT."""
     rows = docs.select("text").mapInArrow(_count_frequent(size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     rows = rows.filter(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas()
-    return rows["gram"].to_numpy(np.int64)[::-1].copy()
+    grams = rows["gram"].to_numpy(np.int64)
+    by_gram = np.argsort(grams, kind="stable")
+    return grams[by_gram], np.log2(rows["n"].to_numpy(np.float64)[by_gram]).astype(np.int8)
 
 
-def in_order(grams: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A set in the global order: rare ones by hash, then frequent ones, rarest first. frequent: sorted; place: their rank."""
+def in_order(grams: np.ndarray, frequent: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """A set, given by ascending hashes, in the global order."""
     if not len(frequent):
         return grams
     at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-    often = frequent[at] == grams
-    return np.concatenate([grams[~often], grams[often][np.argsort(place[at[often]], kind="stable")]])
+    return grams[np.argsort(np.where(frequent[at] == grams, classes[at], 0), kind="stable")]
 
 
-def rank_of(grams: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Rank of each n-gram among the frequent ones, -1 for the others, which come before them by hash."""
-    if not len(frequent):
-        return np.full(len(grams), -1, np.int32)
-    at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-    return np.where(frequent[at] == grams, place[at], -1).astype(np.int32)
+def fragment_of(grams: np.ndarray) -> np.ndarray:
+    return (grams.view(np.uint64) >> np.uint64(64 - FRAGMENTS.bit_length() + 1)).astype(np.int64)
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0, *map(len, values)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
 
 
 def shingle_prefixes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (size of the set), set_key (digest of the set), prefix (array of long) and the place of its last n-gram
-    in the order (last_rank, last_gram) of each row."""
+    """doc_id, body (hash of the text), n (size of the set), set_key (digest of the set) and prefix (array of long) of each row."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = texts(docs)
-    ranked = frequent_grams(docs, size)
-    order = np.argsort(ranked, kind="stable")
-    given = spark.sparkContext.broadcast((ranked[order], order))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("last_rank", pa.int32()), ("last_gram", pa.int64())])
+    docs = texts(docs).withColumn("body", F.xxhash64("text"))
+    order = spark.sparkContext.broadcast(frequency_classes(docs, size))  # at most FREQUENT entries
+    schema = pa.schema([("doc_id", pa.int64()), ("body", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = shingle_sets(text_list(part), size)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            prefixes = [in_order(s, *given.value)[: prefix_length(len(s), percent)] if len(s) else s for s in sets]
-            ends = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes)))
-            last = np.array([p[-1] if len(p) else 0 for p in prefixes], np.int64)
-            columns = [part.column("doc_id"), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.binary()), lists, pa.array(rank_of(last, *given.value)), pa.array(last)]
+            prefixes = [in_order(s, *order.value)[: len(s) - least_overlap(len(s), percent) + shared_least(len(s), percent)] for s in sets]
+            columns = [part.column("doc_id"), part.column("body"), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.binary()), _lists(prefixes)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n int, set_key binary, prefix array<long>, last_rank int, last_gram long")
-
-
-def prefix_lists(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """gram, cid and n for the n-grams that are in the prefixes of two classes or more."""
-    stands = staged(classes.select(F.col("cid").alias("doc_id"), "set_key"), "class-stands")
-    rows = attach(sets.select("doc_id", "n", "set_key", "prefix"), stands.withColumnRenamed("set_key", "own_key"), "doc_id", row_bytes=64, how="inner")
-    rows = rows.filter("set_key = own_key").select("doc_id", "n", F.explode("prefix").alias("gram"))
-    lists = rows.withColumn("in_list", F.count(F.lit(1)).over(Window.partitionBy("gram")))
-    return staged(lists.filter("in_list > 1").select("gram", F.col("doc_id").alias("cid"), "n"), "prefix-lists")
-
-
-def linkable(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """gram, cid, n, cap, last, weight and in_list of the rows that can be part of a link; none that can is left out.
-
-    Of two sets take the one, A, whose prefix ends first in the order: its prefix n-grams that the other has are in the
-    other's prefix, so A shares at most cap = n - prefix length + its listed n-grams. A link therefore needs
-    slack(A) = cap * (100 + percent) - percent * n >= percent * m, m being the other's size. A row stays where it can be A
-    for some row that ends later, or where some row that ends earlier can be A for it.
-    """
-    whole = Window.partitionBy("gram")
-    ends = sets.select(F.col("doc_id").alias("cid"), F.struct("last_rank", "last_gram").alias("last")).groupBy("cid").agg(F.min("last").alias("last"))
-    held = staged(lists.groupBy("cid").agg(F.count(F.lit(1)).alias("listed")).join(ends, "cid"), "listed-classes")
-    rows = lists.join(held, "cid").withColumn("cap", (F.ceil(percent * F.col("n") / F.lit(100)) - 1 + F.col("listed")).cast("int"))
-    slack = F.col("cap") * (100 + percent) - percent * F.col("n")
-    earlier, later = whole.orderBy("last"), whole.orderBy(F.desc("last"))
-    rows = rows.withColumns({"_best": F.max(slack).over(earlier), "_least": F.min("n").over(later)})
-    can_be = 100 * slack >= percent * F.greatest(100 * F.col("_least"), percent * F.col("n"))
-    rows = rows.filter(can_be | (F.col("_best") >= percent * F.col("n"))).withColumn("in_list", F.count(F.lit(1)).over(whole)).filter("in_list > 1")
-    return staged(rows.select("gram", "cid", "n", "cap", "last", (-F.col("cap") / F.col("n")).alias("weight"), "in_list"), "linkable-lists")
-
-
-def _may_link(a: Column | str, b: Column | str, percent: int) -> Column:
-    """Whether sizes, caps and prefix ends of two rows (a prefix of column names, or a struct) allow a link."""
-    get = lambda x, c: F.col(f"{x}{c}") if isinstance(x, str) else x[c]
-    n, m = get(a, "n"), get(b, "n")
-    cap = F.when(get(a, "last") <= get(b, "last"), get(a, "cap")).otherwise(get(b, "cap"))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (cap * (100 + percent) >= percent * (n + m))
-
-
-def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each class with one hub: of the first classes of its lists the one it shares most lists with."""
-    first = F.min(F.struct("weight", "cid", "n", "cap", "last")).over(Window.partitionBy("gram"))
-    rows = lists.withColumn("hub", first).filter((F.col("hub.cid") != F.col("cid")) & _may_link("hub.", "", percent))
-    shared = rows.groupBy(F.col("cid").alias("member"), F.col("hub.cid").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
-    return shared.groupBy("member").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select("hub", "member")
-
-
-def plausible(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """pairs whose prefixes overlap enough for a link.
-
-    Of the two sets, take the one whose prefix ends first in the order: what it shares with the other is shared by
-    the prefixes, or lies behind its own prefix. So overlap <= common prefix n-grams + n - prefix length.
-    """
-    side = lambda name: held.select(F.col("cid").alias(name), F.col("n").alias(f"{name}_n"), F.col("grams").alias(f"{name}_grams"))
-    rows = pairs.join(side("hub"), "hub").join(side("member"), "member")
-    longest = F.greatest("hub_n", "member_n")
-    most = F.size(F.array_intersect("hub_grams", "member_grams")) + F.ceil(percent * longest / F.lit(100)) - 1
-    return rows.filter(most * (100 + percent) >= percent * (F.col("hub_n") + F.col("member_n"))).select("hub", "member")
-
-
-def _next_lists(lists: DataFrame, labels: DataFrame, after: int) -> DataFrame:
-    """Lists that span components and have members beyond `after`: with label and rank."""
-    known = labels.select(F.col("node").alias("cid"), "label")
-    rows = lists.filter(F.col("in_list") > after).join(known, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    whole = Window.partitionBy("gram")
-    rows = rows.withColumn("many", F.min("label").over(whole) != F.max("label").over(whole)).filter("many")
-    return rows.withColumn("rank", F.row_number().over(whole.orderBy("weight", "cid")))
-
-
-def _next_pairs(rows: DataFrame, first: int, last: int, percent: int) -> DataFrame:
-    """Members paired with the hubs of rank first..last before them that are in another component."""
-    block = F.when(F.col("rank").between(first, last), F.struct("cid", "n", "cap", "last", "label", "rank"))
-    rows = rows.withColumn("hubs", F.collect_list(block).over(Window.partitionBy("gram")))
-    own = F.struct("n", "cap", "last")
-    fits = lambda h: (h["rank"] < F.col("rank")) & (h["label"] != F.col("label")) & _may_link(h, own, percent)
-    return rows.select(F.explode(F.filter("hubs", fits)).alias("h"), F.col("cid").alias("member")).select(F.col("h.cid").alias("hub"), "member").distinct()
-
-
-def _fragments_of(size: int):
-    """Rows (hub, fragment, member, n, grams): a hub's own fragments with member null, and a member's for each of its hubs."""
-    schema = pa.schema([("hub", pa.int64()), ("fragment", pa.int32()), ("member", pa.int64()), ("n", pa.int32()), ("grams", pa.binary())])
-    cuts = np.linspace(-(2**63), 2**63, FRAGMENTS + 1)[1:-1].astype(np.int64)
+    return docs.mapInArrow(run, "doc_id long, body long, n int, set_key binary, prefix array<long>")
+
+
+def set_classes(sets: DataFrame) -> DataFrame:
+    """set_key, cid (an id of its own for each distinct set: its least doc_id, unless two sets have the same) and doc_id, n and body of the row that stands for it."""
+    rows = sets.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "body", "n")).alias("stand")).select("set_key", "stand.*")
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("set_key")) > 1
+    return rows.withColumn("cid", F.when(again, -1 - F.shiftrightunsigned(F.xxhash64("set_key", "doc_id"), 1)).otherwise(F.col("doc_id")))
+
+
+def prefix_lists(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """gram, cid, n and core (whether the n-gram is one of the first n - t + 1) for the n-grams that the prefixes of two classes or more hold."""
+    stands = staged(classes.select("doc_id", "body", "set_key", "cid"), "class-stands")
+    rows = attach(sets, stands, ["doc_id", "body", "set_key"], row_bytes=96, how="inner")
+    rows = rows.select("cid", "n", F.posexplode("prefix").alias("place", "gram"))
+    rows = rows.select("gram", "cid", "n", (F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / F.lit(100))).alias("core"))
+    in_list = F.count(F.lit(1)).over(Window.partitionBy("gram"))
+    return staged(rows.withColumn("in_list", in_list).filter("in_list > 1").drop("in_list"), "prefix-lists")
+
 
+def companioned(lists: DataFrame, percent: int) -> DataFrame:
+    """cid of the classes that share enough n-grams of their prefixes with others to link with any."""
+    t = lambda n: F.ceil(percent * n / F.lit(100))
+    least = F.least(t(t(F.col("n"))), 1 + F.floor(t(F.col("n")) / EXTRA))  # of the smallest set that it can link with
+    return lists.groupBy("cid", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least).select("cid")
+
+
+def _whole_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=1 << 20):
-            rows = []
-            roles = zip(part.column("doc_id").to_pylist(), part.column("hubs").to_pylist(), part.column("is_hub").to_pylist(), shingle_sets(text_list(part), size), strict=True)
-            for doc, hubs, is_hub, grams in roles:
-                edge = [0, *np.searchsorted(grams, cuts).tolist(), len(grams)]
-                for f in range(FRAGMENTS):
-                    if edge[f] < edge[f + 1]:
-                        own = grams[edge[f] : edge[f + 1]].tobytes()
-                        rows += [(h, f, doc, len(grams), own) for h in hubs or ()]
-                        rows += [(doc, f, None, len(grams), own)] if is_hub else []
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pydict({c.name: [r[k] for r in rows] for k, c in enumerate(schema)}, schema=schema)
-                    rows = []
-            yield pa.RecordBatch.from_pydict({c.name: [r[k] for r in rows] for k, c in enumerate(schema)}, schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("cid"), _lists(shingle_sets(text_list(part), size))], names=["cid", "grams"])
 
     return run
 
 
-def _count_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hub and fragment, the hub's own row first: the overlap of each member's row with it."""
-    at, own, own_n, last = None, np.zeros(0, np.int64), 0, None
-    for b in batches:
-        out = []
-        for hub, fragment, member, n, grams in zip(*(b.column(c).to_pylist() for c in ("hub", "fragment", "member", "n", "grams")), strict=True):
-            values = np.frombuffer(grams, np.int64)
-            if member is None:
-                at, own, own_n, last = (hub, fragment), values, n, None
-            elif at == (hub, fragment) and member != last:  # a repeated row counts once
-                last = member
-                place = np.minimum(np.searchsorted(own, values), len(own) - 1)
-                out.append((hub, member, own_n, n, int((own[place] == values).sum())))
-        columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["hub", "member", "hub_n", "n", "overlap"])
-
-
-def verified_links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of pairs(hub, member) that link."""
+def _by_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each class its n-grams in GROUPS arrays, and how many are in each fragment (16 bits each, `_MOST` at most)."""
+    for part in slices(batches, "grams", limit=1 << 20):
+        sets = [np.sort(np.array(g, np.int64)) for g in part.column("grams").to_pylist()]
+        cuts = np.arange(FRAGMENTS // GROUPS, FRAGMENTS, FRAGMENTS // GROUPS)
+        groups, counts = [[] for _ in range(GROUPS)], []
+        for s in sets:
+            fragment = fragment_of(s) ^ (FRAGMENTS // 2)  # ascending with the signed hash
+            counts.append(np.minimum(np.bincount(fragment, minlength=FRAGMENTS), _MOST).astype("<u2").tobytes())
+            for own, g in zip(groups, np.split(s, np.searchsorted(fragment, cuts)), strict=True):
+                own.append(g)
+        names = ["cid", "n", "cap", "counts", *(f"g{k}" for k in range(GROUPS))]
+        yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("n"), pa.array(map(len, sets), pa.int32()), pa.array(counts, pa.binary()), *map(_lists, groups)], names=names)
+
+
+def shared_sets(docs: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """cid, n, cap (n-grams that another of the held(cid, doc_id, body, n) has), counts (in each fragment) and g0, g1, ... (these n-grams) of the
+    classes whose shared n-grams suffice for a link."""
+    rows = attach(texts(docs).withColumn("body", F.xxhash64("text")), held.select("cid", "doc_id", "body"), ["doc_id", "body"], row_bytes=64, how="inner")
+    grams = rows.select("cid", "text").mapInArrow(_whole_sets(size), "cid long, grams array<long>")
+    in_list = F.count(F.lit(1)).over(Window.partitionBy("gram"))
+    shared = grams.select("cid", F.explode("grams").alias("gram")).withColumn("in_list", in_list).filter("in_list > 1")
+    of_class = shared.groupBy("cid").agg(F.collect_set("gram").alias("grams")).join(held.select("cid", "n"), "cid")
+    of_class = of_class.filter(100 * F.size("grams") >= percent * F.col("n"))
+    arrays = ", ".join(f"g{k} array<long>" for k in range(GROUPS))
+    return staged(of_class.mapInArrow(_by_fragment, f"cid long, n int, cap int, counts binary, {arrays}"), "shared-sets", "snappy")
+
+
+def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """lists with label, the component of each member, and size, its number of classes."""
+    if labels is None:
+        return lists.withColumns({"label": F.col("cid"), "size": F.lit(1).cast("long")})
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    known = staged(labels.join(sizes, "label").select(F.col("node").alias("cid"), "label", "size"), "component-sizes")
+    rows = lists.drop("label", "size").join(known, "cid", "left")
+    return rows.withColumns({"label": F.coalesce("label", "cid"), "size": F.coalesce("size", F.lit(1))})
+
+
+def _open_lists(rows: DataFrame, round_: int) -> DataFrame:
+    """rows of the lists that span components, with the number of members and a hub: a member of the largest component, another one each round."""
+    hub = F.max_by(F.struct("cid", "n", "cap", "label"), F.struct("size", F.xxhash64("cid", F.lit(round_)))).alias("hub")
+    lists = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("in_list"), F.min("label").alias("lo"), F.max("label").alias("hi"), hub)
+    return rows.join(lists.filter("lo < hi").select("gram", "in_list", "hub"), "gram")
+
+
+def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """hub and member: each class with that hub of its lists that it shares most lists with."""
+    n, m = F.col("n"), F.col("hub.n")
+    fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least("cap", "hub.cap") * (100 + percent) >= percent * (n + m))
+    met = rows.filter((F.col("label") != F.col("hub.label")) & fits).groupBy(F.col("cid").alias("member"), F.col("hub.cid").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("member").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select("hub", "member")
+
+
+def candidates(keys: np.ndarray, side: np.ndarray, cid: np.ndarray, n: np.ndarray, cap: np.ndarray, label: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same key and different labels that the sizes and the partial overlaps allow to link. Rows are sorted by key; those
+    of side 0 meet each other, those of side 1 meet those of side 2."""
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(keys)))
+    left = np.repeat(size, size) - (np.arange(len(keys)) - np.repeat(start, size)) - 1  # members behind each
+    beyond = cap - counts.sum(axis=1, dtype=np.int64)  # what the counts leave out
+    a, found = np.flatnonzero(left > 0), []
+    for step in range(1, int(left.max(initial=0)) + 1):
+        a = a[left[a] >= step]
+        b = a + step
+        ok = (label[a] != label[b]) & ((side[a] == 0) | (side[a] != side[b]))
+        ok &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        ok &= np.minimum(cap[a], cap[b]) * (100 + percent) >= percent * (n[a] + n[b])
+        x, y = a[ok], b[ok]
+        most = np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[x], beyond[y])
+        ok = most * (100 + percent) >= percent * (n[x] + n[y])
+        found.append(np.stack([x[ok], y[ok]]))
+    rows = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return np.minimum(cid[rows[0]], cid[rows[1]]), np.maximum(cid[rows[0]], cid[rows[1]])
+
+
+def _join_blocks(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+
+        def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+            hub, member = np.unique(np.stack(candidates(*rows, percent)), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(hub), pa.array(member)], names=["hub", "member"])
+
+        for b in batches:
+            rows = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "side", "cid", "n", "cap", "label")]
+            rows.append(np.frombuffer(b"".join(b.column("counts").to_pylist()), "<u2").reshape(-1, FRAGMENTS))
+            rest = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+            last = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last block may go on
+            if last >= 4096:
+                yield pairs([x[:last] for x in rest])
+                rest = [x[last:] for x in rest]
+        if rest is not None and len(rest[0]):
+            yield pairs(rest)
+
+    return run
+
+
+def _block_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """hub and member: all candidates of the open lists. A list of more than BLOCK members is cut into blocks by hash, each joined with each."""
+    blocks = F.ceil(F.col("in_list") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cid", "gram"), blocks).cast("int")
+    rows = rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    block = F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select(block.alias("block"), side.alias("side"), "cid", "label").join(sets.select("cid", "n", "cap", "counts"), "cid")
+    rows = rows.repartition("block").sortWithinPartitions("block")
+    return rows.mapInArrow(_join_blocks(percent), "hub long, member long").distinct()
+
+
+def verified_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of pairs(hub, member) that link: their overlap is counted in each group of fragments alone, and summed."""
     pairs = staged(pairs, "candidate-pairs")
-    members = pairs.groupBy(F.col("member").alias("doc_id")).agg(F.collect_list("hub").alias("hubs"))
-    hubs = pairs.select(F.col("hub").alias("doc_id")).distinct().withColumn("is_hub", F.lit(True))
-    roles = staged(members.join(hubs, "doc_id", "full"), "candidate-roles")
-    rows = attach(texts(docs), roles, "doc_id", row_bytes=96, how="inner")
-    parts = rows.mapInArrow(_fragments_of(size), "hub long, fragment int, member long, n int, grams binary")
-    parts = parts.repartition("hub", "fragment").sortWithinPartitions("hub", "fragment", F.col("member").asc_nulls_first())
-    counts = parts.mapInArrow(_count_overlaps, "hub long, member long, hub_n int, n int, overlap long")
-    sums = counts.groupBy("hub", "member", "hub_n", "n").agg(F.sum("overlap").alias("overlap"))
-    linked = 100 * F.col("overlap") >= percent * (F.col("hub_n") + F.col("n") - F.col("overlap"))
+    groups = F.array(*[F.struct(F.lit(k).alias("group"), F.col(f"g{k}").alias("grams")) for k in range(GROUPS)])
+    parts = sets.select("cid", "n", F.inline(groups))
+    side = lambda name: parts.select(F.col("cid").alias(name), F.col("n").alias(f"{name}_n"), "group", F.col("grams").alias(f"{name}_grams"))
+    rows = pairs.join(side("member"), "member").join(side("hub"), ["hub", "group"])
+    rows = rows.select("hub", "member", "hub_n", "member_n", F.size(F.array_intersect("hub_grams", "member_grams")).alias("overlap"))
+    sums = rows.groupBy("hub", "member", "hub_n", "member_n").agg(F.sum("overlap").alias("overlap"))
+    linked = 100 * F.col("overlap") >= percent * (F.col("hub_n") + F.col("member_n") - F.col("overlap"))
     return staged(sums.filter(linked).select(F.col("hub").alias("a"), F.col("member").alias("b")), "links")
 
 
+def class_labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """node (cid) and label of the classes that have a link to another."""
+    lists = prefix_lists(sets, classes, percent)
+    held = staged(companioned(lists, percent).join(classes.select("cid", "doc_id", "body", "n"), "cid"), "held-classes")
+    shared = shared_sets(docs, held, size, percent)
+    rows = staged(lists.filter("core").select("gram", "cid").join(shared.select("cid", "n", "cap"), "cid"), "core-lists")
+    links, labels = None, None
+    for round_ in range(HUB_ROUNDS + 1):
+        rows = staged(_open_lists(_labelled(rows, labels), round_), "open-lists")
+        pairs = _hub_pairs(rows, percent) if round_ < HUB_ROUNDS else _block_pairs(rows, shared, percent)
+        more = verified_links(pairs, shared, percent)
+        links = more if links is None else links.unionByName(more)
+        labels = staged(components(links), "component-labels")
+        rows = rows.select("gram", "cid", "n", "cap")
+    return labels
+
+
 def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class_id (least doc_id with the same set) and component_id of each row of docs(doc_id, text)."""
+    """doc_id, body (hash of the text), n_shingles, class_id (least doc_id with the same set) and component_id of each row of docs(doc_id, text)."""
     sets = staged(shingle_prefixes(docs, size, percent), "shingle-prefixes", "snappy")
-    classes = staged(sets.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("cid")), "set-classes")
-    lists = linkable(prefix_lists(sets, classes), sets, percent)
-    held = staged(lists.groupBy("cid", "n").agg(F.collect_list("gram").alias("grams")), "listed-prefixes", "snappy")
-    links = verified_links(docs, plausible(_first_pairs(lists, percent), held, percent), size, percent)
-    labels = staged(components(links), "component-labels")
-    done, hubs = 0, HUBS
-    while True:
-        rows = staged(_next_lists(lists, labels, done), "open-lists")
-        if rows.isEmpty():
-            break
-        more = verified_links(docs, plausible(_next_pairs(rows, done + 1, done + hubs, percent), held, percent), size, percent)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = staged(components(links), "component-labels")
-        # blocks double, as few members are left to pair, so rounds grow with the logarithm of the longest list
-        lists, done, hubs = rows.select("gram", "cid", "n", "cap", "last", "weight", "in_list"), done + hubs, 2 * hubs
-    of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    of_class = of_class.select("set_key", F.col("cid").alias("class_id"), F.coalesce("label", "cid").alias("component_id"))
-    out = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = staged(set_classes(sets), "set-classes")
+    labels = class_labels(docs, sets, classes, size, percent)
+    of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    least = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_class = of_class.join(least, "label").select("set_key", F.col("doc_id").alias("class_id"), "component_id")
+    out = sets.select("doc_id", "body", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
+    return out.select("doc_id", "body", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
