@@ -53,12 +53,14 @@ def test_encoding_and_decoding(spark, docs, reference):
     assert back == {i: (t or "").encode() for i, t in awkward()}
 
 
-def test_token_files(spark, docs):
+def test_token_files(spark, docs, monkeypatch):
     hub = Tokenizer.from_file(HUB)
-    hub.encode_special_tokens = True
+    more = [(200, "a <|endoftext|>b"), (201, "<|endoftext|><|endoftext|>"), (202, "x" * 70 + " " + "yz" * 40 + "\u3000 .\u2028,a. b,\u00a0c"), (203, " <|endoftext|> end")]
+    docs = docs.unionByName(frame(spark, more))
+    monkeypatch.setattr(token_files, "FILE_BYTES", 9000)
     got = {r["doc_id"]: r for r in token_files.token_file_digest(docs, HUB, public_tokenizers.PATTERN).collect()}
     start = 0
-    for i, text in awkward():
+    for i, text in [*awkward(), *more]:
         ids = [*hub.encode(text or "", add_special_tokens=False).ids, 0]
         assert (got[i]["start"], got[i]["n_tokens"]) == (start, len(ids))
         assert got[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
@@ -73,15 +75,39 @@ def test_variable_length_code_round_trip():
     assert [len(x) for x in control.to_pylist()] == [1, 0, 2]
 
 
-def test_token_counts_follow_edits(spark, docs, reference):
-    edits = token_counts.find_edits(docs)
-    changes = {r["doc_id"]: r["edits"] for r in edits.collect()}
-    for r in token_counts.recount(docs, edits).collect():
-        text = dict(awkward())[r["doc_id"]] or ""
-        assert r["n_tokens"] == len(reference.encode_ordinary(text))
-        for e in sorted(changes.get(r["doc_id"], []), key=lambda e: -e["start"]):
-            text = text[: e["start"]] + e["text"] + text[e["end"] :]
-        assert r["n_tokens_after"] == len(reference.encode_ordinary(text))
+def edited(text, edits):
+    for s, e, t in sorted(edits, reverse=True):
+        text = text[:s] + t + text[e:]
+    return text
+
+
+def test_token_counts_follow_two_batches_of_edits(spark, reference):
+    rows = [*awkward(), (9, "one id\nof two texts\none id"), (9, "one id\nof two texts\none id")]
+    texts = [(i, t, edited(edited(t or "", token_counts.repeated_lines(t or "")), token_counts.redactions(edited(t or "", token_counts.repeated_lines(t or ""))))) for i, t in rows]
+    want = sorted((i, len(reference.encode_ordinary(t or "")), len(reference.encode_ordinary(x))) for i, t, x in texts)
+    got = token_counts.recount(frame(spark, rows), token_counts.CLEANING).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["n_tokens_after"]) for r in got) == want
+    assert sum(r["n_edits"] > 0 for r in got) == sum((t or "") != x for _, t, x in texts) >= 3
+
+
+def test_second_batch_of_edits_touches_its_leaves_only(spark, reference):
+    import random
+
+    rnd = random.Random(3)
+    text = " ".join(rnd.choice(["alpha", "beta,", "gamma.\n", "x  y", "12", "\n"]) for _ in range(3000))
+    docs = token_counts.first_versions(frame(spark, [(1, text), (2, "left alone")]))
+    trees = common.staged(token_counts.build_trees(docs), "trees")
+    for k in range(4):
+        at = sorted(rnd.sample(range(len(text) - 40), 5))
+        edits = [(a, min(a + rnd.choice([0, 1, 7]), b), rnd.choice(["", " ", "new words", "\n"])) for a, b in zip(at, [*at[1:], len(text)])]  # noqa: B905
+        version = docs.filter("doc_id = 1").first()["version"]
+        table = spark.createDataFrame([(1, version, [{"start": s, "end": e, "text": t} for s, e, t in edits]), (77, 0, [])], f"doc_id long, version long, edits {token_counts._EDITS}")
+        changed = common.staged(token_counts.apply_edits(docs, trees, table), "changed")
+        docs, trees = (common.staged(x, "next") for x in token_counts.next_version(docs, trees, changed))
+        text = edited(text, edits)
+        row = changed.first()
+        assert (changed.count(), row["text"], row["n_tokens"], sum(row["leaf_tokens"])) == (1, text, len(reference.encode_ordinary(text)), row["n_tokens"])
+        assert row["chars_encoded"] < len(text) / 10 and trees.count() == docs.count() == 2, k
 
 
 def test_secrets(spark, docs):
@@ -284,7 +310,7 @@ def test_empty_tables(spark):
         decontaminate.contamination(none, bench),
         license_scan.license_scan(none),
         bpe.round_trip(none),
-        token_counts.recount(none, token_counts.find_edits(none)),
+        token_counts.recount(none, token_counts.CLEANING),
         ngram_join.ngram_components(none),
         quality_classifier.quality_scores(none, labels),
         quality_rules.quality_rules(none),

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,10 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import PieceIds
-from tidemark.llm.common import slices, small_batches, text_list, texts
+from tidemark.llm.common import binary_column, slices, small_batches, texts
 
-#: Pieces whose ids a Python worker remembers.
-MOST_PIECES = 300_000
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 _DDL = "doc_id long, n_tokens long, ids binary"
 
@@ -88,7 +87,7 @@ class Encoder:
         self.whole = {t: i for i, t in enumerate(self.tokens)}
         self.letters = {i: c for i, c in enumerate(byte_letters())}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
-        self.pieces = PieceIds(self._encode, self._encode_words, pattern, MOST_PIECES)
+        self.pieces = PieceIds(self._encode, self._encode_words, pattern)
 
     def _encode(self, pre_token: str) -> bytes:
         raw = pre_token.encode()
@@ -96,15 +95,17 @@ class Encoder:
         ids = [whole] if whole is not None else self.model.encode(raw.decode("latin-1").translate(self.letters))
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        return [self._encode(" " + w) for w in words]
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return self.pieces.of(text)
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        space, get = self.letters[32], self.whole.get
+        raw = [(" " + w).encode() for w in words]
+        whole = [get(r) for r in raw]
+        lacking = [i for i, x in enumerate(whole) if x is None]
+        spelt = [space + (words[i] if words[i].isascii() else raw[i][1:].decode("latin-1").translate(self.letters)) for i in lacking]
+        ids: list = [[x] for x in whole]
+        for i, found in zip(lacking, self.model.encode(spelt, num_threads=1) if spelt else [], strict=True):
+            ids[i] = found
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(sizes.sum())), sizes
 
 
 @lru_cache(maxsize=2)
@@ -139,11 +140,8 @@ def bpe_encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value, pattern)
         for part in slices(batches):
-            ids, counts = enc.pieces.many(text_list(part))
-            ends = pa.py_buffer(np.concatenate([[0], 4 * np.cumsum(counts)]).astype(np.int32))
-            binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, ends, pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), binary], schema=_SCHEMA)
-        enc.pieces.forget()
+            ids, counts = enc.pieces.many(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), binary_column(ids, 4 * counts)], schema=_SCHEMA)
 
     return texts(docs).mapInArrow(run, _DDL)
 
@@ -171,7 +169,7 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
         enc = encoder(ranks.value, pattern)
         spelt = [str(i) for i in range(len(enc.tokens))]
         for part in slices(batches):
-            ids, counts = enc.pieces.many(text_list(part))
+            ids, counts = enc.pieces.many(part.column("text"))
             as_list, at, digests, decoded = ids.tolist(), 0, [], []
             for n in counts.tolist():
                 own = as_list[at : at + n]
@@ -179,6 +177,5 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
                 digests.append(hashlib.sha256(" ".join(map(spelt.__getitem__, own)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join(map(enc.tokens.__getitem__, own))).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], schema=schema)
-        enc.pieces.forget()
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

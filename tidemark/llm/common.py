@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,7 @@ BROADCAST_BYTES = 48 << 20
 SLICE_BYTES = 2 << 20
 
 _own_folder: list[str] = []
+_libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -79,12 +84,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             size += n
         if at < batch.num_rows:
             yield batch.slice(at)
-    pa.default_memory_pool().release_unused()  # the worker goes on to other stages
+    malloc_trim()
 
 
 def _lengths(column: pa.Array) -> list[int]:
-    import pyarrow.compute as pc
-
     if pa.types.is_list(column.type):
         return pc.fill_null(pc.multiply(pc.list_value_length(column), 8), 0).to_pylist()
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
@@ -93,3 +96,25 @@ def _lengths(column: pa.Array) -> list[int]:
 def text_list(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a slice; null is empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, strung together, and where each begins and the last ends; null is empty."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if offsets else np.zeros(1, np.int64)
+    b = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return b[edges[0] : edges[-1]], edges - edges[0]
+
+
+def binary_column(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes of data cut into values of these sizes."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def malloc_trim() -> None:
+    """Give freed memory back to the system, for a worker that goes on to other stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)

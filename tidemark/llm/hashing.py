@@ -29,13 +29,18 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def run_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each run of bytes b[start:end]; b is worked on at once."""
+    power, inverse = _tables(len(b))
+    total = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
 def _hash_block(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(raw, np.uint8)
     turns = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[b], [True]]).astype(np.int8)))
     start, end = turns[::2], turns[1::2]
-    power, inverse = _tables(len(b))
-    total = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])])
-    return start, mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return start, run_hashes(b, start, end)
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -50,8 +50,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return token_counts.recount(docs, token_counts.find_edits(docs))
+    return token_counts.recount(documents(spark, sf_dir), token_counts.CLEANING)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

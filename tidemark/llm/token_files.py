@@ -8,7 +8,8 @@ occur most take one byte. The rank table is a second Parquet table, `ranks`. Dec
 of a control byte up in a table and gathers the data with numpy.
 
 Defined results: a null or empty text is the end id alone; rows that share a doc_id keep an order by
-content; ids that never occur rank last, by id; extra columns are ignored; a row without a doc_id is left out.
+content; ids that never occur rank last, by id; text that spells an added token of the tokenizer file is that token, as the library
+has it by default; extra columns are ignored; a row without a doc_id is left out.
 """
 
 from __future__ import annotations
@@ -21,19 +22,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import byte_letters
 from tidemark.llm.chunks import PieceIds
-from tidemark.llm.common import shared_folder, slices, small_batches, staged, text_list, texts
+from tidemark.llm.common import binary_column, shared_folder, slices, small_batches, staged, texts
 
 #: The id appended to each document.
 END_ID = 0
 #: Texts in one file, about; the number of files follows the corpus.
 FILE_BYTES = 48 << 20
-#: Pieces whose ids a Python worker remembers.
-MOST_PIECES = 800_000
+#: Words that go to the library at once.
 BATCH = 10_000
 #: Text that is cut into pieces at once.
 SLICE_BYTES = 3 << 20
@@ -42,18 +43,20 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 
 
 class HubEncoder:
-    """Ids by the tokenizers library, remembered for pieces of text."""
+    """Ids by the tokenizers library, remembered for pieces of text. A text that holds one of the file's added tokens goes to the library whole."""
 
     def __init__(self, content: str, pattern: str, width: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.width = Tokenizer.from_str(content).model, width
+        self.library, self.width = Tokenizer.from_str(content), width
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.model = self.library.model
         self.words = Tokenizer(self.model)  # without a pre-tokenizer: words come cut
         self.letters = dict(enumerate(byte_letters()))
         self.opens = np.zeros(max(self.words.get_vocab().values()) + 1, bool)
         self.opens[[i for t, i in self.words.get_vocab().items() if t[:1] == self.letters[32]]] = True
-        self.pieces = PieceIds(self._encode, self._encode_words, pattern, MOST_PIECES, dtype=width)
+        self.pieces = PieceIds(self._encode, self._encode_words, pattern, dtype=width)
 
     def _spelt(self, text: str) -> str:
         return text.encode().decode("latin-1").translate(self.letters)
@@ -61,18 +64,34 @@ class HubEncoder:
     def _encode(self, pre_token: str) -> bytes:
         return np.array([t.id for t in self.model.tokenize(self._spelt(pre_token))], self.width).tobytes()
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """At most BATCH at once, as the library keeps much beside each id."""
-        return [x for i in range(0, len(words), BATCH) for x in self._encode_batch(words[i : i + BATCH])]
-
-    def _encode_batch(self, words: list[str]) -> list[bytes]:
         space = self.letters[32]
         spelt = [space + (w if w.isascii() else self._spelt(w)) for w in words]  # ASCII letters stand for themselves
-        found = self.words.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)[0]
-        ids = np.array(found.ids, self.width)
-        first = np.flatnonzero(self.opens[ids]) * ids.itemsize  # a word's space is in its first token and in no other
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(raw)], strict=True)]
+        parts = []
+        for i in range(0, len(spelt), BATCH):
+            found = self.words.encode_batch_fast([spelt[i : i + BATCH]], is_pretokenized=True, add_special_tokens=False)[0]
+            parts.append(np.array(found.ids, self.width))
+        ids = np.concatenate(parts)
+        first = np.flatnonzero(self.opens[ids])  # a word's space is in its first token and in no other
+        return ids, np.diff(np.append(first, len(ids))).astype(np.int32)
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, strung together, and how many each has; null is empty."""
+        texts = pc.fill_null(texts, "")
+        marked = np.zeros(len(texts), bool)
+        for token in self.added:
+            marked |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self.pieces.many(texts)
+        ids, counts = self.pieces.many(pc.if_else(pa.array(marked), "", texts))
+        parts, at = [], np.cumsum(counts) - counts
+        for i in np.flatnonzero(marked).tolist():
+            own = np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, self.width)
+            parts.append(own)
+            counts[i] = len(own)
+        places = np.repeat(at[marked], counts[marked])
+        return np.insert(ids, places, np.concatenate(parts)), counts
 
 
 @lru_cache(maxsize=2)
@@ -81,12 +100,6 @@ def hub_encoder(content: str, pattern: str, width: str) -> HubEncoder:
     return HubEncoder(content, pattern, width)
 
 
-def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """data cut into values of these sizes."""
-    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
-
-
 def _joined(column: pa.Array) -> np.ndarray:
     """The bytes of all values of a binary column, strung together."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
@@ -105,7 +118,7 @@ def vbyte_encode(values: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.A
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
     before = np.concatenate([[0], np.cumsum(size.astype(np.int64) + 1)])
     edge = np.concatenate([[0], np.cumsum(counts)])
-    return _binary(control, quads), _binary(data, np.diff(before[edge]))
+    return binary_column(control, quads), binary_column(data, np.diff(before[edge]))
 
 
 def _slots(counts: np.ndarray, quads: np.ndarray) -> np.ndarray:
@@ -128,35 +141,43 @@ def vbyte_decode(control: pa.Array, data: pa.Array, counts: np.ndarray) -> np.nd
     return out
 
 
-def _edges(docs: DataFrame) -> list[int]:
-    """doc_ids that part the documents into files of about FILE_BYTES of text."""
+def _edges(docs: DataFrame) -> np.ndarray:
+    """doc_ids that part the documents into files of about FILE_BYTES of text: the least of each range but the first, one number a file."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // FILE_BYTES)
-    return sorted({int(x) for x in docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.002)}) if n > 1 else []
+    if n < 2:
+        return np.zeros(0, np.int64)
+    ranges = docs.select("doc_id").repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id().alias("range")).agg(F.min("doc_id").alias("least"))
+    return np.sort(ranges.toPandas()["least"].to_numpy(np.int64))[1:]
 
 
-def tokenised(docs: DataFrame, content: str, pattern: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, 16 bits each where the vocabulary allows, else 32) and file, the number of the file it goes to."""
+def vocabulary_size(content: str) -> int:
+    """One more than the largest id of a tokenizer file, added tokens included."""
     import json
 
+    read = json.loads(content)
+    return 1 + max([*read["model"]["vocab"].values(), *(x["id"] for x in read["added_tokens"])])
+
+
+def tokenised(docs: DataFrame, content: str, pattern: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id, n_tokens, ids (binary, 16 bits each where the vocabulary allows, else 32) and file, the number of the file it goes to."""
     spark = docs.sparkSession
     small_batches(spark)
-    vocabulary = len(json.loads(content)["model"]["vocab"])
-    width = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    given, edges = spark.sparkContext.broadcast(content), np.array(_edges(docs), np.int64)
+    width = "<u2" if vocabulary_size(content) <= 1 << 16 else "<u4"
+    given, edges = spark.sparkContext.broadcast(content), _edges(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("file", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = hub_encoder(given.value, pattern, width)
         for part in slices(batches, limit=SLICE_BYTES):
-            ids, counts = enc.pieces.many(text_list(part))
+            ids, counts = enc.many(part.column("text"))
             ends = np.cumsum(counts + 1) - 1
             whole = np.full(len(ids) + len(counts), end_id, width)
             mask = np.ones(len(whole), bool)
             mask[ends] = False
             whole[mask] = ids
             file = np.searchsorted(edges, part.column("doc_id").to_numpy(zero_copy_only=False), side="right").astype(np.int32)
-            columns = [part.column("doc_id"), pa.array(counts + 1), _binary(whole, (counts + 1) * whole.itemsize), pa.array(file)]
+            columns = [part.column("doc_id"), pa.array(counts + 1), binary_column(whole, (counts + 1) * whole.itemsize), pa.array(file)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     out = docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary, file int")
@@ -185,13 +206,11 @@ def frequency_ranks(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id: int = END_ID) -> None:
     """Token files of docs(doc_id, text) in `folder`/files and the rank table in `folder`/ranks."""
-    import json
-
     spark = docs.sparkSession
     docs = texts(docs)
     with open(tokenizer_path, encoding="utf-8") as f:
         content = f.read()
-    vocabulary = max(json.loads(content)["model"]["vocab"].values()) + 1
+    vocabulary = vocabulary_size(content)
     tokens = tokenised(docs, content, pattern, end_id)
     width = tokens.schema["ids"].metadata["width"]
     ranks = frequency_ranks(tokens, vocabulary)
@@ -220,7 +239,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         for part in slices(batches, "data"):
             counts = part.column("n_tokens").to_numpy()
             ids = ids_of.value[vbyte_decode(part.column("control"), part.column("data"), counts)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), _binary(ids, 4 * counts), part.column("file")], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), binary_column(ids, 4 * counts), part.column("file")], schema=schema)
 
     coded = spark.read.schema("doc_id long, n_tokens long, control binary, data binary, file int").parquet(f"{folder}/files")
     return coded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, file int")
@@ -238,15 +257,24 @@ def crc_of_ids(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(run, "doc_id long, n_tokens long, file int, ids_crc32 long")
 
 
+def ids_before(totals: DataFrame, block: int = 4096) -> DataFrame:
+    """file and before, the ids in all files before it, of totals(file, n): sums within blocks of files, and over the blocks before."""
+    rows = totals.withColumn("block", F.floor(F.col("file") / block))
+    of_block = rows.groupBy("block").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # one row for `block` files
+    of_block = of_block.select("block", F.coalesce(before, F.lit(0)).alias("of_blocks"))
+    in_block = F.sum("n").over(Window.partitionBy("block").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("in_block", F.coalesce(in_block, F.lit(0))).join(of_block, "block")
+    return rows.select("file", (F.col("of_blocks") + F.col("in_block")).alias("before"))
+
+
 def token_file_digest(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str | None = None) -> DataFrame:
     """Write the token files, read them back: doc_id, start (ids before the document), n_tokens, ids_crc32."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(docs, folder, tokenizer_path, pattern)
     digest = staged(crc_of_ids(read_token_files(spark, folder)), "token-digest")
-    totals = digest.groupBy("file").agg(F.sum("n_tokens").alias("n")).orderBy("file").collect()  # one row a file
-    before = [(r["file"], sum(x["n"] for x in totals[:i])) for i, r in enumerate(totals)]
-    offsets = spark.createDataFrame(before, "file int, before long")
+    before = ids_before(digest.groupBy("file").agg(F.sum("n_tokens").alias("n")))
     in_file = Window.partitionBy("file").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("n_tokens").over(in_file), F.lit(0))
-    return digest.join(F.broadcast(offsets), "file").select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
+    return digest.join(before, "file").select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
