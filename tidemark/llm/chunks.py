@@ -115,8 +115,7 @@ class PieceIds:
     def _block(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces, strung together, and how many each has."""
         long = end - start > self.longest
-        hashed = int(end[~long].max(initial=0))  # a piece of over _BLOCK bytes is the last of its block
-        keys = np.maximum(run_hashes(b[:hashed], np.where(long, 0, start), np.where(long, 0, end)), np.uint64(1))
+        keys = np.maximum(run_hashes(b, start, np.where(long, start, end)), np.uint64(1))
         entry = np.where(long, -1, self._find(keys))
         new, at = np.unique(keys[(entry < 0) & ~long], return_index=True)
         if len(self.size) and len(self.size) + len(new) > self.most:

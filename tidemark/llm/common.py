@@ -57,9 +57,10 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch; long texts are further cut by `slices`."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Bound the rows and bytes of an Arrow batch in this session. Plans read this when they run, which is after the operator has returned, so it stays set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def attach(docs: DataFrame, table: DataFrame, key: str | list[str], row_bytes: int | None, how: str = "left") -> DataFrame:

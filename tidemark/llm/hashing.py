@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
 
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Bytes that are hashed at once.
-_BLOCK = 1 << 19
+#: Bytes that are hashed at once; longer runs are hashed one by one.
+_BLOCK, _LONG = 1 << 19, 1 << 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = []
@@ -22,40 +22,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * _BLOCK)
-        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, x)])) for x in (_BASE, _INVERSE)]
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    if not _powers:
+        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(_BLOCK + _LONG, x)])) for x in (_BASE, _INVERSE)]
     return _powers[0], _powers[1]
 
 
 def run_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of each run of bytes b[start:end]; b is worked on at once."""
-    power, inverse = _tables(len(b))
-    total = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    """The hash of each run of bytes b[start:end]; starts ascend."""
+    out = np.empty(len(start), np.uint64)
+    for i in np.flatnonzero(end - start > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(b[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    power, inverse = _tables()
+    short = np.flatnonzero(end - start <= _LONG)
+    for own in np.split(short, np.flatnonzero(np.diff(start[short] // _BLOCK)) + 1) if len(short) else []:
+        a = int(start[own[0]])
+        x, y = start[own] - a, end[own] - a
+        raw = b[a : a + int(y.max())]
+        total = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)])])
+        out[own] = mix((total[y] - total[x]) * inverse[x] + (y - x).astype(np.uint64))
+    return out
 
 
-def _hash_block(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    b = np.frombuffer(raw, np.uint8)
-    turns = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[b], [True]]).astype(np.int8)))
-    start, end = turns[::2], turns[1::2]
-    return start, run_hashes(b, start, end)
+def runs(inside: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and behind-last place of each run of `inside`; no run reaches over one of the edges."""
+    cut = np.zeros(len(inside) + 1, bool)
+    cut[edges] = True
+    before = np.concatenate([[False], inside[:-1]]) if len(inside) else inside
+    start = np.flatnonzero(inside & (~before | cut[:-1]))
+    after = np.append(inside[1:], False) if len(inside) else inside
+    return start, np.flatnonzero(inside & (~after | cut[1:])) + 1
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(first byte, hash) of each run of bytes that are not ASCII white space."""
-    starts, hashes, at = [], [], 0
-    while at < len(raw) or not starts:
-        end = at + _BLOCK
-        if end < len(raw):  # cut at white space; a longer word is a block alone
-            space = re.compile(rb"[\x09-\x0d ]").search(raw, end)
-            end = space.start() if space else len(raw)
-        start, h = _hash_block(raw[at:end])
-        starts.append(start + at)
-        hashes.append(h)
-        at = max(end, at + 1)
-    return np.concatenate(starts), np.concatenate(hashes)
+    b = np.frombuffer(raw, np.uint8)
+    start, end = runs(~_SPACE[b], np.zeros(1, np.int64))
+    return start, run_hashes(b, start, end)
 
 
 def _multiplier(k: int, size: int) -> np.uint64:

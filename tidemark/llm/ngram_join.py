@@ -13,9 +13,12 @@ A document's set is its distinct five-word shingles; two documents link when 100
    the sum over the fragments of the smaller count, which decides nearly all pairs without a comparison.
 5. Hubs. Each class is compared with one class of its lists, a member of the largest component, the one that it shares most lists
    with; links make components, and this is done `HUB_ROUNDS` times. So a large group of near copies becomes one component with few comparisons.
-6. Lists that still span components are joined in blocks: of two members in different components those are candidates that the sum of partial
-   overlaps allows to link. Members of one component need no further test, and no link between components is missed.
-7. Candidates are verified by vertical partitioning: the overlap of a pair is counted in each group of fragments alone and summed.
+   The overlap of a pair is counted in each group of fragments alone, and summed.
+6. Lists that still span components (equal lists once) are joined in blocks. Of two members in different components those are candidates that the sum
+   of partial overlaps allows to link; a block gives the members that have a candidate, not the pairs. These members' n-grams meet once more, block by
+   block: the overlaps of candidates are counted fragment by fragment and summed, pairs drop out as soon as they cannot link, and what
+   leaves the block are the links that join components, fewer than it has members. Members of one component need no further test, and no link
+   between components is missed.
 
 Defined results: words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer than
 five words is one shingle; a null text or one without words has no shingles and links with nothing; rows with the same
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +48,8 @@ FRAGMENTS, GROUPS = 64, 8
 #: A prefix holds 1 + n / EXTRA n-grams more than any link needs, and as many must be shared.
 EXTRA = 20
 HUB_ROUNDS = 3
-#: Members of a list that are compared at once; longer lists are joined block by block.
-BLOCK = 1024
+#: Members of a list that are compared at once, and n-grams that they have, about; longer lists are joined block by block.
+BLOCK, BLOCK_GRAMS = 1024, 1 << 20
 #: The list of frequent n-grams: how many at most, and from how many documents on. It orders, it drops nothing.
 FREQUENT, FREQUENT_FROM = 1 << 18, 8
 _MOST = np.iinfo(np.uint16).max
@@ -203,10 +207,12 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _open_lists(rows: DataFrame, round_: int) -> DataFrame:
-    """rows of the lists that span components, with the number of members and a hub: a member of the largest component, another one each round."""
+    """rows of the lists that span components, equal lists once, with their number of members, their n-grams, and a hub: a member of the largest component, another one each round."""
     hub = F.max_by(F.struct("cid", "n", "cap", "label"), F.struct("size", F.xxhash64("cid", F.lit(round_)))).alias("hub")
-    lists = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("in_list"), F.min("label").alias("lo"), F.max("label").alias("hi"), hub)
-    return rows.join(lists.filter("lo < hi").select("gram", "in_list", "hub"), "gram")
+    members = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"of{k}") for k in (1, 2)]
+    lists = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("in_list"), F.sum("cap").alias("grams"), F.min("label").alias("lo"), F.max("label").alias("hi"), hub, *members)
+    lists = lists.filter("lo < hi").groupBy("of1", "of2", "in_list", "grams").agg(F.min_by(F.struct("gram", "hub"), "gram").alias("x"))
+    return rows.join(lists.select("x.*", "in_list", "grams"), "gram")
 
 
 def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -217,74 +223,158 @@ def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("member").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select("hub", "member")
 
 
-def candidates(keys: np.ndarray, side: np.ndarray, cid: np.ndarray, n: np.ndarray, cap: np.ndarray, label: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of the same key and different labels that the sizes and the partial overlaps allow to link. Rows are sorted by key; those
-    of side 0 meet each other, those of side 1 meet those of side 2."""
-    first = np.concatenate([[True], keys[1:] != keys[:-1]])
-    start = np.flatnonzero(first)
-    size = np.diff(np.append(start, len(keys)))
-    left = np.repeat(size, size) - (np.arange(len(keys)) - np.repeat(start, size)) - 1  # members behind each
-    beyond = cap - counts.sum(axis=1, dtype=np.int64)  # what the counts leave out
-    a, found = np.flatnonzero(left > 0), []
-    for step in range(1, int(left.max(initial=0)) + 1):
-        a = a[left[a] >= step]
-        b = a + step
-        ok = (label[a] != label[b]) & ((side[a] == 0) | (side[a] != side[b]))
-        ok &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-        ok &= np.minimum(cap[a], cap[b]) * (100 + percent) >= percent * (n[a] + n[b])
-        x, y = a[ok], b[ok]
-        most = np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[x], beyond[y])
-        ok = most * (100 + percent) >= percent * (n[x] + n[y])
-        found.append(np.stack([x[ok], y[ok]]))
-    rows = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    return np.minimum(cid[rows[0]], cid[rows[1]]), np.maximum(cid[rows[0]], cid[rows[1]])
-
-
-def _join_blocks(percent: int):
+@dataclass
+class Members:
+    """Members of blocks, sorted by block; those of side 0 meet each other, those of side 1 meet those of side 2."""
+
+    block: np.ndarray
+    side: np.ndarray
+    cid: np.ndarray
+    label: np.ndarray
+    n: np.ndarray
+    cap: np.ndarray
+    counts: np.ndarray
+
+    def candidates(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of members of the same block and different labels that the sizes and the partial overlaps allow to link."""
+        start = np.flatnonzero(np.concatenate([[True], self.block[1:] != self.block[:-1]]))
+        size = np.diff(np.append(start, len(self.block)))
+        left = np.repeat(size, size) - (np.arange(len(self.block)) - np.repeat(start, size)) - 1  # members behind each
+        beyond = self.cap - self.counts.sum(axis=1, dtype=np.int64)  # what the counts leave out
+        a, label, side, n, cap = np.flatnonzero(left > 0), self.label, self.side, self.n, self.cap
+        for step in range(1, int(left.max(initial=0)) + 1):
+            a = a[left[a] >= step]
+            b = a + step
+            ok = (label[a] != label[b]) & ((side[a] == 0) | (side[a] != side[b]))
+            ok &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            ok &= np.minimum(cap[a], cap[b]) * (100 + percent) >= percent * (n[a] + n[b])
+            x, y = a[ok], b[ok]
+            most = np.minimum(self.counts[x], self.counts[y]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[x], beyond[y])
+            ok = most * (100 + percent) >= percent * (n[x] + n[y])
+            if ok.any():
+                yield x[ok], y[ok]
+
+
+def members(b: pa.RecordBatch) -> Members:
+    columns = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "side", "cid", "label", "n", "cap")]
+    return Members(*columns, np.frombuffer(b"".join(b.column("counts").to_pylist()), "<u2").reshape(-1, FRAGMENTS))
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of sorted rows cut anew so that no block is divided."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        block = b.column("block").to_numpy()
+        if not len(block):
+            continue
+        last = int(np.searchsorted(block, block[-1]))
+        if rest and rest[-1].column("block")[0].as_py() != block[-1]:
+            yield pa.Table.from_batches([*rest, b.slice(0, last)]).combine_chunks().to_batches()[0]
+            rest = []
+        elif not rest and last:
+            yield b.slice(0, last)
+        rest.append(b.slice(last))
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
+def _with_candidate(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-            hub, member = np.unique(np.stack(candidates(*rows, percent)), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(hub), pa.array(member)], names=["hub", "member"])
-
-        for b in batches:
-            rows = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "side", "cid", "n", "cap", "label")]
-            rows.append(np.frombuffer(b"".join(b.column("counts").to_pylist()), "<u2").reshape(-1, FRAGMENTS))
-            rest = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows, strict=True)]
-            last = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last block may go on
-            if last >= 4096:
-                yield pairs([x[:last] for x in rest])
-                rest = [x[last:] for x in rest]
-        if rest is not None and len(rest[0]):
-            yield pairs(rest)
+        for b in _whole_blocks(batches):
+            found = np.zeros(b.num_rows, bool)
+            for x, y in members(b).candidates(percent):
+                found[x] = found[y] = True
+            yield b.select(["block", "side", "cid", "label"]).filter(pa.array(found))
 
     return run
 
 
-def _block_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """hub and member: all candidates of the open lists. A list of more than BLOCK members is cut into blocks by hash, each joined with each."""
-    blocks = F.ceil(F.col("in_list") / BLOCK).cast("int")
+def _forest_links(percent: int):
+    """Of each block the links that join labels: pairs (a, b) of cid, without those that the ones before make needless."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole_blocks(batches):
+            m = members(b)
+            groups = [b.column(f"g{k}") for k in range(GROUPS)]
+            for block in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(m.block)) + 1):
+                a, z = int(block[0]), int(block[-1]) + 1
+                own = Members(m.block[a:z], m.side[a:z], m.cid[a:z], m.label[a:z].copy(), m.n[a:z], m.cap[a:z], m.counts[a:z])
+                x, y = joined_labels(own, [g.slice(a, z - a) for g in groups], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(own.cid[x]), pa.array(own.cid[y])], names=["a", "b"])
+
+    return run
+
+
+def joined_labels(m: Members, groups: list[pa.ListArray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one block that make a spanning forest of its labels. Changes m.label.
+
+    Each member is held against all its candidates that are not yet in its component. An overlap is the sum of
+    the overlaps in each group of fragments; a pair goes on only while the groups not yet counted can still make it a link.
+    """
+    pairs = list(m.candidates(percent))
+    if not pairs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y = (np.concatenate(c) for c in zip(*pairs, strict=True))
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    start = np.searchsorted(x, np.arange(len(m.cid) + 1))
+    per_group = FRAGMENTS // GROUPS
+    counts = m.counts.astype(np.int64).reshape(len(m.cid), GROUPS, per_group)
+    capped = (m.counts == _MOST).any(axis=1)
+    grams = [(g.values.to_numpy(), g.offsets.to_numpy()) for g in groups]
+    needed = lambda a, b: -(-percent * (m.n[a] + m.n[b]) // (100 + percent))
+    links: list[tuple[int, int]] = []
+    for a in np.flatnonzero(np.diff(start)).tolist():
+        b = y[start[a] : start[a + 1]]
+        b = b[m.label[b] != m.label[a]]
+        if not len(b):
+            continue
+        total, least = np.zeros(len(b), np.int64), needed(a, b)
+        rest = np.minimum(counts[a], counts[b]).sum(axis=2)
+        rest = np.append(np.cumsum(rest[:, ::-1], axis=1)[:, ::-1], np.zeros((len(b), 1), np.int64), axis=1)  # what the groups from k on can add at most
+        for k, (values, ends) in enumerate(grams):
+            mine = values[ends[a] : ends[a + 1]]
+            n = ends[b + 1] - ends[b]
+            theirs = values[np.repeat(ends[b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            if len(mine):
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                total += np.bincount(np.repeat(np.arange(len(b)), n), mine[at] == theirs, len(b)).astype(np.int64)
+            open_ = (total + rest[:, k + 1] >= least) | capped[b] | capped[a]
+            b, total, least, rest = b[open_], total[open_], least[open_], rest[open_]
+            if not len(b):
+                break
+        for c in b[total >= least].tolist():
+            if m.label[c] != m.label[a]:
+                links.append((a, c))
+                m.label[m.label == m.label[c]] = m.label[a]
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components which the open lists still span. A long list is cut into blocks by hash, each joined with each."""
+    blocks = F.greatest(F.ceil(F.col("in_list") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     own = F.pmod(F.xxhash64("cid", "gram"), blocks).cast("int")
     rows = rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     block = F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(block.alias("block"), side.alias("side"), "cid", "label").join(sets.select("cid", "n", "cap", "counts"), "cid")
-    rows = rows.repartition("block").sortWithinPartitions("block")
-    return rows.mapInArrow(_join_blocks(percent), "hub long, member long").distinct()
+    rows = rows.select(block.alias("block"), side.cast("int").alias("side"), "cid", "label")
+    sketches = rows.join(sets.select("cid", "n", "cap", "counts"), "cid").repartition("block").sortWithinPartitions("block")
+    some = staged(sketches.mapInArrow(_with_candidate(percent), "block long, side int, cid long, label long"), "block-members")
+    whole = some.join(sets, "cid").repartition("block").sortWithinPartitions("block")
+    return staged(whole.mapInArrow(_forest_links(percent), "a long, b long"), "block-links")
 
 
 def verified_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of pairs(hub, member) that link: their overlap is counted in each group of fragments alone, and summed."""
     pairs = staged(pairs, "candidate-pairs")
-    groups = F.array(*[F.struct(F.lit(k).alias("group"), F.col(f"g{k}").alias("grams")) for k in range(GROUPS)])
-    parts = sets.select("cid", "n", F.inline(groups))
-    side = lambda name: parts.select(F.col("cid").alias(name), F.col("n").alias(f"{name}_n"), "group", F.col("grams").alias(f"{name}_grams"))
-    rows = pairs.join(side("member"), "member").join(side("hub"), ["hub", "group"])
-    rows = rows.select("hub", "member", "hub_n", "member_n", F.size(F.array_intersect("hub_grams", "member_grams")).alias("overlap"))
-    sums = rows.groupBy("hub", "member", "hub_n", "member_n").agg(F.sum("overlap").alias("overlap"))
+    groups = [f"g{k}" for k in range(GROUPS)]
+    side = lambda name: sets.select(F.col("cid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *groups)])
+    rows = pairs.join(side("member"), "member").join(side("hub"), "hub")
+    overlap = sum((F.size(F.array_intersect(f"hub_{g}", f"member_{g}")) for g in groups[1:]), F.size(F.array_intersect(f"hub_{groups[0]}", f"member_{groups[0]}")))
+    rows = rows.select("hub", "member", "hub_n", "member_n", overlap.alias("overlap"))
     linked = 100 * F.col("overlap") >= percent * (F.col("hub_n") + F.col("member_n") - F.col("overlap"))
-    return staged(sums.filter(linked).select(F.col("hub").alias("a"), F.col("member").alias("b")), "links")
+    return staged(rows.filter(linked).select(F.col("hub").alias("a"), F.col("member").alias("b")), "links")
 
 
 def class_labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -296,8 +386,7 @@ def class_labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int
     links, labels = None, None
     for round_ in range(HUB_ROUNDS + 1):
         rows = staged(_open_lists(_labelled(rows, labels), round_), "open-lists")
-        pairs = _hub_pairs(rows, percent) if round_ < HUB_ROUNDS else _block_pairs(rows, shared, percent)
-        more = verified_links(pairs, shared, percent)
+        more = verified_links(_hub_pairs(rows, percent), shared, percent) if round_ < HUB_ROUNDS else block_links(rows, shared, percent)
         links = more if links is None else links.unionByName(more)
         labels = staged(components(links), "component-labels")
         rows = rows.select("gram", "cid", "n", "cap")
