@@ -111,7 +111,7 @@ def test_second_batch_of_edits_touches_its_leaves_only(spark, reference):
 
 
 def test_secrets(spark, docs):
-    got = {r["doc_id"]: [(f["kind"], f["start"], f["end"]) for f in r["findings"]] for r in secret_ledger.secret_scan(docs).collect()}
+    got = {r["doc_id"]: [(f["kind"], f["start"], f["end"]) for f in r["findings"]] for r in secret_ledger.secret_scan(docs)[0].collect()}
     assert got[9] == [("assign", 0, 19), ("access", 24, 46)]
     assert secret_ledger.redacted(awkward()[9][1], [(0, 19), (24, 46), (30, 40)]) == "<SECRET> and <SECRET>"
     assert sum(map(len, got.values())) == 2
@@ -124,7 +124,7 @@ def test_ledger_scans_only_new_blobs(spark):
     second = first.unionByName(spark.createDataFrame([("a", "secret: zzzzzz99"), ("d", None)], "path string, text string"))
     new = secret_ledger.scan_new_blobs(second, ledger)
     assert new.count() == 2
-    both = secret_ledger.join_paths(second, ledger.unionByName(new))
+    both = secret_ledger.join_paths(secret_ledger.addressed(second), ledger.unionByName(new))
     assert {(r["path"], len(r["findings"])) for r in both.collect()} == {("a", 1), ("b", 1), ("c", 0), ("d", 0)}
     old = ledger.withColumn("rule_version", F.lit(0))
     assert secret_ledger.scan_new_blobs(first, old).count() == 2
@@ -241,10 +241,16 @@ def brute_hits(texts, items):
 def test_decontamination(spark, docs, block, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
     long = awkward()[20][1]
-    items = [(1, None), (2, ""), (3, "one"), (4, long), (5, " ".join(long.split()[3:15])), (6, long), (7, "nowhere to be found " * 4)]
+    items = [(1, None), (2, ""), (3, "one"), (4, long), (5, " ".join(long.split()[3:15])), (6, long), (7, "nowhere to be found " * 4), (None, "two words"), (None, long), (4, "two")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(docs, table).collect()
-    assert {r["doc_id"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), set(r["items"])) for r in got} == brute_hits(awkward(), items)
+    twice = docs.unionByName(docs.filter("doc_id = 20"))  # a repeated row has its row, whatever the number of blocks
+    got = decontaminate.contamination(twice, table).collect()
+    assert len(got) == len(awkward()) + 1 and all(len(r["items"]) == len(set(r["items"])) for r in got)
+    want = brute_hits(awkward(), items)
+    assert {r["doc_id"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), set(r["items"])) for r in got} == want
+    names = spark.createDataFrame([(None if i is None else f"item-{i}", t) for i, t in items], "item_id string, text string")
+    got = decontaminate.contamination(docs, names).collect()
+    assert {r["doc_id"]: set(r["items"]) for r in got} == {d: {None if i is None else f"item-{i}" for i in held} for d, (_, _, held) in want.items()}
     assert decontaminate.without_spans("a b, c d.", [(1, 3)]) == "a  d."
 
 
@@ -266,7 +272,9 @@ def test_frequent_lines_deplete_documents(spark):
     texts = [(i, f"{line}\n{body(i)[:40]}") for i in range(8)] + [(i, body(i)) for i in range(8, 12)] + [(i, f"{line}\n{body(0)[:40]}") for i in range(20, 24)]
     rows = frame(spark, texts).withColumn("source", F.lit("h"))
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(rows, max_docs=5).collect()}
-    assert kept == {i: i == 0 or 8 <= i < 12 or i >= 20 for i in kept}  # exact copies of the first text stay with it
+    assert kept == {i: i == 0 or 8 <= i < 12 for i in kept}
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(rows, max_docs=5, keep_first=False).collect()}
+    assert kept == {i: 8 <= i < 12 for i in kept}
 
 
 def test_classifier_on_held_out_labels(spark):
@@ -304,7 +312,7 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
     for out in (
-        secret_ledger.secret_scan(none),
+        secret_ledger.secret_scan(none)[0],
         token_files.token_file_digest(none, HUB, public_tokenizers.PATTERN),
         substring_dedup.substring_dedup(none),
         decontaminate.contamination(none, bench),
@@ -320,4 +328,34 @@ def test_empty_tables(spark):
 
 def test_rows_without_doc_id_are_left_out(spark):
     rows = frame(spark, [(1, "some words here"), (None, "some words here")])
-    assert ngram_join.ngram_components(rows).count() == bpe.round_trip(rows).count() == secret_ledger.secret_scan(rows).count() == 1
+    assert ngram_join.ngram_components(rows).count() == bpe.round_trip(rows).count() == secret_ledger.secret_scan(rows)[0].count() == 1
+
+
+def test_repeated_rows_are_reported_each(spark):
+    """Rows that repeat, and ids of two texts: every operator gives a row for each, the same for the same row."""
+    long = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, long), (1, long), (1, "token = abcdef12 " + long[::-1]), (2, None), (2, None), (3, "")]
+    table, bench = frame(spark, rows), spark.createDataFrame([(1, long)], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    for out in (
+        secret_ledger.secret_scan(table)[0],
+        token_files.token_file_digest(table, HUB, public_tokenizers.PATTERN),
+        decontaminate.contamination(table, bench),
+        license_scan.license_scan(table),
+        bpe.round_trip(table),
+        token_counts.recount(table, token_counts.CLEANING),
+        ngram_join.ngram_components(table),
+        quality_classifier.quality_scores(table, labels),
+        quality_rules.quality_rules(table),
+    ):
+        got = [tuple(r[c] for c in out.columns if c != "start") for r in out.collect()]
+        assert len(got) == 6, out.columns
+        assert len({str(x) for x in got}) <= len(set(rows)), (out.columns, got)
+
+
+@pytest.mark.parametrize("row_bytes", [1, 1 << 40, None])
+def test_attach_with_and_without_a_broadcast(spark, row_bytes):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c")], "k long, x string")
+    right = common.staged(spark.createDataFrame([(2, 5), (3, 6)], "k long, y int"), "right")
+    assert sorted(map(str, (tuple(r) for r in common.attach(left, right, "k", row_bytes).collect()))) == ["(1, 'a', None)", "(2, 'b', 5)", "(2, 'b', 5)", "(None, 'c', None)"]
+    assert common.attach(left, right, "k", row_bytes, "left_anti").count() == 2

@@ -6,12 +6,12 @@ import ctypes
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only where its rows, at their estimated width, stay under this many bytes.
@@ -119,3 +119,40 @@ def malloc_trim() -> None:
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
+
+
+def body_of(text: str = "text") -> Column:
+    """A hash of a row's text: with doc_id it names the row, or rows that repeat word for word."""
+    return F.xxhash64(text).alias("body")
+
+
+def edit_texts(docs: DataFrame, edits: DataFrame, new_text: Callable[[str, list[tuple[int, int]]], str]) -> DataFrame:
+    """docs with text and n_chars changed in the rows that edits(doc_id, body, spans of start and end) names; new_text: (text, spans) -> text.
+
+    All other columns pass through, whatever their names. Of several edits of one row any holds.
+    """
+    small_batches(docs.sparkSession)
+    spans = F.transform("spans", lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end")))
+    edits = edits.select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), spans.alias("_spans"))
+    edits = staged(edits.dropDuplicates(["_doc", "_body"]), "edits")
+    width = 64 + 32 * int(edits.agg(F.max(F.size("_spans"))).first()[0] or 0)
+    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_body": body_of()})
+    joined = attach(keyed, edits, ["_doc", "_body"], row_bytes=width)
+    names, schema = docs.columns, docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            columns = {c: part.column(c) for c in names}
+            spans = part.column("_spans")
+            if spans.null_count < len(spans):
+                texts, lengths = part.column("text").to_pylist(), part.column("n_chars").to_pylist() if "n_chars" in names else []
+                for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    texts[i] = new_text(texts[i] or "", [(x["start"], x["end"]) for x in spans[i].as_py()])
+                    if lengths:
+                        lengths[i] = len(texts[i])
+                columns["text"] = pa.array(texts, part.column("text").type)
+                if lengths:
+                    columns["n_chars"] = pa.array(lengths, part.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    return joined.mapInArrow(run, schema)

@@ -394,12 +394,18 @@ def class_labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int
 
 
 def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, body (hash of the text), n_shingles, class_id (least doc_id with the same set) and component_id of each row of docs(doc_id, text)."""
+    """doc_id, body (hash of the text), n_shingles, class_id (least doc_id with the same set), component_id and representative of each row of docs(doc_id, text).
+
+    representative: whether the row is the one that stands for its group of linked texts, or has no shingles; rows that repeat it are too.
+    """
     sets = staged(shingle_prefixes(docs, size, percent), "shingle-prefixes", "snappy")
     classes = staged(set_classes(sets), "set-classes")
     labels = class_labels(docs, sets, classes, size, percent)
     of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_class = of_class.join(least, "label").select("set_key", F.col("doc_id").alias("class_id"), "component_id")
+    least = of_class.groupBy("label").agg(F.min(F.struct("doc_id", "body", "set_key")).alias("first"))
+    stands = F.when(F.col("first.set_key") == F.col("set_key"), F.struct("doc_id", "body"))
+    of_class = of_class.join(least, "label").select("set_key", F.col("doc_id").alias("class_id"), F.col("first.doc_id").alias("component_id"), stands.alias("stands"))
     out = sets.select("doc_id", "body", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
-    return out.select("doc_id", "body", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    representative = F.when(F.col("n") > 0, F.coalesce(F.col("stands") == F.struct("doc_id", "body"), F.lit(False))).otherwise(True)
+    ids = [F.coalesce(c, "doc_id").alias(c) for c in ("class_id", "component_id")]
+    return out.select("doc_id", "body", F.col("n").cast("long").alias("n_shingles"), *ids, representative.alias("representative"))

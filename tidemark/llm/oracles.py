@@ -12,7 +12,7 @@ def _kind(rank: int, kind: str, pattern: str, keep: str) -> str:
     """Matches of a pattern with their offsets, by the pieces of text between them."""
     return f"""SELECT doc_id, {rank} AS k, '{kind}' AS kind, list_sum(list_transform(p[1:i], lambda v: len(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: len(v))), 0) AS s, m[i] AS x, g[i] AS g
  FROM (SELECT doc_id, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS m, regexp_extract_all(coalesce(text, ''), '{pattern}', {2 if rank == 0 else 0}) AS g,
-  string_split_regex(coalesce(text, ''), '{pattern}') AS p FROM documents)) WHERE {keep}"""
+  string_split_regex(coalesce(text, ''), '{pattern}') AS p FROM documents WHERE doc_id IS NOT NULL)) WHERE {keep}"""
 
 
 _ASSIGN = "(?i:" + secrets.ASSIGN.split(")")[0] + "))" + secrets.ASSIGN.split(")", 1)[1]
@@ -28,9 +28,9 @@ _FOUND = " UNION ALL ".join(
 _SPAN = "kind || ':' || s::BIGINT || ':' || (s + len(x))::BIGINT"
 OP1 = f"""WITH f AS ({_FOUND}), a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
  string_agg({_SPAN}, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg({_SPAN}, ',' ORDER BY s, k) AS spans FROM f GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN a USING (doc_id)"""
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN a USING (doc_id) WHERE d.doc_id IS NOT NULL"""
 
-OP3 = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT *, len(h) // 2 AS n_bytes FROM h),
+OP3 = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL), n AS (SELECT *, len(h) // 2 AS n_bytes FROM h),
 w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 99)) AS i FROM n WHERE n_bytes >= 100)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
 o AS (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM r), p AS (SELECT *, sum(CASE WHEN b IS NULL OR i > b + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM o),
@@ -43,13 +43,13 @@ FROM n LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP4 = f"""WITH b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark), i AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
 q AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM i)),
-d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL),
 x AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM q) WHERE len(w) >= n)),
 m AS (SELECT x.doc_id, x.n, x.s, q.item_id FROM x JOIN q USING (n, g)), c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY ALL),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY ALL)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-OP8 = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACE}') AS w FROM documents), n AS (SELECT *, least(5, len(w)) AS n FROM d),
+OP8 = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACE}') AS w FROM documents WHERE doc_id IS NOT NULL), n AS (SELECT *, least(5, len(w)) AS n FROM d),
 g AS (SELECT DISTINCT doc_id, n, array_to_string(w[s:s + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM n WHERE n > 0)), z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY ALL),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.n = b.n AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT o.a, o.b FROM o JOIN z x ON x.doc_id = o.a JOIN z y ON y.doc_id = o.b WHERE 100 * o.o >= 75 * (x.n + y.n - o.o)),
@@ -57,16 +57,17 @@ r AS (SELECT doc_id, doc_id AS node FROM d UNION SELECT r.doc_id, l.b FROM r JOI
 SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, (SELECT min(node) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM d LEFT JOIN z USING (doc_id)"""
 
 _NORM = r"trim(regexp_replace(regexp_replace(lower(raw), '[ \t\x0B\f\r]+', ' ', 'g'), '[0-9]', '0', 'g'))"
-OP10 = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w FROM documents),
-l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw FROM d), u AS (SELECT doc_id, source, text, {_NORM} AS norm FROM l),
-f AS (SELECT source, norm, first(text ORDER BY doc_id) AS kept_text FROM u WHERE norm <> '' GROUP BY ALL HAVING count(DISTINCT text) > 50),
-x AS (SELECT u.doc_id, sum(len(string_split(u.norm, ' ')))::BIGINT AS removed_words FROM u JOIN f ON u.source IS NOT DISTINCT FROM f.source AND u.norm = f.norm WHERE u.text <> f.kept_text GROUP BY ALL),
+OP10 = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w FROM documents WHERE doc_id IS NOT NULL),
+l AS (SELECT doc_id, source, p, ls[p] AS raw FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS p FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM d))), u AS (SELECT doc_id, source, p, raw, {_NORM} AS norm FROM l),
+f AS (SELECT source, norm, min(doc_id) AS first_doc FROM u WHERE norm <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) > 50),
+v AS (SELECT u.doc_id, u.p, u.raw, f.norm IS NOT NULL AND u.doc_id <> f.first_doc AS gone FROM u LEFT JOIN f ON u.source IS NOT DISTINCT FROM f.source AND u.norm = f.norm),
+x AS (SELECT doc_id, coalesce(sum(len(regexp_extract_all(raw, '{_SPACE}'))) FILTER (gone), 0)::BIGINT AS removed_words, sha256(coalesce(string_agg(raw, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS cleaned_sha256 FROM v GROUP BY ALL),
 e AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM e) WHERE n > 1),
 p AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS q FROM t) GROUP BY ALL),
 s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda v: len(v))), 0)::BIGINT AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
  (len(list_filter(string_split(text, chr(10)), lambda v: regexp_matches(v, '{_SPACE}'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda v: regexp_matches(v, '{_SPACE}')))))::BIGINT AS n_dup_lines,
- coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words FROM d LEFT JOIN p USING (doc_id) LEFT JOIN x USING (doc_id)), y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+ coalesce(n_repeat_words, 0) AS n_repeat_words, removed_words, cleaned_sha256 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN x USING (doc_id)), y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
 SELECT *, NOT base_failed AND n_words - removed_words >= 0.3 * n_words AS kept FROM y"""
 
 BY_OPERATOR = {1: OP1, 3: OP3, 4: OP4, 8: OP8, 10: OP10}

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, slices, small_batches, staged, text_list, texts
+from tidemark.llm.common import attach, body_of, slices, small_batches, staged, text_list, texts
 
 # The base kinds and their patterns, in the order that ranks equal starts.
 ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -27,11 +28,13 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "pem")
 #: Added to the base kinds by this library: the header line of a private key.
 PEM = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"
-#: Goes up whenever a pattern changes; blobs scanned under another version are scanned again.
-RULE_VERSION = 1
+#: Least lengths of what the base kinds match: the second group of assign, the whole of the others.
+LEAST = {"assign": 6, "access": 20, "hex": 24}
+#: Follows from the patterns: blobs that were scanned under others are scanned again.
+RULE_VERSION = zlib.crc32(repr((ASSIGN, ACCESS, HEX, PEM, KINDS, LEAST)).encode()) & 0x7FFFFFFF
 
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
-_ACCESS, _HEX, _PEM = re.compile(ACCESS), re.compile("[0-9a-f]{24,}"), re.compile(PEM)
+_ACCESS, _HEX, _PEM = re.compile(ACCESS), re.compile(f"[0-9a-f]{{{LEAST['hex']},}}"), re.compile(PEM)
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _SCHEMA = pa.schema([("blob", pa.binary()), ("rule_version", pa.int32()), ("findings", _SPANS)])
 _DDL = "blob binary, rule_version int, findings array<struct<kind string, start long, end long>>"
@@ -39,9 +42,9 @@ _DDL = "blob binary, rule_version int, findings array<struct<kind string, start
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then by the order of KINDS."""
-    found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end() - m.start(2) >= 6] if "=" in text or ":" in text else []
+    found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end() - m.start(2) >= LEAST["assign"]] if "=" in text or ":" in text else []
     if "AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
+        found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if "-----BEGIN " in text:
         found += [(m.start(), 3, m.end()) for m in _PEM.finditer(text)]
@@ -55,35 +58,38 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("blob"), version, pa.array(found, _SPANS)], schema=_SCHEMA)
 
 
-def blob_of(text: Column) -> Column:
-    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+def _with_blob(versions: DataFrame) -> DataFrame:
+    return versions.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
 
 
-def scan_new_blobs(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path") -> DataFrame:
-    """Ledger rows (blob, rule_version, findings) for the blobs of versions(path, text) that `ledger` lacks.
+def addressed(versions: DataFrame, path: str = "path", *more: str) -> DataFrame:
+    """path, blob (SHA-256 of the text, null as empty) and the columns named, of every row of versions(path, text), staged."""
+    return staged(_with_blob(versions).select(path, "blob", *more), "blob-addresses")
+
+
+def scan_new_blobs(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path", addresses: DataFrame | None = None) -> DataFrame:
+    """Ledger rows (blob, rule_version, findings) for the blobs of versions(path, text) that `ledger` lacks under the present rules.
 
     The lowest path of a blob stands for it, so only ids and hashes are grouped; texts move only
-    where the list of standing paths is too large to broadcast.
+    where the list of standing paths is too large to broadcast. A path may stand for several blobs of its history.
     """
-    spark = versions.sparkSession
-    small_batches(spark)
-    blobs = versions.select(F.col(path).alias("stand"), blob_of(F.col("text")).alias("blob"))
-    blobs = blobs.groupBy("blob").agg(F.min("stand").alias("stand"))
+    small_batches(versions.sparkSession)
+    addresses = addressed(versions, path) if addresses is None else addresses
+    blobs = addresses.groupBy("blob").agg(F.min(path).alias(path))
     if ledger is not None:
-        seen = ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob")
-        blobs = blobs.join(seen, "blob", "left_anti")
-    # several blobs may stand under one path in a history, so the blob is part of the key
-    stands = staged(blobs.select(F.struct("stand", "blob").alias("version")).distinct(), "blob-stands")
-    texts = versions.select(F.struct(F.col(path).alias("stand"), blob_of(F.col("text")).alias("blob")).alias("version"), "text")
-    texts = attach(texts, stands, "version", row_bytes=96, how="left_semi")
-    # a version repeated word for word in the history is still one blob
-    return texts.select("version.blob", "text").mapInArrow(_scan, _DDL)
+        blobs = blobs.join(ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
+    stands = staged(blobs.select(path, "blob"), "blob-stands")
+    texts = attach(_with_blob(versions).select(path, "blob", "text"), stands, [path, "blob"], row_bytes=96, how="left_semi")
+    return texts.select("blob", "text").mapInArrow(_scan, _DDL).dropDuplicates(["blob"])  # a version that the history repeats is still one blob
 
 
-def join_paths(versions: DataFrame, findings: DataFrame, path: str = "path") -> DataFrame:
-    """path, blob and findings of every version."""
-    at = versions.select(path, blob_of(F.col("text")).alias("blob"))
-    return at.join(findings.select("blob", "findings").dropDuplicates(["blob"]), "blob", "left")
+def join_paths(addresses: DataFrame, findings: DataFrame) -> DataFrame:
+    """Each row of addresses(path, blob) with the findings of its blob, none being an empty array. Blobs without findings need no row, so a blob that many paths hold is
+    no hot key unless it has a secret; then the table of findings is broadcast, or, beyond its bound, Spark splits the skewed partition."""
+    table = staged(findings.filter(F.size("findings") > 0).select("blob", "findings"), "findings")
+    width = 64 + 48 * int(table.agg(F.max(F.size("findings"))).first()[0] or 0)
+    none = F.array().cast(_DDL.split("findings ")[1])
+    return attach(addresses, table, "blob", row_bytes=width).withColumn("findings", F.coalesce("findings", none))
 
 
 def span_text(findings: Column) -> Column:
@@ -101,13 +107,10 @@ def redacted(text: str, findings: list[tuple[int, int]], mark: str = "<SECRET>")
     return "".join([*out, text[at:]])
 
 
-def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """doc_id and findings, for docs as one version of each path."""
-    versions = texts(docs)
-    new = scan_new_blobs(versions, ledger, "doc_id")
-    known = staged(new if ledger is None else new.unionByName(ledger.filter(F.col("rule_version") == RULE_VERSION)), "secret-ledger")
-    return join_paths(versions, known.filter(F.size("findings") > 0), "doc_id").withColumn("findings", F.coalesce("findings", F.array().cast(_DDL.split("findings ")[1])))
-
-
-def sha256_of(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()
+def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, body (hash of the text), blob and findings of each row of docs, a snapshot of all paths; the ledger with the blobs that are new, staged)."""
+    versions = texts(docs).withColumn("body", body_of())
+    addresses = addressed(versions, "doc_id", "body")
+    new = scan_new_blobs(versions, ledger, "doc_id", addresses)
+    ledger = staged(new if ledger is None else ledger.unionByName(new), "secret-ledger")
+    return join_paths(addresses, ledger.filter(F.col("rule_version") == RULE_VERSION)), ledger
