@@ -1,75 +1,64 @@
 """A corpus pipeline over `documents`: quality rules, near duplicates, decontamination, secrets, encoding.
 
-Each stage takes the documents that the stage before has kept, as they are after it, and all its decisions
-take effect: rejected documents go, lines and texts are cut or redacted. A row without a doc_id is left out by the
-first stage; empty tables give empty results; other columns of documents pass through unchanged.
+Each stage takes the documents that the stage before has kept, as they are after it, and all its decisions take effect:
+rejected documents go, lines and texts are cut or redacted.
+
+Defined results: a null text is empty, so the quality rules reject it; rows are told apart by doc_id and text, so rows that share a doc_id
+but not the text are judged each on its own; of rows that repeat doc_id and text, and of equal texts, one stays after the
+near-duplicate stage (with the smallest doc_id, ties by a hash of the text); a row without a doc_id is left out by the first stage;
+empty tables give empty results; all other columns of documents pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, ngram_join, quality_rules, secret_ledger
-from tidemark.llm.common import attach, documents, small_batches, staged
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is in ids."""
-    return attach(docs, staged(ids.select("doc_id").distinct(), "kept-ids"), "doc_id", row_bytes=24, how="left_semi")
+from tidemark.llm.common import attach, body_of, documents, edit_texts, staged
 
+_KEY = ["_doc", "_body"]
 
-def _with_text(docs: DataFrame, edits: DataFrame, new_text, body: Column | None = None) -> DataFrame:
-    """docs with text and n_chars changed where edits(doc_id, spans) has spans; new_text: (text, spans) -> text.
 
-    With `body`, an expression over docs, edits has a column body too and holds for the rows of that doc_id and body.
-    """
-    small_batches(docs.sparkSession)
-    at, of = "_edit_spans", "_edit_body"
-    one = F.lit(0).cast("long")
-    edits = edits.select("doc_id", (one if body is None else F.col("body")).alias(of), F.col("spans").alias(at))
-    edits = staged(edits.dropDuplicates(["doc_id", of]), "edits")
-    width = 64 + 32 * int(edits.agg(F.avg(F.size(at))).first()[0] or 0)
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_body": body_of()})
 
-    @F.pandas_udf("string")
-    def edited(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else new_text(t or "", [(int(x["start"]), int(x["end"])) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    columns = docs.columns
-    keyed = docs.drop(at, of).withColumn(of, one if body is None else body)
-    joined = attach(keyed, edits, ["doc_id", of], row_bytes=width).withColumn("text", edited("text", at))
-    if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.when(F.col(at).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(columns)
+def _only(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose doc_id and text (by its hash, body) are in rows(doc_id, body), or with left_anti the others."""
+    keys = staged(rows.select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body")).distinct(), "row-keys")
+    return attach(_keyed(docs), keys, _KEY, row_bytes=40, how=how).select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that too many documents of their host share."""
-    lost = staged(quality_rules.lost_lines(docs), "lost-lines")
-    kept = _only(docs, quality_rules.quality_rules(docs, lost=lost).filter("kept"))
-    return _with_text(kept, quality_rules.removed_spans(lost), quality_rules.without_lines, quality_rules.body_of())
+    spans = staged(quality_rules.removed_spans(quality_rules.lost_lines(docs)), "removed-lines")
+    kept = quality_rules.quality_rules(docs, spans=spans).filter("kept")
+    return edit_texts(_only(docs, kept), spans, quality_rules.without_lines)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id."""
-    return _only(docs, ngram_join.ngram_components(docs).filter("doc_id = component_id"))
+    """One document of each group of near duplicates; of rows that repeat it one."""
+    stay = staged(ngram_join.ngram_components(docs).filter("representative").groupBy("doc_id", "body").agg(F.count(F.lit(1)).alias("n")), "representatives")
+    again = stay.filter("n > 1")
+    once = _only(docs, stay.filter("n = 1"))
+    if not again.take(1):
+        return once
+    return once.unionByName(_keyed(_only(docs, again)).dropDuplicates(_KEY).select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their passages of the benchmark; a document that is nothing else goes."""
     found = decontaminate.contamination(docs, documents(spark, sf_dir, "benchmark")).filter(F.size("spans") > 0)
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
-    found = staged(found.select("doc_id", "spans", (length == F.col("n_words")).alias("all_hit")), "contamination")
-    gone = staged(found.filter("all_hit").select("doc_id").distinct(), "all-contaminated")
-    left = attach(docs, gone, "doc_id", row_bytes=24, how="left_anti")
-    return _with_text(left, found.filter("NOT all_hit"), decontaminate.without_spans)
+    found = staged(found.select("doc_id", "body", "spans", (length == F.col("n_words")).alias("all_hit")), "contamination")
+    return edit_texts(_only(docs, found.filter("all_hit"), "left_anti"), found.filter("NOT all_hit"), decontaminate.without_spans)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets redacted."""
-    found = secret_ledger.secret_scan(docs).filter(F.size("findings") > 0)
-    return _with_text(docs, found.select("doc_id", F.col("findings").alias("spans")), secret_ledger.redacted)
+    found, _ = secret_ledger.secret_scan(docs)
+    return edit_texts(docs, found.filter(F.size("findings") > 0).select("doc_id", "body", F.col("findings").alias("spans")), secret_ledger.redacted)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
