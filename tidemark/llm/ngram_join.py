@@ -15,7 +15,8 @@ A document's set is its distinct five-word shingles; two documents link when 100
    with; links make components, and this is done `HUB_ROUNDS` times. So a large group of near copies becomes one component with few comparisons.
    The overlap of a pair is counted in each group of fragments alone, and summed.
 6. Lists that still span components (equal lists once) are joined in blocks. Of two members in different components those are candidates that the sum
-   of partial overlaps allows to link; a block gives the members that have a candidate, not the pairs. These members' n-grams meet once more, block by
+   of partial overlaps allows to link; a block gives the members that have a candidate, not the pairs, and a pair that shares several lists
+   counts in the first of them. These members' n-grams meet once more, block by
    block: the overlaps of candidates are counted fragment by fragment and summed, pairs drop out as soon as they cannot link, and what
    leaves the block are the links that join components, fewer than it has members. Members of one component need no further test, and no link
    between components is missed.
@@ -47,7 +48,7 @@ PERCENT = 75
 FRAGMENTS, GROUPS = 64, 8
 #: A prefix holds 1 + n / EXTRA n-grams more than any link needs, and as many must be shared.
 EXTRA = 20
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Members of a list that are compared at once, and n-grams that they have, about; longer lists are joined block by block.
 BLOCK, BLOCK_GRAMS = 1024, 1 << 20
 #: The list of frequent n-grams: how many at most, and from how many documents on. It orders, it drops nothing.
@@ -278,12 +279,32 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
 
 
+def first_shared(lists: pa.ListArray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least value that the lists of rows x[i] and y[i] share; each pair shares one."""
+    ends = lists.offsets.to_numpy()
+    values, code = np.unique(lists.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)
+    bits, out = np.zeros((len(lists), -(-len(values) // 8)), np.uint8), np.empty(len(x), np.int64)
+    np.bitwise_or.at(bits, (np.repeat(np.arange(len(lists)), np.diff(ends)), code >> 3), (128 >> (code & 7)).astype(np.uint8))
+    step = max(1, (1 << 22) // max(1, bits.shape[1]))
+    for i in range(0, len(x), step):
+        shared = bits[x[i : i + step]] & bits[y[i : i + step]]
+        byte = (shared != 0).argmax(axis=1)
+        first = 8 - np.ceil(np.log2(shared[np.arange(len(byte)), byte].astype(np.int64) + 1)).astype(np.int64)
+        out[i : i + step] = values[8 * byte + first]
+    return out
+
+
 def _with_candidate(percent: int):
+    """The members with a candidate that they meet in this list first: a pair that shares several lists counts in the first alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole_blocks(batches):
-            found = np.zeros(b.num_rows, bool)
-            for x, y in members(b).candidates(percent):
-                found[x] = found[y] = True
+            found, gram = np.zeros(b.num_rows, bool), b.column("gram").to_numpy()
+            pairs = list(members(b).candidates(percent))
+            if pairs:
+                x, y = (np.concatenate(c) for c in zip(*pairs, strict=True))
+                here = first_shared(b.column("lists"), x, y) == gram[x]
+                found[x[here]] = found[y[here]] = True
             yield b.select(["block", "side", "cid", "label"]).filter(pa.array(found))
 
     return run
@@ -358,8 +379,9 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     block = F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(block.alias("block"), side.cast("int").alias("side"), "cid", "label")
-    sketches = rows.join(sets.select("cid", "n", "cap", "counts"), "cid").repartition("block").sortWithinPartitions("block")
+    lists = rows.filter("other = 0").groupBy("cid").agg(F.collect_list("gram").alias("lists"))  # no more than its prefix has n-grams
+    rows = rows.select(block.alias("block"), "gram", side.cast("int").alias("side"), "cid", "label")
+    sketches = rows.join(lists.join(sets.select("cid", "n", "cap", "counts"), "cid"), "cid").repartition("block").sortWithinPartitions("block")
     some = staged(sketches.mapInArrow(_with_candidate(percent), "block long, side int, cid long, label long"), "block-members")
     whole = some.join(sets, "cid").repartition("block").sortWithinPartitions("block")
     return staged(whole.mapInArrow(_forest_links(percent), "a long, b long"), "block-links")
