@@ -94,11 +94,49 @@ def test_score_equals_backtest(spark):
     df = bars(spark, closes, step=3_600_000)
     s = Strategy("x", "BOTH", ("ta.crossover(f, g)", "ta.crossunder(f, g)"), bindings={"f": Binding("EMA", {"period": 5}), "g": Binding("EMA", {"period": 12})})
     whole = positions.backtest(df.transform(strategies.evaluate_strategy(s))).first()
-    trials = spark.createDataFrame([("ema-cross", 0, {"fastLength": 5.0, "slowLength": 12.0})], "spec_id string, trial int, params map<string,double>")
-    got = sweep.score_trials(trials, sweep.series_arrays(df.withColumn("slice", F.lit("all")))).first()
-    assert got["trades"] == whole["total_trades"]
+    trials = spark.createDataFrame([("x", 0, {"n": 5.0, "m": 12.0}), ("x", 1, {"n": 3.0, "m": 12.0}), ("other", 0, {})], "spec_id string, trial int, params map<string,double>")
+    swept = Strategy("x", s.direction, s.conditions, (), {"f": Binding("EMA", {"period": "n"}), "g": Binding("EMA", {"period": "m"})}, {"n": 9.0, "m": 9.0})
+    got = {r["trial"]: r for r in sweep.score_trials(df.withColumn("slice", F.lit("all")), [swept], trials).collect()}
+    assert set(got) == {0, 1} and got[0]["trades"] == whole["total_trades"]
     for name in ("win_rate", "total_return", "max_drawdown", "sharpe"):
-        assert got[name] == pytest.approx(whole[name])
+        assert got[0][name] == pytest.approx(whole[name])
+
+
+def test_backtest_in_one_pass_equals_its_parts(spark):
+    rnd = random.Random(4)
+    df = bars(spark, [100 + rnd.uniform(-5, 5) for _ in range(200)], step=3_600_000).withColumn("position", (F.pmod(F.xxhash64("timestamp"), F.lit(3)) - 1).cast("int"))
+    once = positions.backtest(df).first()
+    curve = positions.drawdown(positions.equity(positions.bar_returns(df)))
+    parts = positions.backtest_metrics(curve, positions.trades(df), series.bars_per_year(df)).first()
+    for name in ("total_trades", "win_rate", "avg_pnl", "total_return", "max_drawdown", "sharpe"):
+        assert once[name] == pytest.approx(parts[name]), name
+
+
+def test_more_strategies_need_no_more_scans_or_shuffles(spark, tmp_path):
+    bars(spark, range(60)).write.parquet(f"{tmp_path}/bars")
+    df = spark.read.parquet(f"{tmp_path}/bars")
+
+    def counts(n):
+        many = [Strategy(f"s{k}", "BUY", ("close > a",), ("close < b",), {"a": Binding("SMA", {"period": 3 + k % 4}), "b": Binding("BB", {"period": 5})} if k % 2 else {"a": Binding("SMA", {"period": 4}), "b": Binding("SMA", {"period": 9})}) for k in range(n)]
+        many = [Strategy(s.id, s.direction, s.conditions, ("close < b.lower",) if s.bindings["b"].type == "BB" else s.exits, s.bindings) for s in many]
+        ranked = strategies.ranking(df, many)
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert ranked.count() == n
+        return plan.count("Exchange hashpartitioning"), plan.count("FileScan")
+
+    assert counts(2) == counts(12) and counts(2)[1] == 1
+
+
+def test_strategies_of_a_spec_table(spark):
+    from tidemark.jobs import queries
+
+    ready = strategies.strategies_of(queries._records(spark))
+    assert [s.id for s in ready] == ["a-strategy-with-a-long-name", "band-reversal", "sma-cross"]
+    assert ready[0].bindings == {"sma10": Binding("SMA", {"period": 10.0}, "close")}
+    found = {r["id"]: (r["ok"], r["missing"]) for r in strategies.assemblable(queries._records(spark)).collect()}
+    assert found["unknown-type"] == (False, ["indicator:TSI", "tsi"]) and not found["quoted"][0]
+    with pytest.raises(ValueError):
+        strategies.strategies_of(queries._records(spark), most=2)
 
 
 def test_sweep_draws_repeat_and_stay_in_range(spark):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tests.bars import bars
 from tidemark.functions import scalars
 from tidemark.operators import corpus
-from tidemark.operators.corpus import parse_frame_strategy
+from tidemark.functions import script_text
+from tidemark.functions.script_text import frame_strategy
 from tidemark.schemas import SPEC
 from tidemark.sources import candles, specs
 
@@ -71,23 +72,32 @@ def test_formats(spark):
     assert [tuple(r) for r in rows] == [("+12.3%", "+13%"), ("−4.5%", "−4%"), ("+0.0%", "+0%")]
 
 
-def test_first_argument_is_balanced():
-    text = 'f(ta.crossover(a, b[1]), "x, (y")'
-    assert corpus.first_argument(text, 2)[0] == "ta.crossover(a, b[1])"
-    assert corpus.first_argument('f("a)b", c)', 2)[0] == '"a)b"'
-    assert corpus.first_argument("f(a", 2) is None
-    assert corpus.without_display_terms("showSignals and a > b  and hideX") == "a > b"
-    assert corpus.without_outer_parens("((a) and (b))") == "(a) and (b)"
+def test_calls_are_balanced():
+    found = script_text.calls('f(ta.crossover(a, b[1, 2]), "x, (y") // g(1)\nh(when = k(1), z')
+    assert [(c.name, c.args) for c in found] == [("f", ("ta.crossover(a, b[1, 2])", '"x, (y"')), ("ta.crossover", ("a", "b[1, 2]")), ("k", ("1",))]
+    assert script_text.calls("h(1, when = a > b)")[0].named("when") == "a > b"
+    assert script_text.without_switches("showSignals and a > b  and hideX") == "a > b" and script_text.without_switches("showSignals") == "showSignals"
+    assert script_text.unwrapped("((a) and (b))") == "(a) and (b)" and script_text.unwrapped(" (((x))) ") == "x" and script_text.unwrapped("") == ""
+
+
+def test_entries_and_bindings():
+    text = "len = input.int(3)\nm = long ? ta.ema(close, len) : 0\nn = request.security(s, 'D', ta.sma(close, 9))\ngo = alias\nalias = m > n and\n  showIt\nalertcondition(go, 'long')\nalertcondition(condition)"
+    direction, conditions = script_text.entry_of(text)
+    assert (direction, conditions) == ("BOTH", ["m > n", "condition"])
+    assert script_text.bindings_of(text, conditions, {"len"}, {"ema": "EMA", "sma": "SMA"}) == [("m", "EMA", "len"), ("n", "SMA", "9")]
+    assert script_text.entry_of("x = 1") == ("BOTH", [])
 
 
 CLASS = """class Mine(IStrategy):
     timeframe = '5m'
     stoploss = -0.05
     buy_params = {'cci': -48}
+    n = IntParameter(1, 50, default=7, space='buy')
+    mode = CategoricalParameter([1, 2], default=2)
     def populate_indicators(self, dataframe, metadata):
         dataframe['adx'] = ta.ADX(dataframe)
         dataframe['short'] = ta.SMA(dataframe, timeperiod=3)
-        bollinger = qtpylib.bollinger_bands(dataframe['close'], window=20, stds=2)
+        bollinger = qtpylib.bollinger_bands(qtpylib.typical_price(dataframe), window=33, stds=3)
         dataframe['bb_low'] = bollinger['lower']
         return dataframe
     def populate_entry_trend(self, dataframe, metadata):
@@ -99,22 +109,26 @@ CLASS = """class Mine(IStrategy):
     ("rule", "entry", "reason"),
     [
         ("(dataframe['adx'] > 25) & (qtpylib.crossed_above(dataframe['short'], dataframe['close']))", "(adx > 25) and (ta.crossover(short, close))", None),
-        ("dataframe['close'] < dataframe['bb_low']", "close < bollinger.lower", None),
+        ("dataframe['close'] < dataframe['bb_low']", "close < bb.lower", None),
         ("dataframe['adx'] > dataframe['adx'].shift(1)", "adx > adx[1]", None),
         ("dataframe['adx'] > self.cci.value", "adx > cci", None),
-        ("reduce(lambda x, y: x & y, c)", None, "unconditional or multi-block"),
+        ("dataframe['adx'] > dataframe['adx'].shift()", "adx > adx[1]", None),
+        ("dataframe['adx'] > dataframe['adx'].shift(self.n.value)", None, "unsupported call adx.shift"),
+        ("dataframe['a'] > 1), 'other'] = 1\n        dataframe.loc[(dataframe['a'] > 1", None, "unconditional or multi-block"),
+        ("reduce(lambda x, y: x & y, c)", None, "unsupported call reduce"),
         ("np.where(adx) > 1", None, "unsupported call np.where"),
         ("dataframe['a-b'] > 1", None, "untranslated dataframe expression"),
     ],
 )
 def test_frame_strategy(rule, entry, reason):
-    out = parse_frame_strategy(CLASS % rule)
+    out = frame_strategy(CLASS % rule)
     assert out["skip_reason"] == reason
     if not reason:
-        assert (out["entry"], out["timeframe"], out["stop_loss"], out["parameters"]) == (entry, "5m", "-0.05", {"cci": "-48"})
+        assert (out["entry"], out["timeframe"], out["stop_loss"], out["parameters"]) == (entry, "5m", "-0.05", {"cci": "-48", "n": "7", "mode": "2"})
+        assert {b["name"]: (b["type"], b["params"]) for b in out["bindings"]} == {"adx": ("ADX", {}), "short": ("SMA", {"period": "3"}), "bb": ("BB", {"period": "33", "stdDev": "3"})}
 
 
 def test_frame_strategy_skips():
-    assert parse_frame_strategy("x = 1")["skip_reason"] == "no strategy class"
-    assert parse_frame_strategy("class A(IStrategy):\n  pass")["skip_reason"] == "missing populate methods"
-    assert parse_frame_strategy(None)["skip_reason"] == "no strategy class"
+    assert frame_strategy("x = 1")["skip_reason"] == "no strategy class"
+    assert frame_strategy("class A(IStrategy):\n  pass")["skip_reason"] == "missing populate methods"
+    assert frame_strategy("")["skip_reason"] == "no strategy class"

@@ -236,11 +236,13 @@ def unknown_calls(rule: str) -> list[str]:
     return list(dict.fromkeys(r.calls))
 
 
-def rule_column(rule: str, columns: Sequence[str], keys: Sequence[str] = KEYS) -> Column:
-    """The rule as a truth value of each bar; a dotted name `a.b` is the column `a__b`, or field b of the struct a."""
+def rule_column(rule: str, columns: Sequence[str], keys: Sequence[str] = KEYS, names: dict[str, Column] | None = None) -> Column:
+    """The rule as a truth value of each bar; a dotted name `a.b` is the column `a__b`, or field b of the struct a. `names` come before columns."""
 
     def resolve(name: str) -> Column | None:
         flat = name.replace(".", "__")
+        if names and flat in names:
+            return names[flat]
         if flat in columns:
             return F.col(flat)
         base = name.split(".")[0]

@@ -85,10 +85,11 @@ def param_range(name: Column, value: Column) -> Column:
 
 
 def sample_param(rng: Column, seed: int, *ids: Column) -> Column:
-    """A draw from a `param_range`, the same for the same seed and ids: whole numbers, or four decimals."""
-    unit = F.pmod(F.xxhash64(F.lit(seed), *ids), F.lit(1 << 52)) / float(1 << 52)
+    """A draw from a `param_range`, the same for the same seed and ids: whole numbers, or four decimals. The first 52 bits of an MD5 digest are the random number."""
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), *[i.cast("string") for i in ids]))
+    unit = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
     x = rng["lo"] + unit * (rng["hi"] - rng["lo"])
-    return F.when(rng["int"], js_round(x).cast("double")).otherwise(F.round(x, 4))
+    return F.when(rng["int"], js_round(x).cast("double")).otherwise(js_round(x * 10_000) / 10_000)
 
 
 def verdict(best: Column, min_trades: int = 5) -> Column:
@@ -117,19 +118,3 @@ def confidence(strategy_type: Column, n_indicators: Column, direction: Column, e
 def typical_prices(o: str = "open", h: str = "high", l: str = "low", c: str = "close") -> dict[str, Column]:  # noqa: E741
     """hl2, hlc3 and ohlc4."""
     return {"hl2": (F.col(h) + F.col(l)) / 2, "hlc3": (F.col(h) + F.col(l) + F.col(c)) / 3, "ohlc4": (F.col(o) + F.col(h) + F.col(l) + F.col(c)) / 4}
-
-
-def caps(conditions: Column, k: int = 3) -> Column:
-    """The first k."""
-    return F.slice(conditions, 1, k)
-
-
-def alert_caps(bull: Column, bear: Column, neutral: Column) -> Column:
-    """First two of either side where both have any, else the first three of what there is."""
-    both = (F.size(bull) > 0) & (F.size(bear) > 0)
-    one = F.when(F.size(bull) > 0, bull).when(F.size(bear) > 0, bear).otherwise(neutral)
-    return F.when(both, F.concat(F.slice(bull, 1, 2), F.slice(bear, 1, 2))).otherwise(F.slice(one, 1, 3))
-
-
-def missing_ids(required: Column, provided: Column) -> Column:
-    return F.sort_array(F.array_except(required, provided))

@@ -7,6 +7,7 @@ Doubles are rounded to six decimals, as sums differ in their order.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from tidemark.operators import corpus, indicators, positions, recursive, series,
 from tidemark.operators.strategies import Binding, Strategy
 from tidemark.schemas import KEYS
 from tidemark.sources import candles as source
+from tidemark.sources import specs as spec_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,8 +433,8 @@ FROM (SELECT {_K}, avg(ret) AS mean, stddev_pop(ret) AS dev, (last(equity ORDER
 LEFT JOIN (SELECT {_K}, count(*) AS total_trades, avg(CASE WHEN pnl_percent > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(pnl_percent) AS avg_pnl FROM trades GROUP BY ALL) t USING ({_K})"""
 
 
-def _backtest_sql(flags: str, spec_id: str) -> str:
-    return f"(WITH RECURSIVE {_walk(flags)}, {_TRADES}, {_CURVE}, {_PER_YEAR.format(t='bars', k=_K)} {_metrics_sql(spec_id)})"
+def _backtest_sql(flags: str, spec_id: str, table: str = "bars") -> str:
+    return f"(WITH RECURSIVE {_walk(flags)}, {_TRADES}, {_CURVE}, {_PER_YEAR.format(t=table, k=_K)} {_metrics_sql(spec_id)})"
 
 
 _METRICS = ("win_rate", "avg_pnl", "total_return", "max_drawdown", "sharpe", "buy_hold")
@@ -473,15 +475,66 @@ def window_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("bars")).join(series.buy_hold(cut, keys), keys).withColumn("buy_hold", F.round("buy_hold", 6))
 
 
-@query()
+#: Records as they are read from files: three that can run and two that cannot. The third has its indicator under `indicators`, not as a binding.
+_RECORDS = [
+    {"id": "sma-cross", "strategyType": "condition", "entry": {"direction": "BOTH", "conditions": list(CROSS.conditions)}, "bindings": {"fast": {"type": "SMA", "params": {"period": "fastLength"}}, "slow": {"type": "SMA", "params": {"period": "20"}}}, "parameters": {"fastLength": "5"}},
+    {"id": "band-reversal", "strategyType": "condition", "entry": {"direction": "BUY", "conditions": ["close < bb.lower"]}, "exit": {"conditions": ["close > bb.middle"]}, "bindings": {"bb": {"type": "BB", "params": {"period": "20", "stdDev": "2"}}}},
+    {"id": "a-strategy-with-a-long-name", "strategyType": "condition", "entry": {"direction": "SELL", "conditions": ["close < sma10"]}, "exit": {"conditions": ["close > sma10"]}, "indicators": [{"type": "SMA", "params": {"period": "10"}, "outputKey": "sma10"}]},
+    {"id": "unknown-type", "strategyType": "condition", "entry": {"direction": "BUY", "conditions": ["tsi > 1"]}, "indicators": [{"type": "TSI", "outputKey": "tsi"}]},
+    {"id": "quoted", "strategyType": "condition", "entry": {"direction": "BUY", "conditions": ['state == "long"']}},
+]
+
+
+def _records(spark: SparkSession) -> DataFrame:
+    """The records read with their defaults."""
+    rows = spark.createDataFrame([(json.dumps(r),) for r in _RECORDS], "text string")
+    return spec_source.with_defaults(rows.select(F.inline(F.array(spec_source.parse_spec(F.col("text"))))))
+
+
+_ALL_BARS = f"""{_EVENT_BARS}, {_ORDER_BARS}, span AS (SELECT {_K}, (max(timestamp) - min(timestamp)) / 31557600000.0 AS f, max(timestamp) AS m FROM days GROUP BY ALL),
+yrs AS (SELECT DISTINCT {_K}, f, m, unnest([3, 5, floor(f + 0.5)::INT]) AS years FROM span),
+allbars AS (SELECT source, symbol || '/0' AS symbol, timeframe, timestamp, close FROM bars UNION ALL
+ SELECT source, symbol || '/' || years, timeframe, timestamp, close FROM days JOIN yrs USING ({_K}) WHERE years > 0 AND years <= f + 0.1 AND timestamp >= m - years * 31557600000.0)"""
+
+
+def _rank_flags(columns: str, up: str, down: str, leave: str) -> str:
+    return f"{_ALL_BARS}, ind AS (SELECT *, {columns} FROM allbars), cr AS (SELECT *, row_number() OVER {_W} AS i, coalesce({up}, false) AS l, coalesce({down}, false) AS s, coalesce({leave}, false) AS x FROM ind)"
+
+
+def _mean(n: int) -> str:
+    return _full("close", f"avg(close) OVER {_roll(n)}", n)
+
+
+_RANK_FLAGS = {
+    "sma-cross": _rank_flags(f"{_mean(5)} AS fast, {_mean(20)} AS slow", f"fast > slow AND lag(fast) OVER {_W} <= lag(slow) OVER {_W}", f"fast < slow AND lag(fast) OVER {_W} >= lag(slow) OVER {_W}", "false"),
+    "band-reversal": _rank_flags(f"{_mean(20)} AS mid, {_full('close', f'stddev_pop(close) OVER {_roll(20)}', 20)} AS dev", "close < mid - 2 * dev", "false", "close > mid"),
+    "a-strategy-with-a-long-name": _rank_flags(f"{_mean(10)} AS m", "false", "close < m", "close > m"),
+}
+_RANK_ROWS = " UNION ALL ".join(f"SELECT * FROM {_backtest_sql(flags, k, 'allbars')}" for k, flags in _RANK_FLAGS.items())
+_SIGNED = "CASE WHEN {0} >= 0 THEN '+' ELSE '−' END || printf('%.0f', abs({0})) || '%'"
+
+
+@query(f"""WITH r AS (SELECT *, split_part(symbol, '/', 2)::INT AS years, total_return - buy_hold AS vs FROM ({_RANK_ROWS})),
+k AS (SELECT *, row_number() OVER (PARTITION BY source, symbol, timeframe ORDER BY total_return DESC, spec_id) AS rank FROM r WHERE NOT (spec_id = 'band-reversal' AND years = 3 AND symbol LIKE '1-%'))
+SELECT source, split_part(symbol, '/', 1) AS symbol, timeframe, years, rank, CASE WHEN len(spec_id) > 26 THEN spec_id[1:25] || '…' ELSE spec_id END AS name, CASE WHEN total_trades > 0 THEN {_SIGNED.format('total_return')} ELSE '—' END AS ret,
+ CASE WHEN total_trades > 0 THEN {_SIGNED.format('vs')} ELSE '—' END AS vs_hold, CASE WHEN total_trades > 0 THEN replace(printf('%.2f', sharpe), '-', '−') ELSE '—' END AS sharpe, CASE WHEN total_trades > 0 THEN floor(max_drawdown + 0.5)::BIGINT || '%' ELSE '—' END AS max_dd,
+ CASE WHEN total_trades > 0 THEN floor(win_rate * 100 + 0.5)::BIGINT || '%' ELSE '—' END AS win_rate, total_trades AS trades FROM k""")
 def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four strategies over the hourly market and the windows of the daily one, in one table of cells."""
-    days, hours = _daily(spark, sf_dir), _hourly(spark, sf_dir)
-    whole = strategies.ranking(hours, STRATEGIES).withColumn("years", F.lit(0))
-    cut = strategies.ranking(days, STRATEGIES, series.window_list(days))
+    """The records that can run, over the hourly market and those windows of the daily one that a grid has, in one table of cells."""
+    days, hours, records = _daily(spark, sf_dir), _hourly(spark, sf_dir), _records(spark)
+    windows = series.window_list(days)
+    grid = strategies.job_grid(records, days.select(*KEYS).distinct(), windows).filter("NOT (spec_id = 'band-reversal' AND years = 3 AND symbol LIKE '1-%')")
+    whole = strategies.ranking(hours, records).withColumn("years", F.lit(0))
+    cut = strategies.ranking(days, records, windows, grid=grid)
     return strategies.trade_rows(strategies.union_markets(whole, cut))
 
 
+@query()
+def ranking_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with recursive indicators and with both sides and exits, as a report."""
+    return strategies.report_rows(strategies.ranking(_daily(spark, sf_dir), STRATEGIES, series.window_list(_daily(spark, sf_dir))))
+
+
 @query(f"""WITH g AS (SELECT o_orderpriority AS symbol, p_partkey % 3 AS years FROM (SELECT DISTINCT o_orderpriority FROM orders) CROSS JOIN (SELECT DISTINCT p_partkey % 3 AS p_partkey FROM part)),
 m AS (SELECT DISTINCT o_orderpriority AS symbol FROM orders) SELECT 'orders' AS source, m.symbol, '1d' AS timeframe, g.years + 1 AS years, s.spec_id FROM m JOIN g USING (symbol) CROSS JOIN (SELECT unnest(['sma-cross', 'band-reversal']) AS spec_id) s""")
 def job_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -511,50 +564,77 @@ def param_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("spec_id", "name", _r("r.lo", "lo"), _r("r.hi", "hi"), F.col("r.int").alias("whole"))
 
 
-def _swept(spark: SparkSession, sf_dir: str, trials: int = 40) -> tuple[DataFrame, DataFrame]:
+SWEPT = (
+    Strategy("sma-cross", "BOTH", CROSS.conditions, (), {"fast": Binding("SMA", {"period": "fastLength"}), "slow": Binding("SMA", {"period": "slowLength"})}, {"fastLength": 5.0, "slowLength": 20.0}),
+    Strategy("band-reversal", "BUY", BAND.conditions, BAND.exits, {"bb": Binding("BB", {"period": "bandPeriod", "stdDev": "devMult"})}, {"bandPeriod": 20.0, "devMult": 2.0}),
+)
+TRIALS = 12
+
+
+def _swept(spark: SparkSession, sf_dir: str, trials: int = TRIALS) -> DataFrame:
+    """Every trial of two strategies on both slices of every hourly series."""
     split = series.train_test_split(_hourly(spark, sf_dir))
-    rows = [(k, d) for k, (_, d) in sweep.ENGINES.items()]
-    specs = spark.createDataFrame(rows, "spec_id string, parameters map<string,double>")
-    grid = sweep.trial_grid(spark, specs, trials, seed=7)
-    return sweep.score_trials(grid, sweep.series_arrays(split)), grid
+    specs = spark.createDataFrame([(s.id, s.parameters) for s in SWEPT], "spec_id string, parameters map<string,double>")
+    return sweep.train_and_test(sweep.score_trials(split, SWEPT, sweep.trial_grid(spark, specs, trials, seed=7)))
 
 
-@query()
+def _draw(spec_id: str, name: str, lo: float, hi: float, whole: bool, default: float) -> str:
+    x = f"{lo}e0 + (('0x' || substr(md5('7/{spec_id}/' || trial || '/{name}'), 1, 13))::BIGINT / 4503599627370496e0) * ({hi}e0 - {lo}e0)"
+    return f"CASE WHEN trial < 0 THEN {default}e0 ELSE " + (f"floor({x} + 0.5e0)" if whole else f"floor(({x}) * 10000e0 + 0.5e0) / 10000e0") + " END"
+
+
+def _trials_sql(spec_id: str, draws: tuple[str, str], columns: str, up: str, down: str, leave: str) -> str:
+    """Metrics of all trials; the symbol carries slice and trial."""
+    return f"""(WITH RECURSIVE {_EVENT_BARS}, tr AS (SELECT trial, ({draws[0]}) AS a, ({draws[1]}) AS b FROM (SELECT unnest(range(-1, {TRIALS})) AS trial)),
+t AS (SELECT {_K}, timestamp, close, row_number() OVER {_W} AS j, count(*) OVER (PARTITION BY {_K}) AS n FROM bars),
+sp AS (SELECT source, symbol || '/' || CASE WHEN j <= n * 2 // 3 THEN 'train' ELSE 'test' END || '/' || trial AS symbol, timeframe, timestamp, close, a, b FROM t CROSS JOIN tr WHERE n * 2 // 3 > 0 AND n * 2 // 3 < n),
+ind AS (SELECT *, {columns} FROM sp), cr AS (SELECT *, row_number() OVER {_W} AS i, coalesce({up}, false) AS l, coalesce({down}, false) AS s, coalesce({leave}, false) AS x FROM ind),
+{_walk('', '').lstrip(', ')}, {_TRADES}, {_CURVE}, {_PER_YEAR.format(t='cr', k=_K)} {_metrics_sql(spec_id)})"""
+
+
+def _rolled(f: str, n: str) -> str:
+    frame = f"(PARTITION BY {_K} ORDER BY timestamp ROWS BETWEEN ({n}::BIGINT - 1) PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count(close) OVER {frame} = {n} THEN {f}(close) OVER {frame} END"
+
+
+_TRIAL_ROWS = " UNION ALL ".join(
+    f"SELECT * FROM {x}"
+    for x in (
+        _trials_sql("sma-cross", (_draw("sma-cross", "fastLength", 2, 13, True, 5), _draw("sma-cross", "slowLength", 8, 50, True, 20)), f"{_rolled('avg', 'a')} AS fast, {_rolled('avg', 'b')} AS slow",
+                    f"fast > slow AND lag(fast) OVER {_W} <= lag(slow) OVER {_W}", f"fast < slow AND lag(fast) OVER {_W} >= lag(slow) OVER {_W}", "false"),
+        _trials_sql("band-reversal", (_draw("band-reversal", "bandPeriod", 8, 50, True, 20), _draw("band-reversal", "devMult", 0.6, 6, False, 2)), f"{_rolled('avg', 'a')} AS mid, {_rolled('stddev_pop', 'a')} AS dev", "close < mid - b * dev", "false", "close > mid"),
+    )
+)
+_WIDE = ", ".join(f"max({c}) FILTER (split_part(symbol, '/', 2) = '{s}') AS {s}_{n}" for s in ("train", "test") for c, n in (("total_trades", "trades"), ("total_return", "total_return"), ("max_drawdown", "max_drawdown"), ("sharpe", "sharpe")))
+_TRIALS = f"tw AS (SELECT source, split_part(symbol, '/', 1) AS symbol, timeframe, spec_id, split_part(symbol, '/', 3)::INT AS trial, {_WIDE} FROM ({_TRIAL_ROWS}) GROUP BY ALL)"
+
+
+@query(f"WITH {_TRIALS} SELECT * FROM tw WHERE train_trades >= 5")
 def sweep_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trials of two strategies on both slices of every hourly series; trials with enough trades."""
-    scores, _ = _swept(spark, sf_dir)
-    trials = strategies.valid_trials(sweep.train_and_test(scores), 5)
+    trials = strategies.valid_trials(_swept(spark, sf_dir), 5)
     return trials.select(*KEYS, "spec_id", "trial", "train_trades", "test_trades", *[_r(f"{s}_{m}") for s in ("train", "test") for m in ("total_return", "max_drawdown", "sharpe")])
 
 
-@query()
+@query(f"""WITH {_TRIALS}, v AS (SELECT *, trial >= 0 AND train_trades >= 5 AS valid FROM tw), o AS (SELECT *, row_number() OVER (PARTITION BY source, symbol, timeframe, spec_id, valid ORDER BY train_sharpe DESC, trial) AS k FROM v),
+g AS (SELECT source, symbol, timeframe, spec_id, count(*) FILTER (trial >= 0) AS trials, count(*) FILTER (valid) AS valid_n, count(*) FILTER (valid AND train_sharpe > 1) AS train_good_n, count(*) FILTER (valid AND train_sharpe > 1 AND test_sharpe > 1) AS held_up_n,
+ max(test_sharpe) FILTER (valid) AS oracle_test_sharpe, max(train_sharpe) FILTER (trial < 0) AS default_train_sharpe, max(test_sharpe) FILTER (trial < 0) AS default_test_sharpe,
+ max(trial) FILTER (valid AND k = 1) AS best_trial, max(train_sharpe) FILTER (valid AND k = 1) AS best_train_sharpe, max(test_sharpe) FILTER (valid AND k = 1) AS best_test_sharpe, max(test_total_return) FILTER (valid AND k = 1) AS best_test_return,
+ max(test_trades) FILTER (valid AND k = 1) AS best_test_trades FROM o GROUP BY ALL)
+SELECT *, CASE WHEN best_trial IS NULL THEN 'no-signal' WHEN best_train_sharpe < 1 THEN 'weak' WHEN best_test_sharpe >= 1 AND best_test_return > 0 THEN CASE WHEN best_test_trades >= 3 THEN 'holds' ELSE 'thin' END WHEN best_test_sharpe >= 0.5 THEN 'marginal' ELSE 'overfit' END AS verdict FROM g""")
 def sweep_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4, F8, T2."""
-    scores, _ = _swept(spark, sf_dir)
-    return sweep.sweep_board(sweep.sweep_summary(sweep.train_and_test(scores)))
-
-
-@query(f"""WITH RECURSIVE {_SMA_BARS.replace('ROWS BETWEEN 4 PRECEDING', 'ROWS BETWEEN 4 PRECEDING')}, t AS (SELECT {_K}, timestamp, close, row_number() OVER {_W} AS i, count(*) OVER (PARTITION BY {_K}) AS n FROM bars),
-sp AS (SELECT source, symbol || '/' || CASE WHEN i <= n * 2 // 3 THEN 'train' ELSE 'test' END AS symbol, timeframe, timestamp, close FROM t WHERE n * 2 // 3 > 0 AND n * 2 // 3 < n),
-b2 AS (SELECT *, {_full('close', f'avg(close) OVER {_roll(20)}', 20)} AS mid, {_full('close', f'stddev_pop(close) OVER {_roll(20)}', 20)} AS dev FROM sp),
-cr AS (SELECT *, row_number() OVER {_W} AS i, coalesce(close < mid - 2 * dev, false) AS l, false AS s, coalesce(close > mid, false) AS x FROM b2),
-{_walk('', '').lstrip(', ')}, {_TRADES}, {_CURVE}, {_PER_YEAR.format(t='cr', k=_K)}, out AS ({_metrics_sql('band-reversal')})
-SELECT source, split_part(symbol, '/', 1) AS symbol, timeframe, split_part(symbol, '/', 2) AS slice, spec_id, total_trades AS trades, win_rate, total_return, max_drawdown, sharpe FROM out""")
-def sweep_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E3 held against the bar-by-bar backtest: the authors' defaults of one strategy, on both slices."""
-    split = series.train_test_split(_hourly(spark, sf_dir))
-    trials = spark.createDataFrame([("band-reversal", -1, sweep.ENGINES["band-reversal"][1])], "spec_id string, trial int, params map<string,double>")
-    out = sweep.score_trials(trials, sweep.series_arrays(split))
-    return out.select(*KEYS, "slice", "spec_id", F.col("trades").cast("long").alias("trades"), *[_r(c) for c in ("win_rate", "total_return", "max_drawdown", "sharpe")])
+    board = sweep.sweep_board(sweep.sweep_summary(_swept(spark, sf_dir)))
+    return board.withColumns({c: F.round(c, 6) for c in board.columns if c.endswith(("sharpe", "return"))})
 
 
-@query("""WITH t AS (SELECT l_orderkey, count(*) AS n, avg(l_discount) * 40 AS sharpe, max(l_tax) * 300 AS dd, sum(l_quantity) AS trades FROM lineitem GROUP BY ALL)
-SELECT l_orderkey AS spec_id FROM t WHERE sharpe > 1 AND dd < 20 AND trades >= 50""")
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber % 2 AS slice, avg(l_discount) * 40 AS sharpe, max(l_tax) * 300 AS dd, sum(l_quantity) AS trades FROM lineitem GROUP BY ALL)
+SELECT l_orderkey AS spec_id FROM t WHERE sharpe > 1 AND dd < 20 AND trades >= 50 GROUP BY ALL HAVING count(*) = 2""")
 def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P10, on metrics made of order lines; both slices are the same table here."""
-    m = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("spec_id"))
+    """P10, on metrics made of order lines, odd ones as the train slice and even ones as the test slice."""
+    m = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("spec_id"), (F.col("l_linenumber") % 2).alias("slice"))
     m = m.agg((F.avg("l_discount") * 40).alias("sharpe"), (F.max("l_tax") * 300).alias("max_drawdown"), F.sum("l_quantity").alias("total_trades"))
-    return strategies.promotion_gate(m, m, ["spec_id"])
+    return strategies.promotion_gate(m.filter("slice = 1"), m.filter("slice = 0"), ["spec_id"])
 
 
 @query("""WITH m AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size / 20.0 END AS tr, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size / 25.0 - 0.3 END AS te, p_size - 10 AS ret, p_size % 9 AS n FROM part)
@@ -615,33 +695,63 @@ def store_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.store_raw(d).select("raw_hash", F.col("seq").alias("doc_id"))
 
 
+def _cases(of: str, values: dict[int, str], other: str) -> str:
+    return f"CASE {of} " + " ".join(f"WHEN {k} THEN {v}" for k, v in values.items()) + f" ELSE {other} END"
+
+
+_NL = "chr(10)"
+_TAGS = _cases("k % 6", {0: "' [4h]'", 1: "' (15m)'", 2: "' daily'"}, "''")
+_ARGS = _cases("k % 6", {4: "', timeframe=\"60\"'", 5: "', timeframe=\"D\"'"}, "''")
+_HEADS = f"""CASE WHEN k % 10 = 9 THEN '// no title' ELSE 'indicator("' || p_name || {_TAGS} || '"' || {_ARGS} || ')' END"""
+_ODD = _cases("k % 4", {0: "'q = ta.kama(close, 10)'", 1: "'q = ta.Vidya(close)'"}, "'q = ta.change(close)'")
+_ALERT = "'alertcondition({0}, \"x\")'"
+#: Ways to say an entry: two sides, an entry call, a marker, an assignment over lines, nothing, more conditions than are kept (two sides, one side, entry calls), a bare name, a constant.
+_ENTRIES = {
+    0: f"""'alertcondition(ta.crossover(fast, slow), "Long, now", "x")' || {_NL} || 'alertcondition(ta.crossunder(fast, slow), "Short")'""",
+    1: "'strategy.entry(\"L\", strategy.long, when = r > 50)'",
+    2: f"""'sig = fast > slow' || {_NL} || 'plotshape(showTable and sig, "Buy", style=shape.triangleup, location=location.belowbar)'""",
+    3: f"""'bullSignal = r < 30 and' || {_NL} || '  close > slow' || {_NL} || 'alertcondition(bullSignal, "up")'""",
+    4: "'plot(fast)'",
+    5: f" || {_NL} || ".join(_ALERT.format(x) for x in ("longA > 1", "longB > 1", "longC > 1", "shortA > 1", "shortB > 1", "shortC > 1")),
+    6: f" || {_NL} || ".join(_ALERT.format(x) for x in ("buyA > 1", "buyB > 1", "buyC > 1", "buyD > 1")),
+    7: f" || {_NL} || ".join(f"'strategy.entry(\"E{i}\", strategy.short, when = ta.cross(r, {i}))'" for i in range(4)),
+    8: f"'goLong = buffer' || {_NL} || 'alertcondition(goLong, \"x\")'",
+    9: "'alertcondition(true, \"x\")'",
+}
+_KINDS = {0: f"'a = request.security(x, \"D\", close)' || {_NL} || 'b = request.security(x, \"W\", close)'", 1: "'in_asia = hour > 1'", 2: "'score += 1'", 3: "'p = ta.pivothigh(high, 5)'"}
+_MANY = ["ta.ema(close, 9)", "ta.wma(close, 8)", "ta.hma(close, 7)", "ta.rma(close, 6)", "ta.roc(close, 5)", "ta.mom(close, 4)", "ta.cci(close, 3)", "ta.mfi(hlc3, 12)", "ta.stdev(close, 11)", "ta.highest(high, 13)", "ta.lowest(low, 15)", "ta.pivotlow(low, 2)",
+         "ta.atr(16)", "ta.adx(17)", "ta.macd(close, 1, 2, 3)", "ta.bb(close, 20, 2)", "ta.stoch(close, high, low, 14)", "ta.vwap(close)", "ta.tsi(close, 25, 13)", "ta.linreg(close, 10, 1)", "ta.dmi(18, 19)"]
+#: The text of the script of each part, an expression for both Spark and SQL, so that both hash the same text.
+_SCRIPT = f"""'//@version=5' || {_NL} || {_HEADS} || {_NL} || 'len = input.int(' || CAST(p_size AS STRING) || ', "Length")' || {_NL} || CASE WHEN k % 17 = 3 THEN '' ELSE 'factorMult = input.float(1.5)' || {_NL} END || 'showTable = input.bool(true)' || {_NL}
+ || 'fast = ta.ema(close, len)' || {_NL} || 'slow = ta.sma(close, 50)' || {_NL} || 'r = ta.rsi(close, ' || CAST(p_size AS STRING) || ')' || {_NL} || {_ODD} || {_NL} || {_cases("k % 7", _KINDS, "''")} || {_NL}
+ || CASE WHEN k % 13 = 5 THEN '{" ".join(_MANY)}' || {_NL} ELSE '' END || {_cases("k % 11", {0: f"repeat('x = 1' || {_NL}, 101)", 1: f"repeat('x = 1' || {_NL}, 201)"}, "''")} || {_cases("k % 10", _ENTRIES, "''")}"""
+_TEXT = f"CASE WHEN k % 2 = 0 THEN replace({_SCRIPT}, chr(10), chr(13) || chr(10)) ELSE {_SCRIPT} END"
+
+
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, source_text, seq: a script for each part."""
-    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
-    tag = F.when(k % 6 == 0, " [4h]").when(k % 6 == 1, " (15m)").when(k % 6 == 2, " daily").otherwise("")
-    arg = F.when(k % 6 == 4, ', timeframe="60"').when(k % 6 == 5, ', timeframe="D"').otherwise("")
-    head = F.when(k % 10 == 9, F.lit("// no title")).otherwise(F.concat(F.lit('indicator("'), "p_name", tag, F.lit('"'), arg, F.lit(")")))
-    odd = F.when(k % 4 == 0, "q = ta.kama(close, 10)").when(k % 4 == 1, "q = ta.Vidya(close)").otherwise("q = ta.change(close)")
-    entry = (
-        F.when(k % 5 == 0, 'alertcondition(ta.crossover(fast, slow), "Long, now", "x")\nalertcondition(ta.crossunder(fast, slow), "Short")')
-        .when(k % 5 == 1, 'strategy.entry("L", strategy.long, when = r > 50)')
-        .when(k % 5 == 2, 'sig = fast > slow\nplotshape(showTable and sig, "Buy", style=shape.triangleup, location=location.belowbar)')
-        .when(k % 5 == 3, 'bullSignal = r < 30 and\n  close > slow\nalertcondition(bullSignal, "up")')
-        .otherwise("plot(fast)")
-    )
-    lines = [F.lit("//@version=5"), head, F.concat(F.lit("len = input.int("), size, F.lit(', "Length")')), F.lit("factorMult = input.float(1.5)\nshowTable = input.bool(true)"), F.lit("fast = ta.ema(close, len)\nslow = ta.sma(close, 50)")]
-    text = F.concat_ws("\n", *lines, F.concat(F.lit("r = ta.rsi(close, "), size, F.lit(")")), odd, entry)
-    text = F.when(k % 2 == 0, F.regexp_replace(text, "\n", "\r\n")).otherwise(text)
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("part/"), k.cast("string")).alias("url"), text.alias("source_text"), k.alias("seq"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("k", F.col("p_partkey"))
+    return part.select(F.concat(F.lit("part/"), F.col("k").cast("string")).alias("url"), F.expr(_TEXT).alias("source_text"), F.col("k").alias("seq"))
 
 
 _NAME = "CASE WHEN k % 10 = 9 THEN 'Unknown Strategy' ELSE trim(p_name || CASE k % 6 WHEN 0 THEN ' [4h]' WHEN 1 THEN ' (15m)' WHEN 2 THEN ' daily' ELSE '' END) END"
 _PART = "q AS (SELECT *, p_partkey AS k, 'part/' || p_partkey AS url FROM part)"
-
-
-@query(f"""WITH {_PART} SELECT url, {_NAME} AS name, k % 5 <> 4 AS is_tradeable, CASE WHEN k % 5 = 4 THEN 'no_signals: pure indicator/visualization' END AS skip_reason, 'condition' AS strategy_type, 'simple' AS complexity,
+_TRADED = "k % 10 <> 4"
+_TYPE = "CASE k % 7 WHEN 0 THEN 'mtf_scored' WHEN 1 THEN 'session' WHEN 2 THEN 'scored' ELSE CASE WHEN k % 7 = 3 OR k % 13 = 5 THEN 'pattern' ELSE 'condition' END END"
+_GRADE = "CASE WHEN k % 7 = 0 OR k % 11 = 1 THEN 'complex' WHEN k % 13 = 5 OR k % 11 = 0 THEN 'medium' ELSE 'simple' END"
+_MANY_KEYS = "adx17,atr16,bb,cci3,dmi,ema9,highest_high13,hma7,linreg10,lowest_low15,macd,mfi12,mom4,pivot_low2,rma6,roc5,stddev11,stoch,tsi,vwap,wma8"
+_SAID = ["ta.crossover(fast, slow);ta.crossunder(fast, slow)", "r > 50", "fast > slow", "r < 30 and close > slow", "", "longA > 1;longB > 1;shortA > 1;shortB > 1", "buyA > 1;buyB > 1;buyC > 1", "ta.cross(r, 0);ta.cross(r, 1);ta.cross(r, 2)", "buffer", ""]
+_SAID_SQL = f"list_element({_SAID!r}, (k % 10 + 1)::INT)"
+_SIDE = "CASE WHEN k % 10 IN (0, 4, 5, 7, 9) THEN 'BOTH' ELSE 'BUY' END"
+_CLEAR = "k % 10 NOT IN (4, 8, 9)"
+_SURE = f"floor((0.2e0 + 0.2e0 + 0.2e0 + CASE WHEN {_CLEAR} THEN 0.2e0 ELSE 0e0 END + 0.1e0) * CASE {_GRADE} WHEN 'complex' THEN 0.6e0 WHEN 'medium' THEN 0.85e0 ELSE 1e0 END * 100 + 0.5e0) / 100"
+
+
+@query(f"""WITH {_PART} SELECT url, {_NAME} AS name, {_TRADED} AS is_tradeable, CASE WHEN NOT {_TRADED} THEN 'no_signals: pure indicator/visualization' END AS skip_reason, {_TYPE} AS strategy_type, {_GRADE} AS complexity,
  CASE WHEN k % 10 = 9 THEN NULL ELSE list_element(['4h', '15m', '1d', NULL, '1h', '1d'], (k % 6 + 1)::INT) END AS timeframe,
- CASE k % 4 WHEN 0 THEN 'kama' WHEN 1 THEN 'vidya' ELSE '' END AS unknown, 'rsi' || p_size || ',sma50' AS indicators, 'factorMult=1.5,len=' || p_size || '.0' AS parameters FROM q""")
+ CASE k % 4 WHEN 0 THEN 'kama' WHEN 1 THEN 'vidya' ELSE '' END AS unknown,
+ array_to_string(list_sort(string_split('rsi' || p_size || ',sma50' || CASE WHEN k % 7 = 3 THEN ',pivot_high5' ELSE '' END || CASE WHEN k % 13 = 5 THEN ',{_MANY_KEYS}' ELSE '' END, ',')), ',') AS indicators,
+ CASE WHEN k % 17 = 3 THEN '' ELSE 'factorMult=1.5,' END || 'len=' || p_size || '.0' AS parameters FROM q""")
 def script_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1-X7."""
     f = corpus.script_features(scripts(spark, sf_dir))
@@ -650,22 +760,24 @@ def script_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("url", "name", "is_tradeable", "skip_reason", "strategy_type", "complexity", "timeframe", F.array_join("unknown", ",").alias("unknown"), indicator_keys.alias("indicators"), flat.alias("parameters"))
 
 
-@query(f"""WITH {_PART} SELECT url, CASE WHEN k % 5 = 0 THEN 'BOTH' ELSE 'BUY' END AS direction,
- list_element(['ta.crossover(fast, slow);ta.crossunder(fast, slow)', 'r > 50', 'fast > slow', 'r < 30 and close > slow'], (k % 5 + 1)::INT) AS conditions, 0.9::DOUBLE AS confidence, true AS evaluable FROM q WHERE k % 5 <> 4""")
+@query(f"WITH {_PART} SELECT url, {_SIDE} AS direction, {_SAID_SQL} AS conditions, ({_SURE})::DOUBLE AS confidence, {_CLEAR} AS evaluable FROM q WHERE {_TRADED}")
 def entry_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X8, X10, F11, T4."""
     s = corpus.script_specs(scripts(spark, sf_dir))
     return s.select("url", "entry.direction", F.array_join("entry.conditions", ";").alias("conditions"), "confidence", "evaluable")
 
 
-@query(f"""WITH {_PART}, b AS (SELECT url, p_size, unnest(list_element([['fast', 'slow'], ['r'], ['fast', 'slow'], ['r', 'slow']], (k % 5 + 1)::INT)) AS name FROM q WHERE k % 5 <> 4)
+_BOUND = "list_element([['fast', 'slow'], ['r'], ['fast', 'slow'], ['r', 'slow'], [], [], [], ['r'], [], []], (k % 10 + 1)::INT)"
+
+
+@query(f"""WITH {_PART}, b AS (SELECT url, p_size, unnest({_BOUND}) AS name FROM q WHERE {_TRADED})
 SELECT url, name, CASE name WHEN 'fast' THEN 'EMA' WHEN 'slow' THEN 'SMA' ELSE 'RSI' END AS type, CASE name WHEN 'fast' THEN 'len' WHEN 'slow' THEN '50' ELSE p_size::VARCHAR END AS period FROM b""")
 def auto_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X9."""
     return corpus.auto_bind(corpus.script_features(scripts(spark, sf_dir)).filter("is_tradeable"))
 
 
-@query(f"""WITH {_PART}, n AS (SELECT *, {_NAME} AS name FROM q WHERE k % 5 <> 4) SELECT url, CASE WHEN name = 'Unknown Strategy' THEN 'UnknownST' || row_number() OVER (PARTITION BY name = 'Unknown Strategy' ORDER BY url) ELSE name END AS name FROM n""")
+@query(f"""WITH {_PART}, n AS (SELECT *, {_NAME} AS name FROM q WHERE {_TRADED}) SELECT url, CASE WHEN name = 'Unknown Strategy' THEN 'UnknownST' || row_number() OVER (PARTITION BY name = 'Unknown Strategy' ORDER BY url) ELSE name END AS name FROM n""")
 def name_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X13."""
     return corpus.name_unknown(corpus.script_features(scripts(spark, sf_dir)).filter("is_tradeable").select("url", "name"))
@@ -678,7 +790,7 @@ def unknown_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strategies.top_tally(corpus.unknown_tally(f, corpus.unknown_tally(f)), 10, "fn")
 
 
-@query("SELECT 'no_signals: pure indicator/visualization' AS skip_reason, count(*) AS n FROM part WHERE p_partkey % 5 = 4 HAVING count(*) > 0")
+@query("SELECT 'no_signals: pure indicator/visualization' AS skip_reason, count(*) AS n FROM part WHERE p_partkey % 10 = 4 HAVING count(*) > 0")
 def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9."""
     return corpus.skip_reasons(corpus.script_features(scripts(spark, sf_dir)))
@@ -686,39 +798,58 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'part/' || p_partkey AS url, unnest(['RSI', 'SMA']) AS type, unnest([p_size::DOUBLE, 50.0::DOUBLE]) AS period FROM part")
 def distinct_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of scripts, each listed twice before."""
-    f = corpus.script_features(scripts(spark, sf_dir)).select("url", F.inline("indicators")).select("url", "type", F.col("params")["period"].alias("params"))
+    """Two kinds of calls of the scripts, each listed twice before."""
+    f = corpus.script_features(scripts(spark, sf_dir)).select("url", F.inline("indicators")).filter("type IN ('RSI', 'SMA')")
+    f = f.select("url", "type", F.col("params")["period"].alias("params"))
     return corpus.distinct_indicators(f.unionByName(f)).withColumnRenamed("params", "period")
 
 
 def _curation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = scripts(spark, sf_dir).select("seq", scalars.raw_hash(F.col("source_text")).alias("raw_hash"))
-    fixed = F.when(F.col("seq") % 5 == 0, F.struct(F.lit("SELL").alias("direction"), F.lit(None).cast("array<string>").alias("conditions")))
-    binding = F.when(F.col("seq") % 5 == 0, F.create_map(F.lit("fast"), F.lit("WMA")))
-    skip = F.when(F.col("seq") % 7 == 0, "duplicate idea")
-    return h.filter("seq % 5 = 0 OR seq % 7 = 0").select("raw_hash", skip.alias("skip"), F.lit("manual").alias("category"), fixed.alias("entry"), binding.alias("bindings"), F.when(F.col("seq") % 5 == 0, "checked").alias("notes"))
-
-
-@query(f"""WITH {_PART} SELECT url, CASE WHEN k % 5 = 0 THEN 'SELL' ELSE 'BUY' END AS direction, list_element(['ta.crossover(fast, slow);ta.crossunder(fast, slow)', 'r > 50', 'fast > slow', 'r < 30 and close > slow'], (k % 5 + 1)::INT) AS conditions,
- list_element(['fast=WMA,slow=SMA', 'r=RSI', 'fast=EMA,slow=SMA', 'r=RSI,slow=SMA'], (k % 5 + 1)::INT) AS bindings, CASE WHEN k % 5 = 0 THEN 'manual' ELSE 'static' END AS "parsedBy", CASE WHEN k % 5 = 0 THEN 'checked' END AS notes, 0.9::DOUBLE AS confidence
-FROM q WHERE k % 5 <> 4 AND k % 7 <> 0""")
+    """Corrections of some scripts; parts with the same script give several for one hash."""
+    k, none = F.col("seq"), F.lit(None)
+    entry = F.struct(F.lit("SELL").alias("direction"), none.cast("array<string>").alias("conditions"), F.lit("bar close").alias("gate"))
+    leave = F.struct(F.array(F.lit("r > 80")).alias("conditions"), F.lit("2%").alias("stopLoss"))
+    binding = F.create_map(F.lit("fast"), F.struct(F.lit("WMA").alias("type"), none.cast("string").alias("source"), none.cast("map<string,string>").alias("params")))
+    h = scripts(spark, sf_dir).select(k, scalars.raw_hash(F.col("source_text")).alias("raw_hash")).filter("seq % 5 = 0 OR seq % 7 = 0 OR seq % 9 = 1")
+    return h.select(
+        "raw_hash", "seq", F.when(k % 7 == 0, "duplicate idea").alias("skip"), F.when((k % 7 == 0) & (k % 2 == 0), "duplicate").alias("category"), F.when(k % 5 == 0, entry).alias("entry"), F.when(k % 15 == 0, leave).alias("exit"),
+        F.when(k % 5 == 0, binding).alias("bindings"), F.when(k % 5 == 0, "checked").alias("notes"), F.when(k % 9 == 1, "crypto").alias("assetClass"),
+    )
+
+
+_FIXED = f"""{_PART}, h AS (SELECT *, sha256({_TEXT})[1:16] AS hash FROM q), c AS (SELECT hash, max(k) FILTER (k % 7 = 0) AS s, max(k) AS last FROM h WHERE k % 5 = 0 OR k % 7 = 0 OR k % 9 = 1 GROUP BY ALL),
+j AS (SELECT h.*, c.hash IS NOT NULL AS hit, c.s AS skips, c.last AS c FROM h LEFT JOIN c USING (hash))"""
+_BOUND_AS = "CASE n WHEN 'fast' THEN CASE WHEN hit AND c % 5 = 0 THEN 'WMA' ELSE 'EMA' END WHEN 'slow' THEN 'SMA' ELSE 'RSI' END"
+
+
+@query(f"""WITH {_FIXED}, w AS (SELECT *, CASE WHEN k % 10 = 9 THEN row_number() OVER (PARTITION BY k % 10 = 9 ORDER BY url) END AS st FROM j WHERE {_TRADED} AND skips IS NULL),
+b AS (SELECT *, list_sort(list_distinct({_BOUND} || CASE WHEN hit AND c % 5 = 0 THEN ['fast'] ELSE [] END)) AS names FROM w)
+SELECT url, CASE WHEN hit AND c % 5 = 0 THEN 'SELL' ELSE {_SIDE} END AS direction, {_SAID_SQL} AS conditions, CASE WHEN hit AND c % 5 = 0 THEN 'bar close' END AS gate, CASE WHEN hit AND c % 15 = 0 THEN 'r > 80/2%' END AS leave,
+ array_to_string(list_transform(names, lambda n: n || '=' || {_BOUND_AS}), ',') AS bindings, CASE WHEN hit THEN 'manual' ELSE 'static' END AS "parsedBy", CASE WHEN hit AND c % 5 = 0 THEN 'checked' END AS notes, CASE WHEN hit AND c % 9 = 1 THEN 'crypto' ELSE 'any' END AS "assetClass",
+ CASE WHEN hit THEN greatest(0.85, {_SURE}) ELSE {_SURE} END::DOUBLE AS confidence, regexp_replace(regexp_replace(lower(CASE WHEN st IS NOT NULL THEN 'UnknownST' || st ELSE {_NAME} END), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')[1:50] || '-' || hash[1:6] AS id FROM b""")
 def curate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J4."""
-    s = corpus.script_specs(scripts(spark, sf_dir)).withColumns({"parsedBy": F.lit("static"), "notes": F.lit(None).cast("string")})
-    s = s.withColumn("bindings", F.map_from_entries(F.transform("entry.bindings", lambda b: F.struct(b["name"].alias("key"), b["type"].alias("value")))))
-    out = corpus.curate(s, _curation(spark, sf_dir).dropDuplicates(["raw_hash"]))
-    flat = F.array_join(F.array_sort(F.transform(F.map_entries("bindings"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
-    return out.select("url", "entry.direction", F.array_join("entry.conditions", ";").alias("conditions"), flat.alias("bindings"), "parsedBy", "notes", "confidence")
-
-
-@query("""SELECT count(*) FILTER (k % 5 <> 4 AND k % 7 <> 0) AS written, count(*) FILTER (k % 7 = 0) AS skipped, count(*) FILTER (k % 5 = 4 AND k % 7 <> 0) AS non_tradeable, count(*) FILTER (k % 5 <> 4 AND k % 7 <> 0) AS entry_evaluable,
- 0::BIGINT AS entry_bare, 0::BIGINT AS entry_none, count(*) FILTER (k % 5 <> 4 AND k % 7 <> 0) AS confidence_high, 0::BIGINT AS confidence_mid, 0::BIGINT AS confidence_low FROM (SELECT p_partkey AS k FROM part)""")
+    """Records of all scripts with their corrections."""
+    fixed = _curation(spark, sf_dir)
+    out = corpus.curate(corpus.spec_records(scripts(spark, sf_dir), 0, fixed), fixed)
+    flat = F.array_join(F.array_sort(F.transform(F.map_entries("bindings"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["type"]))), ",")
+    leave = F.when(F.col("exit.conditions").isNotNull(), F.concat_ws("/", F.array_join("exit.conditions", ";"), "exit.stopLoss"))
+    return out.select(F.col("source").alias("url"), "entry.direction", F.array_join("entry.conditions", ";").alias("conditions"), "entry.gate", leave.alias("leave"), flat.alias("bindings"), "parsedBy", "notes", "assetClass", "confidence", "id")
+
+
+@query(f"""WITH {_FIXED}, w AS (SELECT *, {_TRADED} AND skips IS NULL AS has, CASE WHEN hit THEN greatest(0.85, {_SURE}) ELSE {_SURE} END AS sure FROM j)
+SELECT count(*) FILTER (has) AS written, count(*) FILTER (has AND hit) AS enriched, count(*) FILTER (skips IS NOT NULL) AS skipped, count(*) FILTER (skips IS NULL AND NOT {_TRADED}) AS non_tradeable, 0::BIGINT AS parse_failed,
+ count(*) FILTER (has AND {_CLEAR}) AS entry_evaluable, count(*) FILTER (has AND k % 10 = 8) AS entry_bare, count(*) FILTER (has AND k % 10 = 9) AS entry_none,
+ count(*) FILTER (has AND sure >= 0.5) AS confidence_high, count(*) FILTER (has AND sure >= 0.4 AND sure < 0.5) AS confidence_mid, count(*) FILTER (has AND sure < 0.4) AS confidence_low FROM w""")
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8."""
-    s = scripts(spark, sf_dir)
-    f = corpus.script_features(s)
-    good = corpus.script_specs(s).select("url", "entry", "evaluable", "confidence")
-    return corpus.corpus_report(f.join(good, "url", "left"), _curation(spark, sf_dir))
+    s, fixed = scripts(spark, sf_dir), _curation(spark, sf_dir)
+    return corpus.corpus_report(corpus.script_features(s), corpus.curate(corpus.spec_records(s, 0, fixed), fixed), fixed)
+
+
+@query(f"WITH {_FIXED} SELECT CASE WHEN skips % 2 = 0 THEN 'duplicate' ELSE 'uncategorised' END AS category, count(*) AS n FROM j WHERE skips IS NOT NULL GROUP BY ALL")
+def skip_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts that are curated away, by category."""
+    return corpus.skip_categories(corpus.script_features(scripts(spark, sf_dir)), _curation(spark, sf_dir))
 
 
 _REGISTRY = "r AS (SELECT o_custkey AS url, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'error' END AS status FROM orders)"

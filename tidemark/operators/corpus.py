@@ -5,15 +5,16 @@ Pattern features are column expressions in one pass over the text; what needs ba
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions.rules import RuleError, rule_identifiers
-from tidemark.functions.scalars import alert_caps, clean_link, confidence, normalise_newlines, raw_hash, spec_id
+from tidemark.functions.scalars import clean_link, confidence, normalise_newlines, raw_hash, spec_id
+from tidemark.functions.script_text import EVALUABLE, bindings_of, entry_of, frame_strategy
+from tidemark.schemas import SPEC
 
 # Function name -> (type, names of its numeric arguments). Functions marked bare take no series before them.
 _SERIES_FIRST = {"rsi": "RSI", "ema": "EMA", "sma": "SMA", "mom": "MOM", "pivothigh": "PIVOT_HIGH", "pivotlow": "PIVOT_LOW", "highest": "HIGHEST_HIGH", "lowest": "LOWEST_LOW"}
@@ -26,10 +27,27 @@ KNOWN_CALLS = sorted({*_SERIES_FIRST, *_NUMBER_FIRST, *_NO_NUMBER, *_TWO_NUMBERS
 HELPER_CALLS = ["crossover", "crossunder", "cross", "change", "barssince", "valuewhen", "rising", "falling", "cum", "highestbars", "lowestbars", "pivot_point_levels"]
 BINDABLE = {"rsi": "RSI", "ema": "EMA", "sma": "SMA", "wma": "WMA", "hma": "HMA", "rma": "RMA", "roc": "ROC", "mom": "MOM", "atr": "ATR", "tr": "TR", "cci": "CCI", "adx": "ADX"}
 BINDABLE |= {"vwap": "VWAP", "vwma": "VWMA", "stdev": "STDDEV", "supertrend": "SUPERTREND"}
-# Names of display settings, the text of the skip reason, and what makes a condition evaluable.
+# Names of display settings, the text of the skip reason, the title of a script without one.
 DISPLAY_NAME = r"(?i)^(show|hide|draw|display|enable|disable|label|table)|(colou?r|style|width|transp(arency)?|size|pos(ition)?|offset|decimals|linewidth|textsize)(input)?$|_col$"
 NO_SIGNALS = "no_signals: pure indicator/visualization"
-EVALUABLE = r"(?i)[<>]=?|[!=]==?|\bta\.|\b(and|or|not)\b|\bcross"
+NO_TITLE = "Unknown Strategy"
+# What makes a script tradeable; the types of scripts, the first that occurs so often counts; signs of a complex one.
+TRADEABLE = r"alertcondition\s*\(|strategy\.entry\s*\(|plotshape\s*\("
+TYPES = [
+    ("mtf_scored", r"request\.security\s*\(", 2),
+    ("session", r'time\s*\(\s*timeframe\.period\s*,\s*"[\d:]+-[\d:]+|in_asia|in_lon|in_ny|isAsia|isLondon', 1),
+    ("scored", r"score\s*\+=|score\s*:=\s*\d|rawScore", 1),
+    ("pattern", r"ta\.pivothigh|ta\.pivotlow", 1),
+]
+COMPLEX = r"request\.security|f_\w+\s*\(|calcTSI|f_t3"
+# Where a title and a timeframe stand, codes and words of timeframes.
+TITLE_FIRST = r"(?i)(?:indicator|strategy)\s*\(\s*(?:title\s*=\s*)?[\"']([^\"'\n]{1,80})[\"']"
+TITLE_SHORT = r"(?i)(?:indicator|strategy)\s*\([^)]*?shorttitle\s*=\s*[\"']([^\"'\n]{1,80})[\"']"
+FRAME_ARGUMENT = r"(?i)(?:indicator|strategy)\s*\([^)]*?\b(?:timeframe|resolution)\s*=\s*[\"']([^\"'\n]+)[\"']"
+FRAME_TAG = r"(?i)[(\[]\s*(\d+\s*[mhdw]|daily|hourly|weekly|monthly)\s*[)\]]"
+FRAME_WORD = r"(?i)\b(15m|5m|30m|1h|4h|hourly|daily|weekly|monthly)\b"
+FRAME_CODES = {"D": "1d", "1D": "1d", "W": "1w", "1W": "1w", "M": "1M", "1M": "1M"}
+FRAME_WORDS = {"hourly": "1h", "daily": "1d", "weekly": "1w", "monthly": "1M", "60m": "1h"}
 _CALL = r"ta\.%s\s*\("
 _ARG = r"\s*\w+\s*,\s*"
 _NUM = r"(\d+)"
@@ -40,7 +58,7 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def is_tradeable(text: Column) -> Column:
-    return text.rlike(r"alertcondition\s*\(|strategy\.entry\s*\(|plotshape\s*\(")
+    return text.rlike(TRADEABLE)
 
 
 def skip_reason(text: Column) -> Column:
@@ -101,176 +119,38 @@ def extract_inputs(text: Column) -> Column:
 
 
 def script_type(text: Column) -> Column:
-    session = r'time\s*\(\s*timeframe\.period\s*,\s*"[\d:]+-[\d:]+|in_asia|in_lon|in_ny|isAsia|isLondon'
-    return (
-        F.when(F.regexp_count(text, F.lit(r"request\.security\s*\(")) >= 2, "mtf_scored")
-        .when(text.rlike(session), "session")
-        .when(text.rlike(r"score\s*\+=|score\s*:=\s*\d|rawScore"), "scored")
-        .when(text.rlike(r"ta\.pivothigh|ta\.pivotlow"), "pattern")
-        .otherwise("condition")
-    )
+    return F.coalesce(*[F.when(F.regexp_count(text, F.lit(pattern)) >= least, kind) for kind, pattern, least in TYPES], F.lit("condition"))
 
 
 def complexity(text: Column, n_indicators: Column) -> Column:
+    """simple, medium or complex, by the worst of three signs: foreign timeframes or own functions, lines, indicators."""
     lines = F.size(F.split(text, "\n"))
-    hard = text.rlike(r"request\.security") | text.rlike(r"f_\w+\s*\(|calcTSI|f_t3") | (lines > 200)
-    return F.when(hard, "complex").when((n_indicators > 4) | (lines > 100), "medium").otherwise("simple")
+    grade = F.greatest(text.rlike(COMPLEX).cast("int") * 2, (lines > 100).cast("int") + (lines > 200).cast("int"), (n_indicators > 4).cast("int"))
+    return F.element_at(F.array(*map(F.lit, ("simple", "medium", "complex"))), grade + 1)
+
+
+def _group(text: Column, pattern: str) -> Column:
+    """The first group of a pattern, NULL where it doesn't match or is empty."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
 def title(text: Column) -> Column:
-    first = F.regexp_extract(text, r"(?i)(?:indicator|strategy)\s*\(\s*(?:title\s*=\s*)?[\"']([^\"'\n]{1,80})[\"']", 1)
-    short = F.regexp_extract(text, r"(?i)(?:indicator|strategy)\s*\([^)]*?shorttitle\s*=\s*[\"']([^\"'\n]{1,80})[\"']", 1)
-    found = F.when(first != "", first).when(short != "", short)
-    return F.coalesce(F.trim(found), F.lit("Unknown Strategy"))
+    return F.coalesce(F.trim(F.coalesce(_group(text, TITLE_FIRST), _group(text, TITLE_SHORT))), F.lit(NO_TITLE))
+
+
+def _table(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
 def timeframe(text: Column, name: Column) -> Column:
     """From a timeframe argument, else from a tag or a word in the title; NULL where neither says."""
-    code = F.upper(F.trim(F.regexp_extract(text, r"(?i)(?:indicator|strategy)\s*\([^)]*?\b(?:timeframe|resolution)\s*=\s*[\"']([^\"'\n]+)[\"']", 1)))
+    code = F.upper(F.trim(_group(text, FRAME_ARGUMENT)))
     minutes = F.when(code.rlike(r"^\d+$"), code.try_cast("int"))
-    from_code = (
-        F.when((minutes > 0) & (minutes < 60), F.concat(minutes.cast("string"), F.lit("m")))
-        .when(minutes % 60 == 0, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h")))
-        .when(code.isin("D", "1D"), "1d")
-        .when(code.isin("W", "1W"), "1w")
-        .when(code.isin("M", "1M"), "1M")
-    )
-    tag = F.regexp_extract(name, r"(?i)[(\[]\s*(\d+\s*[mhdw]|daily|hourly|weekly|monthly)\s*[)\]]", 1)
-    word = F.regexp_extract(name, r"(?i)\b(15m|5m|30m|1h|4h|hourly|daily|weekly|monthly)\b", 1)
-    hit = F.regexp_replace(F.lower(F.when(tag != "", tag).otherwise(word)), r"\s+", "")
-    from_title = F.when(hit == "hourly", "1h").when(hit == "daily", "1d").when(hit == "weekly", "1w").when(hit == "monthly", "1M").when(hit == "60m", "1h").when(hit.rlike(r"^\d+[mhdw]$"), hit)
-    return F.when(code != "", from_code).otherwise(from_title)
-
-
-# Per-row text work: first arguments of calls, with balanced parentheses and quotes.
-
-
-def first_argument(text: str, start: int) -> tuple[str, int] | None:
-    """The first argument of a call whose arguments begin at `start`, and where it ends; None if the call does not close."""
-    depth, i = 0, start
-    while i < len(text):
-        c = text[i]
-        if c in "\"'":
-            i += 1
-            while i < len(text) and text[i] != c:
-                i += 1 + (text[i] == "\\")
-        elif c in "([":
-            depth += 1
-        elif c in ")]" and depth:
-            depth -= 1
-        elif c in ")]" or c == "," and not depth:
-            return text[start:i], i
-        i += 1
-    return None
-
-
-def without_display_terms(condition: str) -> str:
-    """An and-chain without its display switches."""
-    terms = re.split(r"\s+and\s+", condition, flags=re.I)
-    kept = [t for t in terms if not re.match(r"(show|hide|draw|display|enable|disable)\w*$", t.strip(), re.I)]
-    return re.sub(r"\s+", " ", " and ".join(kept) if kept else condition).strip()
-
-
-def assignment(text: str, name: str) -> str | None:
-    """The right-hand side of the first assignment to a name, with up to ten lines that go on from it."""
-    m = re.search(rf"^[ \t]*(?:var\s+|varip\s+)?(?:bool\s+|float\s+|int\s+)?{re.escape(name)}\s*:?=(?!=)\s*(.*)$", text, re.M)
-    if not m:
-        return None
-    parts, rest = [re.sub(r"//.*$", "", m[1]).strip()], text[m.end() :].split("\n")[1:11]
-    for line in rest:
-        ends_open = re.search(r"(\band|\bor|[+\-*/?:,(<>=])\s*$", parts[-1]) or parts[-1].count("(") > parts[-1].count(")")
-        if not ends_open and not re.match(r"\s+(and|or|\?|:)\b", line):
-            break
-        parts.append(re.sub(r"//.*$", "", line).strip())
-    return " ".join(p for p in parts if p) or None
-
-
-def resolved(text: str, condition: str) -> str:
-    """A bare name replaced by what it is assigned, twice at most."""
-    for _ in range(2):
-        if not re.fullmatch(r"[A-Za-z_]\w*", condition):
-            break
-        found = assignment(text, condition)
-        if not found:
-            break
-        condition = found
-    return condition
-
-
-# Words of a side in alert conditions and in the styling of markers.
-_BULL, _BEAR = r"bull|long|buy|\bup\b|cross.*over", r"bear|short|sell|\bdown\b|cross.*under"
-_MARK_BULL, _MARK_BEAR = "buy|long|bull|belowbar|triangleup|labelup|arrowup", "sell|short|bear|abovebar|triangledown|labeldown|arrowdown"
-
-
-def _capped(bull: list[str], bear: list[str], other: list[str]) -> list[str]:
-    return bull[:2] + bear[:2] if bull and bear else (bull or bear or other)[:3]
-
-
-def entry_of(text: str) -> tuple[str, list[str]]:
-    """(direction, conditions): strategy entries, else alert conditions, else plotted markers; cleaned and expanded."""
-    entries = re.findall(r"strategy\.entry\s*\(\s*\"[^\"]*\"\s*,\s*strategy\.(long|short)[^)]*when\s*=\s*([^)]+)", text, re.I)
-    if entries:
-        direction = "BOTH" if len(entries) > 1 else "BUY" if entries[0][0].lower() == "long" else "SELL"
-        conditions = [c.strip() for _, c in entries][:3]
-    else:
-        alerts = [a[0].strip() for m in re.finditer(r"alertcondition\s*\(", text) if (a := first_argument(text, m.end()))]
-        bull, bear = [a for a in alerts if re.search(_BULL, a, re.I)], [a for a in alerts if re.search(_BEAR, a, re.I)]
-        direction = "BOTH" if bool(bull) == bool(bear) else "BUY" if bull else "SELL"
-        conditions = _capped(bull, bear, alerts)
-    if not conditions:
-        bull, bear = [], []
-        for m in re.finditer(r"plot(?:shape|char|arrow)\s*\(", text):
-            arg = first_argument(text, m.end())
-            if not arg:
-                continue
-            series = re.sub(r"\s*\?.*$", "", arg[0].strip(), flags=re.S)
-            if not re.fullmatch(r"[A-Za-z_]\w*", series) and not re.search(EVALUABLE, series):
-                continue
-            style = text[arg[1] :].split("\n", 1)[0].lower()
-            up, down = re.search(_MARK_BULL, style), re.search(_MARK_BEAR, style)
-            if bool(up) != bool(down):
-                (bull if up else bear).append(series)
-        if bull or bear:
-            direction, conditions = "BOTH" if bull and bear else "BUY" if bull else "SELL", (bull + bear)[:3]
-    cleaned = [without_display_terms(resolved(text, without_display_terms(c))) for c in conditions]
-    return direction, [c for c in cleaned if c and c.lower() not in ("true", "false", "na")]
-
-
-def binding_of(expression: str, parameters: dict) -> tuple[str, str | None] | None:
-    """(type, period) of an expression that is an indicator call; the period is a number or a parameter's name."""
-    text = expression.strip()
-    if m := re.fullmatch(r"request\.security\s*\([^,]+,[^,]+,\s*(.+)\)\s*", text):
-        text = m[1].strip()
-    if m := re.fullmatch(r"[^?]+\?\s*(.+?)\s*:\s*(.+)", text):
-        return binding_of(m[1], parameters) or binding_of(m[2], parameters)
-    m = re.match(r"(?:ta\.)?([A-Za-z_]\w*)\s*\(\s*[\w.\[\]]+\s*(?:,\s*([\w.]+))?", text)
-    if not m or m[1].lower() not in BINDABLE:
-        return None
-    return BINDABLE[m[1].lower()], m[2] if m[2] and (m[2].isdigit() or m[2] in parameters) else None
-
-
-def bindings_of(text: str, conditions: list[str], parameters: dict) -> list[tuple[str, str, str | None]]:
-    """(name, type, period) for each name in the conditions that is assigned an indicator call, one alias apart at most."""
-    names: dict[str, None] = {}
-    for c in conditions:
-        try:
-            names |= dict.fromkeys(rule_identifiers(c))
-        except RuleError:
-            pass
-    out = []
-    for name in names:
-        if "." in name or name in parameters:
-            continue
-        at = name
-        for _ in range(2):
-            right = assignment(text, at)
-            found = binding_of(right, parameters) if right else None
-            if found:
-                out.append((name, *found))
-            if found or not right or not re.fullmatch(r"[A-Za-z_]\w*", right):
-                break
-            at = right
-    return out
+    hours = F.when((minutes >= 60) & (minutes % 60 == 0), F.concat((minutes / 60).cast("int").cast("string"), F.lit("h")))
+    counted = F.coalesce(hours, F.when(minutes.between(1, 59), F.concat(minutes.cast("string"), F.lit("m"))))
+    said = F.regexp_replace(F.lower(F.coalesce(_group(name, FRAME_TAG), _group(name, FRAME_WORD))), r"\s+", "")
+    from_title = F.coalesce(F.try_element_at(_table(FRAME_WORDS), said), F.when(said.rlike(r"^\d+[mhdw]$"), said))
+    return F.when(code.isNotNull(), F.coalesce(counted, F.try_element_at(_table(FRAME_CODES), code))).otherwise(from_title)
 
 
 _ENTRY = "direction string, conditions array<string>, bindings array<struct<name:string,type:string,period:string>>"
@@ -284,7 +164,7 @@ def entry_conditions(scripts: DataFrame, text: str = "source_text", parameters:
         rows = []
         for t, p in zip(texts, inputs, strict=True):
             direction, conditions = entry_of(t or "")
-            found = bindings_of(t or "", conditions, dict(p if p is not None else {}))
+            found = bindings_of(t or "", conditions, dict(p if p is not None else {}), BINDABLE)
             rows.append((direction, conditions, [{"name": n, "type": k, "period": x} for n, k, x in found]))
         return pd.DataFrame(rows, columns=["direction", "conditions", "bindings"])
 
@@ -298,7 +178,7 @@ def auto_bind(scripts: DataFrame, text: str = "source_text", parameters: str = "
         for b in batches:
             rows = []
             for url, t, p in zip(b["url"], b[text], b[parameters], strict=True):
-                found = bindings_of(t or "", entry_of(t or "")[1], dict(p if p is not None else {}))
+                found = bindings_of(t or "", entry_of(t or "")[1], dict(p if p is not None else {}), BINDABLE)
                 rows += [(url, *x) for x in found]
             yield pd.DataFrame(rows, columns=["url", "name", "type", "period"], dtype=object)
 
@@ -329,11 +209,45 @@ def script_specs(scripts: DataFrame) -> DataFrame:
     return rows.withColumns({"confidence": score, "id": spec_id(F.col("name"), F.col("raw_hash")), "evaluable": logic})
 
 
+def spec_records(scripts: DataFrame, created_at: int | None = None, curation: DataFrame | None = None) -> DataFrame:
+    """Records in the form of SPEC of the tradeable scripts(url, source_text) that `curation` doesn't skip, those without a title numbered by url."""
+    rows = script_specs(scripts)
+    if curation is not None:
+        rows = rows.join(curation.filter("skip IS NOT NULL").select("raw_hash").distinct(), "raw_hash", "left_anti")
+    rows = name_unknown(rows).withColumn("id", spec_id(F.col("name"), F.col("raw_hash")))
+    text_map = lambda m: F.transform_values(m, lambda k, v: F.regexp_replace(v.cast("string"), r"\.0$", ""))
+    indicators = F.transform("indicators", lambda x: F.struct(x["type"].alias("type"), text_map(x["params"]).alias("params"), F.lit("close").alias("input"), x["outputKey"].alias("outputKey")))
+    params = lambda b: F.when(b["period"].isNotNull(), F.create_map(F.lit("period"), b["period"])).otherwise(F.create_map().cast("map<string,string>"))
+    bound = F.transform("entry.bindings", lambda b: F.struct(b["name"].alias("key"), F.struct(b["type"].alias("type"), F.lit(None).cast("string").alias("source"), params(b).alias("params")).alias("value")))
+    given = {
+        "source": F.col("url"), "version": F.lit("1"), "strategyType": F.col("strategy_type"), "assetClass": F.lit("any"), "indicators": indicators, "bindings": F.map_from_entries(bound),
+        "exit": F.lit(None), "parsedBy": F.lit("static"), "rawHash": F.col("raw_hash"), "notes": F.lit(None), "createdAt": F.unix_millis(F.current_timestamp()) if created_at is None else F.lit(created_at),
+    }
+    fields = {f.name: f.dataType for f in SPEC.fields}
+    entry = F.struct(*[(F.col(f"entry.{f.name}") if f.name in ("direction", "conditions") else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields["entry"].fields])
+    return rows.select(*[given.get(c, entry if c == "entry" else F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields.items()])
+
+
+def numbered(rows: DataFrame, order: str, name: str, buckets: int = 256) -> DataFrame:
+    """rows with `name`, 1, 2, ... in the order of a string column: within buckets of neighbours, after the rows of the buckets before.
+
+    The buckets' edges are a bounded sample, so no task orders all rows and no sampling is done twice.
+    """
+    sample = rows.select(order).filter(F.col(order).isNotNull()).orderBy(F.xxhash64(order), order).limit(16 * buckets).toPandas()[order]
+    edges = sorted(set(sample))[8::16]
+    bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order))) if edges else F.lit(0)
+    rows = rows.withColumn("_bucket", bucket)
+    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a bucket
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
+    return rows.withColumn("_place", place).join(sizes.select("_bucket", before.alias("_before")), "_bucket").withColumn(name, F.col("_place") + F.col("_before")).drop("_bucket", "_place", "_before")
+
+
 def name_unknown(specs: DataFrame) -> DataFrame:
     """Scripts without a title become UnknownST1, 2, ... in order of their url; only those rows are ordered."""
-    unknown = F.col("name") == "Unknown Strategy"
-    numbered = specs.filter(unknown).withColumn("name", F.concat(F.lit("UnknownST"), F.row_number().over(Window.orderBy("url"))))
-    return specs.filter(~unknown).unionByName(numbered)
+    unknown = F.col("name") == NO_TITLE
+    named = numbered(specs.filter(unknown), "url", "_k").withColumn("name", F.concat(F.lit("UnknownST"), F.col("_k")))
+    return specs.filter(~unknown).unionByName(named.select(specs.columns))
 
 
 def distinct_indicators(calls: DataFrame) -> DataFrame:
@@ -348,20 +262,42 @@ def store_raw(scripts: DataFrame) -> DataFrame:
     return rows.withColumn("_n", best).filter("_n = 1").drop("_n")
 
 
-def curate(specs: DataFrame, curation: DataFrame) -> DataFrame:
-    """Records with the hand-made corrections of curation(raw_hash, skip, category, entry, bindings, notes): skipped ones go, others are overlaid.
+def one_correction(curation: DataFrame) -> DataFrame:
+    """One row for each raw_hash: one that skips wins, else the last by seq, where there is such a column."""
+    place = F.struct(F.col("skip").isNotNull().alias("skips"), *([F.col("seq")] if "seq" in curation.columns else []))
+    rows = curation.groupBy("raw_hash").agg(F.max_by(F.struct(*[c for c in curation.columns if c != "raw_hash"]), place).alias("_c"))
+    return rows.select("raw_hash", "_c.*").drop("seq")
+
 
-    The table of corrections is made by hand; Spark broadcasts it while it is small.
+def _overlaid(old: str, new: Column, kind: T.StructType, given: T.StructType) -> Column:
+    """The struct `old` with those fields of `new` that it has and that aren't null."""
+    own = set(given.fieldNames())
+    fields = [(F.coalesce(new[f.name].cast(f.dataType), F.col(old)[f.name]) if f.name in own else F.col(old)[f.name]).alias(f.name) for f in kind.fields]
+    return F.struct(*fields)
+
+
+def curate(specs: DataFrame, curation: DataFrame, key: str = "rawHash") -> DataFrame:
+    """Records with the hand-made corrections of curation(raw_hash, skip, category, any columns of a record, seq).
+
+    Skipped ones go. The others that are corrected get the columns that the correction has: `entry` and `exit` field by field, `bindings` by name,
+    all others whole; they are marked `manual` with a confidence of 0.85 at least. Several corrections of one hash: see `one_correction`.
     """
-    fixed = curation.select("raw_hash", "skip", "category", F.col("entry").alias("_entry"), F.col("bindings").alias("_bindings"), F.col("notes").alias("_notes"))
-    rows = specs.join(fixed, "raw_hash", "left").filter("skip IS NULL")
-    hit = F.col("_entry").isNotNull() | F.col("_bindings").isNotNull() | F.col("_notes").isNotNull()
-    entry = F.struct(F.coalesce("_entry.direction", "entry.direction").alias("direction"), F.coalesce("_entry.conditions", "entry.conditions").alias("conditions"))
-    old = F.map_filter("bindings", lambda k, v: ~F.coalesce(F.array_contains(F.map_keys("_bindings"), k), F.lit(False)))
-    merged = F.when(F.col("_bindings").isNull(), F.col("bindings")).otherwise(F.map_concat(old, F.col("_bindings")))
-    rows = rows.withColumns({"entry": entry, "bindings": merged, "notes": F.coalesce("_notes", "notes"), "parsedBy": F.when(hit, "manual").otherwise(F.col("parsedBy"))})
-    rows = rows.withColumn("confidence", F.when(hit, F.greatest("confidence", F.lit(0.85))).otherwise(F.col("confidence")))
-    return rows.drop("skip", "category", "_entry", "_bindings", "_notes")
+    fixed = one_correction(curation)
+    given = {f.name: f.dataType for f in fixed.schema.fields}
+    rows = specs.join(fixed.select(F.col("raw_hash").alias(key), F.struct(*[c for c in given if c != "raw_hash"]).alias("_c")), key, "left").filter("_c.skip IS NULL")
+    hit, new = F.col("_c").isNotNull(), {}
+    for c, kind in ((f.name, f.dataType) for f in specs.schema.fields):
+        value = F.col("_c")[c] if c in given and c not in (key, "raw_hash") else None
+        if c in ("entry", "exit") and value is not None:
+            new[c] = F.when(value.isNull(), F.col(c)).otherwise(_overlaid(c, value, kind, given[c]))
+        elif c == "bindings" and value is not None:
+            kept = F.map_filter(F.coalesce(c, F.create_map().cast(kind)), lambda k, v: ~F.array_contains(F.map_keys(F.col("_c.bindings")), k))
+            new[c] = F.when(value.isNull(), F.col(c)).otherwise(F.map_concat(kept, value.cast(kind)))
+        elif value is not None:
+            new[c] = F.coalesce(value.cast(kind), F.col(c))
+    new["parsedBy"] = F.when(hit, "manual").otherwise(F.col("parsedBy"))
+    new["confidence"] = F.when(hit, F.greatest(new.get("confidence", F.col("confidence")), F.lit(0.85))).otherwise(F.col("confidence"))
+    return rows.withColumns(new).select(specs.columns)
 
 
 def todo_scripts(found: DataFrame, registry: DataFrame) -> DataFrame:
@@ -397,26 +333,35 @@ def unknown_tally(features: DataFrame, old: DataFrame | None = None) -> DataFram
     return now if old is None else now.unionByName(old).groupBy("fn").agg(F.sum("n").alias("n"))
 
 
-def corpus_report(features: DataFrame, curation: DataFrame | None = None) -> DataFrame:
-    """One row of counts over all scripts; a script that is curated away counts as skipped whatever else it is."""
-    rows = features
-    if curation is not None:
-        rows = rows.join(curation.select("raw_hash", F.col("skip").isNotNull().alias("_skip")).dropDuplicates(["raw_hash"]), "raw_hash", "left")
-    skipped = F.coalesce(F.col("_skip"), F.lit(False)) if curation is not None else F.lit(False)
-    kept = F.col("is_tradeable") & ~skipped
-    count = lambda test, name: F.coalesce(F.count_if(test), F.lit(0)).alias(name)
-    n = F.size("entry.conditions")
-    return rows.agg(
-        count(kept, "written"),
-        count(skipped, "skipped"),
-        count(~F.col("is_tradeable") & ~skipped, "non_tradeable"),
-        count(kept & F.col("evaluable"), "entry_evaluable"),
-        count(kept & ~F.col("evaluable") & (n > 0), "entry_bare"),
-        count(kept & (n <= 0), "entry_none"),
-        count(kept & (F.col("confidence") >= 0.5), "confidence_high"),
-        count(kept & (F.col("confidence") >= 0.4) & (F.col("confidence") < 0.5), "confidence_mid"),
-        count(kept & (F.col("confidence") < 0.4), "confidence_low"),
-    )
+def _judged(features: DataFrame, curation: DataFrame) -> DataFrame:
+    """features(raw_hash, ...) with _skip, the category of a script that is curated away, and _corrected."""
+    fixed = one_correction(curation)
+    category = F.when(F.col("skip").isNotNull(), F.coalesce("category", F.lit("uncategorised")) if "category" in fixed.columns else F.lit("uncategorised"))
+    return features.join(fixed.select("raw_hash", category.alias("_skip"), F.lit(True).alias("_corrected")), "raw_hash", "left")
+
+
+def skip_categories(features: DataFrame, curation: DataFrame) -> DataFrame:
+    """category and n of the scripts that are curated away."""
+    return _judged(features, curation).filter("_skip IS NOT NULL").groupBy(F.col("_skip").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def corpus_report(features: DataFrame, records: DataFrame, curation: DataFrame) -> DataFrame:
+    """One row of counts over all scripts: features(url, raw_hash, is_tradeable), records(source, entry, confidence) as they are written, after curation.
+
+    A script that is curated away counts as skipped whatever else it is; a tradeable one without a record failed to parse.
+    """
+    written = records.select(F.col("source").alias("url"), F.col("entry.conditions").alias("_conditions"), F.col("confidence").alias("_confidence"), F.lit(True).alias("_written"))
+    rows = _judged(features, curation).join(written, "url", "left")
+    seen, has = F.col("_skip").isNull(), F.col("_written").isNotNull()
+    n = F.coalesce(F.size("_conditions"), F.lit(0))
+    clear = F.coalesce(F.exists("_conditions", is_evaluable), F.lit(False))
+    high, mid = F.col("_confidence") >= 0.5, F.col("_confidence") >= 0.4
+    tests = {
+        "written": has, "enriched": has & F.col("_corrected").isNotNull(), "skipped": ~seen, "non_tradeable": seen & ~F.col("is_tradeable"), "parse_failed": seen & F.col("is_tradeable") & ~has,
+        "entry_evaluable": has & clear, "entry_bare": has & ~clear & (n > 0), "entry_none": has & (n <= 0),
+        "confidence_high": has & high, "confidence_mid": has & mid & ~high, "confidence_low": has & ~mid,
+    }
+    return rows.agg(*[F.coalesce(F.count_if(test), F.lit(0)).alias(name) for name, test in tests.items()])
 
 
 def skip_reasons(parsed: DataFrame) -> DataFrame:
@@ -433,98 +378,7 @@ def dedupe_urls(links: DataFrame) -> DataFrame:
     return links.select("url").distinct()
 
 
-def alert_entry(bull: Column, bear: Column, other: Column) -> Column:
-    """The caps on alert conditions as a column."""
-    return alert_caps(bull, bear, other)
-
-
-# Second dialect: strategy classes over data frames.
-# Indicator functions of the second dialect, and the functions that rules may call.
-_FRAME_CALL = {"RSI": "RSI", "EMA": "EMA", "SMA": "SMA", "WMA": "WMA", "ADX": "ADX", "CCI": "CCI", "ATR": "ATR", "ROC": "ROC", "MOM": "MOM", "TRANGE": "TR"}
-_ALLOWED = {"ta.crossover", "ta.crossunder", "ta.cross", "nz", "abs", "min", "max", "math.abs", "math.min", "math.max", "math.sign", "barstate.isconfirmed"}
-
-
-def without_outer_parens(text: str) -> str:
-    text = text.strip()
-    while text.startswith("(") and text.endswith(")"):
-        depth = 0
-        for i, c in enumerate(text):
-            depth += (c == "(") - (c == ")")
-            if not depth and i < len(text) - 1:
-                return text
-        text = text[1:-1].strip()
-    return text
-
-
-def _frame_bindings(source: str) -> tuple[dict[str, tuple[str, str | None]], dict[str, str]]:
-    """Indicator columns name -> (type, period), and aliases of columns for outputs of several."""
-    binds, alias = {}, {}
-    for name, fn, args in re.findall(r"dataframe\[['\"](\w+)['\"]\]\s*=\s*ta\.(\w+)\s*\(\s*dataframe\s*,?\s*([^)\n]*)\)", source):
-        if fn in _FRAME_CALL:
-            period = re.search(r"(?:timeperiod\s*=\s*)?([\w.]+)\s*$", args)
-            binds[name] = (_FRAME_CALL[fn], period[1].removesuffix(".value").removeprefix("self.") if period else None)
-    for var, args in re.findall(r"(\w+)\s*=\s*ta\.MACD\s*\(\s*dataframe([^)\n]*)\)", source):
-        binds[var] = ("MACD", None)
-        for name, out in re.findall(rf"dataframe\[['\"](\w+)['\"]\]\s*=\s*{var}\[['\"](\w+)['\"]\]", source):
-            alias[name] = f"{var}.{ {'macd': 'macd', 'macdsignal': 'signal', 'macdhist': 'histogram'}.get(out, out) }"
-    for var in re.findall(r"(\w+)\s*=\s*qtpylib\.bollinger_bands\s*\(", source):
-        binds[var] = ("BB", None)
-        for name, out in re.findall(rf"dataframe\[['\"](\w+)['\"]\]\s*=\s*{var}\[['\"](\w+)['\"]\]", source):
-            alias[name] = f"{var}.{ {'lower': 'lower', 'mid': 'middle', 'upper': 'upper'}.get(out, out) }"
-    return binds, alias
-
-
-def _frame_condition(source: str, column: str, alias: dict[str, str]) -> str | None:
-    m = re.search(rf"dataframe\.loc\[(.*?),\s*(?:\[?['\"]{column}['\"]|\[['\"]{column}['\"])[^\n]*\]\s*=\s*", source, re.S)
-    if not m:
-        return None
-    text = re.sub(r"\s+", " ", re.sub(r"#[^\n]*", "", m[1])).strip()
-    text = without_outer_parens(text.removesuffix(",").strip())
-    for way in ("above", "below"):
-        fn = "ta.crossover" if way == "above" else "ta.crossunder"
-        text = re.sub(rf"qtpylib\.crossed_{way}\s*\(", f"{fn}(", text)
-    text = re.sub(r"dataframe\[['\"](\w+)['\"]\]|dataframe\.(\w+)\b(?!\()", lambda x: alias.get(x[1] or x[2], x[1] or x[2]), text)
-    text = re.sub(r"\.shift\((\d+)\)", r"[\1]", text)
-    text = re.sub(r"self\.(\w+)(?:\.value)?", r"\1", text)
-    return re.sub(r"\s+", " ", text.replace("&", " and ").replace("|", " or ").replace("~", " not ")).strip()
-
-
-def parse_frame_strategy(source: str) -> dict:
-    """One strategy class: name, timeframe, stop-loss, parameters, bindings, entry and exit rule, or the first reason to skip it."""
-    out = dict.fromkeys(("name", "timeframe", "stop_loss", "entry", "exit", "skip_reason"))
-    out |= {"bindings": [], "parameters": {}}
-    cls = re.search(r"class\s+(\w+)\s*\(\s*IStrategy\s*\)", source or "")
-    if not cls:
-        return out | {"skip_reason": "no strategy class"}
-    out["name"] = cls[1]
-    names = re.findall(r"def\s+(populate_\w+)", source)
-    if "populate_indicators" not in names or not {"populate_entry_trend", "populate_buy_trend"} & set(names):
-        return out | {"skip_reason": "missing populate methods"}
-    binds, alias = _frame_bindings(source)
-    if not binds:
-        return out | {"skip_reason": "no known indicator"}
-    parameters = {n: v for n, v in re.findall(r"(\w+)\s*=\s*(?:Int|Decimal|Real)Parameter\([^)]*default\s*=\s*(-?[\d.]+)", source)}
-    for block in re.findall(r"(?:buy|sell|entry|exit)_params\s*=\s*\{(.*?)\}", source, re.S):
-        parameters |= {n: v for n, v in re.findall(r"['\"](\w+)['\"]\s*:\s*(-?[\d.]+)", block)}
-    entry = _frame_condition(source, "enter_long", alias) or _frame_condition(source, "buy", alias)
-    leave = _frame_condition(source, "exit_long", alias) or _frame_condition(source, "sell", alias)
-    grab = lambda p: (re.search(p, source, re.M) or [None, None])[1]
-    out |= {"timeframe": grab(r"^\s*(?:timeframe|ticker_interval)\s*=\s*['\"](\w+)['\"]"), "stop_loss": grab(r"^\s*stoploss\s*=\s*(-?[\d.]+)"), "entry": entry, "exit": leave}
-    out |= {"parameters": parameters, "bindings": [{"name": n, "type": t, "period": p} for n, (t, p) in binds.items()]}
-    if not entry:
-        return out | {"skip_reason": "no entry condition"}
-    for rule in (entry, leave or ""):
-        if ":" in rule:
-            return out | {"skip_reason": "unconditional or multi-block"}
-        if "dataframe" in rule:
-            return out | {"skip_reason": "untranslated dataframe expression"}
-        calls = [c for c in re.findall(r"([A-Za-z_][\w.]*)\s*\(", rule) if c not in ("and", "or", "not")]
-        if bad := [c for c in calls if c not in _ALLOWED]:
-            return out | {"skip_reason": f"unsupported call {bad[0]}"}
-    return out
-
-
-_FRAME = "name string, timeframe string, stop_loss string, entry string, exit string, skip_reason string, bindings array<struct<name:string,type:string,period:string>>, parameters map<string,string>, confidence double"
+_FRAME = "name string, timeframe string, stop_loss string, entry string, exit string, skip_reason string, bindings array<struct<name:string,type:string,params:map<string,string>>>, parameters map<string,string>, confidence double"
 
 
 def dataframe_strategies(scripts: DataFrame) -> DataFrame:
@@ -532,7 +386,7 @@ def dataframe_strategies(scripts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [{"url": u, **parse_frame_strategy(t), "confidence": 0.7} for u, t in zip(b["url"], b["source_text"], strict=True)]
+            rows = [{"url": u, **frame_strategy(t or ""), "confidence": 0.7} for u, t in zip(b["url"], b["source_text"], strict=True)]
             yield pd.DataFrame(rows, columns=["url", *(f.split(" ")[0] for f in _FRAME.split(", "))])
 
     return scripts.select("url", "source_text").mapInPandas(run, f"url string, {_FRAME}")

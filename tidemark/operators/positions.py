@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.rules import rule_column, window
-from tidemark.operators.series import bars_per_year, buy_hold
+from tidemark.operators.series import GAPS, yearly_bars
 from tidemark.schemas import KEYS
 
 COST_BPS = 5.0
@@ -28,30 +28,31 @@ def split_sides(direction: str, conditions: Sequence[str]) -> tuple[list[str], l
     return ([], conditions) if direction == "SELL" else (conditions[:1], conditions[1:])
 
 
+def any_rule(rules: Sequence[str], columns: Sequence[str], keys: Sequence[str] = KEYS, names: dict[str, Column] | None = None) -> Column:
+    out = F.lit(False)
+    for r in rules:
+        out = out | rule_column(r, columns, keys, names)
+    return out
+
+
 def signal_flags(df: DataFrame, direction: str, conditions: Sequence[str], exits: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
     """long, short and exit: whether any condition of that side holds."""
     longs, shorts = split_sides(direction, conditions)
+    return df.withColumns({name: any_rule(rules, df.columns, keys) for name, rules in (("long", longs), ("short", shorts), ("exit", exits))})
 
-    def any_of(rules: Sequence[str]) -> Column:
-        out = F.lit(False)
-        for r in rules:
-            out = out | rule_column(r, df.columns, keys)
-        return out
-
-    return df.withColumns({"long": any_of(longs), "short": any_of(shorts), "exit": any_of(exits)})
 
-
-def _resettable(flags: DataFrame, reset: Column, toggle: Column, on: int, off: int, before: int, keys: Sequence[str]) -> DataFrame:
-    """Position = what the last reset says, turned over by each toggle since; `before` holds until the first event."""
+def _resettable(flags: DataFrame, reset: Column, toggle: Column, off: Column | int, before: int, keys: Sequence[str]) -> DataFrame:
+    """Position = what the last reset says (1 or `off`), turned over by each toggle since; `before` holds until the first event."""
     so_far = window(keys).rowsBetween(Window.unboundedPreceding, 0)
+    off = F.lit(off) if isinstance(off, int) else off
     rows = flags.withColumns({"_reset": reset, "_toggle": F.when(toggle, 1).otherwise(0)})
     rows = rows.withColumn("_part", F.count("_reset").over(so_far))
     in_part = Window.partitionBy(*keys, "_part").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
     start = F.first("_reset").over(in_part)
     rows = rows.withColumns({"_start": start, "_turns": F.sum("_toggle").over(in_part)})
     odd = F.col("_turns") % 2 == 1
-    turned = F.when(F.col("_start") == on, off).otherwise(on)
-    position = F.when(F.col("_start").isNull(), F.when(F.col("_turns") == 0, before).when(odd, on).otherwise(off)).when(odd, turned).otherwise(F.col("_start"))
+    turned = F.when(F.col("_start") == 1, off).otherwise(1)
+    position = F.when(F.col("_start").isNull(), F.when(F.col("_turns") == 0, before).when(odd, 1).otherwise(off)).when(odd, turned).otherwise(F.col("_start"))
     return rows.withColumn("position", position.cast("int")).drop("_reset", "_toggle", "_part", "_start", "_turns")
 
 
@@ -81,15 +82,25 @@ def position(flags: DataFrame, two_sided: bool, has_exit: bool, keys: Sequence[s
     One-sided: a bar with its side alone goes in, with the exit alone out, with both turns over. Two-sided without exits: one flag sets the
     side, both turn it over. Both are windows of resets and turns; two sides with exits are an automaton.
     """
-    up, down, leave = F.col("long"), F.col("short"), F.col("exit")
     if two_sided and has_exit:
         return _automaton(flags, keys)
-    if two_sided:
-        return _resettable(flags, F.when(up & ~down, 1).when(down & ~up, -1), up & down, 1, -1, 0, keys)
+    shape = {"_two": F.lit(two_sided), "_sign": F.lit(1)} if two_sided else {"_two": F.lit(False), "_sign": F.when(F.max(F.col("short").cast("int")).over(Window.partitionBy(*keys)) == 1, -1).otherwise(1)}
+    return shaped_position(flags.withColumns(shape), keys).drop("_two", "_sign")
+
+
+def automaton_position(flags: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The position of series that have both sides and exits."""
+    return _automaton(flags, keys)
+
+
+def shaped_position(flags: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The same for series of different shapes at once: `_two` (both sides, no exits) or one side, which is `_sign`."""
+    up, down, leave, two = F.col("long"), F.col("short"), F.col("exit"), F.col("_two")
     side = up | down
-    sign = F.when(F.max(F.when(down, 1).otherwise(0)).over(Window.partitionBy(*keys)) == 1, -1).otherwise(1)
-    rows = _resettable(flags, F.when(side & ~leave, 1).when(leave & ~side, 0), side & leave, 1, 0, 0, keys)
-    return rows.withColumn("position", F.col("position") * sign)
+    reset = F.when(two, F.when(up & ~down, 1).when(down & ~up, -1)).otherwise(F.when(side & ~leave, 1).when(leave & ~side, 0))
+    toggle = F.when(two, up & down).otherwise(side & leave)
+    rows = _resettable(flags, reset, toggle, F.when(two, -1).otherwise(0), 0, keys)
+    return rows.withColumn("position", F.when(two, F.col("position")).otherwise(F.col("position") * F.col("_sign")))
 
 
 def evaluate(df: DataFrame, direction: str, conditions: Sequence[str], exits: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
@@ -171,10 +182,32 @@ def backtest_metrics(curve: DataFrame, trade_table: DataFrame, per_year: DataFra
 
 
 def backtest(positions: DataFrame, cost_bps: float = COST_BPS, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Metrics and buy_hold of each series of positions."""
-    curve = drawdown(equity(bar_returns(positions, cost_bps, keys), keys), keys)
-    out = backtest_metrics(curve, trades(positions, cost_bps, keys), bars_per_year(positions, keys), keys)
-    return out.join(buy_hold(positions, keys), list(keys))
+    """Metrics and buy_hold of each series of positions, in one pass: windows over the bars, then one aggregate.
+
+    A trade ends at the bar where the position changes, or at the last bar; its gain is known there, from the close where it began.
+    """
+    w, cost = window(keys), cost_bps / 10_000
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = drawdown(equity(bar_returns(positions.select(*keys, "timestamp", "close", "position"), cost_bps, keys), keys), keys)
+    before = F.coalesce(F.lag("position").over(w), F.lit(0))
+    rows = rows.withColumns({"_i": F.row_number().over(w), "_gap": F.col("timestamp") - F.lag("timestamp").over(w), "_before": before, "_final": F.lead("timestamp").over(w).isNull()})
+    rows = rows.withColumn("_since", F.last(F.when(F.col("position") != F.col("_before"), F.col("close")), ignorenulls=True).over(so_far))
+    rows = rows.withColumn("_from", F.lag("_since").over(w))
+    gain = lambda side, entry: (side * (F.col("close") / entry - 1) - 2 * cost) * 100
+    ended = F.when((F.col("_before") != 0) & (F.col("position") != F.col("_before")), gain(F.col("_before"), F.col("_from")))
+    forced = F.when(F.col("_final") & (F.col("position") != 0), gain(F.col("position"), F.col("_since")))
+    rows = rows.withColumns({"_ended": ended, "_forced": forced})
+    n = F.count("_ended") + F.count("_forced")
+    won = F.count_if(F.col("_ended") > 0) + F.count_if(F.col("_forced") > 0)
+    total = F.coalesce(F.sum("_ended"), F.lit(0.0)) + F.coalesce(F.sum("_forced"), F.lit(0.0))
+    out = rows.groupBy(*keys).agg(
+        n.alias("total_trades"), won.alias("_won"), total.alias("_gain"), F.avg("ret").alias("_mean"), F.stddev_pop("ret").alias("_dev"),
+        ((F.max_by("equity", "timestamp") - 1) * 100).alias("total_return"), (F.max("drawdown") * 100).alias("max_drawdown"), F.count(F.lit(1)).alias("_n"),
+        F.sort_array(F.collect_list(F.when(F.col("_i") <= GAPS, F.col("_gap")))).alias("_gaps"), ((F.max_by("close", "timestamp") / F.min_by("close", "timestamp") - 1) * 100).alias("buy_hold"),
+    )
+    sharpe = F.when(F.col("_dev") > 0, F.col("_mean") / F.col("_dev") * F.sqrt(yearly_bars(F.col("_gaps"), F.col("_n")))).otherwise(0.0)
+    share = lambda x: F.when(F.col("total_trades") > 0, F.col(x) / F.col("total_trades")).otherwise(0.0)
+    return out.select(*keys, "total_trades", share("_won").alias("win_rate"), share("_gain").alias("avg_pnl"), "total_return", "max_drawdown", sharpe.alias("sharpe"), "buy_hold")
 
 
 def signal_counts(table: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import window
@@ -65,12 +65,16 @@ def buy_hold(candles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return candles.groupBy(*keys).agg(gain.alias("buy_hold"))
 
 
+def yearly_bars(gaps: Column, n: Column) -> Column:
+    """Bars in a year by the upper median of the sorted gaps between the first bars; 252 for fewer than three bars."""
+    median = F.try_element_at(gaps, (F.floor(F.size(gaps) / 2) + 1).cast("int"))
+    return F.when(n < 3, F.lit(252.0)).otherwise(YEAR_MS / F.when(median == 0, F.lit(3_600_000)).otherwise(median))
+
+
 def bars_per_year(candles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Bars in a year by the upper median of the first gaps between bars; 252 for fewer than three bars."""
+    """`yearly_bars` of each series."""
     w = window(keys)
     rows = candles.select(*keys, "timestamp", F.row_number().over(w).alias("_i"), F.lag("timestamp").over(w).alias("_before"))
     gaps = F.sort_array(F.collect_list(F.when(F.col("_i") <= GAPS, F.col("timestamp") - F.col("_before"))))  # 199 items at most
     out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), gaps.alias("_gaps"))
-    median = F.try_element_at("_gaps", (F.floor(F.size("_gaps") / 2) + 1).cast("int"))
-    step = F.when(median == 0, F.lit(3_600_000)).otherwise(median)
-    return out.select(*keys, F.when(F.col("_n") < 3, F.lit(252.0)).otherwise(YEAR_MS / step).alias("bars_per_year"))
+    return out.select(*keys, yearly_bars(F.col("_gaps"), F.col("_n")).alias("bars_per_year"))

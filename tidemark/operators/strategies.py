@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pandas as pd
@@ -84,8 +85,8 @@ def with_params(df: DataFrame, parameters: dict[str, Any]) -> DataFrame:
 def provided(s: Strategy) -> set[str]:
     out = {*_PRICES, *resolve_params(s.parameters, {})}
     for key, b in s.bindings.items():
-        outputs = _outputs(b.type) if is_known(b.type) else ()
-        out |= {f"{key}.{o}" for o in outputs} or {key}
+        if is_known(b.type):
+            out |= {f"{key}.{o}" for o in _outputs(b.type)} or {key}
     return out
 
 
@@ -118,56 +119,119 @@ def assemblable(specs: DataFrame) -> DataFrame:
     Spec tables hold one row for each strategy; the reading of rule strings is row-wise work, done in an Arrow batch.
     """
     @F.pandas_udf("struct<reason:string,missing:array<string>>")
-    def checked(entry: pd.DataFrame, leave: pd.Series, bindings: pd.Series, parameters: pd.Series) -> pd.DataFrame:
-        rows = []
-        for (_, e), x, b, p in zip(entry.iterrows(), leave, bindings, parameters, strict=True):
-            binds = {k: Binding(v["type"], dict(v["params"] or {}), v["source"] or "close") for k, v in dict(b if b is not None else {}).items()}
-            numbers = {k: float(v) for k, v in dict(p if p is not None else {}).items() if _is_number(v)}
-            listed = lambda a: tuple(a) if a is not None else ()
-            rows.append(check(Strategy("", e["direction"], listed(e["conditions"]), listed(x), binds, numbers, e["trigger"])))
-        return pd.DataFrame(rows, columns=["reason", "missing"])
-
-    entry = F.struct("entry.direction", "entry.trigger", "entry.conditions")
-    rows = specs.select("id", checked.asNondeterministic()(entry, F.col("exit.conditions"), "bindings", "parameters").alias("c"))
+    def checked(records: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([check(strategy_of(json.loads(r))) for r in records], columns=["reason", "missing"])
+
+    rows = specs.select("id", checked.asNondeterministic()(record_json(specs)).alias("c"))
     return rows.select("id", F.col("c.reason").isNull().alias("ok"), F.col("c.reason").alias("reason"), F.col("c.missing").alias("missing"))
 
 
+#: The parts of a record that say what a strategy does; those that a table lacks count as empty.
+_PARTS = ("id", "entry", "exit", "indicators", "bindings", "parameters")
+
+
+def record_json(specs: DataFrame) -> Column:
+    return F.to_json(F.struct(*[c for c in _PARTS if c in specs.columns]))
+
+
+def strategy_of(record: dict) -> Strategy:
+    """A record of the spec table as a strategy. Its `indicators` are bindings under their output keys, unless a binding has that name."""
+    entry, numbers = record.get("entry") or {}, {k: float(v) for k, v in (record.get("parameters") or {}).items() if _is_number(v)}
+    value = lambda v: float(v) if _is_number(v) else v
+    params = lambda x: {k: value(v) for k, v in (x.get("params") or {}).items()}
+    given = {x["outputKey"]: Binding(x["type"], params(x), x["input"] if x.get("input") in _PRICES else "close") for x in record.get("indicators") or [] if x.get("outputKey")}
+    given |= {k: Binding(x["type"], params(x), x.get("source") or "close") for k, x in (record.get("bindings") or {}).items()}
+    exits = tuple((record.get("exit") or {}).get("conditions") or ())
+    return Strategy(str(record.get("id")), entry.get("direction") or "BOTH", tuple(entry.get("conditions") or ()), exits, given, numbers, entry.get("trigger"))
+
+
+def strategies_of(specs: DataFrame, most: int = 5000) -> list[Strategy]:
+    """The strategies of the records that can run, by id. They shape the plan, so they come to the driver: `most` at most, more is refused."""
+    ready = specs.join(assemblable(specs).filter("ok").select("id"), "id", "left_semi")
+    rows = ready.select(record_json(ready).alias("record")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} strategies; rank them in parts")
+    return sorted((strategy_of(json.loads(r["record"])) for r in rows), key=lambda s: s.id)
+
+
 def _is_number(x: str | None) -> bool:
     try:
         float(x)
     except (TypeError, ValueError):
         return False
-    return x.lower() not in ("nan", "inf", "-inf", "infinity", "-infinity")
+    return str(x).lower() not in ("nan", "inf", "-inf", "infinity", "-infinity")
 
 
-def compose(df: DataFrame, bindings: dict[str, Binding], parameters: dict[str, Any] | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """df with a column for each binding, sources before what is made from them.
+#: An indicator to compute: type, parameters, source column, name of the new column.
+Request = tuple[str, dict[str, float], str, str]
+
+
+def with_indicators(df: DataFrame, requests: Sequence[Request], keys: Sequence[str] = KEYS) -> DataFrame:
+    """df with a column, or several, for each request: the bounded ones as windows, the recursive ones in one pass."""
+    left = []
+    for kind, params, source, name in requests:
+        if kind in _FINITE:
+            build, defaults, _ = _FINITE[kind]
+            params = {"k" if k == "stdDev" else k: v for k, v in params.items()}
+            args = {k: type(d)(params.get(k, d)) for k, d in defaults.items()}
+            df = build(df, **args, **({} if kind in _PRICE_ONLY else {"source": source}), keys=keys, name=name)
+        else:
+            left.append((kind, params, source, name))
+    return recursive.recursive_indicators(df, left, keys) if left else df
+
+
+def compose_all(df: DataFrame, strategies: Sequence[Strategy], keys: Sequence[str] = KEYS) -> tuple[DataFrame, list[dict[str, str]]]:
+    """df with a column for each different indicator that the strategies' bindings ask for, and for each strategy the column of each binding.
 
-    Bindings whose sources are ready are made together: the bounded ones as windows, the recursive ones in one pass.
+    Indicators whose sources are ready are made together, sources before what is made from them.
     """
     from tidemark.functions.scalars import typical_prices
 
-    wanted = {b.source for b in bindings.values()}
-    df = df.withColumns({k: v for k, v in typical_prices().items() if k in wanted})
-    waiting = dict(bindings)
-    while waiting:
-        ready = {k: b for k, b in waiting.items() if b.source.split(".")[0] not in waiting or b.type.upper() in _PRICE_ONLY}
-        if not ready:
-            raise ValueError(f"bindings in a circle: {', '.join(waiting)}")
-        requests = []
-        for key, b in ready.items():
-            kind, params, source = b.type.upper(), resolve_params(b.params, parameters or {}), b.source.replace(".", "__")
-            if kind in _FINITE:
-                build, defaults, _ = _FINITE[kind]
-                params = {"k" if k == "stdDev" else k: v for k, v in params.items()}
-                args = {k: type(d)(params.get(k, d)) for k, d in defaults.items()}
-                df = build(df, **args, **({} if kind in _PRICE_ONLY else {"source": source}), keys=keys, name=key)
-            else:
-                requests.append((kind, params, source, key))
-        if requests:
-            df = recursive.recursive_indicators(df, requests, keys)
-        waiting = {k: b for k, b in waiting.items() if k not in ready}
-    return df
+    wanted = {b.source for s in strategies for b in s.bindings.values()}
+    df = df.withColumns({k: v for k, v in typical_prices().items() if k in wanted and k not in df.columns})
+    made: dict[tuple, str] = {}
+    columns: list[dict[str, str]] = [{} for _ in strategies]
+    while waiting := [{k: b for k, b in s.bindings.items() if k not in own} for s, own in zip(strategies, columns, strict=True)]:
+        if not any(waiting):
+            break
+        requests: list[Request] = []
+        found: list[dict[str, str]] = []
+        for s, own, rest in zip(strategies, columns, waiting, strict=True):
+            found.append({})
+            for key, b in rest.items():
+                kind, base = b.type.upper(), b.source.split(".")[0]
+                if base in rest and kind not in _PRICE_ONLY:
+                    continue
+                source = "" if kind in _PRICE_ONLY else (own.get(base, base) + b.source[len(base) :]).replace(".", "__")
+                params = resolve_params(b.params, s.parameters)
+                same = (kind, tuple(sorted(params.items())), source)
+                if same not in made:
+                    made[same] = f"_ind{len(made)}"
+                    requests.append((kind, params, source or "close", made[same]))
+                found[-1][key] = made[same]
+        if not any(found):
+            raise ValueError(f"bindings in a circle: {', '.join(k for w in waiting for k in w)}")
+        df = with_indicators(df, requests, keys)
+        for own, new in zip(columns, found, strict=True):
+            own.update(new)
+    return df, columns
+
+
+def _names(s: Strategy, columns: dict[str, str]) -> dict[str, Column]:
+    """What the names in a strategy's rules stand for: bindings, outputs of bindings, numeric parameters."""
+    out = {k: F.lit(float(v)) for k, v in resolve_params(s.parameters, {}).items()}
+    for key, column in columns.items():
+        outputs = _outputs(s.bindings[key].type)
+        out |= {f"{key}__{o}": F.col(f"{column}__{o}") for o in outputs} or {key: F.col(column)}
+    return out
+
+
+def compose(df: DataFrame, bindings: dict[str, Binding], parameters: dict[str, Any] | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """df with a column for each binding, sources before what is made from them."""
+    s = Strategy("", "BUY", (), (), dict(bindings), parameters or {})
+    out, (columns,) = compose_all(df, [s], keys)
+    own = {k: v for k, v in _names(replace(s, parameters={}), columns).items()}
+    return out.withColumns(own).drop(*[c for c in out.columns if c.startswith("_ind")])
 
 
 def evaluate_strategy(s: Strategy, keys: Sequence[str] = KEYS) -> Callable[[DataFrame], DataFrame]:
@@ -184,17 +248,69 @@ def job_grid(specs: DataFrame, markets: DataFrame, windows: DataFrame) -> DataFr
     return markets.join(windows, list(KEYS)).crossJoin(F.broadcast(specs.select(F.col("id").alias("spec_id"))))
 
 
-def ranking(candles: DataFrame, strategies: Sequence[Strategy], windows: DataFrame | None = None, cost_bps: float = positions.COST_BPS, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Metrics of every strategy over every series and window, ranked by return within each."""
+#: Strategies of one plan; more are evaluated in several.
+JOBS = 48
+
+
+@dataclass(frozen=True)
+class Job:
+    """A strategy to backtest, with the values of the columns that name it in the result."""
+
+    strategy: Strategy
+    labels: tuple[tuple[str, Any], ...]
+
+
+def backtest_jobs(candles: DataFrame, jobs: Sequence[Job], cost_bps: float = positions.COST_BPS, keys: Sequence[str] = KEYS, grid: DataFrame | None = None) -> DataFrame:
+    """keys, the jobs' labels and the metrics of every job over every series; with grid(keys, labels) only of those in it.
+
+    The candles are read and shuffled once for JOBS jobs: every different indicator is a column, every job a struct of flags in
+    each bar; from there the bars of each job are series of their own in the same partitions.
+    """
+    parts = [_backtest_block(candles, jobs[i : i + JOBS], cost_bps, keys, grid) for i in range(0, len(jobs), JOBS)]
+    if not parts:
+        raise ValueError("no strategies")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _backtest_block(candles: DataFrame, jobs: Sequence[Job], cost_bps: float, keys: Sequence[str], grid: DataFrame | None) -> DataFrame:
+    df, columns = compose_all(candles, [j.strategy for j in jobs], keys)
+    labels = [name for name, _ in jobs[0].labels]
+    own_keys = [*keys, *labels]
+    automata: list[Column] = []
+    windows: list[Column] = []
+    for job, own in zip(jobs, columns, strict=True):
+        s = job.strategy
+        longs, shorts = positions.split_sides(s.direction, s.conditions)
+        flags = {name: positions.any_rule(rules, df.columns, keys, _names(s, own)) for name, rules in (("long", longs), ("short", shorts), ("exit", s.exits))}
+        two = bool(longs and shorts)
+        shape = {"_two": F.lit(two), "_sign": F.lit(1 if longs or two else -1)}
+        row = F.struct(*[F.lit(v).alias(k) for k, v in job.labels], *[x.alias(k) for k, x in (flags | shape).items()])
+        (automata if two and s.exits else windows).append(row)
+    out = None
+    for structs, evaluate in ((windows, positions.shaped_position), (automata, positions.automaton_position)):
+        if structs:
+            rows = df.select(*keys, "timestamp", "close", F.array(*structs).alias("_jobs")).select(*keys, "timestamp", "close", F.inline("_jobs"))
+            if grid is not None:
+                rows = rows.join(grid.select(*own_keys), own_keys, "left_semi")
+            done = positions.backtest(evaluate(rows, own_keys), cost_bps, own_keys)
+            out = done if out is None else out.unionByName(done)
+    return out
+
+
+def ranking(candles: DataFrame, strategies: Sequence[Strategy] | DataFrame, windows: DataFrame | None = None, cost_bps: float = positions.COST_BPS, keys: Sequence[str] = KEYS, grid: DataFrame | None = None) -> DataFrame:
+    """Metrics of every strategy over every series and window, or those in grid(keys, spec_id), ranked by return within each.
+
+    strategies: a spec table, of which those that can run are taken, or strategies.
+    """
     from tidemark.operators.series import window_slices
 
     if windows is not None:
         candles, keys = window_slices(candles, windows, keys), [*keys, "years"]
-    out = None
-    for s in strategies:
-        one = positions.backtest(candles.transform(evaluate_strategy(s, keys)), cost_bps, keys).withColumn("spec_id", F.lit(s.id))
-        out = one if out is None else out.unionByName(one)
-    return rank(out, keys)
+    given = strategies_of(strategies) if isinstance(strategies, DataFrame) else strategies
+    return rank(backtest_jobs(candles, [Job(s, (("spec_id", s.id),)) for s in given], cost_bps, keys, grid), keys)
 
 
 def rank(metrics: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
@@ -215,14 +331,27 @@ def union_markets(*rankings: DataFrame) -> DataFrame:
 
 
 def trade_rows(ranked: DataFrame, width: int = 26) -> DataFrame:
-    """Cells of a ranking for display: dashes where there was no trade, long names cut."""
-    from tidemark.functions.scalars import ipct, pct
+    """Cells of a ranking for display: whole percents, Sharpe with a typographic minus, dashes where there was no trade, long names cut."""
+    from tidemark.functions.scalars import MINUS, ipct, js_round
 
-    traded = F.col("total_trades") > 0
-    cell = lambda x: F.when(traded, x).otherwise("—")
+    cell = lambda x: F.when(F.col("total_trades") > 0, x).otherwise("—")
     name = F.when(F.length("spec_id") > width, F.concat(F.substring("spec_id", 1, width - 1), F.lit("…"))).otherwise(F.col("spec_id"))
-    percent = F.concat(F.format_string("%.0f", F.col("win_rate") * 100), F.lit("%"))
-    return ranked.select(*[c for c in ranked.columns if c in (*KEYS, "years")], "rank", name.alias("name"), cell(pct(F.col("total_return"))).alias("ret"), cell(ipct(F.col("vs_hold"))).alias("vs_hold"), cell(percent).alias("win_rate"), F.col("total_trades").alias("trades"))
+    sharpe = F.regexp_replace(F.format_string("%.2f", F.col("sharpe")), "-", MINUS)
+    whole = lambda x: F.concat(js_round(x).cast("string"), F.lit("%"))
+    keys = [c for c in ranked.columns if c in (*KEYS, "years")]
+    return ranked.select(
+        *keys, "rank", name.alias("name"), cell(ipct(F.col("total_return"))).alias("ret"), cell(ipct(F.col("vs_hold"))).alias("vs_hold"), cell(sharpe).alias("sharpe"),
+        cell(whole(F.col("max_drawdown"))).alias("max_dd"), cell(whole(F.col("win_rate") * 100)).alias("win_rate"), F.col("total_trades").alias("trades"),
+    )
+
+
+def report_rows(ranked: DataFrame) -> DataFrame:
+    """The same for a report: one decimal, whole names, no dashes."""
+    from tidemark.functions.scalars import pct
+
+    keys = [c for c in ranked.columns if c in (*KEYS, "years")]
+    drawdown = F.concat(F.format_string("%.1f", F.col("max_drawdown")), F.lit("%"))
+    return ranked.select(*keys, "rank", F.col("spec_id").alias("name"), pct(F.col("total_return")).alias("ret"), pct(F.col("vs_hold")).alias("vs_hold"), F.format_string("%.2f", F.col("sharpe")).alias("sharpe"), drawdown.alias("max_dd"), F.col("total_trades").alias("trades"))
 
 
 def promotion_gate(train: DataFrame, test: DataFrame, keys: Sequence[str]) -> DataFrame:

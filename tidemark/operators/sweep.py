@@ -1,25 +1,24 @@
 """Parameter sweeps with an out-of-sample split.
 
-Trials are rows; the series they run on are arrays, one row for each series and slice, attached to
-the trials. Nothing is exploded to trials x bars: a trial is scored with numpy inside its task and gives one row.
+Every trial of every strategy is a job of `strategies.backtest_jobs`: a set of parameters with which the strategy's own rules, bindings and
+exits run over each series, timeframe and slice. Different trials that ask for the same indicator share its column.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import replace
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import YEAR_MS, param_range, sample_param, verdict
-from tidemark.operators.recursive import ema
-from tidemark.operators.series import GAPS
-from tidemark.schemas import BAR, KEYS
+from tidemark.functions.scalars import param_range, sample_param, verdict
+from tidemark.operators import positions
+from tidemark.operators.strategies import Job, Strategy, backtest_jobs
+from tidemark.schemas import KEYS
 
-#: Arrays of series are broadcast up to so many bytes; longer ones are joined by key.
-BROADCAST_BYTES = 32 << 20
+#: Trials come to the driver, as they shape the plan; more are refused.
+MOST_TRIALS = 20_000
 
 
 def parameter_ranges(specs: DataFrame) -> DataFrame:
@@ -38,90 +37,18 @@ def trial_grid(spark, specs: DataFrame, trials: int, seed: int = 0) -> DataFrame
     return grid.select("spec_id", "trial", F.when(F.col("trial") < 0, F.col("parameters")).otherwise(F.map_concat(kept, swept)).alias("params"))
 
 
-def series_arrays(candles: DataFrame, keys: Sequence[str] = (*KEYS, "slice")) -> DataFrame:
-    """One row for each series and slice: its bars as arrays in order of time."""
-    bars = F.sort_array(F.collect_list(F.struct(*BAR.names))).alias("bars")
-    rows = candles.groupBy(*keys).agg(bars)
-    return rows.select(*keys, *[F.col(f"bars.{c}").alias(c) for c in BAR.names])
-
-
-def score(timestamp: np.ndarray, close: np.ndarray, position: np.ndarray, cost_bps: float = 5.0) -> dict[str, float]:
-    """The metrics of `positions.backtest` for one series."""
-    cost, n = cost_bps / 10_000, len(close)
-    held = position[:-1].astype(float)
-    ret = held * (close[1:] / close[:-1] - 1) - np.abs(np.diff(held, prepend=0.0)) * cost
-    curve = np.cumprod(1 + ret)
-    peak = np.maximum(1.0, np.maximum.accumulate(curve)) if n > 1 else np.ones(0)
-    turns = np.flatnonzero(np.diff(position, prepend=0))
-    leave = np.append(turns[1:], n - 1)
-    into = position[turns] != 0
-    pnl = (position[turns] * (close[leave] / close[turns] - 1) - 2 * cost)[into] * 100
-    gaps = np.sort(np.diff(timestamp[:GAPS]))
-    step = gaps[len(gaps) // 2] or 3_600_000 if n >= 3 else 0
-    dev = ret.std() if n > 1 else 0.0
-    return {
-        "trades": int(into.sum()),
-        "win_rate": float((pnl > 0).mean()) if len(pnl) else 0.0,
-        "total_return": float((curve[-1] - 1) * 100) if n > 1 else 0.0,
-        "max_drawdown": float(((peak - curve) / peak).max() * 100) if n > 1 else 0.0,
-        "sharpe": float(ret.mean() / dev * np.sqrt(YEAR_MS / step if n >= 3 else 252.0)) if dev > 0 else 0.0,
-    }
-
-
-def ema_cross(bars: dict[str, np.ndarray], params: dict[str, float]) -> np.ndarray:
-    """Long while the fast mean crossed above the slow one last, short while below; flat before the first cross."""
-    fast, slow = ema(bars["close"], int(params["fastLength"])), ema(bars["close"], int(params["slowLength"]))
-    above, below = fast > slow, fast < slow
-    ready = ~(np.isnan(fast) | np.isnan(slow))
-    up = above[1:] & ready[:-1] & ~above[:-1]
-    down = below[1:] & ready[:-1] & ~below[:-1]
-    event = np.concatenate([[0], np.where(up, 1, np.where(down, -1, 0))])
-    return pd.Series(event).replace(0, np.nan).ffill().fillna(0).to_numpy().astype(int)
-
-
-def band_reversal(bars: dict[str, np.ndarray], params: dict[str, float]) -> np.ndarray:
-    """Long from a close under the lower band until one over the middle."""
-    close = pd.Series(bars["close"])
-    n, k = int(params["bandPeriod"]), params["devMult"]
-    mid, dev = close.rolling(n).mean(), close.rolling(n).std(ddof=0)
-    event = np.where(close < mid - k * dev, 1.0, np.where(close > mid, 0.0, np.nan))
-    return pd.Series(event).ffill().fillna(0).to_numpy().astype(int)
-
-
-Engine = Callable[[dict[str, np.ndarray], dict[str, float]], np.ndarray]
-#: Strategies that a sweep can run, and their default parameters.
-ENGINES: dict[str, tuple[Engine, dict[str, float]]] = {
-    "ema-cross": (ema_cross, {"fastLength": 12.0, "slowLength": 26.0}),
-    "band-reversal": (band_reversal, {"bandPeriod": 20.0, "devMult": 2.0}),
-}
 _METRICS = ("trades", "win_rate", "total_return", "max_drawdown", "sharpe")
 
 
-def score_trials(trials: DataFrame, series: DataFrame, cost_bps: float = 5.0, engines: dict[str, tuple[Engine, dict]] | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """keys, spec_id, trial, slice and metrics: each trial on each series and slice.
-
-    The arrays are broadcast while they stay under BROADCAST_BYTES; beyond, each series' row meets its trials in blocks.
-    """
-    engines = engines or ENGINES
-    size = series.agg(F.sum(F.size("close"))).first()[0] or 0
-    names = [*keys, "slice"]
-    spread = trials.repartition("spec_id", "trial")
-    if size * 8 * len(BAR.names) <= BROADCAST_BYTES:
-        rows = spread.crossJoin(F.broadcast(series))
-    else:
-        rows = series.crossJoin(F.broadcast(trials))
-    schema = ", ".join([*(f"{k} string" for k in names), "spec_id string", "trial int", "trades int", *(f"{m} double" for m in _METRICS[1:])])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                bars = {c: np.asarray(r[c], dtype=np.int64 if c == "timestamp" else float) for c in BAR.names}
-                position = engines[r["spec_id"]][0](bars, dict(r["params"]))
-                out.append({**{k: r[k] for k in (*names, "spec_id", "trial")}, **score(bars["timestamp"], bars["close"], position, cost_bps)})
-            yield pd.DataFrame(out, columns=[*names, "spec_id", "trial", *_METRICS])
-
-    return rows.mapInPandas(run, schema)
+def score_trials(candles: DataFrame, strategies: Sequence[Strategy], trials: DataFrame, cost_bps: float = positions.COST_BPS, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, slice, spec_id, trial and metrics of each of trials(spec_id, trial, params) on each series and slice of the candles."""
+    rows = trials.select("spec_id", "trial", "params").limit(MOST_TRIALS + 1).collect()
+    if len(rows) > MOST_TRIALS:
+        raise ValueError(f"more than {MOST_TRIALS} trials; sweep in parts")
+    by_id = {s.id: s for s in strategies}
+    jobs = [Job(replace(by_id[r["spec_id"]], parameters=dict(r["params"] or {})), (("spec_id", r["spec_id"]), ("trial", r["trial"]))) for r in sorted(rows, key=lambda r: (r["spec_id"], r["trial"])) if r["spec_id"] in by_id]
+    out = backtest_jobs(candles, jobs, cost_bps, [*keys, "slice"])
+    return out.select(*keys, "slice", "spec_id", "trial", F.col("total_trades").alias("trades"), *_METRICS[1:])
 
 
 def train_and_test(scores: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
