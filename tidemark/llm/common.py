@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: A table is broadcast only where its rows, at their estimated width, stay under this many bytes.
 BROADCAST_BYTES = 48 << 20
 #: Python works on slices of an Arrow batch with about so many bytes of text (one longer text is a slice alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _own_folder: list[str] = []
 _libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
@@ -57,7 +57,7 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> None:
     """Bound the rows and bytes of an Arrow batch in this session. Plans read this when they run, which is after the operator has returned, so it stays set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
