@@ -287,6 +287,45 @@ def test_classifier_on_held_out_labels(spark):
     assert quality_classifier.quality_scores(common.documents(spark, SMALL), labels.limit(0)).agg(F.countDistinct("score")).first()[0] == 1
 
 
+def test_co_training_equals_one_process(spark):
+    """Rounds, choice of pseudo-labels and scores, against the same steps over all rows in one process."""
+    import pyarrow as pa
+
+    q, plain = quality_classifier, lambda x: None if x != x else x
+    rows = common.documents(spark, "/root/testdata/sf0.01").limit(700).toPandas().sort_values("doc_id").reset_index(drop=True)
+    rows = rows.astype(object)
+    rows.loc[3, ["text", "lang", "n_chars"]] = None
+    docs = spark.createDataFrame([tuple(plain(x) for x in r) for r in rows.to_numpy().tolist()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(docs.filter("doc_id % 50 = 1"))  # repeated rows train once
+    labels = common.documents(spark, "/root/testdata/sf0.01", "labels")
+    text = pa.array([plain(t) for t in rows["text"]], pa.string())
+    views = q.text_view(text), q.meta_view(text, *([plain(x) for x in rows[c]] for c in ("lang", "source", "n_chars")))
+    keys = spark.createDataFrame(list(zip(rows["doc_id"].tolist(), text.to_pylist(), strict=True)), "doc_id long, text string").select("doc_id", F.xxhash64("doc_id", F.lit(9)).alias("by"), F.xxhash64("doc_id", common.body_of(), F.lit(9)).alias("tie")).toPandas().sort_values("doc_id")
+    good = dict(labels.groupBy("doc_id").agg(F.min("quality")).collect())
+    known = sorted((i for i in range(len(rows)) if rows["doc_id"][i] in good), key=lambda i: rows["doc_id"][i])
+    y = np.array([good[rows["doc_id"][i]] for i in known], float)
+    held, prior = np.arange(len(y)) % 4 == 3, (y.sum() + 1) / (len(y) + 2)
+    sets = [[v[known][~held], y[~held]] for v in views]
+    free, tie = {0: set(range(len(rows))) - set(known), 1: set(range(len(rows))) - set(known)}, keys["tie"].to_numpy()
+    for _ in range(2):
+        p = [q._sigmoid(q.logit(q.fit(*s), v)) for s, v in zip(sets, views, strict=True)]
+        for teacher in (0, 1):
+            pick = []
+            for label, share in ((1.0, prior), (0.0, 1 - prior)):
+                sure = p[teacher] if label else 1 - p[teacher]
+                best = sorted((i for i in free[teacher] if sure[i] > 0.95), key=lambda i: (-sure[i], tie[i]))[: max(1, int(20 * share))]
+                pick += [(i, label) for i in best]
+            free[teacher] -= {i for i, _ in pick}
+            pick.sort()
+            sets[1 - teacher][0] = np.vstack([sets[1 - teacher][0], views[1 - teacher][[i for i, _ in pick]]])
+            sets[1 - teacher][1] = np.concatenate([sets[1 - teacher][1], [label for _, label in pick]])
+    model = q.finish(tuple(v[known][held] for v in views), y[held], q.fit(*sets[0]), q.fit(*sets[1]), prior)
+    want = dict(zip(rows["doc_id"], model.score(*views)[2], strict=True))
+    got = q.quality_scores(docs, labels, rounds=2, per_round=20).collect()
+    assert len(got) == docs.count()
+    assert max(abs(r["score"] - want[r["doc_id"]]) for r in got) < 1e-6
+
+
 def test_licences(spark):
     texts = [(1, "Released under the MIT License.\nplain words"), (2, "the license fee went up\nAll rights reserved."), (3, None), (4, "Licensed under CC BY-NC 4.0.\n" * 2), (5, "This work is licensed under the GNU General Public License, version 3.")]
     got = {r["doc_id"]: [(x["place"], x["family"]) for x in r["licences"]] for r in license_scan.license_scan(frame(spark, texts)).collect()}
