@@ -57,7 +57,7 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "1m") -> None:
     """Bound the rows and bytes of an Arrow batch in this session. Plans read this when they run, which is after the operator has returned, so it stays set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
@@ -75,17 +75,25 @@ def attach(docs: DataFrame, table: DataFrame, key: str | list[str], row_bytes: i
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices of about `limit` bytes of `column`."""
+    """The rows of the batches, cut or joined to slices of about `limit` bytes of `column`."""
+    held, size = [], 0
     for batch in batches:
-        at, size = 0, 0
-        for i, n in enumerate(batch.column(column).is_valid().to_pylist() and _lengths(batch.column(column))):
+        at = 0
+        for i, n in enumerate(_lengths(batch.column(column)) if batch.num_rows else ()):
             if size and size + n > limit:
-                yield batch.slice(at, i - at)
-                at, size = i, 0
-            size += n
+                yield _as_one([*held, batch.slice(at, i - at)])
+                held, at, size = [], i, 0
+            size += n + 64
         if at < batch.num_rows:
-            yield batch.slice(at)
-    malloc_trim()
+            held.append(batch.slice(at))
+    if held:
+        yield _as_one(held)
+    malloc_trim()  # the worker goes on to other stages
+
+
+def _as_one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    parts = [p for p in parts if p.num_rows]
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def _lengths(column: pa.Array) -> list[int]:

@@ -33,7 +33,7 @@ from tidemark.llm.hashing import join_hashes, run_hashes, runs
 WINDOW = 10
 #: Benchmark text in a block.
 BLOCK_CHARS = 16 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 _WORD_BYTES = [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[_WORD_BYTES] = True

@@ -44,7 +44,7 @@ def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.license_scan(documents(spark, sf_dir))
     families = F.array_join(F.array_sort(F.array_distinct("licences.family")), ",")
-    spans = F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["place"].cast("string"), x["family"])), ",")
+    spans = F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["place"].cast("string"), x["width"].cast("string"), x["family"])), ",")
     return found.select("doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licensed"), families.alias("families"), spans.alias("paragraphs"))
 
 

@@ -125,7 +125,7 @@ _ROWS_DDL = "bucket long, content long, doc_id long, span long, later array<stru
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffix rows; of rows of a block with the same bucket and content the first, with the places of the others in `later`."""
-    for part in slices(batches):
+    for part in slices(batches, limit=BLOCK):
         ids = part.column("doc_id").to_numpy(zero_copy_only=False)
         for raw, valid, text, offset in blocks([t.encode() for t in text_list(part)]):
             first, more, sample, bucket, content = sampled_rows(raw, valid)
