@@ -564,6 +564,21 @@ def param_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("spec_id", "name", _r("r.lo", "lo"), _r("r.hi", "hi"), F.col("r.int").alias("whole"))
 
 
+@query(f"""WITH {_PARAMETERS}, r AS (SELECT spec_id, n, ({_RANGE.format(length="greatest(2, floor(v * 0.4 + 0.5))", level="v * 0.5", mult="greatest(0.1, v * 0.3)", other="v * 0.5")})::DOUBLE AS lo,
+ ({_RANGE.format(length="greatest(6, floor(v * 2.5 + 0.5))", level="CASE WHEN v = 0 THEN 1 ELSE v * 1.5 END", mult="CASE WHEN v = 0 THEN 3 ELSE v * 3 END", other="v * 1.5")})::DOUBLE AS hi,
+ {_RANGE.format(length="true", level="false", mult="false", other="v = floor(v)")} AS whole FROM p), t AS (SELECT *, unnest([0, 1]) AS trial FROM r WHERE lo IS NOT NULL),
+x AS (SELECT *, lo + (('0x' || substr(md5('3/' || spec_id || '/' || trial || '/' || n), 1, 13))::BIGINT / 4503599627370496e0) * (hi - lo) AS x FROM t)
+SELECT spec_id, trial, n AS name, round(CASE WHEN whole THEN floor(x + 0.5e0) ELSE floor(x * 10000e0 + 0.5e0) / 10000e0 END, 6) AS value FROM x""")
+def sampled_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """two draws of each part's parameter."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("emaLength", "levelHigh", "devMult", "speed", "x")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    value = F.when(F.col("p_partkey") % 4 == 0, F.col("p_size") - 10).when(F.col("p_partkey") % 4 == 1, 0).otherwise(F.col("p_size") + 0.5).cast("double")
+    rows = part.select(F.col("p_partkey").alias("spec_id"), F.lower(name).alias("name"), scalars.param_range(name, value).alias("r"))
+    rows = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("trial"))
+    return rows.filter("r.lo IS NOT NULL").select("spec_id", "trial", "name", _r(scalars.sample_param(F.col("r"), 3, F.col("spec_id"), F.col("trial"), F.col("name")), "value"))
+
+
 SWEPT = (
     Strategy("sma-cross", "BOTH", CROSS.conditions, (), {"fast": Binding("SMA", {"period": "fastLength"}), "slow": Binding("SMA", {"period": "slowLength"})}, {"fastLength": 5.0, "slowLength": 20.0}),
     Strategy("band-reversal", "BUY", BAND.conditions, BAND.exits, {"bb": Binding("BB", {"period": "bandPeriod", "stdDev": "devMult"})}, {"bandPeriod": 20.0, "devMult": 2.0}),
@@ -885,6 +900,13 @@ def todo_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.todo_scripts(found, _registry(spark, sf_dir))
 
 
+@query("""SELECT DISTINCT p_size AS page_num, p_brand AS listing_path FROM part EXCEPT SELECT p_size, p_brand FROM part WHERE p_partkey % 3 = 0""")
+def todo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages that are not yet known, one for each size and brand of parts."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_size").alias("page_num"), F.col("p_brand").alias("listing_path"))
+    return corpus.todo_pages(part.select("page_num", "listing_path").distinct(), part.filter("p_partkey % 3 = 0"))
+
+
 @query("""WITH o AS (SELECT o_custkey AS id, min(o_orderkey) AS c FROM orders GROUP BY ALL) SELECT c_custkey AS id, coalesce(o.c, -1) AS "createdAt" FROM customer LEFT JOIN o ON o.id = c_custkey""")
 def keep_created_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J6."""
