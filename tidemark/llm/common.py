@@ -54,7 +54,19 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more: what was made of them is staged itself."""
+    for table in tables:
+        path = getattr(table, "_staged_at", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "1m") -> None:

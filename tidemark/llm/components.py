@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import release, staged
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -27,7 +27,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "component-edges")
+        before, edges = edges, staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "component-edges")
+        release(before)
         now = _checksum(edges)
         if now == seen:
             break

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, slices, small_batches, staged, text_list, texts
+from tidemark.llm.common import attach, release, slices, small_batches, staged, text_list, texts
 from tidemark.llm.components import components
 from tidemark.llm.hashing import shingle_sets
 
@@ -396,7 +396,9 @@ def verified_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     overlap = sum((F.size(F.array_intersect(f"hub_{g}", f"member_{g}")) for g in groups[1:]), F.size(F.array_intersect(f"hub_{groups[0]}", f"member_{groups[0]}")))
     rows = rows.select("hub", "member", "hub_n", "member_n", overlap.alias("overlap"))
     linked = 100 * F.col("overlap") >= percent * (F.col("hub_n") + F.col("member_n") - F.col("overlap"))
-    return staged(rows.filter(linked).select(F.col("hub").alias("a"), F.col("member").alias("b")), "links")
+    links = staged(rows.filter(linked).select(F.col("hub").alias("a"), F.col("member").alias("b")), "links")
+    release(pairs)
+    return links
 
 
 def class_labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -405,9 +407,12 @@ def class_labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int
     held = staged(companioned(lists, percent).join(classes.select("cid", "doc_id", "body", "n"), "cid"), "held-classes")
     shared = shared_sets(docs, held, size, percent)
     rows = staged(lists.filter("core").select("gram", "cid").join(shared.select("cid", "n", "cap"), "cid"), "core-lists")
+    release(lists)
     links, labels = None, None
     for round_ in range(HUB_ROUNDS + 1):
-        rows = staged(_open_lists(_labelled(rows, labels), round_), "open-lists")
+        before, rows = rows, staged(_open_lists(_labelled(rows, labels), round_), "open-lists")
+        if not round_:
+            release(before)
         more = verified_links(_hub_pairs(rows, percent), shared, percent) if round_ < HUB_ROUNDS else block_links(rows, shared, percent)
         links = more if links is None else links.unionByName(more)
         labels = staged(components(links), "component-labels")
