@@ -67,6 +67,21 @@ def test_token_files(spark, docs, monkeypatch):
         start += len(ids)
 
 
+def test_pieces_of_odd_texts(reference):
+    """Texts of odd white space, marks and long words, many at once and through a table that is emptied again and again."""
+    import random
+
+    rnd = random.Random(1)
+    words = ["a", "Bc", "é", "漢字", "...", ",", ". ", " ", "  ", "\n", "\n\n", "\t", "\u3000", "\xa0", "'s", "don't", "12", "3.5", "\u2009", "\x1c", "\x85", "x" * 70, "e.", "Z,", " q. ", "\r\n", "\u2028", "!"]
+    enc = bpe.Encoder(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    enc.pieces.most = 300
+    for _ in range(400):
+        texts = ["".join(rnd.choice(words) for _ in range(rnd.randint(0, 40))) for _ in range(rnd.randint(1, 8))]
+        ids, counts = enc.pieces.many(texts)
+        want = [reference.encode_ordinary(x) for x in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w], texts
+
+
 def test_variable_length_code_round_trip():
     values = np.array([0, 255, 256, 65_535, 65_536, 1 << 24, (1 << 32) - 1, 7], np.uint32)
     counts = np.array([3, 0, 5])

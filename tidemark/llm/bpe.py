@@ -142,6 +142,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
         for part in slices(batches):
             ids, counts = enc.pieces.many(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), binary_column(ids, 4 * counts)], schema=_SCHEMA)
+        enc.pieces.forget()
 
     return texts(docs).mapInArrow(run, _DDL)
 
@@ -177,5 +178,6 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
                 digests.append(hashlib.sha256(" ".join(map(spelt.__getitem__, own)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join(map(enc.tokens.__getitem__, own))).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], schema=schema)
+        enc.pieces.forget()
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -40,7 +40,9 @@ def piece_starts(b: np.ndarray, edges: np.ndarray, stops: bool = True) -> np.nda
         general = (x == 0xE2) & (((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
         three = general | (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
         kind[wide[two | three]] = _BLANK
-    starts = np.append(((kind[:-1] & _CUT) > (kind[1:] & _BLANK)), False)
+    after = kind[1:].copy()
+    after[edges[1:][edges[1:] > 0] - 1] = _BLANK  # what follows the end of a text is another text
+    starts = np.append((kind[:-1] & _CUT) > (after & _BLANK), False)
     starts[edges] = True
     stop = np.flatnonzero(kind & _STOP) if stops else wide[:0]
     stop = stop[stop > 0]
@@ -56,13 +58,19 @@ class PieceIds:
     def __init__(self, encode: Callable[[str], bytes], encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], pattern: str, most: int = 1 << 21, longest: int = 64, dtype: str = "<u4"):
         self.encode, self.encode_words, self.find = encode, encode_words, regex.compile(pattern).findall
         self.most, self.longest, self.dtype = most, longest, np.dtype(dtype)
-        self.bits = (2 * most - 1).bit_length()
         self.forget()
 
     def forget(self) -> None:
-        self.slot_key, self.slot_entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self.size, self.pool = np.zeros(0, np.int32), np.zeros(0, self.dtype)
+        """Give the memory back, for a worker that goes on to other stages."""
+        self.keys, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, self.dtype)
         self.bare: dict[str, bytes] = {}
+        self._slot(12)
+
+    def _slot(self, bits: int) -> None:
+        """A table of 2 ** bits slots with all entries."""
+        self.bits = bits
+        self.slot_key, self.slot_entry = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self._place(self.keys, np.arange(len(self.keys), dtype=np.int32))
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -134,7 +142,13 @@ class PieceIds:
         of_new = np.empty(len(new), np.int32)
         of_new[order] = first_new + np.arange(len(new), dtype=np.int32)
         if len(new) <= self.most:
-            self._place(new, of_new)
+            of_entry = np.empty(len(new), np.uint64)
+            of_entry[of_new - first_new] = new
+            self.keys = np.concatenate([self.keys, of_entry])
+            if 2 * len(self.keys) > 1 << self.bits:
+                self._slot((4 * len(self.keys) - 1).bit_length())
+            else:
+                self._place(new, of_new)
             self.size, self.pool = size[: first_new + len(new)], pool[: len(self.pool) + len(ids)]
         open_ = (entry < 0) & ~long
         entry[open_] = of_new[np.searchsorted(new, keys[open_])]
