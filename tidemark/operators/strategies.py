@@ -314,8 +314,8 @@ def ranking(candles: DataFrame, strategies: Sequence[Strategy] | DataFrame, wind
 
 
 def rank(metrics: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """rank by total return, ties by spec_id, and vs_hold."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total_return"), "spec_id"))
+    """rank by total return, ties by spec_id, and vs_hold. Returns that agree to six decimals tie, as the last digits of a product depend on the order of its factors."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("total_return", 6).desc(), "spec_id"))
     return metrics.withColumns({"rank": place, "vs_hold": F.col("total_return") - F.col("buy_hold")})
 
 
