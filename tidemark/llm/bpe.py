@@ -22,7 +22,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import PieceIds
 from tidemark.llm.common import binary_column, slices, small_batches, texts

@@ -146,8 +146,7 @@ def set_classes(sets: DataFrame) -> DataFrame:
 
 def prefix_lists(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """gram, cid, n and core (whether the n-gram is one of the first n - t + 1) for the n-grams that the prefixes of two classes or more hold."""
-    stands = staged(classes.select("doc_id", "body", "set_key", "cid"), "class-stands")
-    rows = attach(sets, stands, ["doc_id", "body", "set_key"], row_bytes=96, how="inner")
+    rows = attach(sets, classes.select("doc_id", "body", "set_key", "cid"), ["doc_id", "body", "set_key"], row_bytes=96, how="inner")
     rows = rows.select("cid", "n", F.posexplode("prefix").alias("place", "gram"))
     rows = rows.select("gram", "cid", "n", (F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / F.lit(100))).alias("core"))
     in_list = F.count(F.lit(1)).over(Window.partitionBy("gram"))
@@ -202,7 +201,7 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return lists.withColumns({"label": F.col("cid"), "size": F.lit(1).cast("long")})
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    known = staged(labels.join(sizes, "label").select(F.col("node").alias("cid"), "label", "size"), "component-sizes")
+    known = labels.join(sizes, "label").select(F.col("node").alias("cid"), "label", "size")
     rows = lists.drop("label", "size").join(known, "cid", "left")
     return rows.withColumns({"label": F.coalesce("label", "cid"), "size": F.coalesce("size", F.lit(1))})
 
@@ -389,16 +388,13 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def verified_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of pairs(hub, member) that link: their overlap is counted in each group of fragments alone, and summed."""
-    pairs = staged(pairs, "candidate-pairs")
     groups = [f"g{k}" for k in range(GROUPS)]
     side = lambda name: sets.select(F.col("cid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *groups)])
     rows = pairs.join(side("member"), "member").join(side("hub"), "hub")
     overlap = sum((F.size(F.array_intersect(f"hub_{g}", f"member_{g}")) for g in groups[1:]), F.size(F.array_intersect(f"hub_{groups[0]}", f"member_{groups[0]}")))
     rows = rows.select("hub", "member", "hub_n", "member_n", overlap.alias("overlap"))
     linked = 100 * F.col("overlap") >= percent * (F.col("hub_n") + F.col("member_n") - F.col("overlap"))
-    links = staged(rows.filter(linked).select(F.col("hub").alias("a"), F.col("member").alias("b")), "links")
-    release(pairs)
-    return links
+    return staged(rows.filter(linked).select(F.col("hub").alias("a"), F.col("member").alias("b")), "links")
 
 
 def class_labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -415,7 +411,7 @@ def class_labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int
             release(before)
         more = verified_links(_hub_pairs(rows, percent), shared, percent) if round_ < HUB_ROUNDS else block_links(rows, shared, percent)
         links = more if links is None else links.unionByName(more)
-        labels = staged(components(links), "component-labels")
+        labels = components(links)
         rows = rows.select("gram", "cid", "n", "cap")
     return labels
 

@@ -10,7 +10,6 @@ exclusive; a path may occur in any number of versions; extra columns are ignored
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
