@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from tests.compare import differences
 from tests.llm.cases import awkward, frame
-from tidemark.llm import bpe, common, decontaminate, license_scan, ngram_join, quality_classifier, quality_rules, queries, secret_ledger, substring_dedup, token_counts, token_files
+from tidemark.llm import bpe, common, components, decontaminate, license_scan, ngram_join, quality_classifier, quality_rules, queries, secret_ledger, substring_dedup, token_counts, token_files
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 HUB = public_tokenizers.path("byte_bpe_50k.json")
@@ -169,6 +169,8 @@ def brute_components(texts):
 @pytest.mark.parametrize("block", [3, 1024])
 def test_ngram_join(spark, docs, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    if block == 3:
+        monkeypatch.setattr(components, "FEW", 0)  # by steps instead of in one task
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs).collect()}
     assert got == brute_components(awkward())
 
