@@ -1,11 +1,13 @@
 import base64
 import hashlib
+import os
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -53,12 +55,15 @@ def test_encoding_and_decoding(spark, docs, reference):
     assert back == {i: (t or "").encode() for i, t in awkward()}
 
 
-def test_token_files(spark, docs, monkeypatch):
+def test_token_files(spark, docs, monkeypatch, tmp_path):
     hub = Tokenizer.from_file(HUB)
     more = [(200, "a <|endoftext|>b"), (201, "<|endoftext|><|endoftext|>"), (202, "x" * 70 + " " + "yz" * 40 + "\u3000 .\u2028,a. b,\u00a0c"), (203, " <|endoftext|> end")]
     docs = docs.unionByName(frame(spark, more))
     monkeypatch.setattr(token_files, "FILE_BYTES", 9000)
-    got = {r["doc_id"]: r for r in token_files.token_file_digest(docs, HUB, public_tokenizers.PATTERN).collect()}
+    got = {r["doc_id"]: r for r in token_files.token_file_digest(docs, HUB, public_tokenizers.PATTERN, f"{tmp_path}/t").collect()}
+    files = [pq.read_table(f"{tmp_path}/t/files/{p}") for p in sorted(os.listdir(f"{tmp_path}/t/files")) if p.startswith("part-")]
+    assert len(files) > 10 and [i for f in files for i in f["doc_id"].to_pylist()] == sorted(got)
+    assert all(len(set(f["file"].to_pylist())) <= 1 for f in files)
     start = 0
     for i, text in [*awkward(), *more]:
         ids = [*hub.encode(text or "", add_special_tokens=False).ids, 0]
@@ -227,6 +232,17 @@ def test_substring_dedup(spark, docs, block, monkeypatch):
     assert got == brute_removed(awkward())
 
 
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    """Each text is a document of its own, in the order of the hashes of the texts."""
+    a, b, c = ("".join(chr(97 + (k * s) % 23) for k in range(300)) for s in (1, 5, 7))
+    rows = [(4, a), (7, b + c), (7, a + b), (9, c)]
+    place = {t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0] for _, t in rows}
+    order = sorted(rows, key=lambda r: (r[0], place[r[1]]))
+    plain = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in substring_dedup.substring_dedup(frame(spark, [(i, t) for i, (_, t) in enumerate(order)])).withColumn("n_removed", F.size("removed")).collect()}
+    got = substring_dedup.substring_dedup(frame(spark, rows)).withColumn("n_removed", F.size("removed")).collect()
+    assert sorted((r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in got) == sorted((order[i][0], *x) for i, x in plain.items())
+
+
 def test_substring_dedup_of_repeated_rows(spark):
     twice = frame(spark, [(1, "q" * 50 + "abc" * 60), (1, "q" * 50 + "abc" * 60), (2, "z" * 120)])
     one = frame(spark, [(1, "q" * 50 + "abc" * 60), (2, "z" * 120)])

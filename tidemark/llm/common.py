@@ -146,6 +146,23 @@ def body_of(text: str = "text") -> Column:
     return F.xxhash64(text).alias("body")
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from all columns of docs."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def keyed_rows(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with doc_id as long and the hash of the text under two free names, and these names."""
+    key = free_names(docs, "_doc", "_body")
+    return docs.select("*", F.col("doc_id").cast("long").alias(key[0]), F.xxhash64("text").alias(key[1])), key
+
+
 def edit_texts(docs: DataFrame, edits: DataFrame, new_text: Callable[[str, list[tuple[int, int]]], str]) -> DataFrame:
     """docs with text and n_chars changed in the rows that edits(doc_id, body, spans of start and end) names; new_text: (text, spans) -> text.
 
@@ -153,17 +170,23 @@ def edit_texts(docs: DataFrame, edits: DataFrame, new_text: Callable[[str, list[
     """
     small_batches(docs.sparkSession)
     spans = F.transform("spans", lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end")))
-    edits = edits.select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), spans.alias("_spans"))
-    edits = staged(edits.dropDuplicates(["_doc", "_body"]), "edits")
-    width = 64 + 32 * int(edits.agg(F.max(F.size("_spans"))).first()[0] or 0)
-    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_body": body_of()})
-    joined = attach(keyed, edits, ["_doc", "_body"], row_bytes=width)
+    keyed, key = keyed_rows(docs)
+    (of_row,) = free_names(docs, "_spans")
+    edits = edits.select(F.col("doc_id").alias(key[0]), F.col("body").alias(key[1]), spans.alias(of_row))
+    edits = staged(edits.dropDuplicates(key), "edits")
+    width = 64 + 32 * int(edits.agg(F.max(F.size(of_row))).first()[0] or 0)
     names, schema = docs.columns, docs.schema
+    joined = attach(keyed, edits, key, row_bytes=width)
+    joined = joined.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(of_row).alias("spans"))
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.column("row").flatten(), b.column("spans")], names=[*names, of_row])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(flat(batches)):
             columns = {c: part.column(c) for c in names}
-            spans = part.column("_spans")
+            spans = part.column(of_row)
             if spans.null_count < len(spans):
                 texts, lengths = part.column("text").to_pylist(), part.column("n_chars").to_pylist() if "n_chars" in names else []
                 for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():

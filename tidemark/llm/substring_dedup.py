@@ -18,8 +18,9 @@ question needs:
 Work and shuffles grow with the sampled rows; a group of copies costs its size. Identifiers have 64 bits and every
 comparison uses two of them.
 
-Defined results: texts are UTF-8 bytes, null is empty; texts of fewer than LENGTH bytes lose nothing; doc_id
-identifies a document and repeated rows count as one; extra columns are ignored; a row without a doc_id is left out.
+Defined results: texts are UTF-8 bytes, null is empty; texts of fewer than LENGTH bytes lose nothing; a document is a
+doc_id and its text, so repeated rows count as one and rows that share a doc_id but not the text are documents of their own, in the order of
+a hash of their texts; extra columns are ignored; a row without a doc_id is left out.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, slices, small_batches, staged, text_list, texts
+from tidemark.llm.common import attach, body_of, slices, small_batches, staged, text_list, texts
 from tidemark.llm.hashing import mix
 
 LENGTH = 100
@@ -231,9 +232,21 @@ def removal_mask(n_bytes: int, starts: np.ndarray, spans: np.ndarray) -> np.ndar
     return np.cumsum(edge[:-1]) > 0
 
 
+def one_text_an_id(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs(doc_id, text), and None where each doc_id has one text; else docs with a number for each doc_id and text in its place, in
+    their order, and the table of number and own_id."""
+    rows = docs.select("doc_id", body_of())
+    if not rows.groupBy("doc_id").agg(F.min("body").alias("a"), F.max("body").alias("z")).filter("a != z").take(1):
+        return docs, None
+    numbers = rows.distinct().orderBy("doc_id", "body").withColumn("number", F.monotonically_increasing_id())
+    numbers = staged(numbers.select(F.col("doc_id").alias("own_id"), "body", "number"), "row-numbers")
+    found = attach(docs.select(F.col("doc_id").alias("own_id"), body_of(), "text"), numbers, ["own_id", "body"], row_bytes=48)
+    return found.select(F.col("number").alias("doc_id"), "text"), numbers.select("number", "own_id")
+
+
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, removed (array of start, end) and kept (the bytes left) of each row of docs(doc_id, text)."""
-    docs = texts(docs)
+    docs, own_ids = one_text_an_id(texts(docs))
     repeats = staged(repeated_spans(docs), "repeats")
     joined = attach(docs, repeats, "doc_id", None)
     runs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -251,4 +264,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
                 kept.append(np.frombuffer(raw, np.uint8)[~mask].tobytes() if turns else raw)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, runs), pa.array(kept, pa.binary())], schema=schema)
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start long, end long>>, kept binary")
+    out = joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start long, end long>>, kept binary")
+    if own_ids is None:
+        return out
+    return attach(out.withColumnRenamed("doc_id", "number"), own_ids, "number", row_bytes=32).select(F.col("own_id").alias("doc_id"), "n_bytes", "removed", "kept")

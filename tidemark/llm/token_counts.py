@@ -161,6 +161,7 @@ def build_trees(docs: DataFrame, ranks_path: str | None = None, pattern: str | N
             before = np.concatenate([[0], np.cumsum(tokens)])
             lists = [pa.ListArray.from_arrays(pa.array(of_text, pa.int32()), pa.array(x, pa.int32())) for x in (chars, tokens)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), pa.array(np.diff(before[of_text]), pa.int64()), *lists], names=[*KEY, "n_tokens", "leaf_chars", "leaf_tokens"])
+        enc.pieces.forget()
 
     return docs.select(*KEY, "text").mapInArrow(run, f"doc_id long, version long, n_tokens long, {_TREE}")
 
@@ -202,6 +203,7 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, ranks_path:
             n_edits = [len(x) for x in part.column("edits").to_pylist()]
             rows = list(zip(part.column("doc_id").to_pylist(), part.column("version").to_pylist(), *zip(*(t.kept() for t in grown), strict=True), [t.total for t in grown], n_edits, encoded, strict=True)) if grown else []
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+        enc.pieces.forget()
 
     joined = touched.join(own_trees.hint("shuffle_hash"), KEY)
     return joined.mapInArrow(run, f"doc_id long, version long, text string, {_TREE}, n_tokens long, n_edits long, chars_encoded long")

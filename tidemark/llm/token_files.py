@@ -1,14 +1,14 @@
 """Token-ID files (operator 2): frequency-ranked ids in a byte-aligned variable-length code.
 
 Format. A token file is a Parquet file of documents in ascending doc_id order; file follows file in the
-same order. Each row holds doc_id, n_tokens and two separate byte streams: `control`, with two bits
+same order, by the number in its name. Each row holds doc_id, n_tokens and two separate byte streams: `control`, with two bits
 for each id (its bytes less one, four ids a byte, lowest bits first), and `data`, with the bytes of each
 id's frequency rank, lowest first. Rank 0 is the id that occurs most in the corpus, so the ids that
 occur most take one byte. The rank table is a second Parquet table, `ranks`. Decoding looks the four lengths
 of a control byte up in a table and gathers the data with numpy.
 
 Defined results: a null or empty text is the end id alone; rows that share a doc_id keep an order by
-content; ids that never occur rank last, by id; text that spells an added token of the tokenizer file is that token, as the library
+the CRC-32 of their ids; ids that never occur rank last, by id; text that spells an added token of the tokenizer file is that token, as the library
 has it by default; extra columns are ignored; a row without a doc_id is left out.
 """
 
@@ -160,7 +160,7 @@ def vocabulary_size(content: str) -> int:
 
 
 def tokenised(docs: DataFrame, content: str, pattern: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, 16 bits each where the vocabulary allows, else 32) and file, the number of the file it goes to."""
+    """doc_id, n_tokens, ids (binary, 16 bits each where the vocabulary allows, else 32) and file, the number of the file it goes to, in any order."""
     spark = docs.sparkSession
     small_batches(spark)
     width = "<u2" if vocabulary_size(content) <= 1 << 16 else "<u4"
@@ -179,10 +179,10 @@ def tokenised(docs: DataFrame, content: str, pattern: str, end_id: int = END_ID)
             file = np.searchsorted(edges, part.column("doc_id").to_numpy(zero_copy_only=False), side="right").astype(np.int32)
             columns = [part.column("doc_id"), pa.array(counts + 1), binary_column(whole, (counts + 1) * whole.itemsize), pa.array(file)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        enc.pieces.forget()
 
     out = docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary, file int")
-    out = out.repartitionById(len(edges) + 1, "file").sortWithinPartitions("doc_id", "ids")
-    return staged(out, "token-ids", "snappy").withMetadata("ids", {"width": width})
+    return staged(out, "token-ids", "snappy").withMetadata("ids", {"width": width, "files": len(edges) + 1})
 
 
 def frequency_ranks(tokens: DataFrame, vocabulary: int) -> np.ndarray:
@@ -212,20 +212,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, pattern
         content = f.read()
     vocabulary = vocabulary_size(content)
     tokens = tokenised(docs, content, pattern, end_id)
-    width = tokens.schema["ids"].metadata["width"]
+    width, n_files = (tokens.schema["ids"].metadata[k] for k in ("width", "files"))
     ranks = frequency_ranks(tokens, vocabulary)
     table = spark.sparkContext.broadcast(ranks)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("control", pa.binary()), ("data", pa.binary()), ("file", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("control", pa.binary()), ("data", pa.binary()), ("file", pa.int32()), ("crc", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "ids"):
             ranked = table.value[_joined(part.column("ids")).view(width)]
             control, data = vbyte_encode(ranked, part.column("n_tokens").to_numpy())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), control, data, part.column("file")], schema=schema)
+            crc = [zlib.crc32(np.frombuffer(x, width).astype("<u4").tobytes()) for x in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), control, data, part.column("file"), pa.array(crc, pa.int64())], schema=schema)
 
-    # each staged file is read in order and written in order, so no further shuffle is needed
-    coded = tokens.mapInArrow(run, "doc_id long, n_tokens long, control binary, data binary, file int")
-    coded.write.option("compression", "zstd").parquet(f"{folder}/files")
+    # one task writes one file, whose number is that of its partition; what is shuffled are the codes, the smallest form of the texts
+    coded = tokens.mapInArrow(run, "doc_id long, n_tokens long, control binary, data binary, file int, crc long")
+    coded = coded.repartitionById(n_files, "file").sortWithinPartitions("doc_id", "crc").drop("crc")
+    coded.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(f"{folder}/files")
     spark.createDataFrame([(int(r), i) for i, r in enumerate(ranks)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
 
 
