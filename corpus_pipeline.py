@@ -11,23 +11,23 @@ empty tables give empty results; all other columns of documents pass through unc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, ngram_join, quality_rules, secret_ledger
-from tidemark.llm.common import attach, body_of, documents, edit_texts, staged
-
-_KEY = ["_doc", "_body"]
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_body": body_of()})
+from tidemark.llm.common import attach, documents, edit_texts, keyed_rows, staged
 
 
 def _only(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of docs whose doc_id and text (by its hash, body) are in rows(doc_id, body), or with left_anti the others."""
-    keys = staged(rows.select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body")).distinct(), "row-keys")
-    return attach(_keyed(docs), keys, _KEY, row_bytes=40, how=how).select(docs.columns)
+    keyed, key = keyed_rows(docs)
+    keys = staged(rows.select(F.col("doc_id").alias(key[0]), F.col("body").alias(key[1])).distinct(), "row-keys")
+    return attach(keyed, keys, key, row_bytes=40, how=how).select(*_columns(docs))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    """All columns, names with dots too."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     once = _only(docs, stay.filter("n = 1"))
     if not again.take(1):
         return once
-    return once.unionByName(_keyed(_only(docs, again)).dropDuplicates(_KEY).select(docs.columns))
+    keyed, key = keyed_rows(_only(docs, again))
+    return once.unionByName(keyed.dropDuplicates(key).select(*_columns(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
