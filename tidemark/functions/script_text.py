@@ -291,15 +291,17 @@ def frame_strategy(source: str) -> dict:
         out |= {"name": title[1], "timeframe": first(r"^\s*(?:timeframe|ticker_interval)\s*=\s*['\"](\w+)['\"]"), "stop_loss": first(r"^\s*stoploss\s*=\s*(-?[\d.]+)")}
         out |= {"parameters": frame_parameters(source), "bindings": [{"name": n, "type": t, "params": p} for n, (t, p) in binds.items()]}
     rules = [frame_condition(way_in or "", "enter_long", "buy"), frame_condition(bodies.get("populate_exit_trend") or bodies.get("populate_sell_trend") or "", "exit_long", "sell")]
-    out["entry"], out["exit"] = (translated(r, alias) if r else None for r in rules)
+    # of the raw text, as the rewrites change it: all bars, or a lazy match that ran over an earlier block of another column
+    unsupported = [bool(r) and (unwrapped(r) == ":" or "dataframe.loc[" in r) for r in rules]
+    out["entry"], out["exit"] = (translated(r, alias) if r and not bad else None for r, bad in zip(rules, unsupported, strict=True))
 
     def reasons() -> Iterator[str | None]:
         yield None if title else "no strategy class"
         yield None if way_in and "populate_indicators" in bodies else "missing populate methods"
         yield None if binds else "no known indicator"
-        yield None if out["entry"] else "no entry condition"
+        yield None if rules[0] else "no entry condition"
+        yield "unconditional or multi-block" if unsupported[0] else None  # such an exit is left out, the entry holds
         for rule in filter(None, (out["entry"], out["exit"])):
-            yield "unconditional or multi-block" if rule == ":" or "dataframe.loc" in rule else None
             yield "untranslated dataframe expression" if "dataframe" in rule else None
             called = [c for c in re.findall(r"([A-Za-z_][\w.]*)\s*\(", rule) if c not in ("and", "or", "not", *FRAME_RULE_CALLS)]
             yield f"unsupported call {called[0]}" if called else None
