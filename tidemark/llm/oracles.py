@@ -70,4 +70,11 @@ s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transfo
  coalesce(n_repeat_words, 0) AS n_repeat_words, removed_words, cleaned_sha256 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN x USING (doc_id)), y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
 SELECT *, NOT base_failed AND n_words - removed_words >= 0.3 * n_words AS kept FROM y"""
 
-BY_OPERATOR = {1: OP1, 3: OP3, 4: OP4, 8: OP8, 10: OP10}
+_DRAW = "('0x' || substr(h, {0}, 8))::BIGINT"
+OP11 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u FROM documents WHERE doc_id IS NOT NULL),
+x AS (SELECT *, len(u)::BIGINT AS n, {_DRAW.format(1)} % (len(u) + 1) AS a, {_DRAW.format(9)} % (len(u) + 1) AS b, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain, {_DRAW.format(25)} % 100 < 50 AS spm FROM d),
+p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM x)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN len(p) END AS prefix_chars, CASE WHEN NOT plain THEN len(m) END AS middle_chars,
+ sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+BY_OPERATOR = {1: OP1, 3: OP3, 4: OP4, 8: OP8, 10: OP10, 11: OP11}

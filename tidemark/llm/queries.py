@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, license_scan, ngram_join, oracles, quality_classifier, quality_rules, secret_ledger, substring_dedup, token_counts, token_files
+from tidemark.llm import bpe, decontaminate, fill_in_middle, license_scan, ngram_join, oracles, quality_classifier, quality_rules, secret_ledger, substring_dedup, token_counts, token_files
 from tidemark.llm.common import documents
 
 
@@ -69,7 +69,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", F.sha2("cleaned", 256).alias("cleaned_sha256"))
 
 
-_ALL = (op1_secret_ledger, op2_token_files, op3_suffix_dedup, op4_fm_index, op5_license_scan, op6_bpe, op7_edit_counts, op8_ngram_join, op9_co_training, op10_quality_rules)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.fill_in_middle(documents(spark, sf_dir))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
+
+
+_ALL = (op1_secret_ledger, op2_token_files, op3_suffix_dedup, op4_fm_index, op5_license_scan, op6_bpe, op7_edit_counts, op8_ngram_join, op9_co_training, op10_quality_rules, op11_fill_in_middle)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {name: oracles.BY_OPERATOR[n] for name in QUERIES if (n := int(name[2:].split("_")[0])) in oracles.BY_OPERATOR}
