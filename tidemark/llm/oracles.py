@@ -77,4 +77,33 @@ p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[le
 SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN len(p) END AS prefix_chars, CASE WHEN NOT plain THEN len(m) END AS middle_chars,
  sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
-BY_OPERATOR = {1: OP1, 3: OP3, 4: OP4, 8: OP8, 10: OP10, 11: OP11}
+
+def _leaf(text: str) -> str:
+    part = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode(({x})::VARCHAR)) || ':' || ({x})::VARCHAR END"
+    return "sha256(" + " || ".join(part(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+# DuckDB has no CRC-32, so a table of 256 entries is made of its polynomial and each digit goes through it.
+_CRC_TABLE = "list_reduce(range(8), lambda a, q: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, b)"
+OP13 = f"""WITH RECURSIVE tab AS (SELECT list(v ORDER BY b) AS tab FROM (SELECT b, {_CRC_TABLE} AS v FROM (SELECT unnest(range(256)) AS b))),
+crc(doc_id, i, c) AS (SELECT DISTINCT doc_id, 1, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT doc_id, i + 1, xor(c >> 8, tab[(xor(c, ascii(doc_id::VARCHAR[i])) & 255) + 1]) FROM crc, tab WHERE i <= len(doc_id::VARCHAR)),
+five AS (SELECT doc_id FROM crc WHERE i = len(doc_id::VARCHAR) + 1 AND xor(c, 4294967295) % 5 = 0),
+d AS (SELECT CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree, doc_id, {_leaf('text')} AS leaf, CASE WHEN doc_id IN (SELECT doc_id FROM five) THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS second FROM documents),
+e AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+up(tree, level, i, digest, n) AS (SELECT tree, 0, i, leaf, count(*) OVER (PARTITION BY tree) FROM e
+ UNION ALL SELECT tree, level + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)), (any_value(n) + 15) // 16 FROM up WHERE n > 1 GROUP BY tree, level, i // 16),
+sub AS (SELECT tree, digest AS subroot, max(level) OVER (PARTITION BY tree) AS top, level FROM up QUALIFY level = max(level) OVER (PARTITION BY tree)), places AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 AS i FROM sub),
+over_(level, i, digest, n) AS (SELECT 0, i, subroot, count(*) OVER () FROM places UNION ALL SELECT level + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)), (any_value(n) + 15) // 16 FROM over_ WHERE n > 1 GROUP BY level, i // 16),
+steps AS (SELECT u.tree, u.level, u.i AS at, coalesce(string_agg(s.digest, '' ORDER BY s.i) FILTER (s.i < u.i), '') AS before, coalesce(string_agg(s.digest, '' ORDER BY s.i) FILTER (s.i > u.i), '') AS after
+ FROM up u JOIN up s ON s.tree = u.tree AND s.level = u.level AND s.i // 16 = u.i // 16 WHERE u.n > 1 GROUP BY ALL),
+high AS (SELECT u.level, u.i AS at, coalesce(string_agg(s.digest, '' ORDER BY s.i) FILTER (s.i < u.i), '') AS before, coalesce(string_agg(s.digest, '' ORDER BY s.i) FILTER (s.i > u.i), '') AS after
+ FROM over_ u JOIN over_ s ON s.level = u.level AND s.i // 16 = u.i // 16 WHERE u.n > 1 GROUP BY ALL),
+path AS (SELECT e.tree, e.i, s.level AS level, s.before, s.after FROM e JOIN steps s ON s.tree = e.tree AND s.at = e.i // pow(16, s.level)::BIGINT
+ UNION ALL SELECT e.tree, e.i, p.top + h.level, h.before, h.after FROM e JOIN places p USING (tree) JOIN high h ON h.at = p.i // pow(16, h.level)::BIGINT),
+whole AS (SELECT tree, i, list(before ORDER BY level) AS b, list(after ORDER BY level) AS a, string_agg(before || after, '' ORDER BY level) AS siblings FROM path GROUP BY ALL),
+fold(tree, i, k, acc) AS (SELECT tree, i, 1, coalesce(second, leaf) FROM e UNION ALL SELECT f.tree, f.i, k + 1, sha256(w.b[k] || acc || w.a[k]) FROM fold f JOIN whole w USING (tree, i) WHERE k <= len(w.b)),
+done AS (SELECT tree, i, max_by(acc, k) AS folded_root FROM fold GROUP BY ALL), root AS (SELECT max_by(digest, level) AS root FROM over_)
+SELECT e.doc_id, e.leaf, sub.subroot, root.root, sha256(coalesce(w.siblings, '')) AS proof_sha256, done.folded_root, done.folded_root = root.root AS verified
+FROM e JOIN sub USING (tree) JOIN done USING (tree, i) CROSS JOIN root LEFT JOIN whole w USING (tree, i)"""
+
+BY_OPERATOR = {1: OP1, 3: OP3, 4: OP4, 8: OP8, 10: OP10, 11: OP11, 13: OP13}

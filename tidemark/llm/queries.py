@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fill_in_middle, license_scan, ngram_join, oracles, quality_classifier, quality_rules, secret_ledger, substring_dedup, token_counts, token_files
+from tidemark.llm import bpe, decontaminate, fill_in_middle, license_scan, merkle, ngram_join, oracles, quality_classifier, quality_rules, secret_ledger, substring_dedup, token_counts, token_files
 from tidemark.llm.common import documents
 
 
@@ -74,7 +74,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
 
 
-_ALL = (op1_secret_ledger, op2_token_files, op3_suffix_dedup, op4_fm_index, op5_license_scan, op6_bpe, op7_edit_counts, op8_ngram_join, op9_co_training, op10_quality_rules, op11_fill_in_middle)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = merkle.leaf_digest([F.translate("text", upper, upper.lower()) if c == "text" else F.col(c) for c in merkle.FIELDS])
+    second = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, tampered)
+    found = merkle.inclusion_proofs(merkle.merkle_manifest(docs, second=second))
+    fold = merkle.folded(F.col("proof"), F.coalesce("second", "digest"))
+    out = found.select(F.col("name").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), fold.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_ALL = (op1_secret_ledger, op2_token_files, op3_suffix_dedup, op4_fm_index, op5_license_scan, op6_bpe, op7_edit_counts, op8_ngram_join, op9_co_training, op10_quality_rules, op11_fill_in_middle, op13_merkle_manifest)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {name: oracles.BY_OPERATOR[n] for name in QUERIES if (n := int(name[2:].split("_")[0])) in oracles.BY_OPERATOR}
