@@ -86,7 +86,7 @@ def _leaf(text: str) -> str:
 # DuckDB has no CRC-32, so a table of 256 entries is made of its polynomial and each digit goes through it.
 _CRC_TABLE = "list_reduce(range(8), lambda a, q: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, b)"
 OP13 = f"""WITH RECURSIVE tab AS (SELECT list(v ORDER BY b) AS tab FROM (SELECT b, {_CRC_TABLE} AS v FROM (SELECT unnest(range(256)) AS b))),
-crc(doc_id, i, c) AS (SELECT DISTINCT doc_id, 1, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT doc_id, i + 1, xor(c >> 8, tab[(xor(c, ascii(doc_id::VARCHAR[i])) & 255) + 1]) FROM crc, tab WHERE i <= len(doc_id::VARCHAR)),
+crc(doc_id, i, c) AS (SELECT DISTINCT doc_id, 1, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT doc_id, i + 1, xor(c >> 8, tab[(xor(c, ascii(substr(doc_id::VARCHAR, i, 1))) & 255) + 1]) FROM crc, tab WHERE i <= len(doc_id::VARCHAR)),
 five AS (SELECT doc_id FROM crc WHERE i = len(doc_id::VARCHAR) + 1 AND xor(c, 4294967295) % 5 = 0),
 d AS (SELECT CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree, doc_id, {_leaf('text')} AS leaf, CASE WHEN doc_id IN (SELECT doc_id FROM five) THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS second FROM documents),
 e AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
