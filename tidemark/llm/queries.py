@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fill_in_middle, license_scan, merkle, ngram_join, oracles, quality_classifier, quality_rules, secret_ledger, substring_dedup, token_counts, token_files
-from tidemark.llm.common import documents
+from tidemark.llm import bpe, decontaminate, fill_in_middle, license_scan, merkle, ngram_join, oracles, quality_classifier, quality_rules, secret_ledger, source_mix, substring_dedup, token_counts, token_files
+from tidemark.llm.common import attach, documents
 
 
 def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = source_mix.mix_sources(documents(spark, sf_dir), F.array("source"), (3, 1, 2), percent=150, most=2)
+    rows = mix.documents.withColumn("source_key", F.col("sources")[0])
+    return attach(rows, mix.source_table(), "source_key", row_bytes=256).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -85,7 +91,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-_ALL = (op1_secret_ledger, op2_token_files, op3_suffix_dedup, op4_fm_index, op5_license_scan, op6_bpe, op7_edit_counts, op8_ngram_join, op9_co_training, op10_quality_rules, op11_fill_in_middle, op13_merkle_manifest)
+_ALL = (op1_secret_ledger, op2_token_files, op3_suffix_dedup, op4_fm_index, op5_license_scan, op6_bpe, op7_edit_counts, op8_ngram_join, op9_co_training, op10_quality_rules, op11_fill_in_middle, op12_source_mix, op13_merkle_manifest)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {name: oracles.BY_OPERATOR[n] for name in QUERIES if (n := int(name[2:].split("_")[0])) in oracles.BY_OPERATOR}
