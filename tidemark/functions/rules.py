@@ -87,14 +87,11 @@ def _both(f, a: Column, b: Column) -> Column:
 _BLANK = Expr(None)
 
 
-class _Rule:
-    """Reads one rule from left to right; `resolve` gives a column for a name, or None where it has none.
+class Rule:
+    """Reads one rule from left to right. On its own it only checks the rule and lists its names and calls; subclasses give the parts a value."""
 
-    Without `resolve` it only checks the rule and lists its names and calls, which needs no session.
-    """
-
-    def __init__(self, text: str, resolve, keys: Sequence[str]):
-        self.keys, self.resolve, self.names, self.calls = keys, resolve, [], []
+    def __init__(self, text: str):
+        self.names, self.calls = [], []
         self.tokens, at = [], 0
         text = text.rstrip()
         while at < len(text):
@@ -119,7 +116,7 @@ class _Rule:
         if not self.take(word):
             raise RuleError(f"expected {word!r} before {self.peek()[1] or 'the end'!r}")
 
-    def whole(self) -> Expr:
+    def whole(self):
         out = self.level(0)
         if self.peek()[0] != "end":
             raise RuleError(f"unexpected {self.peek()[1]!r}")
@@ -127,7 +124,7 @@ class _Rule:
 
     LEVELS = (("or",), ("and",), ("<", "<=", ">", ">=", "==", "!="), ("+", "-"), ("*", "/"))
 
-    def level(self, n: int) -> Expr:
+    def level(self, n: int):
         if n == len(self.LEVELS):
             return self.prefixed()
         left = self.level(n + 1)
@@ -135,15 +132,11 @@ class _Rule:
             left = self.join(op, left, self.level(n + 1))
         return left
 
-    def prefixed(self) -> Expr:
+    def prefixed(self):
         if self.take("not"):
-            x = self.prefixed()
-            if not self.resolve:
-                return _BLANK
-            return Expr(~x.column if x.truth else _sure(x.column <= 0.5), True)
+            return self.opposite(self.prefixed())
         if self.take("-"):
-            x = self.prefixed()
-            return Expr(-x.number) if self.resolve else _BLANK
+            return self.negative(self.prefixed())
         out = self.primary()
         while self.take("["):
             kind, word = self.peek()
@@ -151,14 +144,14 @@ class _Rule:
                 raise RuleError("history needs a whole number")
             self.at += 1
             self.need("]")
-            out = Expr(history(out.number, int(word), self.keys)) if self.resolve else _BLANK
+            out = self.before(out, int(word))
         return out
 
-    def primary(self) -> Expr:
+    def primary(self):
         kind, word = self.peek()
         self.at += 1
         if kind == "num":
-            return Expr(F.lit(float(word))) if self.resolve else _BLANK
+            return self.literal(float(word))
         if word == "(" and kind == "op":
             out = self.level(0)
             self.need(")")
@@ -172,13 +165,63 @@ class _Rule:
             if args:
                 self.need(",")
             args.append(self.level(0))
+        if word not in CALLS:
+            self.calls.append(word)
+        elif len(args) not in CALLS[word]:
+            raise RuleError(f"{word} takes {' or '.join(map(str, CALLS[word]))} arguments")
         return self.call(word, args)
 
+    def name(self, word: str):
+        if not word.startswith("barstate."):
+            self.names.append(word)
+        return _BLANK
+
+    def literal(self, value: float):
+        return _BLANK
+
+    def opposite(self, x):
+        return _BLANK
+
+    def negative(self, x):
+        return _BLANK
+
+    def before(self, x, n: int):
+        return _BLANK
+
+    def join(self, op: str, a, b):
+        return _BLANK
+
+    def call(self, name: str, args: list):
+        return _BLANK
+
+    def value(self):
+        """The value of the whole rule; a name or call without one is an error."""
+        out = self.whole()
+        if unresolved := [*self.names, *(f"call:{c}" for c in self.calls)]:
+            raise RuleError(f"unresolved: {', '.join(unresolved)}")
+        return out
+
+
+class ColumnRule(Rule):
+    """A rule as an Expr; `resolve` gives a column for a name, or None where it has none."""
+
+    def __init__(self, text: str, resolve, keys: Sequence[str]):
+        super().__init__(text)
+        self.keys, self.resolve = keys, resolve
+
+    def literal(self, value: float) -> Expr:
+        return Expr(F.lit(value))
+
+    def opposite(self, x: Expr) -> Expr:
+        return Expr(~x.column if x.truth else _sure(x.column <= 0.5), True)
+
+    def negative(self, x: Expr) -> Expr:
+        return Expr(-x.number)
+
+    def before(self, x: Expr, n: int) -> Expr:
+        return Expr(history(x.number, n, self.keys))
+
     def name(self, word: str) -> Expr:
-        if not self.resolve:
-            if not word.startswith("barstate."):
-                self.names.append(word)
-            return _BLANK
         if word == "na":
             return Expr(F.lit(None).cast("double"))
         if word.startswith("barstate."):
@@ -193,8 +236,6 @@ class _Rule:
         return Expr(F.col(word) if found is None and word in _PRICES else F.lit(None).cast("double") if found is None else found)
 
     def join(self, op: str, a: Expr, b: Expr) -> Expr:
-        if not self.resolve:
-            return _BLANK
         if op in ("and", "or"):
             return Expr(a.bool & b.bool if op == "and" else a.bool | b.bool, True)
         x, y = a.number, b.number
@@ -204,12 +245,6 @@ class _Rule:
         return Expr(_divide(x, y) if op == "/" else _clean({"+": x + y, "-": x - y, "*": x * y}[op]))
 
     def call(self, name: str, args: list[Expr]) -> Expr:
-        if name not in CALLS:
-            self.calls.append(name)
-        elif len(args) not in CALLS[name]:
-            raise RuleError(f"{name} takes {' or '.join(map(str, CALLS[name]))} arguments")
-        if not self.resolve:
-            return _BLANK
         if name not in CALLS:
             return Expr(F.lit(None).cast("double"))
         x = [a.number for a in args]
@@ -225,13 +260,13 @@ class _Rule:
 
 def rule_identifiers(rule: str) -> list[str]:
     """The names in a rule that are neither prices nor other built-in ones, in order of appearance."""
-    r = _Rule(rule, None, KEYS)
+    r = Rule(rule)
     r.whole()
     return [n for n in dict.fromkeys(r.names) if n not in _BUILT_IN]
 
 
 def unknown_calls(rule: str) -> list[str]:
-    r = _Rule(rule, None, KEYS)
+    r = Rule(rule)
     r.whole()
     return list(dict.fromkeys(r.calls))
 
@@ -248,11 +283,7 @@ def rule_column(rule: str, columns: Sequence[str], keys: Sequence[str] = KEYS, n
         base = name.split(".")[0]
         return F.col(name) if "." in name and base in columns else None
 
-    r = _Rule(rule, resolve, keys)
-    out = r.whole()
-    if unresolved := [*r.names, *(f"call:{c}" for c in r.calls)]:
-        raise RuleError(f"unresolved: {', '.join(unresolved)}")
-    return out.bool
+    return ColumnRule(rule, resolve, keys).value().bool
 
 
 def rule_filter(df: DataFrame, rule: str, keys: Sequence[str] = KEYS, name: str = "signal") -> DataFrame:

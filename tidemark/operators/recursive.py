@@ -127,11 +127,16 @@ def compute(kind: str, params: dict[str, float], bars: pd.DataFrame, source: str
     x = bars[source].to_numpy(float)
     if kind in (own or _OWN):
         return (own or _OWN)[kind][0](bars, x, params)
+    return of_arrays(kind, params, {c: bars[c].to_numpy(float) for c in ("high", "low", "close")}, x)
+
+
+def of_arrays(kind: str, params: dict[str, float], bars: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray | dict[str, np.ndarray]:
+    """The same of arrays, for the types that are built in."""
     if kind not in DEFAULTS:
         raise ValueError(f"unknown indicator type {kind}")
     p = DEFAULTS[kind] | {k: v for k, v in params.items() if v is not None}
     n = int(p.get("period", 0))
-    hlc = [bars[c].to_numpy(float) for c in ("high", "low", "close")]
+    hlc = [bars[c] for c in ("high", "low", "close")]
     one = {"EMA": ema, "RMA": rma, "RSI": rsi}
     if kind in one:
         return one[kind](x, n)

@@ -8,13 +8,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import GAPS
 from tidemark.functions.rules import window
 from tidemark.functions.scalars import YEAR_MS, typical_prices
 from tidemark.schemas import KEYS
 
-#: Gaps of so many first bars tell the length of a bar.
-GAPS = 200
-
 
 def with_typical_prices(candles: DataFrame) -> DataFrame:
     return candles.withColumns(typical_prices())

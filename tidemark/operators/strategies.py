@@ -34,7 +34,7 @@ _FINITE: dict[str, tuple[Callable[..., DataFrame], dict[str, float], tuple[str,
     "CCI": (finite.cci, {"period": 20}, ()),
     "STOCH": (finite.stoch, {"k": 14, "slow": 3, "d": 3}, ("stochK", "stochD", "stochJ")),
 }
-_PRICE_ONLY = {"TR", "VWAP", "VWMA", "CCI", "STOCH"}
+PRICE_ONLY = {"TR", "VWAP", "VWMA", "CCI", "STOCH"}
 
 
 @dataclass(frozen=True)
@@ -166,15 +166,18 @@ def _is_number(x: str | None) -> bool:
 Request = tuple[str, dict[str, float], str, str]
 
 
+def bounded_params(kind: str, params: dict[str, float]) -> dict[str, float]:
+    """All parameters of a bounded type, whole where the default is."""
+    params = {"k" if k == "stdDev" and kind == "BB" else k: v for k, v in params.items()}
+    return {k: type(d)(params.get(k, d)) for k, d in _FINITE[kind][1].items()}
+
+
 def with_indicators(df: DataFrame, requests: Sequence[Request], keys: Sequence[str] = KEYS) -> DataFrame:
     """df with a column, or several, for each request: the bounded ones as windows, the recursive ones in one pass."""
     left = []
     for kind, params, source, name in requests:
         if kind in _FINITE:
-            build, defaults, _ = _FINITE[kind]
-            params = {"k" if k == "stdDev" else k: v for k, v in params.items()}
-            args = {k: type(d)(params.get(k, d)) for k, d in defaults.items()}
-            df = build(df, **args, **({} if kind in _PRICE_ONLY else {"source": source}), keys=keys, name=name)
+            df = _FINITE[kind][0](df, **bounded_params(kind, params), **({} if kind in PRICE_ONLY else {"source": source}), keys=keys, name=name)
         else:
             left.append((kind, params, source, name))
     return recursive.recursive_indicators(df, left, keys) if left else df
@@ -200,9 +203,9 @@ def compose_all(df: DataFrame, strategies: Sequence[Strategy], keys: Sequence[st
             found.append({})
             for key, b in rest.items():
                 kind, base = b.type.upper(), b.source.split(".")[0]
-                if base in rest and kind not in _PRICE_ONLY:
+                if base in rest and kind not in PRICE_ONLY:
                     continue
-                source = "" if kind in _PRICE_ONLY else (own.get(base, base) + b.source[len(base) :]).replace(".", "__")
+                source = "" if kind in PRICE_ONLY else (own.get(base, base) + b.source[len(base) :]).replace(".", "__")
                 params = resolve_params(b.params, s.parameters)
                 same = (kind, tuple(sorted(params.items())), source)
                 if same not in made:
