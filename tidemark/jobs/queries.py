@@ -224,6 +224,9 @@ d AS (SELECT *, {_full("k", f"avg(k) OVER {_roll(3)}", 3)} AS d FROM k) SELECT s
     "i13_stoch",
 )(_indicator_query(lambda d: indicators.stoch(d), ["stoch__stochK", "stoch__stochD", "stoch__stochJ"]))
 
+#: Length of a block, where a query runs over blocks of its series: so that also a month of hours has several.
+WEEK_MS = 7 * scalars.DAY_MS
+
 # Recursive indicators in SQL: folds over each series' list of values.
 _LISTS = "s AS (SELECT source, symbol, timeframe, list(timestamp ORDER BY timestamp) AS ts, list(close ORDER BY timestamp) AS c, list(high ORDER BY timestamp) AS h, list(low ORDER BY timestamp) AS l FROM bars GROUP BY ALL)"
 
@@ -246,7 +249,7 @@ _OUT = "SELECT source, symbol, timeframe, unnest(ts) AS timestamp, {cols} FROM {
 
 def _recursive(kind: str, name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = recursive.recursive_indicators(_hourly(spark, sf_dir), [(kind, {}, "close", name)])
+        out = recursive.recursive_indicators(_hourly(spark, sf_dir), [(kind, {}, "close", name)], block_ms=WEEK_MS)
         return out.select(*KEYS, "timestamp", *[_r(n) for n in recursive.output_names(kind, name)])
 
     return run
@@ -365,9 +368,9 @@ _THREE_FLAGS = f"""{_SMA_BARS}, cr AS (SELECT *, row_number() OVER {_W} AS i, co
 
 @query(f"WITH RECURSIVE {_walk(_THREE_FLAGS)} SELECT source, symbol, timeframe, timestamp, position FROM pos")
 def position_with_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W4 with two sides and exits."""
+    """W4 with two sides and exits, over blocks of the series."""
     df = indicators.sma(indicators.sma(_hourly(spark, sf_dir), 5, name="fast"), 20, name="slow")
-    return positions.evaluate(df, "BOTH", ["fast > slow", "close < slow - 1"], ["close > fast + 3", "close < fast - 3"]).select(*KEYS, "timestamp", "position")
+    return positions.evaluate(df, "BOTH", ["fast > slow", "close < slow - 1"], ["close > fast + 3", "close < fast - 3"], block_ms=WEEK_MS).select(*KEYS, "timestamp", "position")
 
 
 _SIGNALS = f"""sig AS (SELECT *, coalesce(lag(position) OVER {_W}, 0) AS before FROM pos),
@@ -420,8 +423,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_walk(_CROSS_FLAGS)}, {_CURVE} SELECT source, symbol, timeframe, timestamp, round(ret, 6) AS ret, round(equity, 6) AS equity, round(drawdown, 6) AS drawdown FROM dd")
 def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W7, W8, W9."""
-    curve = positions.drawdown(positions.equity(positions.bar_returns(_hourly(spark, sf_dir).transform(strategies.evaluate_strategy(CROSS)))))
+    """W7, W8, W9, over blocks of the series."""
+    curve = positions.curve(_hourly(spark, sf_dir).transform(strategies.evaluate_strategy(CROSS)), block_ms=WEEK_MS)
     return curve.select(*KEYS, "timestamp", _r("ret"), _r("equity"), _r("drawdown"))
 
 

@@ -7,13 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.rules import rule_column, window
+from tidemark.operators import blocks
 from tidemark.operators.series import GAPS, yearly_bars
 from tidemark.schemas import KEYS
 
@@ -56,41 +54,21 @@ def _resettable(flags: DataFrame, reset: Column, toggle: Column, off: Column | i
     return rows.withColumn("position", position.cast("int")).drop("_reset", "_toggle", "_part", "_start", "_turns")
 
 
-def _automaton(flags: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Both sides with exits: a state machine of three states, one pandas pass over each series."""
-    schema = T.StructType([*flags.schema.fields, T.StructField("position", T.IntegerType())])
-
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("timestamp", kind="stable")
-        out, at = np.zeros(len(bars), np.int32), 0
-        for i, (up, down, leave) in enumerate(zip(bars["long"].to_numpy(bool), bars["short"].to_numpy(bool), bars["exit"].to_numpy(bool), strict=True)):
-            if at == 0:
-                at = 1 if up else -1 if down else 0
-            elif leave:
-                at = 0
-            elif down if at > 0 else up:
-                at = -at
-            out[i] = at
-        return bars.assign(position=out)
-
-    return flags.groupBy(*keys).applyInPandas(run, schema)
-
-
-def position(flags: DataFrame, two_sided: bool, has_exit: bool, keys: Sequence[str] = KEYS) -> DataFrame:
+def position(flags: DataFrame, two_sided: bool, has_exit: bool, keys: Sequence[str] = KEYS, block_ms: float | None = None) -> DataFrame:
     """flags with `position`, +1, 0 or -1, after each bar.
 
     One-sided: a bar with its side alone goes in, with the exit alone out, with both turns over. Two-sided without exits: one flag sets the
     side, both turn it over. Both are windows of resets and turns; two sides with exits are an automaton.
     """
     if two_sided and has_exit:
-        return _automaton(flags, keys)
+        return automaton_position(flags, keys, block_ms)
     shape = {"_two": F.lit(two_sided), "_sign": F.lit(1)} if two_sided else {"_two": F.lit(False), "_sign": F.when(F.max(F.col("short").cast("int")).over(Window.partitionBy(*keys)) == 1, -1).otherwise(1)}
     return shaped_position(flags.withColumns(shape), keys).drop("_two", "_sign")
 
 
-def automaton_position(flags: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The position of series that have both sides and exits."""
-    return _automaton(flags, keys)
+def automaton_position(flags: DataFrame, keys: Sequence[str] = KEYS, block_ms: float | None = None) -> DataFrame:
+    """The position of series that have both sides and exits: a bar is a map of three states, and blocks of the series put their maps together."""
+    return blocks.walk(blocks.with_block(flags, block_ms), keys).drop("_block")
 
 
 def shaped_position(flags: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -103,10 +81,10 @@ def shaped_position(flags: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return rows.withColumn("position", F.when(two, F.col("position")).otherwise(F.col("position") * F.col("_sign")))
 
 
-def evaluate(df: DataFrame, direction: str, conditions: Sequence[str], exits: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
+def evaluate(df: DataFrame, direction: str, conditions: Sequence[str], exits: Sequence[str] = (), keys: Sequence[str] = KEYS, block_ms: float | None = None) -> DataFrame:
     """df with flags and position for one strategy."""
     longs, shorts = split_sides(direction, conditions)
-    return position(signal_flags(df, direction, conditions, exits, keys), bool(longs and shorts), bool(exits), keys)
+    return position(signal_flags(df, direction, conditions, exits, keys), bool(longs and shorts), bool(exits), keys, block_ms)
 
 
 def signals(positions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -146,6 +124,19 @@ def trades(positions: DataFrame, cost_bps: float = COST_BPS, keys: Sequence[str]
     return out.withColumn("pnl", sign * (F.col("exit_price") - F.col("entry_price")))
 
 
+def curve(positions: DataFrame, cost_bps: float = COST_BPS, keys: Sequence[str] = KEYS, block_ms: float | None = None) -> DataFrame:
+    """positions with ret, equity and drawdown. With block_ms a series is worked on in blocks of that length, in several tasks: the positions and closes before a block, and
+    the product and the peak of the blocks before, are rows of small tables."""
+    if block_ms is None:
+        return drawdown(equity(bar_returns(positions, cost_bps, keys), keys), keys)
+    rows = blocks.lags(blocks.with_block(positions, block_ms), {"_held": ("position", 1), "_held2": ("position", 2), "_close1": ("close", 1)}, keys)
+    changed = F.abs(F.col("_held") - F.coalesce("_held2", F.lit(0)))
+    rows = rows.withColumn("ret", F.col("_held") * (F.col("close") / F.col("_close1") - 1) - changed * cost_bps / 10_000)
+    rows = blocks.equity_and_peak(rows, 1 + F.coalesce("ret", F.lit(0.0)), keys)
+    peak = F.greatest(F.lit(1.0), F.col("peak"))
+    return rows.withColumn("drawdown", (peak - F.col("equity")) / peak).drop("_block", "_held", "_held2", "_close1", "peak")
+
+
 def bar_returns(positions: DataFrame, cost_bps: float = COST_BPS, keys: Sequence[str] = KEYS) -> DataFrame:
     """Return `ret` of each bar after the first, held by the position before it, less the cost of the change before that."""
     w = window(keys)
