@@ -92,6 +92,19 @@ def test_own_indicator_in_a_sweep(spark):
     assert len(got) == 3 and {r["trial"]: r["trades"] for r in got}[0] >= 1
 
 
+def test_own_columns_take_one_shuffle(spark, tmp_path):
+    from tidemark.functions.rules import window
+
+    strategies.register_columns("LEAST", lambda x, keys, period: F.min(x).over(window(keys).rowsBetween(1 - period, 0)), {"period": 3})
+    walk(spark, 50, 7).write.parquet(f"{tmp_path}/bars")
+    df = strategies.compose(spark.read.parquet(f"{tmp_path}/bars"), {"a": Binding("LEAST", {"period": 4}), "b": Binding("SMA", {"period": 4}, "a")})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and df.filter("a <= close AND b IS NOT NULL").count() == 47
+    trials = spark.createDataFrame([("s", 0, None)], "spec_id string, trial int, params map<string,double>")
+    with pytest.raises(Exception, match="no type over arrays"):
+        sweep.score_trials(df.withColumn("slice", F.lit("x")), [Strategy("s", "BUY", ("close > a",), (), {"a": Binding("LEAST")})], trials).collect()
+
+
 def test_composed_transitions_equal_a_walk():
     import numpy as np
 

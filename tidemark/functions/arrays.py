@@ -226,6 +226,10 @@ def stoch(bars: dict[str, np.ndarray], k: int, slow: int, d: int) -> dict[str, n
     return {"stochK": fast, "stochD": mean, "stochJ": 3 * fast - 2 * mean}
 
 
+#: The types of `bounded`.
+BOUNDED = ("SMA", "WMA", "HMA", "STDDEV", "HIGHEST_HIGH", "LOWEST_LOW", "BB", "ROC", "MOM", "TR", "VWAP", "VWMA", "CCI", "STOCH")
+
+
 def bounded(kind: str, p: dict[str, float], bars: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray | dict[str, np.ndarray]:
     """One bounded indicator by its type, its parameters complete."""
     with np.errstate(all="ignore"):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.functions.rules import rule_filter
+from tidemark.functions.rules import rule_filter, window
 from tidemark.operators import corpus, indicators, positions, recursive, series, strategies, sweep
 from tidemark.operators.strategies import Binding, Strategy
 from tidemark.schemas import KEYS
@@ -990,8 +990,17 @@ def _range_width(bars, values, params):
     return (bars["high"] - bars["low"]).to_numpy()
 
 
-@query(f"WITH {_EVENT_BARS} SELECT {_K}, timestamp, round(high - low, 6) AS width FROM bars")
+def _from_low(source, keys, period):
+    """How far the source is above its lowest value: the same as a column."""
+    frame = window(keys).rowsBetween(1 - period, 0)
+    return {"low": F.min(source).over(frame), "above": source - F.min(source).over(frame)}
+
+
+@query(f"""WITH {_EVENT_BARS}, m AS (SELECT *, min(close) OVER {_roll(9)} AS low9 FROM bars)
+SELECT {_K}, timestamp, round(high - low, 6) AS width, round(low9, 6) AS f__low, round(close - low9, 6) AS f__above, {_full('close - low9', f'round(avg(close - low9) OVER {_roll(4)}, 6)', 4)} AS mean FROM m""")
 def own_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A registered type, computed in the shared pass."""
+    """Registered types, a function of arrays and a column in the shared pass of windows, and an indicator of that."""
     recursive.register_indicator("WIDTH", _range_width)
-    return recursive.recursive_indicators(_hourly(spark, sf_dir), [("WIDTH", {}, "close", "width")]).select(*KEYS, "timestamp", _r("width"))
+    strategies.register_columns("FROM_LOW", _from_low, {"period": 5}, ("low", "above"))
+    bound = {"f": Binding("FROM_LOW", {"period": "n"}), "mean": Binding("SMA", {"period": 4}, "f.above"), "width": Binding("WIDTH")}
+    return strategies.compose(_hourly(spark, sf_dir), bound, {"n": 9}).select(*KEYS, "timestamp", _r("width"), _r("f__low"), _r("f__above"), _r("mean"))

@@ -64,6 +64,19 @@ def _outputs(kind: str) -> tuple[str, ...]:
     return _FINITE[kind][2] if kind in _FINITE else recursive._OWN[kind][1] if kind in recursive._OWN else recursive.OUTPUTS.get(kind, ())
 
 
+def register_columns(name: str, build: Callable[..., Column | dict[str, Column]], defaults: dict[str, float] | None = None, outputs: Sequence[str] = ()) -> None:
+    """Make build(source, keys, **parameters) a type of its own, a Column or, with `outputs`, one for each: windows over `window(keys)` join the pass that all bounded indicators share.
+
+    Parameters are whole where their default is. A sweep's kernel works on arrays and needs `recursive.register_indicator` in place of this.
+    """
+
+    def run(df: DataFrame, source: str = "close", keys: Sequence[str] = KEYS, name: str = name, **params: float) -> DataFrame:
+        made = build(F.col(source), keys, **params)
+        return df.withColumns({f"{name}__{o}": c for o, c in made.items()} if isinstance(made, dict) else {name: made})
+
+    _FINITE[name.upper()] = (run, dict(defaults or {}), tuple(outputs))
+
+
 def resolve_params(params: dict[str, Any], parameters: dict[str, Any]) -> dict[str, float]:
     """Numbers, or the values of the numeric parameters named; other names are dropped, so the default holds."""
     number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)

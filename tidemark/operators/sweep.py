@@ -79,6 +79,8 @@ class SeriesRun:
     def _values(self, kind: str, params: dict[str, float], x: np.ndarray) -> np.ndarray | dict[str, np.ndarray]:
         if kind in self.own:
             return self.own[kind][0](pd.DataFrame({"timestamp": self.stamps, **self.bars}), x, params)
+        if kind not in arrays.BOUNDED and kind not in recursive.DEFAULTS:
+            raise ValueError(f"{kind} is no type over arrays; register it as a function")
         if kind in recursive.DEFAULTS:
             return recursive.of_arrays(kind, params, self.bars, x)
         return arrays.bounded(kind, bounded_params(kind, params), self.bars, x)
