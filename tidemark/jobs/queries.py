@@ -8,6 +8,7 @@ Doubles are rounded to six decimals, as sums differ in their order.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.functions.rules import rule_filter, window
-from tidemark.operators import corpus, indicators, positions, recursive, series, strategies, sweep
+from tidemark.jobs.rank_files import rank_files
+from tidemark.operators import blocks, corpus, indicators, positions, recursive, series, strategies, sweep
 from tidemark.operators.strategies import Binding, Strategy
 from tidemark.schemas import KEYS
 from tidemark.sources import candles as source
 from tidemark.sources import specs as spec_source
+from tidemark.sources import stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +63,10 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.order_candles(spark, sf_dir)
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{blocks.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def query(sql: str | None = None, name: str | None = None):
     def keep(f: Query) -> Query:
         key = name or f.__name__
@@ -516,12 +523,14 @@ _RANK_FLAGS = {
 _RANK_ROWS = " UNION ALL ".join(f"SELECT * FROM {_backtest_sql(flags, k, 'allbars')}" for k, flags in _RANK_FLAGS.items())
 _SIGNED = "CASE WHEN {0} >= 0 THEN '+' ELSE '−' END || printf('%.0f', abs({0})) || '%'"
 
+_CELLS = f"""CASE WHEN len(spec_id) > 26 THEN spec_id[1:25] || '…' ELSE spec_id END AS name, CASE WHEN total_trades > 0 THEN {_SIGNED.format('total_return')} ELSE '—' END AS ret,
+ CASE WHEN total_trades > 0 THEN {_SIGNED.format('vs')} ELSE '—' END AS vs_hold, CASE WHEN total_trades > 0 THEN replace(printf('%.2f', sharpe), '-', '−') ELSE '—' END AS sharpe, CASE WHEN total_trades > 0 THEN floor(max_drawdown + 0.5)::BIGINT || '%' ELSE '—' END AS max_dd,
+ CASE WHEN total_trades > 0 THEN floor(win_rate * 100 + 0.5)::BIGINT || '%' ELSE '—' END AS win_rate, total_trades AS trades"""
+
 
 @query(f"""WITH r AS (SELECT *, split_part(symbol, '/', 2)::INT AS years, total_return - buy_hold AS vs FROM ({_RANK_ROWS})),
 k AS (SELECT *, row_number() OVER (PARTITION BY source, symbol, timeframe ORDER BY total_return DESC, spec_id) AS rank FROM r WHERE NOT (spec_id = 'band-reversal' AND years = 3 AND symbol LIKE '1-%'))
-SELECT source, split_part(symbol, '/', 1) AS symbol, timeframe, years, rank, CASE WHEN len(spec_id) > 26 THEN spec_id[1:25] || '…' ELSE spec_id END AS name, CASE WHEN total_trades > 0 THEN {_SIGNED.format('total_return')} ELSE '—' END AS ret,
- CASE WHEN total_trades > 0 THEN {_SIGNED.format('vs')} ELSE '—' END AS vs_hold, CASE WHEN total_trades > 0 THEN replace(printf('%.2f', sharpe), '-', '−') ELSE '—' END AS sharpe, CASE WHEN total_trades > 0 THEN floor(max_drawdown + 0.5)::BIGINT || '%' ELSE '—' END AS max_dd,
- CASE WHEN total_trades > 0 THEN floor(win_rate * 100 + 0.5)::BIGINT || '%' ELSE '—' END AS win_rate, total_trades AS trades FROM k""")
+SELECT source, split_part(symbol, '/', 1) AS symbol, timeframe, years, rank, {_CELLS} FROM k""")
 def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that can run, over the hourly market and those windows of the daily one that a grid has, in one table of cells."""
     days, hours, records = _daily(spark, sf_dir), _hourly(spark, sf_dir), _records(spark)
@@ -532,6 +541,17 @@ def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strategies.trade_rows(strategies.union_markets(whole, cut))
 
 
+@query(f"""WITH r AS (SELECT *, total_return - buy_hold AS vs FROM ({_RANK_ROWS}) WHERE symbol LIKE '%/0'), k AS (SELECT *, row_number() OVER (PARTITION BY source, symbol, timeframe ORDER BY total_return DESC, spec_id) AS rank FROM r)
+SELECT source, split_part(symbol, '/', 1) AS symbol, timeframe, rank, {_CELLS}, total_trades AS listed FROM k""")
+def ranking_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking as a job: record files are read, result records and the table written, both read again."""
+    folder = _new_folder(spark, "ranking")
+    spark.createDataFrame([(r["id"], json.dumps(r)) for r in _RECORDS], "id string, text string").write.partitionBy("id").text(f"{folder}/specs")  # a file a record
+    rank_files(spark, _hourly(spark, sf_dir), f"{folder}/specs/*", folder)
+    results = spec_source.read_results(spark, f"{folder}/results").select(*KEYS, "rank", F.size("trades").cast("long").alias("listed"))
+    return spark.read.parquet(f"{folder}/table").join(results.na.fill(0), [*KEYS, "rank"])
+
+
 @query()
 def ranking_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with recursive indicators and with both sides and exits, as a report."""
@@ -893,6 +913,42 @@ SELECT coalesce(ch.url, old.url) AS url, {'coalesce(old.status, ch.status)' if _
     )
 
 
+@query(f"""WITH {_REGISTRY}, ch AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq % 2 DESC, seq DESC) AS n FROM r)
+SELECT coalesce(ch.url, c_custkey) AS url, coalesce(ch.status, 'known') AS status FROM (SELECT * FROM ch WHERE n = 1) ch FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = ch.url""")
+def store_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7 as a store: the known urls, then two batches of changes, each in the parts that it touches."""
+    store, changes = stores.Store(_new_folder(spark, "registry"), ["url"], 8), _registry(spark, sf_dir)
+    known = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("url"), F.lit("known").alias("status"), F.lit(0).cast("long").alias("seq"))
+    for batch in (known, changes.filter("seq % 2 = 0"), changes.filter("seq % 2 = 1")):
+        stores.add_to_registry(store, batch)
+    return store.read(spark)
+
+
+@query("""WITH d AS (SELECT doc_id, text, sha256(text)[1:16] AS raw_hash FROM documents)
+SELECT raw_hash, 'doc/' || first(doc_id ORDER BY doc_id % 2 DESC, doc_id DESC) AS url, length(any_value(text)) AS n_chars FROM d GROUP BY raw_hash""")
+def store_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 as a store: contents appended once, the url seen last for each, in two batches."""
+    folder = _new_folder(spark, "scripts")
+    contents, urls = (stores.Store(f"{folder}/{name}", ["raw_hash"], 8) for name in ("contents", "urls"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("doc/"), "doc_id").alias("url"), F.col("text").alias("source_text"), F.col("doc_id").alias("seq"))
+    for batch in (d.filter("seq % 2 = 0"), d.filter("seq % 2 = 1")):
+        stores.add_scripts(contents, urls, batch)
+    held = contents.read(spark).select(F.col("raw_hash").alias("_hash"), F.length("source_text").cast("long").alias("n_chars"))
+    return urls.read(spark).join(held, F.col("raw_hash").eqNullSafe(F.col("_hash"))).select("raw_hash", "url", "n_chars")
+
+
+@query("""WITH o AS (SELECT o_custkey AS id, min(o_orderkey) AS c FROM orders GROUP BY ALL), n AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey < 12)
+SELECT coalesce(n.id, o.id) AS id, coalesce(o.c, -1) AS "createdAt", CASE WHEN n.id IS NULL THEN 'old' ELSE 'new' END AS notes FROM n FULL JOIN o ON o.id = n.id""")
+def store_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6, J6 as a store: records of an id that is there get new contents and keep their time."""
+    store = stores.Store(_new_folder(spark, "specs"), ["id"], 8)
+    old = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("createdAt")).withColumn("notes", F.lit("old"))
+    new = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_nationkey < 12").select(F.col("c_custkey").alias("id"), F.lit(-1).cast("long").alias("createdAt"), F.lit("new").alias("notes"))
+    for batch in (old, new):
+        stores.add_specs(store, batch)
+    return store.read(spark)
+
+
 @query(f"WITH {_REGISTRY} SELECT status, count(*) AS n FROM r GROUP BY ALL")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5."""

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -273,16 +273,22 @@ def equity_and_peak(df: DataFrame, factor: Column, keys: Sequence[str] = KEYS) -
 _own_folder: list[str] = []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, in tests one of this process."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return f"file://{_own_folder[0]}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written once and its lineage cut, where what follows reads it again and again: in the folder that spark.checkpoint.dir names, in tests one of this process."""
+    """df written once and its lineage cut, where what follows reads it again and again."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not named:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            if not _own_folder:
-                _own_folder.append(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-            named = _own_folder[0]
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

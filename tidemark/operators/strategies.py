@@ -282,16 +282,22 @@ def backtest_jobs(candles: DataFrame, jobs: Sequence[Job], cost_bps: float = pos
     The candles are read and shuffled once for JOBS jobs: every different indicator is a column, every job a struct of flags in
     each bar; from there the bars of each job are series of their own in the same partitions.
     """
-    parts = [_backtest_block(candles, jobs[i : i + JOBS], cost_bps, keys, grid) for i in range(0, len(jobs), JOBS)]
-    if not parts:
+    return union_markets(*[positions.backtest(rows, cost_bps, own) for rows, own in _job_positions(candles, jobs, keys, grid)])
+
+
+def trade_jobs(candles: DataFrame, jobs: Sequence[Job], cost_bps: float = positions.COST_BPS, keys: Sequence[str] = KEYS, grid: DataFrame | None = None) -> DataFrame:
+    """The trades of the same jobs, under the same keys and labels."""
+    return union_markets(*[positions.trades(rows, cost_bps, own) for rows, own in _job_positions(candles, jobs, keys, grid)])
+
+
+def _job_positions(candles: DataFrame, jobs: Sequence[Job], keys: Sequence[str], grid: DataFrame | None) -> list[tuple[DataFrame, list[str]]]:
+    """Tables of positions of the jobs, each with its keys and labels."""
+    if not jobs:
         raise ValueError("no strategies")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return [t for i in range(0, len(jobs), JOBS) for t in _block_positions(candles, jobs[i : i + JOBS], keys, grid)]
 
 
-def _backtest_block(candles: DataFrame, jobs: Sequence[Job], cost_bps: float, keys: Sequence[str], grid: DataFrame | None) -> DataFrame:
+def _block_positions(candles: DataFrame, jobs: Sequence[Job], keys: Sequence[str], grid: DataFrame | None) -> list[tuple[DataFrame, list[str]]]:
     df, columns = compose_all(candles, [j.strategy for j in jobs], keys)
     labels = [name for name, _ in jobs[0].labels]
     own_keys = [*keys, *labels]
@@ -305,14 +311,13 @@ def _backtest_block(candles: DataFrame, jobs: Sequence[Job], cost_bps: float, ke
         shape = {"_two": F.lit(two), "_sign": F.lit(1 if longs or two else -1)}
         row = F.struct(*[F.lit(v).alias(k) for k, v in job.labels], *[x.alias(k) for k, x in (flags | shape).items()])
         (automata if two and s.exits else windows).append(row)
-    out = None
+    out = []
     for structs, evaluate in ((windows, positions.shaped_position), (automata, positions.automaton_position)):
         if structs:
             rows = df.select(*keys, "timestamp", "close", F.array(*structs).alias("_jobs")).select(*keys, "timestamp", "close", F.inline("_jobs"))
             if grid is not None:
                 rows = rows.join(grid.select(*own_keys), own_keys, "left_semi")
-            done = positions.backtest(evaluate(rows, own_keys), cost_bps, own_keys)
-            out = done if out is None else out.unionByName(done)
+            out.append((evaluate(rows, own_keys), own_keys))
     return out
 
 
@@ -325,8 +330,13 @@ def ranking(candles: DataFrame, strategies: Sequence[Strategy] | DataFrame, wind
 
     if windows is not None:
         candles, keys = window_slices(candles, windows, keys), [*keys, "years"]
+    return rank(backtest_jobs(candles, spec_jobs(strategies), cost_bps, keys, grid), keys)
+
+
+def spec_jobs(strategies: Sequence[Strategy] | DataFrame) -> list[Job]:
+    """A job for each strategy, or each record of a spec table that can run, named by spec_id."""
     given = strategies_of(strategies) if isinstance(strategies, DataFrame) else strategies
-    return rank(backtest_jobs(candles, [Job(s, (("spec_id", s.id),)) for s in given], cost_bps, keys, grid), keys)
+    return [Job(s, (("spec_id", s.id),)) for s in given]
 
 
 def rank(metrics: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
