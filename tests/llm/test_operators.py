@@ -375,12 +375,31 @@ def test_licences(spark):
     assert {f for _, _, f in got[10]} == {"mit"} and got[10][0][0] == 0
 
 
-def test_every_training_variant_has_a_cue():
-    """So the gate by cues loses no paragraph like those the classifier learns from."""
-    for own in license_scan.TEMPLATES.values():
-        for k, s in enumerate(own):
-            for v in license_scan.variants(s, k):
-                assert any(cue in v for cue in license_scan.CUES), v
+#: Headers as they stand in published files, with their families; none is a template.
+HEADERS = [
+    (["apache"], "Apache-2.0"), (["apache"], "License: Apache-2.0"), (["mit"], "MIT License"), (["copyright-notice"], "(c) 2021 Foo"), (["cc-by"], "CC-BY-SA 3.0"),
+    (["mit"], 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR'), (["epl"], "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    (["isc"], "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that"), (["apache", "mit"], "Apache-2.0 OR MIT"),
+    (["apache", "mit"], "This crate is distributed under the terms of both the MIT license and the Apache License (Version 2.0)."), (["lgpl"], "// SPDX-License-Identifier: LGPL-2.1-or-later"),
+    (["agpl"], " * it under the terms of the GNU Affero General Public License as published by"), (["gpl"], "# This file is released under the GNU General Public License v2."), (["mpl"], "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. */"),
+    (["bsd"], "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file."), (["apache"], "# you may not use this file except in compliance with the License."),
+    (["bsd"], "BSD 3-Clause License"), (["gpl"], "license = GPL-3.0-or-later"), (["copyright-notice"], "Copyright (c) 2014-2019 The Bar Project Developers"), (["proprietary"], "ACME Corp. All Rights Reserved."),
+    (["public-domain"], "This is free and unencumbered software released into the public domain."), (["cc-by-nc"], "This dataset is licensed under CC BY-NC-SA 4.0"),
+]
+CLEAN = [
+    "in the all rights reserved meeting and he said all rights reserved to the driver", "he asked for a permission", "the license fee went up", "she went to a public library with a copy of the software catalogue",
+    "the general public is asked to use the side door", "no warranty was given for the used car", "the terms of the loan were made available in writing", "a free copy of the program was left on every seat",
+]
+
+
+def test_headers_that_are_not_templates(spark):
+    got = scanned(spark, [(i, t) for i, (_, t) in enumerate(HEADERS)] + [(100 + i, t) for i, t in enumerate(CLEAN)])
+    missed = [(want, t, got[i]) for i, (want, t) in enumerate(HEADERS) if not set(want) <= {f for _, _, f in got[i]}]
+    false = [(t, got[100 + i]) for i, t in enumerate(CLEAN) if got[100 + i]]
+    named = [f in want for i, (want, _) in enumerate(HEADERS) for _, _, f in got[i]]
+    assert len(missed) <= 0.1 * len(HEADERS), missed
+    assert not false
+    assert sum(named) >= 0.9 * len(named)
 
 
 def test_recall_on_wordings_not_trained_on(spark):
@@ -399,30 +418,40 @@ def test_recall_on_wordings_not_trained_on(spark):
 
 
 def test_scores_of_licences_by_brute_force(spark):
-    """The join with the weights, softmax, threshold, confirmation and overlaps, step by step in Python."""
+    """Every paragraph scored without triggers, softmax, threshold, confirmation and overlaps, step by step in Python."""
     m = license_scan
-    lines = [x for i, t in enumerate(x for own in m.TEMPLATES.values() for x in own) for x in (t, f"{t} and {m.ALIKE[i % 16]}", "plain")]
-    docs = frame(spark, [(i, "\n".join(lines[i * 9 : i * 9 + 9])) for i in range(len(lines) // 9)]).select("doc_id", common.body_of(), "text")
-    model = m.train(spark, spark.createDataFrame([("it was an ordinary day",), ("nobody came",)], "line string"))
-    got = {(r["doc_id"], r["place"], r["width"], r["family"]): r["probability"] for r in m.classify(spark, common.staged(m.paragraphs(docs), "units"), model).collect()}
-    weight, found = dict(zip(model.grams, model.weights, strict=True)), {}
-    for d in docs.collect():
-        own_lines = d["text"].split("\n")
-        for place in range(len(own_lines)):
-            for width in range(1, 1 + min(m.WIDEST, len(own_lines) - place)):
-                text = " ".join(own_lines[place : place + width]).lower()
-                t = [x.strip(".+-") for x in re.sub(r"\b(19|20)\d\d\b", "year", re.sub("[^a-z0-9.+-]+", " ", text)).split(" ") if x.strip(".+-")]
-                grams = {" ".join(t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-                pairs = {" ".join(t[i : i + 2]) for i in range(len(t) - 1)}
-                logits = [b + sum(weight[g][k] for g in grams if g in weight) for k, b in enumerate(model.intercepts)]
-                p = m._softmax(logits, model.temperature)
-                best, family = max((x, f) for x, f in zip(p, model.families, strict=True) if f != m.UNKNOWN)
-                enough = any((n := len(pairs & set(m.pairs_of(s)))) >= 0.6 * len(m.pairs_of(s)) or (n >= 2 and n >= 0.6 * len(pairs)) for s in m.TEMPLATES[family])
-                if best >= model.least and best > p[model.families.index(m.UNKNOWN)] and enough and any(c in text for c in m.CUES):
-                    found[d["doc_id"], place, width, family] = best
-    over = lambda a, b: a[0] == b[0] and a[3] == b[3] and a[1] < b[1] + b[2] and b[1] < a[1] + a[2]
-    want = {a: p for a, p in found.items() if not any(over(a, b) and (b[2], -q, b[1]) < (a[2], -p, a[1]) for b, q in found.items())}
-    assert got.keys() == want.keys() and len(want) > 20 and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    ordinary = [f"{s} {t}" for s, t in zip(m.ALIKE, m.IN_PASSING, strict=False)]
+    lines = [x for i, t in enumerate(x for own in m.SENTENCES.values() for x in own) for x in (t, f"{t}, and {m.ALIKE[i % 16]}", ordinary[i % 12], (" ... ", "zork blim", "plain (1999) -x- a.-b.")[i % 3])]
+    docs = m.literal_table(spark, [{"doc_id": i, "body": i, "text": "\n".join(lines[i * 9 : i * 9 + 9])} for i in range(len(lines) // 9)], "doc_id:long,body:long,text:string")
+    model = m.train(spark, m.literal_table(spark, [{"line": "it was an ordinary day"}, {"line": "nobody came"}], "line:string"))
+    words = m.triggers(model)
+    assert words and m.paragraphs(docs, words).count() < m.paragraphs(docs).count()
+    got = {(r["doc_id"], r["place"], r["width"], r["family"]): r["probability"] for r in m.classify(m.paragraphs(docs, words), model).collect()}
+    row = {g: i for i, g in enumerate(model.grams)}
+    weights, starts, none, found = model.weights, model.intercepts, model.families.index(m.UNKNOWN), {}
+    for i in range(len(lines) // 9):
+        own = [[w for x in re.sub(r"\b(19|20)\d\d\b", "year", re.sub("[^a-z0-9.+-]+", " ", t.lower())).split() if (w := x.strip(".+-"))] for t in lines[i * 9 : i * 9 + 9]]
+        for place in range(9):
+            for width in range(1, 1 + min(m.WIDEST, 9 - place)):
+                if not all(own[place : place + width]):
+                    continue
+                t = [w for x in own[place : place + width] for w in x]
+                grams = {" ".join(t[k : k + n]) for n in (1, 2, 3) for k in range(len(t) - n + 1)}
+                p = m._softmax((starts + sum((weights[row[g]] for g in grams if g in row), np.zeros(len(starts)))).tolist(), model.temperature)
+                if 1 - p[none] < model.least:
+                    continue
+                pairs = {" ".join(t[k : k + 2]) for k in range(len(t) - 1)}
+                for family, q in zip(model.families, p, strict=True):
+                    if family == m.UNKNOWN or q < m.MINOR:
+                        continue
+                    for s in m.TEMPLATES[family]:
+                        n = len((pairs | set(t)) & set(m.pairs_of(s)))
+                        if (n >= m.SHARED * len(m.pairs_of(s)) or (n >= 2 and n >= m.SHARED * len(pairs))) and (len(s.split()) >= m.SHORT or 4 * len(s.split()) >= len(t)):
+                            found[i, place, width, family] = q
+    rank = lambda k: (k[2], -found[k], k[1])
+    beaten = {k for k in found for o in found if o != k and o[0] == k[0] and o[3] == k[3] and o[1] < k[1] + k[2] and k[1] < o[1] + o[2] and rank(o) < rank(k)}
+    assert set(got) == set(found) - beaten and len(got) > 40
+    assert all(abs(p - found[k]) < 1e-9 for k, p in got.items())
 
 
 def test_empty_tables(spark):

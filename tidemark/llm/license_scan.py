@@ -1,29 +1,32 @@
 """License scans (operator 5): a trained paragraph classifier, with DataFrame functions only.
 
-A paragraph is one to WIDEST lines that follow each other without a blank line between, so a grant that is wrapped is one paragraph
-too. Its word n-grams (one to three words) are the sparse features of a multinomial logistic regression over licence families and
-the class `unknown`. It is trained with Spark's own library on variants of template sentences, on sentences that only sound alike,
-and on a bounded sample of ordinary lines. On held-out variants a temperature is fitted, and the probability below which a
-paragraph is unknown. A prediction counts only where the paragraph agrees with a template of the predicted family: it has
-at least SHARED of the template's word pairs, or at least two of them that are SHARED of its own, and one of the CUES. As a
-confirmed paragraph has a cue by this rule, texts and lines are told apart by cues before any n-gram is made; every training
-variant has one (tests/llm).
-
-Scoring is a join: the n-grams of the paragraphs with the table of weights, summed per paragraph and family. Of paragraphs
-that overlap and are found to be of one family the one with fewest lines stays, then the likeliest, then the first.
-
-Defined results: a null or empty text has no paragraphs; equal paragraphs of a document count each; ties between families go to
-the first by name; rows with one doc_id are told apart by their text, repeated rows are reported each; extra columns are ignored; a row
-without a doc_id is left out.
+A paragraph is one to WIDEST lines that follow each other without a line lacking words between, so a grant that is wrapped is one
+paragraph too. Its word n-grams (one to three words) are the sparse features of a multinomial logistic regression over licence
+families and the class `unknown`. It is trained with Spark's own library on variants of template sentences and identifiers, on
+sentences that only sound alike, and on a bounded sample of the corpus's ordinary lines. On held-out variants a temperature is
+fitted, and the probability of `unknown` above which a paragraph is unknown. What is left names its families: those that have MINOR of
+the probability, so that a choice of two licences gives both. Each counts only if a template of the family confirms it (`agrees`).
+
+Most lines never reach the features: `triggers` are words, derived from the weights, of which every paragraph that the model doesn't
+call unknown has one. Leaving the others out loses nothing (tests/llm compare with the model on every paragraph).
+
+Of paragraphs that overlap and are found to be of one family the one with fewest lines stays, then the likeliest, then the first.
+
+Defined results: a null or empty text has no paragraphs; equal paragraphs of a document count each; families of one paragraph come in
+order of name; rows with one doc_id are told apart by their text, repeated rows are reported each; extra columns are ignored; a row
+without a doc_id is left out; a text without line ends is one line, however long.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,45 +34,104 @@ from tidemark.llm.common import body_of, staged, texts
 
 UNKNOWN = "unknown"
 # Sentences that name or grant a licence, by family; `year` stands for any.
-TEMPLATES = {
+SENTENCES = {
+    "agpl": [
+        "licensed under the gnu affero general public license version 3",
+        "this program is free software you can redistribute it under the terms of the gnu affero general public license",
+        "you should have received a copy of the gnu affero general public license along with this program",
+    ],
     "apache": [
         "licensed under the apache license version 2.0",
         "you may not use this file except in compliance with the apache license",
+        "you may not use this file except in compliance with the license",
+        "you may obtain a copy of the license at http www.apache.org licenses license-2.0",
         "distributed under the apache software license",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
-        "spdx-license-identifier apache-2.0",
+        "licensed to the apache software foundation asf under one or more contributor license agreements",
+        "apache license version 2.0",
     ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted",
         "released under the bsd 3-clause license",
         "use of this source code is governed by a bsd style license",
+        "use of this source code is governed by a bsd-style license that can be found in the license file",
         "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-        "spdx-license-identifier bsd-3-clause",
-        "spdx-license-identifier bsd-2-clause",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed",
+        "bsd license",
+    ],
+    "cc-by": [
+        "this work is licensed under a creative commons attribution 4.0 international license",
+        "licensed under cc by 4.0",
+        "licensed under cc by-sa 4.0",
+        "this work is licensed under the creative commons attribution sharealike 3.0 license",
+        "cc by 4.0",
+        "cc by-sa 4.0",
+        "cc-by-sa 3.0",
+        "cc-by 3.0",
+    ],
+    "cc-by-nc": [
+        "licensed under cc by-nc 4.0",
+        "this work is licensed under a creative commons attribution noncommercial license",
+        "licensed under cc by-nc-sa 4.0",
+        "creative commons attribution noncommercial sharealike 4.0 international license",
+    ],
+    "copyright-notice": ["copyright c year", "copyright year", "c copyright year by the authors", "c year"],
+    "epl": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        "licensed under the eclipse public license version 2.0",
+        "which accompanies this distribution and is available at the eclipse public license",
     ],
-    "cc-by": ["this work is licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0", "licensed under cc by-sa 4.0", "spdx-license-identifier cc-by-4.0"],
-    "cc-by-nc": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution noncommercial license", "licensed under cc by-nc-sa 4.0"],
-    "copyright-notice": ["copyright c year", "copyright year", "c copyright year by the authors"],
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it under the terms of the gnu general public license",
-        "released under the gnu lesser general public license",
+        "it under the terms of the gnu general public license as published by the free software foundation",
         "you should have received a copy of the gnu general public license along with this program",
-        "spdx-license-identifier gpl-3.0-or-later",
-        "spdx-license-identifier gpl-2.0-only",
+        "gnu general public license",
+    ],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "the software is provided as is and the author disclaims all warranties with regard to this software",
+        "released under the isc license",
+        "isc license",
+    ],
+    "lgpl": [
+        "released under the gnu lesser general public license",
+        "this library is free software you can redistribute it under the terms of the gnu lesser general public license",
+        "you should have received a copy of the gnu lesser general public license along with this library",
     ],
     "mit": [
         "released under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software",
         "licensed under the mit license",
         "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-        "spdx-license-identifier mit",
+        "the software is provided as is without warranty of any kind express or implied",
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "mit license",
+    ],
+    "mpl": [
+        "this source code form is subject to the terms of the mozilla public license version 2.0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0",
+        "licensed under the mozilla public license",
     ],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license version 2.0", "licensed under the mozilla public license", "spdx-license-identifier mpl-2.0"],
-    "proprietary": ["all rights reserved", "copyright all rights reserved", "proprietary and confidential no license is granted", "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential"],
+    "proprietary": ["all rights reserved", "proprietary and confidential no license is granted", "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential"],
     "public-domain": ["this work has been released into the public domain", "dedicated to the public domain under the cc0 license", "this is free and unencumbered software released into the public domain"],
 }
-#: Sentences with cues that license nothing.
+# Public identifiers of licences, by family, in lower case.
+IDENTIFIERS = {
+    "agpl": ["agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later"], "apache": ["apache-2.0", "apache-1.1"], "bsd": ["bsd-3-clause", "bsd-2-clause", "bsd"], "cc-by": ["cc-by-4.0", "cc-by-sa-4.0", "cc-by-sa"],
+    "cc-by-nc": ["cc-by-nc-4.0", "cc-by-nc-sa-4.0"], "epl": ["epl-2.0", "epl-1.0"], "gpl": ["gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later", "gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gplv3", "gplv2"],
+    "isc": ["isc"], "lgpl": ["lgpl-2.1", "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0"], "mit": ["mit"], "mpl": ["mpl-2.0"], "public-domain": ["cc0-1.0", "unlicense"],
+}
+#: An identifier that is also an ordinary word says something only in these places; others also stand alone.
+PLACES = ("spdx-license-identifier {}", "license {}", "licensed under {}", "{} license", "or {}", "{} or")
+#: What confirms each family.
+TEMPLATES = {
+    family: list(dict.fromkeys([*own, *(p.format(x) for x in IDENTIFIERS.get(family, []) for p in (*PLACES, *(["{}"] if any(c.isdigit() for c in x) else [])))]))
+    for family, own in SENTENCES.items()
+}
+#: Sentences with such words that license nothing.
 ALIKE = [
     "the driver must carry a valid license at all times",
     "she asked for permission to leave the room early",
@@ -88,34 +150,63 @@ ALIKE = [
     "wine is sold under license in this town",
     "the free person obtained a copy of the letter",
 ]
-# Strings of which a confirmed paragraph has one, in lower case.
-CUES = ("licen", "copyright", "reserved", "permission", "redistribut", "public domain", "the public", "creative commons", "proprietary", "confidential", "mozilla", "apache", "gnu ", "bsd", "the mit", "compliance", "governed", "applicable law", "cc by", "cc0", "free software", "hereby", "free of charge", "unencumbered", "source code", "binary forms", "unauthorized")
+#: More of them, for the class unknown only.
+IN_PASSING = [
+    "her driving license was renewed in year and the copy got lost",
+    "he read the words all rights reserved aloud and laughed at them with the driver",
+    "the software was distributed to every school in the county free of charge",
+    "without the permission of the owner no person may use the garden",
+    "the notice above the door shall remain in all rooms of the house",
+    "the law of copyright was taught at mit in year",
+    "the foundation gave money to the public library in year",
+    "the terms of the contract were agreed in writing by both sides",
+    "the eclipse was seen by the public in year",
+    "a fishing license is required by law on this river",
+    "they made the materials available to the press in the general office",
+    "the author disclaims any interest in the sale of the house",
+]
 #: Lines of a paragraph, at most.
 WIDEST = 3
 #: Ordinary lines of the corpus in the training set, at most.
-MAX_ORDINARY = 400
+MAX_ORDINARY = 800
+#: Share of a template's word pairs, or of a paragraph's own, that both have.
 SHARED = 0.6
+#: A template of fewer words than these must be a quarter of the paragraph's words.
+SHORT = 4
+#: Strength of the penalty on weights, half of it on their absolute values, which leaves most at nothing.
+REGULARISATION = 0.002
+#: Probability of a family that is reported.
+MINOR = 0.2
 KEY = ["doc_id", "body", "place", "width"]
 
 
 @dataclass
 class Classifier:
+    vocabulary: Any
+    model: Any
     families: list[str]
-    grams: list[str]
-    weights: list[list[float]]
-    intercepts: list[float]
     temperature: float
     least: float
 
+    @property
+    def grams(self) -> list[str]:
+        return list(self.vocabulary.vocabulary)
+
+    @property
+    def weights(self) -> np.ndarray:
+        """A row for each n-gram, a column for each family."""
+        return self.model.coefficientMatrix.toArray().T
 
-def words(line: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(F.lower(line), "[^a-z0-9.+-]+", " "), r"\b(19|20)\d\d\b", "year")
-    return F.filter(F.split(plain, " "), lambda w: F.regexp_replace(w, "[.+-]", "") != "")
+    @property
+    def intercepts(self) -> np.ndarray:
+        return self.model.interceptVector.toArray()
 
 
-def trimmed(line: Column) -> Column:
-    """Words without the full stops at their ends."""
-    return F.transform(words(line), lambda w: F.regexp_replace(w, r"^[.+-]+|[.+-]+$", ""))
+def plain_lines(text: Column) -> Column:
+    """The lines of a text, in lower case, each its words between single spaces: letters, digits and marks inside words; a year is `year`."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9.+\\n-]+", " "), r"\b(19|20)\d\d\b", "year")
+    bare = F.regexp_replace(plain, r"(?<![a-z0-9.+-])[.+-]++|[.+-]++(?![a-z0-9.+-])", "")
+    return F.split(F.regexp_replace(F.regexp_replace(bare, " {2,}", " "), "(?m)^ | $", ""), "\n")
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -124,46 +215,35 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def of_tokens(line: Column, f: Callable[[Column], Column]) -> Column:
-    """f of the line's words, which a lambda binds: written out inside another lambda they would be made anew for every word."""
-    return F.transform(F.array(trimmed(line)), f)[0]
+    """f of a plain line's words, which a lambda binds: written out inside another lambda they would be made anew for every word."""
+    return F.transform(F.array(F.split(line, " ")), f)[0]
 
 
 def features(line: Column) -> Column:
     return of_tokens(line, lambda t: F.array_distinct(F.concat(t, ngrams(t, 2), ngrams(t, 3))))
 
 
-def word_pairs(line: Column) -> Column:
-    return of_tokens(line, lambda t: F.array_distinct(ngrams(t, 2)))
-
-
 def pairs_of(sentence: str) -> list[str]:
-    """The distinct word pairs of a template."""
+    """The distinct word pairs of a template, of one word that word."""
     own = sentence.split()
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(own, own[1:])))  # noqa: B905
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(own, own[1:]))) or own  # noqa: B905
 
 
-def agrees(own: Column, pairs: Column) -> Column:
-    """Whether a paragraph's distinct word pairs confirm a template's: enough of the template's, or enough of its own."""
-    enough = lambda n: (n >= SHARED * F.size(pairs)) | ((n >= 2) & (n >= SHARED * F.size(own)))
-    return F.exists(F.array(F.size(F.array_intersect(own, pairs))), enough)
+def agrees(line: Column, family: Column) -> Column:
+    """Whether a template of the family confirms a plain line: it has SHARED of the template's word pairs, or two or more that are SHARED of its own.
 
+    A short template must moreover be a quarter of the line's words.
+    """
+    given = {f: [{"pairs": pairs_of(s), "words": len(s.split())} for s in own] for f, own in TEMPLATES.items()}
+    templates = F.element_at(F.from_json(F.lit(json.dumps(given)), "map<string,array<struct<pairs:array<string>,words:int>>>"), family)
 
-def has_cue(text: Column) -> Column:
-    """Whether a text in lower case has one of the CUES."""
-    out = F.lit(False)
-    for cue in CUES:
-        out = out | F.contains(text, F.lit(cue))
-    return out
+    def confirms(t: Column, own: Column) -> Column:
+        shared = F.size(F.array_intersect(t["pairs"], own["grams"]))
+        much = (shared >= SHARED * F.size(t["pairs"])) | ((shared >= 2) & (shared >= SHARED * own["pairs"]))
+        return much & ((t["words"] >= SHORT) | (4 * t["words"] >= own["words"]))
 
-
-def confirmable(line: Column) -> Column:
-    """Whether a template of any family is confirmed by the line's word pairs, and it has a cue."""
-    templates = [pairs_of(s) for own in TEMPLATES.values() for s in own]
-    every = F.array(*map(F.lit, dict.fromkeys(p for t in templates for p in t)))
-    each = F.array(*[F.array(*map(F.lit, t)) for t in templates])
-    own = F.array(word_pairs(line))  # bound once by the lambda
-    found = F.exists(own, lambda o: (F.size(F.array_intersect(o, every)) >= 1) & F.exists(each, lambda t: agrees(o, t)))
-    return has_cue(F.lower(line)) & found
+    own = of_tokens(line, lambda w: F.struct(F.concat(w, ngrams(w, 2)).alias("grams"), F.size(F.array_distinct(ngrams(w, 2))).alias("pairs"), F.size(w).alias("words")))
+    return F.exists(F.array(own), lambda o: F.exists(templates, lambda t: confirms(t, o)))
 
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -180,15 +260,21 @@ def variants(sentence: str, k: int) -> list[str]:
 
 
 def labelled_paragraphs(spark: SparkSession, ordinary: DataFrame) -> DataFrame:
-    """line, family and part (0 to 3) of the training set: variants of templates, sentences that sound alike, ordinary lines."""
+    """line, family and part (0 to 3) of the training set: variants of templates, sentences that sound alike, beginnings of templates, ordinary lines."""
     rows = []
     for family, sentences in sorted(TEMPLATES.items()):
         for sentence in sentences:
             rows += [{"line": v, "family": family} for v in variants(sentence, len(rows))]
-    rows += [{"line": " ".join(x), "family": UNKNOWN} for s in ALIKE for t in [s.split()] for x in (t, t[: len(t) // 2 + 2], t[len(t) // 3 :])]
+    first = {family: own[0] for family, own in sorted(IDENTIFIERS.items())}
+    rows += [{"line": f"{first[a]} or {first[b]}", "family": f} for a in first for b in first if a != b for f in (a, b)]  # a choice is of both
+    unknown = [" ".join(x) for s in [*ALIKE, *IN_PASSING] for t in [s.split()] for x in (t, t[: len(t) // 2 + 2], t[len(t) // 3 :])]
+    unknown += [f"{a} {b}" for a, b in zip(ALIKE, [*IN_PASSING, *ALIKE], strict=False)]
+    whole = {s for own in TEMPLATES.values() for s in own}
+    unknown += sorted({" ".join(s.split()[k : k + 2]) for own in SENTENCES.values() for s in own if len(s.split()) > 5 for k in (0, 2)} - whole)
+    rows += [{"line": x, "family": UNKNOWN} for x in unknown]
     given = literal_table(spark, rows, "line:string,family:string")
     plain = ordinary.select("line", F.lit(UNKNOWN).alias("family"))
-    return given.unionByName(plain).withColumn("part", F.pmod(F.xxhash64("line"), F.lit(4)))
+    return given.unionByName(plain).withColumn("line", plain_lines(F.col("line"))[0]).withColumn("part", F.pmod(F.xxhash64("line"), F.lit(4)))
 
 
 def _softmax(logits: list[float], temperature: float) -> list[float]:
@@ -198,13 +284,13 @@ def _softmax(logits: list[float], temperature: float) -> list[float]:
 
 
 def _calibrated(families: list[str], held: list[tuple[str, list[float]]]) -> tuple[float, float]:
-    """The temperature with the least log loss on held-out rows, and the least probability of a licence."""
+    """The temperature with the least log loss on held-out rows, and the least probability that a paragraph is of any licence."""
     loss = lambda t: -sum(math.log(max(1e-12, _softmax(x, t)[families.index(f)])) for f, x in held)
     temperature = min([0.5, 0.7, 1.0, 1.4, 2.0, 3.0], key=loss)
-    best = lambda x: max(p for p, f in zip(_softmax(x, temperature), families, strict=True) if f != UNKNOWN)
-    wrong = [best(x) for f, x in held if f == UNKNOWN] or [0.0]
-    right = sorted(best(x) for f, x in held if f != UNKNOWN) or [1.0]
-    return temperature, min(0.9, max(0.35, (max(wrong) + right[len(right) // 20]) / 2))
+    known = lambda x: 1 - _softmax(x, temperature)[families.index(UNKNOWN)]
+    wrong = sorted(known(x) for f, x in held if f == UNKNOWN) or [0.0]
+    right = sorted(known(x) for f, x in held if f != UNKNOWN) or [1.0]
+    return temperature, min(0.9, max(0.5, (wrong[-1 - len(wrong) // 50] + right[len(right) // 20]) / 2))
 
 
 def train(spark: SparkSession, ordinary: DataFrame) -> Classifier:
@@ -215,51 +301,83 @@ def train(spark: SparkSession, ordinary: DataFrame) -> Classifier:
     index = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2, vocabSize=1 << 15).fit(rows.filter("part < 3"))
     ready = vocabulary.transform(index.transform(rows))
-    model = LogisticRegression(family="multinomial", regParam=0.003, maxIter=60).fit(ready.filter("part < 3"))
+    model = LogisticRegression(family="multinomial", regParam=REGULARISATION, elasticNetParam=0.5, maxIter=50).fit(ready.filter("part < 3"))
     families = list(index.labels)
     held = [(families[int(r["label"])], list(r["rawPrediction"])) for r in model.transform(ready.filter("part = 3")).select("label", "rawPrediction").collect()]
-    temperature, least = _calibrated(families, held)
-    matrix = model.coefficientMatrix.toArray()
-    return Classifier(families, list(vocabulary.vocabulary), matrix.T.tolist(), model.interceptVector.toArray().tolist(), temperature, least)
-
-
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, body, place (0-based line), width (lines) and line of the paragraphs of docs(doc_id, body, text) that a template can confirm, of repeated rows once."""
-    cued = docs.filter(has_cue(F.lower("text"))).withColumn("lines", F.split("text", "\n"))
-    some = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.trim(F.get("lines", i)) != "")
+    return Classifier(vocabulary, model, families, *_calibrated(families, held))
+
+
+def triggers(model: Classifier) -> list[str] | None:
+    """Words of which every paragraph has one that the model doesn't call unknown; None if there are no such words.
+
+    Such a paragraph has for some family a score of `need` or more above unknown's. Every n-gram's gain over unknown is booked on one of its words, the
+    one in fewest of the n-grams; without a trigger a paragraph gains at most what is booked on all other words, and that is less than `need`.
+    """
+    k = model.families.index(UNKNOWN)
+    others = [i for i in range(len(model.families)) if i != k]
+    over, start = model.weights[:, others] - model.weights[:, [k]], model.intercepts[others] - model.intercepts[k]
+    # P(known) / P(unknown) is a sum over the families, so one of them has its share
+    need = model.temperature * (math.log(model.least / (1 - model.least)) - math.log(len(others))) - start
+    spread = Counter(w for g in model.grams for w in set(g.split()))
+    booked: dict[str, np.ndarray] = {}
+    for g, row in zip(model.grams, np.maximum(over, 0), strict=True):
+        if row.any():
+            w = min(g.split(), key=lambda x: (spread[x], x))
+            booked[w] = booked.get(w, 0) + row
+    if (need <= 0).any():
+        return None
+    weak = np.zeros(len(others))
+    out = []
+    for w in sorted(booked, key=lambda x: ((booked[x] / need).max(), x)):
+        if (weak + booked[w] < need - 1e-9).all():
+            weak = weak + booked[w]
+        else:
+            out.append(w)
+    return sorted(out)
+
+
+def paragraphs(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """doc_id, body, place (0-based line), width (lines) and plain line of the paragraphs of docs(doc_id, body, text), with words those that have one of them."""
+    any_of = (lambda x: F.arrays_overlap(F.split(x, " "), F.array(*map(F.lit, words)))) if words else lambda x: F.lit(words is None)
+    lines = docs.select("doc_id", "body", plain_lines(F.col("text")).alias("lines"))
+    lines = lines.withColumn("hits", F.transform("lines", any_of))
 
     def wide(width: int) -> Column:
         def unit(i: Column) -> Column:
             own = F.slice("lines", i + 1, width)
-            whole = (F.size(own) == width) & ~F.exists(own, lambda x: F.trim(x) == "")
-            return F.struct(i.alias("place"), F.lit(width).alias("width"), F.when(whole, F.array_join(own, " ")).alias("line"))
-
-        return F.filter(F.transform("_some", unit), lambda u: u["line"].isNotNull() & has_cue(F.lower(u["line"])))
-
-    units = cued.withColumn("_some", some).select("doc_id", "body", F.inline(F.concat(*[wide(w) for w in range(1, WIDEST + 1)])))
-    return units.filter(confirmable(F.col("line"))).dropDuplicates(KEY)
-
-
-def classify(spark: SparkSession, units: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, body, place, width, family and probability of the paragraphs that are confirmed to license something."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not for Spark to merge into one task
-    weights = literal_table(spark, [{"gram": g, "w": w} for g, w in zip(model.grams, model.weights, strict=True)], "gram:string,w:array<double>")
-    pieces = units.repartition(parts, *KEY).select(*KEY, F.explode(features(F.col("line"))).alias("gram"))
-    hits = pieces.join(F.broadcast(weights), "gram")  # a table of at most 2^15 n-grams of the templates
-    sums = hits.groupBy(*KEY).agg(F.array(*[F.sum(F.col("w")[k]) for k in range(len(model.families))]).alias("s"))
-    scaled = F.transform(F.zip_with("s", F.lit(model.intercepts), lambda a, b: a + b), lambda x: x / model.temperature)
-    powers = sums.withColumn("x", scaled).withColumn("e", F.transform("x", lambda v: F.exp(v - F.array_max("x"))))
-    total = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
-    shares = F.zip_with(F.lit(model.families), "e", lambda f, v: F.struct((v / total).alias("p"), f.alias("family")))
-    known = F.filter(shares, lambda x: x["family"] != UNKNOWN)
-    best = F.element_at(F.array_sort(known, lambda a, b: F.when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1).when(a["family"] < b["family"], -1).otherwise(1)), 1)
-    none = F.aggregate(F.filter(shares, lambda x: x["family"] == UNKNOWN), F.lit(0.0), lambda a, x: a + x["p"])
-    guess = powers.select(*KEY, best.alias("b"), none.alias("none")).filter((F.col("b.p") >= model.least) & (F.col("b.p") > F.col("none")))
-    guess = guess.select(*KEY, F.col("b.family").alias("family"), F.col("b.p").alias("probability"))
-
-    sentences = literal_table(spark, [{"family": f, "pairs": pairs_of(s)} for f, own in TEMPLATES.items() for s in own], "family:string,pairs:array<string>")
-    compared = guess.join(units.select(*KEY, word_pairs(F.col("line")).alias("own")), KEY).join(F.broadcast(sentences), "family")
-    confirmed = compared.groupBy(*KEY, "family", "probability").agg(F.max(agrees(F.col("own"), F.col("pairs"))).alias("agrees")).filter("agrees")
+            whole = (F.size(own) == width) & F.exists(F.slice("hits", i + 1, width), lambda x: x) & ~F.exists(own, lambda x: x == "")
+            return F.struct(i.cast("int").alias("place"), F.lit(width).alias("width"), F.when(whole, F.array_join(own, " ")).alias("line"))
+
+        return F.filter(F.transform(every, unit), lambda u: u["line"].isNotNull())
+
+    every = F.when(F.exists("hits", lambda x: x), F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
+    units = F.concat(*[wide(w) for w in range(1, WIDEST + 1)])
+    return lines.select("doc_id", "body", F.inline(units))
+
+
+def scored(units: DataFrame, model: Classifier) -> DataFrame:
+    """KEY, line, family and probability of the families that the model finds in each paragraph; a task scores its own paragraphs."""
+    from pyspark.ml.functions import vector_to_array
+
+    raw = model.model.transform(model.vocabulary.transform(units.withColumn("grams", features(F.col("line")))))
+    unknown = F.lit(model.families.index(UNKNOWN))
+    powers = lambda x: F.transform(x, lambda v: F.exp((v - F.array_max(x)) / model.temperature))
+    shares = lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, x: a + x))
+
+    def found(p: Column) -> Column:
+        named = F.zip_with(F.lit(model.families), p, lambda f, v: F.struct(f.alias("family"), v.alias("probability")))
+        return F.filter(named, lambda x: (1 - F.get(p, unknown) >= model.least) & (x["family"] != UNKNOWN) & (x["probability"] >= MINOR))
+
+    # one expression of bound steps, which no rule of the optimizer can write out several times
+    out = F.array(vector_to_array("rawPrediction"))
+    for step in (powers, shares, found):
+        out = F.transform(out, step)
+    return raw.select(*KEY, "line", F.inline(out[0]))
+
+
+def classify(units: DataFrame, model: Classifier) -> DataFrame:
+    """doc_id, body, place, width, family and probability of the paragraphs that are confirmed to license something, of repeated rows once."""
+    confirmed = scored(units, model).filter(agrees(F.col("line"), F.col("family"))).select(*KEY, "family", "probability").dropDuplicates([*KEY, "family"])
     near = Window.partitionBy("doc_id", "body", "family").orderBy("place").rangeBetween(1 - WIDEST, WIDEST - 1)  # at most WIDEST * (2 * WIDEST - 1) paragraphs
     others = confirmed.withColumn("near", F.collect_list(F.struct("place", "width", "probability")).over(near))
 
@@ -271,15 +389,21 @@ def classify(spark: SparkSession, units: DataFrame, model: Classifier) -> DataFr
     return others.filter(~F.exists("near", wins)).select(*KEY, "family", "probability")
 
 
+def ordinary_lines(docs: DataFrame) -> DataFrame:
+    """line: one line, cut to 400 characters, of each of MAX_ORDINARY documents, without those that a template would confirm. For training only."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    at = F.xxhash64("doc_id", F.lit(5))
+    some = docs.select(at.alias("at"), "doc_id", F.substring(F.get(lines, F.pmod(at, F.size(lines)).cast("int")), 1, 400).alias("line")).filter("trim(line) != ''")
+    some = some.orderBy("at", "doc_id", "line").limit(MAX_ORDINARY)
+    licensed = F.exists(F.lit(sorted(TEMPLATES)), lambda f: agrees(F.col("plain"), f))
+    return some.withColumn("plain", plain_lines(F.col("line"))[0]).filter(~licensed).select("line")
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, body (hash of the text), n_paragraphs (lines with a word) and licences (array of place, width, family, probability, by place) of each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     docs = texts(docs).withColumns({"body": body_of(), "text": F.coalesce("text", F.lit(""))})
-    first_line = F.substring(F.substring_index("text", "\n", 1), 1, 400)  # of the training sample only
-    ordinary = docs.select(F.xxhash64("doc_id", F.lit(5)).alias("at"), "doc_id", first_line.alias("line")).filter(~has_cue(F.lower("line")))
-    ordinary = ordinary.orderBy("at", "doc_id").limit(MAX_ORDINARY)
-    model = train(spark, ordinary.filter("line != ''"))
-    found = classify(spark, staged(paragraphs(docs), "licence-paragraphs"), model)
+    model = train(docs.sparkSession, ordinary_lines(docs))
+    found = classify(paragraphs(docs, triggers(model)), model)
     item = F.struct("place", "width", "family", "probability")
     per_doc = found.groupBy("doc_id", "body").agg(F.sort_array(F.collect_list(item)).alias("licences"))
     counts = docs.select("doc_id", "body", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("long").alias("n_paragraphs"))
