@@ -418,15 +418,15 @@ def test_recall_on_wordings_not_trained_on(spark):
 
 
 def test_scores_of_licences_by_brute_force(spark):
-    """Every paragraph scored without triggers, softmax, threshold, confirmation and overlaps, step by step in Python."""
+    """Every paragraph scored without bounds, softmax, threshold, confirmation and overlaps, step by step in Python."""
     m = license_scan
     ordinary = [f"{s} {t}" for s, t in zip(m.ALIKE, m.IN_PASSING, strict=False)]
     lines = [x for i, t in enumerate(x for own in m.SENTENCES.values() for x in own) for x in (t, f"{t}, and {m.ALIKE[i % 16]}", ordinary[i % 12], (" ... ", "zork blim", "plain (1999) -x- a.-b.")[i % 3])]
     docs = m.literal_table(spark, [{"doc_id": i, "body": i, "text": "\n".join(lines[i * 9 : i * 9 + 9])} for i in range(len(lines) // 9)], "doc_id:long,body:long,text:string")
     model = m.train(spark, m.literal_table(spark, [{"line": "it was an ordinary day"}, {"line": "nobody came"}], "line:string"))
-    words = m.triggers(model)
-    assert words and m.paragraphs(docs, words).count() < m.paragraphs(docs).count()
-    got = {(r["doc_id"], r["place"], r["width"], r["family"]): r["probability"] for r in m.classify(m.paragraphs(docs, words), model).collect()}
+    bounds = m.gains(model)
+    assert bounds and m.paragraphs(docs, bounds).count() < m.paragraphs(docs).count()
+    got = {(r["doc_id"], r["place"], r["width"], r["family"]): r["probability"] for r in m.classify(m.paragraphs(docs, bounds), model).collect()}
     row = {g: i for i, g in enumerate(model.grams)}
     weights, starts, none, found = model.weights, model.intercepts, model.families.index(m.UNKNOWN), {}
     for i in range(len(lines) // 9):

@@ -7,8 +7,8 @@ sentences that only sound alike, and on a bounded sample of the corpus's ordinar
 fitted, and the probability of `unknown` above which a paragraph is unknown. What is left names its families: those that have MINOR of
 the probability, so that a choice of two licences gives both. Each counts only if a template of the family confirms it (`agrees`).
 
-Most lines never reach the features: `triggers` are words, derived from the weights, of which every paragraph that the model doesn't
-call unknown has one. Leaving the others out loses nothing (tests/llm compare with the model on every paragraph).
+Most paragraphs never reach the features: the weights bound what each word can add (`gains`), and a paragraph whose words cannot reach the
+threshold together is unknown. Leaving it out loses nothing (tests/llm compare with the model on every paragraph).
 
 Of paragraphs that overlap and are found to be of one family the one with fewest lines stays, then the likeliest, then the first.
 
@@ -24,6 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -177,6 +178,10 @@ SHORT = 4
 REGULARISATION = 0.002
 #: Probability of a family that is reported.
 MINOR = 0.2
+#: Steps in which the bounds of words are counted.
+PARTS = 64
+#: Share of the need that words of little weight may have together, whether they are there or not.
+WEAK = 0.2
 KEY = ["doc_id", "body", "place", "width"]
 
 
@@ -187,6 +192,8 @@ class Classifier:
     families: list[str]
     temperature: float
     least: float
+    #: Training lines of no licence, most of them the corpus's own, that have the word.
+    common: Counter
 
     @property
     def grams(self) -> list[str]:
@@ -204,14 +211,17 @@ class Classifier:
 
 def plain_lines(text: Column) -> Column:
     """The lines of a text, in lower case, each its words between single spaces: letters, digits and marks inside words; a year is `year`."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9.+\\n-]+", " "), r"\b(19|20)\d\d\b", "year")
-    bare = F.regexp_replace(plain, r"(?<![a-z0-9.+-])[.+-]++|[.+-]++(?![a-z0-9.+-])", "")
-    return F.split(F.regexp_replace(F.regexp_replace(bare, " {2,}", " "), "(?m)^ | $", ""), "\n")
+    # patterns begin with a class and leave a single space alone, as every match and every position that has to be looked at costs
+    plain = F.regexp_replace(F.lower(text), "[^a-z0-9.+\\n-](?:[^a-z0-9.+\\n-]+|(?<! ))", " ")
+    plain = F.regexp_replace(plain, r"[12](?<=\b[12])(?:(?<=1)9|(?<=2)0)\d\d\b", "year")
+    bare = F.regexp_replace(plain, r"(?=[.+-])(?:(?<![a-z0-9.+-])[.+-]++|[.+-]++(?![a-z0-9.+-]))", "")
+    return F.split(F.trim(F.regexp_replace(bare, " {2,}", " ")), " ?\n ?")
 
 
 def ngrams(tokens: Column, n: int) -> Column:
     starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    # slice() would copy all tokens each time; a gram with a missing token is missing
+    return F.transform(starts, lambda i: F.concat(*[x for k in range(n) for x in (F.lit(" "), F.get(tokens, i + (k - 1)))][1:]))
 
 
 def of_tokens(line: Column, f: Callable[[Column], Column]) -> Column:
@@ -219,8 +229,12 @@ def of_tokens(line: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(F.split(line, " ")), f)[0]
 
 
-def features(line: Column) -> Column:
-    return of_tokens(line, lambda t: F.array_distinct(F.concat(t, ngrams(t, 2), ngrams(t, 3))))
+def features(line: Column, words: list[str] | None = None) -> Column:
+    """The distinct n-grams of a plain line; with words those that are made of these alone."""
+    if words is None:
+        return of_tokens(line, lambda t: F.array_distinct(F.concat(t, ngrams(t, 2), ngrams(t, 3))))
+    known = F.transform(F.array(F.split(line, " ")), lambda t: F.transform(t, lambda w: F.when(w.isin(words), w)))
+    return F.transform(known, lambda t: F.array_distinct(F.filter(F.concat(t, ngrams(t, 2), ngrams(t, 3)), lambda g: g.isNotNull())))[0]
 
 
 def pairs_of(sentence: str) -> list[str]:
@@ -304,53 +318,81 @@ def train(spark: SparkSession, ordinary: DataFrame) -> Classifier:
     model = LogisticRegression(family="multinomial", regParam=REGULARISATION, elasticNetParam=0.5, maxIter=50).fit(ready.filter("part < 3"))
     families = list(index.labels)
     held = [(families[int(r["label"])], list(r["rawPrediction"])) for r in model.transform(ready.filter("part = 3")).select("label", "rawPrediction").collect()]
-    return Classifier(vocabulary, model, families, *_calibrated(families, held))
+    common = Counter(w for r in rows.filter(F.col("family") == UNKNOWN).select("line").collect() for w in set(r["line"].split()))
+    return Classifier(vocabulary, model, families, *_calibrated(families, held), common)
 
 
-def triggers(model: Classifier) -> list[str] | None:
-    """Words of which every paragraph has one that the model doesn't call unknown; None if there are no such words.
+@dataclass
+class Gains:
+    """What a word can add at most to a paragraph's case for a licence, in PARTS of what a family needs: whole numbers, rounded up."""
+
+    words: dict[str, int]
+    need: int
+
+    def of(self, line: Column) -> Column:
+        """The sum over a plain line's words."""
+        levels = sorted(set(self.words.values()))
+        by_level = {n: [w for w, g in self.words.items() if g == n] for n in levels}
+
+        def gain(w: Column) -> Column:
+            out = F.lit(0)
+            for n in levels:
+                out = F.when(w.isin(by_level[n]), n).otherwise(out)
+            return out
+
+        strong = F.array_distinct(F.filter(F.split(line, " "), lambda w: w.isin(sorted(self.words))))
+        return F.aggregate(strong, F.lit(0), lambda a, w: a + gain(w))
+
+
+def gains(model: Classifier) -> Gains | None:
+    """Bounds by which a paragraph whose words gain less than `need` is unknown to the model; None if there are none.
 
-    Such a paragraph has for some family a score of `need` or more above unknown's. Every n-gram's gain over unknown is booked on one of its words, the
-    one in fewest of the n-grams; without a trigger a paragraph gains at most what is booked on all other words, and that is less than `need`.
+    A paragraph that is not unknown has for some family a score over unknown's of at least what that family needs. Every n-gram's score
+    over unknown's is booked on one of its words, the one that ordinary lines have least (then the one in fewest n-grams), so what is booked
+    on a paragraph's words is at least what its n-grams score, and words of everyday use carry little. Words on which little is booked are taken as there in every paragraph, as long as that leaves most of the need.
     """
     k = model.families.index(UNKNOWN)
     others = [i for i in range(len(model.families)) if i != k]
     over, start = model.weights[:, others] - model.weights[:, [k]], model.intercepts[others] - model.intercepts[k]
     # P(known) / P(unknown) is a sum over the families, so one of them has its share
     need = model.temperature * (math.log(model.least / (1 - model.least)) - math.log(len(others))) - start
+    if (need <= 0).any():
+        return None
     spread = Counter(w for g in model.grams for w in set(g.split()))
     booked: dict[str, np.ndarray] = {}
     for g, row in zip(model.grams, np.maximum(over, 0), strict=True):
         if row.any():
-            w = min(g.split(), key=lambda x: (spread[x], x))
-            booked[w] = booked.get(w, 0) + row
-    if (need <= 0).any():
-        return None
-    weak = np.zeros(len(others))
-    out = []
-    for w in sorted(booked, key=lambda x: ((booked[x] / need).max(), x)):
-        if (weak + booked[w] < need - 1e-9).all():
+            w = min(g.split(), key=lambda x: (model.common[x], spread[x], x))
+            booked[w] = booked.get(w, 0) + row / need
+    weak, words = np.zeros(len(others)), {}
+    for w in sorted(booked, key=lambda x: (booked[x].max(), x)):
+        if (weak + booked[w]).max() <= WEAK:
             weak = weak + booked[w]
         else:
-            out.append(w)
-    return sorted(out)
+            words[w] = min(PARTS, math.ceil(PARTS * booked[w].max() + 1e-6))
+    return Gains(words, math.floor(PARTS * (1 - weak.max()) - 1e-6))
 
 
-def paragraphs(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
-    """doc_id, body, place (0-based line), width (lines) and plain line of the paragraphs of docs(doc_id, body, text), with words those that have one of them."""
-    any_of = (lambda x: F.arrays_overlap(F.split(x, " "), F.array(*map(F.lit, words)))) if words else lambda x: F.lit(words is None)
+def paragraphs(docs: DataFrame, bounds: Gains | None = None) -> DataFrame:
+    """doc_id, body, place (0-based line), width (lines) and plain line of the paragraphs of docs(doc_id, body, text); with bounds those that can be more than unknown."""
     lines = docs.select("doc_id", "body", plain_lines(F.col("text")).alias("lines"))
-    lines = lines.withColumn("hits", F.transform("lines", any_of))
+    lines = lines.withColumn("gains", F.transform("lines", bounds.of if bounds else lambda x: F.lit(0)))
+    need = bounds.need if bounds else 0
 
     def wide(width: int) -> Column:
+        each = lambda column, i: [F.get(column, i + k) for k in range(width)]
+
         def unit(i: Column) -> Column:
-            own = F.slice("lines", i + 1, width)
-            whole = (F.size(own) == width) & F.exists(F.slice("hits", i + 1, width), lambda x: x) & ~F.exists(own, lambda x: x == "")
-            return F.struct(i.cast("int").alias("place"), F.lit(width).alias("width"), F.when(whole, F.array_join(own, " ")).alias("line"))
+            return F.struct(i.cast("int").alias("place"), F.lit(width).alias("width"), F.concat_ws(" ", *each("lines", i)).alias("line"))
+
+        def whole(i: Column) -> Column:
+            gain = reduce(Column.__add__, each("gains", i))  # null beyond the last line
+            return reduce(Column.__and__, [x != "" for x in each("lines", i)], F.coalesce(gain >= need, F.lit(False)))
 
-        return F.filter(F.transform(every, unit), lambda u: u["line"].isNotNull())
+        return F.transform(F.filter(every, whole), unit)
 
-    every = F.when(F.exists("hits", lambda x: x), F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
+    some = F.exists("gains", lambda x: x > 0) if bounds else F.lit(True)
+    every = F.when(some, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
     units = F.concat(*[wide(w) for w in range(1, WIDEST + 1)])
     return lines.select("doc_id", "body", F.inline(units))
 
@@ -359,7 +401,8 @@ def scored(units: DataFrame, model: Classifier) -> DataFrame:
     """KEY, line, family and probability of the families that the model finds in each paragraph; a task scores its own paragraphs."""
     from pyspark.ml.functions import vector_to_array
 
-    raw = model.model.transform(model.vocabulary.transform(units.withColumn("grams", features(F.col("line")))))
+    words = sorted({w for g, row in zip(model.grams, model.weights, strict=True) if row.any() for w in g.split()})  # other n-grams weigh nothing
+    raw = model.model.transform(model.vocabulary.transform(units.withColumn("grams", features(F.col("line"), words))))
     unknown = F.lit(model.families.index(UNKNOWN))
     powers = lambda x: F.transform(x, lambda v: F.exp((v - F.array_max(x)) / model.temperature))
     shares = lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, x: a + x))
@@ -403,7 +446,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, body (hash of the text), n_paragraphs (lines with a word) and licences (array of place, width, family, probability, by place) of each row of docs(doc_id, text)."""
     docs = texts(docs).withColumns({"body": body_of(), "text": F.coalesce("text", F.lit(""))})
     model = train(docs.sparkSession, ordinary_lines(docs))
-    found = classify(paragraphs(docs, triggers(model)), model)
+    found = classify(paragraphs(docs, gains(model)), model)
     item = F.struct("place", "width", "family", "probability")
     per_doc = found.groupBy("doc_id", "body").agg(F.sort_array(F.collect_list(item)).alias("licences"))
     counts = docs.select("doc_id", "body", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("long").alias("n_paragraphs"))
