@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -77,3 +79,31 @@ def test_results_do_not_depend_on_partitions(spark, closes):
     one, many = bars(spark, closes).coalesce(1), bars(spark, closes).repartition(9)
     f = lambda d: column(indicators.cci(recursive.recursive_indicators(d, [("ADX", {}, "close", "a")])), "a")
     assert f(one) == f(many)
+
+
+LONG_KINDS = ["sma", "stddev", "highest", "lowest", "wma", "hma", "bollinger", "vwma"]
+
+
+def test_long_periods_equal_sliding_frames(spark, closes, monkeypatch):
+    missing = (17, 64, 65)
+    df = bars(spark, closes).withColumns({"close": F.when(~F.col("timestamp").isin(*missing), F.col("close")), "volume": F.col("timestamp") % 7 + 1.0}).cache()
+    for period in (3, 10, 54, 55, 200):
+        found = []
+        for longest in (0, 10**6):
+            monkeypatch.setattr(indicators, "LONG", longest)
+            out = df
+            for kind in LONG_KINDS:
+                out = getattr(indicators, kind)(out, period, name=kind)
+            found.append(out.orderBy("timestamp").toPandas().drop(columns=["close"]))
+        assert list(found[0].columns) == list(found[1].columns)
+        for c in found[0].columns[len(df.columns) - 1 :]:
+            same([None if pd.isna(v) else v for v in found[0][c]], [None if pd.isna(v) else v for v in found[1][c]])
+    df.unpersist()
+
+
+def test_long_periods_do_not_slide(spark, closes):
+    df = bars(spark, closes)
+    for kind in LONG_KINDS:
+        plan = getattr(indicators, kind)(df, 4 * indicators.LONG if kind != "hma" else 10_000, name=kind)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan
+        assert not re.search(r"RowFrame, -\d+, currentrow", plan)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,6 +219,20 @@ query(
     f"WITH {_EVENT_BARS}, r AS (SELECT *, 2 * {_wma('close', 10)} - {_wma('close', 20)} AS x FROM bars) SELECT source, symbol, timeframe, timestamp, round({_wma('x', 4)}, 6) AS hma FROM r",
     "i03_hma",
 )(_indicator_query(lambda d: indicators.hma(d), ["hma"]))
+# Periods too long for sliding frames: the same values from blocks.
+_LONG: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
+    "sma": (lambda d: indicators.sma(d, 100), _full("close", f"avg(close) OVER {_roll(100)}", 100)),
+    "wma": (lambda d: indicators.wma(d, 100), _wma("close", 100)),
+    "stddev": (lambda d: indicators.stddev(d, 100), _full("close", f"stddev_pop(close) OVER {_roll(100)}", 100)),
+    "highest": (lambda d: indicators.highest(d, 100), _full("close", f"max(close) OVER {_roll(100)}", 100)),
+    "lowest": (lambda d: indicators.lowest(d, 90), _full("close", f"min(close) OVER {_roll(90)}", 90)),
+    "bb__upper": (lambda d: indicators.bollinger(d, 100), _full("close", f"avg(close) OVER {_roll(100)} + 2 * stddev_pop(close) OVER {_roll(100)}", 100)),
+    "vwma": (lambda d: indicators.vwma(d, 90).withColumn("vwma", F.col("vwma") + _NUDGE), _full("close", f"sum(close * volume) OVER {_roll(90)} / sum(volume) OVER {_roll(90)} + {_NUDGE}", 90)),
+}
+query(
+    f"WITH {_EVENT_BARS} SELECT source, symbol, timeframe, timestamp, {', '.join(f'round({sql}, 6) AS {n}' for n, (_, sql) in _LONG.items())} FROM bars",
+    "long_windows",
+)(_indicator_query(lambda d: reduce(lambda df, build: build[0](df), _LONG.values(), d), list(_LONG)))
 query(
     f"""WITH {_EVENT_BARS}, x AS (SELECT *, {_TP} AS tp FROM bars), l AS (SELECT *, list(tp) OVER {_roll(20)} AS a, avg(tp) OVER {_roll(20)} AS m FROM x),
 d AS (SELECT *, list_avg(list_transform(a, lambda v: abs(v - m))) AS mad FROM l)
