@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.bars import bars
 from tidemark.functions import scalars
-from tidemark.operators import corpus
+from tidemark.operators import corpus, indicators
 from tidemark.functions import script_text
 from tidemark.functions.script_text import frame_strategy
 from tidemark.schemas import SPEC
@@ -132,3 +132,22 @@ def test_frame_strategy_skips():
     assert frame_strategy("x = 1")["skip_reason"] == "no strategy class"
     assert frame_strategy("class A(IStrategy):\n  pass")["skip_reason"] == "missing populate methods"
     assert frame_strategy("")["skip_reason"] == "no strategy class"
+
+
+def test_candle_table(spark, tmp_path):
+    """Windows over a bucketed table have no exchange, a range of dates reaches the scan, and the values are those of the candles."""
+    rows_of = bars(spark, range(1, 60), "a").unionByName(bars(spark, range(100, 190), "b")).unionByName(bars(spark, range(5), "c"))
+    table = candles.write_candle_table(rows_of, "candle_table_test", 4, f"file://{tmp_path}/table")
+    try:
+        plan = indicators.sma(table, 5)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+        assert "Exchange" in indicators.sma(rows_of, 5)._jdf.queryExecution().executedPlan().toString()
+        rows = lambda df: sorted(map(tuple, indicators.sma(df.select(rows_of.columns), 5).collect()))
+        assert repr(rows(table)) == repr(rows(rows_of)) and table.count() == 154
+        some = candles.date_range(table, 10, 20)
+        assert "GreaterThanOrEqual(timestamp,10)" in some._jdf.queryExecution().executedPlan().toString() and some.count() == 20
+        assert len(list((tmp_path / "table").glob("*.parquet"))) <= 4
+        candles.write_candle_table(rows_of.filter("symbol = 'c'"), "candle_table_test", 4, f"file://{tmp_path}/table")
+        assert spark.table("candle_table_test").count() == 5
+    finally:
+        spark.sql("DROP TABLE IF EXISTS candle_table_test")

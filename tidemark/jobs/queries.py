@@ -219,6 +219,13 @@ query(
     f"WITH {_EVENT_BARS}, r AS (SELECT *, 2 * {_wma('close', 10)} - {_wma('close', 20)} AS x FROM bars) SELECT source, symbol, timeframe, timestamp, round({_wma('x', 4)}, 6) AS hma FROM r",
     "i03_hma",
 )(_indicator_query(lambda d: indicators.hma(d), ["hma"]))
+@query(f"WITH {_EVENT_BARS} SELECT source, symbol, timeframe, timestamp, round({_full('close', f'avg(close) OVER {_roll(20)}', 20)}, 6) AS sma FROM bars WHERE timestamp >= 0")
+def bucketed_sma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles written as a bucketed table, and a mean over it, without an exchange of its own."""
+    table = source.write_candle_table(_hourly(spark, sf_dir), f"candles_{uuid.uuid4().hex}", 8, _new_folder(spark, "candles"))
+    return indicators.sma(source.date_range(table, 0)).select(*KEYS, "timestamp", _r("sma"))
+
+
 # Periods too long for sliding frames: the same values from blocks.
 _LONG: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "sma": (lambda d: indicators.sma(d, 100), _full("close", f"avg(close) OVER {_roll(100)}", 100)),

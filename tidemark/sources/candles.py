@@ -28,6 +28,17 @@ def read_candles(spark: SparkSession, path: str) -> DataFrame:
     return bars.select(*keys, checked.alias("timestamp"), *BAR.names[1:])
 
 
+def write_candle_table(candles: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """Candles as a table of one file a bucket of series keys, sorted by series and time, and that table.
+
+    Windows, groups and joins by KEYS over it need no exchange, and a filter of keys or times skips what its statistics rule out. `path` makes
+    it an external table. Buckets hold for the table's life: so many that one of them fits a task.
+    """
+    writer = candles.repartition(buckets, *KEYS).write.format("parquet").bucketBy(buckets, *KEYS).sortBy(*KEYS, "timestamp").mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return candles.sparkSession.table(table)
+
+
 _CHART = "struct<chart:struct<result:array<struct<timestamp:array<long>,indicators:struct<quote:array<struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<double>>>>>>,error:struct<description:string>>>"
 
 
