@@ -696,7 +696,10 @@ SELECT l_orderkey AS spec_id FROM t WHERE sharpe > 1 AND dd < 20 AND trades >= 5
 def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10, on metrics made of order lines, odd ones as the train slice and even ones as the test slice."""
     m = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("spec_id"), (F.col("l_linenumber") % 2).alias("slice"))
-    m = m.agg((F.avg("l_discount") * 40).alias("sharpe"), (F.max("l_tax") * 300).alias("max_drawdown"), F.sum("l_quantity").alias("total_trades"))
+    # a sum of decimals doesn't depend on the order of the rows, which a sum of doubles at the threshold does; doubles that are no such decimals keep theirs
+    discount, exact = F.col("l_discount"), F.col("l_discount").try_cast("decimal(25,15)")
+    sharpe = F.when(F.count(exact) == F.count(discount), (F.sum(exact) * 40).cast("double") / F.nullif(F.count(discount), F.lit(0))).otherwise(F.avg(discount) * 40)
+    m = m.agg(sharpe.alias("sharpe"), (F.max("l_tax") * 300).alias("max_drawdown"), F.sum("l_quantity").alias("total_trades"))
     return strategies.promotion_gate(m.filter("slice = 1"), m.filter("slice = 0"), ["spec_id"])
 
 
