@@ -794,9 +794,14 @@ _SCRIPT = f"""'//@version=5' || {_NL} || {_HEADS} || {_NL} || 'len = input.int('
 _TEXT = f"CASE WHEN k % 2 = 0 THEN replace({_SCRIPT}, chr(10), chr(13) || chr(10)) ELSE {_SCRIPT} END"
 
 
+def _spread_part(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of `part`, dealt over tasks, for queries that make a text or a record of each row."""
+    return corpus.spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(*columns), "p_partkey")
+
+
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, source_text, seq: a script for each part."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("k", F.col("p_partkey"))
+    part = _spread_part(spark, sf_dir, "p_partkey", "p_name", "p_size").withColumn("k", F.col("p_partkey"))
     return part.select(F.concat(F.lit("part/"), F.col("k").cast("string")).alias("url"), F.expr(_TEXT).alias("source_text"), F.col("k").alias("seq"))
 
 
@@ -1012,7 +1017,7 @@ def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bindings = F.when(k % 15 == 1, F.map_concat(bindings, F.create_map(F.lit("t"), bind("TSI", "zz")))).otherwise(bindings)
     entry = F.struct(F.lit("BUY").alias("direction"), F.lit(None).cast("string").alias("trigger"), conditions.alias("conditions"))
     leave = F.struct(F.lit(None).cast("array<string>").alias("conditions"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("id"), entry.alias("entry"), leave.alias("exit"), bindings.alias("bindings"), F.create_map(F.lit("n"), F.lit("5")).alias("parameters"))
+    return _spread_part(spark, sf_dir, "p_partkey").select(k.alias("id"), entry.alias("entry"), leave.alias("exit"), bindings.alias("bindings"), F.create_map(F.lit("n"), F.lit("5")).alias("parameters"))
 
 
 _MISSING = "CASE WHEN k % 15 = 1 THEN 'bar,binding:t.source(zz),call:math.floor,foo,indicator:TSI' WHEN k % 5 = 1 THEN 'bar,call:math.floor,foo' ELSE '' END"

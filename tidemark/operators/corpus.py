@@ -5,15 +5,17 @@ Pattern features are column expressions in one pass over the text; what needs ba
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import clean_link, confidence, normalise_newlines, raw_hash, spec_id
-from tidemark.functions.script_text import EVALUABLE, bindings_of, entry_of, frame_strategy
+from tidemark.functions.script_text import EVALUABLE, entry_and_bindings, frame_strategy
 from tidemark.schemas import SPEC
 
 # Function name -> (type, names of its numeric arguments). Functions marked bare take no series before them.
@@ -53,10 +55,30 @@ _ARG = r"\s*\w+\s*,\s*"
 _NUM = r"(\d+)"
 
 
+#: Rows of a task where each row makes long work.
+TASK_ROWS = 4000
+
+
+def spread(rows: DataFrame, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """rows dealt over tasks of about `task_rows`: a file of short rows is one task, however long the work on each is. Counts the rows, so they should come straight from a table."""
+    return rows.repartition(max(1, -(-rows.count() // task_rows)), key)
+
+
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def matches_with(text: Column, words: Sequence[str], pattern: str, group: int = 0) -> Column:
+    """The same for a pattern that only matches around one of these words: most texts lack them, and finding that out takes no pattern."""
+    lacks = reduce(lambda x, y: x & y, [~F.contains(text, F.lit(w)) for w in words])
+    return F.when(lacks, F.array().cast("array<string>")).otherwise(all_matches(text, pattern, group))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def is_tradeable(text: Column) -> Column:
     return text.rlike(TRADEABLE)
 
@@ -144,45 +166,50 @@ def _table(pairs: dict[str, str]) -> Column:
 
 def timeframe(text: Column, name: Column) -> Column:
     """From a timeframe argument, else from a tag or a word in the title; NULL where neither says."""
-    code = F.upper(F.trim(_group(text, FRAME_ARGUMENT)))
-    minutes = F.when(code.rlike(r"^\d+$"), code.try_cast("int"))
-    hours = F.when((minutes >= 60) & (minutes % 60 == 0), F.concat((minutes / 60).cast("int").cast("string"), F.lit("h")))
-    counted = F.coalesce(hours, F.when(minutes.between(1, 59), F.concat(minutes.cast("string"), F.lit("m"))))
+
+    def of_code(code: Column) -> Column:
+        minutes = F.when(code.rlike(r"^\d+$"), code.try_cast("int"))
+        hours = F.when((minutes >= 60) & (minutes % 60 == 0), F.concat((minutes / 60).cast("int").cast("string"), F.lit("h")))
+        counted = F.coalesce(hours, F.when(minutes.between(1, 59), F.concat(minutes.cast("string"), F.lit("m"))))
+        return F.when(code.isNotNull(), F.coalesce(counted, F.try_element_at(_table(FRAME_CODES), code))).otherwise(from_title)
+
     said = F.regexp_replace(F.lower(F.coalesce(_group(name, FRAME_TAG), _group(name, FRAME_WORD))), r"\s+", "")
-    from_title = F.coalesce(F.try_element_at(_table(FRAME_WORDS), said), F.when(said.rlike(r"^\d+[mhdw]$"), said))
-    return F.when(code.isNotNull(), F.coalesce(counted, F.try_element_at(_table(FRAME_CODES), code))).otherwise(from_title)
+    from_title = _let(said, lambda x: F.coalesce(F.try_element_at(_table(FRAME_WORDS), x), F.when(x.rlike(r"^\d+[mhdw]$"), x)))
+    return _let(F.upper(F.trim(_group(text, FRAME_ARGUMENT))), of_code)
 
 
 _ENTRY = "direction string, conditions array<string>, bindings array<struct<name:string,type:string,period:string>>"
+_BINDING = pa.struct([(c, pa.string()) for c in ("name", "type", "period")])
+_ENTRY_ARROW = pa.struct([("direction", pa.string()), ("conditions", pa.list_(pa.string())), ("bindings", pa.list_(_BINDING))])
+
+
+def _read(texts: pa.Array, inputs: pa.Array) -> Iterator[tuple[str, list[str], list[tuple[str, str, str | None]]]]:
+    """Direction, conditions and bindings of texts with the names of their inputs."""
+    for t, p in zip(texts.to_pylist(), inputs.to_pylist(), strict=True):
+        yield entry_and_bindings(t or "", p or (), BINDABLE)
 
 
 def entry_conditions(scripts: DataFrame, text: str = "source_text", parameters: str = "parameters") -> DataFrame:
     """scripts with the column `entry`: struct(direction, conditions, bindings); one Arrow pass for X8 and X9's text work."""
 
-    @F.pandas_udf(_ENTRY)
-    def read(texts: pd.Series, inputs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, p in zip(texts, inputs, strict=True):
-            direction, conditions = entry_of(t or "")
-            found = bindings_of(t or "", conditions, dict(p if p is not None else {}), BINDABLE)
-            rows.append((direction, conditions, [{"name": n, "type": k, "period": x} for n, k, x in found]))
-        return pd.DataFrame(rows, columns=["direction", "conditions", "bindings"])
+    @F.arrow_udf(_ENTRY)
+    def read(texts: pa.Array, inputs: pa.Array) -> pa.Array:
+        rows = [(d, c, [{"name": n, "type": k, "period": x} for n, k, x in found]) for d, c, found in _read(texts, inputs)]
+        return pa.array([dict(zip(("direction", "conditions", "bindings"), r, strict=True)) for r in rows], _ENTRY_ARROW)
 
-    return scripts.withColumn("entry", read.asNondeterministic()(F.col(text), F.col(parameters)))  # else the optimizer repeats it for each field
+    return scripts.withColumn("entry", read.asNondeterministic()(F.col(text), F.map_keys(parameters)))  # else the optimizer repeats it for each field
 
 
 def auto_bind(scripts: DataFrame, text: str = "source_text", parameters: str = "parameters") -> DataFrame:
     """One row for each binding of each script: url, name, type, period."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for url, t, p in zip(b["url"], b[text], b[parameters], strict=True):
-                found = bindings_of(t or "", entry_of(t or "")[1], dict(p if p is not None else {}), BINDABLE)
-                rows += [(url, *x) for x in found]
-            yield pd.DataFrame(rows, columns=["url", "name", "type", "period"], dtype=object)
+            found = [(url, *x) for url, r in zip(b.column("url").to_pylist(), _read(b.column("t"), b.column("p")), strict=True) for x in r[2]]
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["url", "name", "type", "period"])
 
-    return scripts.select("url", text, parameters).mapInPandas(run, "url string, name string, type string, period string")
+    return scripts.select(F.col("url").cast("string").alias("url"), F.col(text).alias("t"), F.map_keys(parameters).alias("p")).mapInArrow(run, "url string, name string, type string, period string")
 
 
 def script_features(scripts: DataFrame) -> DataFrame:
