@@ -1059,7 +1059,7 @@ def frame_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("(dataframe['my-col'] > 1)")
     )
     text = F.concat(head, body, rule, F.lit("), 'enter_long'] = 1\n"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("part/"), k.cast("string")).alias("url"), text.alias("source_text"))
+    return _spread_part(spark, sf_dir, "p_partkey", "p_size").select(F.concat(F.lit("part/"), k.cast("string")).alias("url"), text.alias("source_text"))
 
 
 @query(f"""WITH {_PART} SELECT url, CASE WHEN k % 6 < 2 THEN CASE k % 6 WHEN 0 THEN '(rsi < low) and (ta.crossover(close, fast))' ELSE 'close > close[1]' END END AS entry,
