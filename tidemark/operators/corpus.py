@@ -238,10 +238,13 @@ def script_specs(scripts: DataFrame) -> DataFrame:
 
 def spec_records(scripts: DataFrame, created_at: int | None = None, curation: DataFrame | None = None) -> DataFrame:
     """Records in the form of SPEC of the tradeable scripts(url, source_text) that `curation` doesn't skip, those without a title numbered by url."""
-    rows = script_specs(scripts)
+    rows = scripts
     if curation is not None:
-        rows = rows.join(curation.filter("skip IS NOT NULL").select("raw_hash").distinct(), "raw_hash", "left_anti")
-    rows = name_unknown(rows).withColumn("id", spec_id(F.col("name"), F.col("raw_hash")))
+        rows = rows.withColumn("_hash", raw_hash(F.col("source_text"))).join(curation.filter("skip IS NOT NULL").select(F.col("raw_hash").alias("_hash")).distinct(), "_hash", "left_anti").drop("_hash")
+    # numbers need no more of a script than its title, so they come first: the long work is done once on each script
+    text = normalise_newlines(F.col("source_text"))
+    rows = name_unknown(rows.filter(is_tradeable(text)).withColumn("name", title(text))).withColumnRenamed("name", "_name")
+    rows = script_specs(rows).withColumn("name", F.col("_name")).withColumn("id", spec_id(F.col("name"), F.col("raw_hash")))
     text_map = lambda m: F.transform_values(m, lambda k, v: F.regexp_replace(v.cast("string"), r"\.0$", ""))
     indicators = F.transform("indicators", lambda x: F.struct(x["type"].alias("type"), text_map(x["params"]).alias("params"), F.lit("close").alias("input"), x["outputKey"].alias("outputKey")))
     params = lambda b: F.when(b["period"].isNotNull(), F.create_map(F.lit("period"), b["period"])).otherwise(F.create_map().cast("map<string,string>"))
