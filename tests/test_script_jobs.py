@@ -51,6 +51,11 @@ def test_frame_parameters_of_a_long_class():
     assert script_text.assigned_to("dataframe['a'] \n= f(", 17) == ("a", None) and script_text.assigned_to("a == f(", 5) == (None, None) and script_text.assigned_to("x9 =f(", 4) == (None, "x9")
 
 
+def test_a_pattern_is_evaluated_once(spark):
+    assert plan(queries.script_features(spark, SMALL)).count("(?:timeframe|resolution)") == 1
+    assert plan(queries.distinct_indicators(spark, SMALL)).count(r"ta\.rsi\s*\(") == 1
+
+
 def test_a_record_is_read_once(spark):
     s, fixed = queries.scripts(spark, SMALL), queries._curation(spark, SMALL)
     assert plan(corpus.spec_records(s, 0, fixed)).count("ArrowEvalPython") == 1

@@ -28,7 +28,7 @@ def raw_hash(text: Column) -> Column:
 
 
 def normalise_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def day(ms: Column) -> Column:

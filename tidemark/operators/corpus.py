@@ -106,14 +106,14 @@ def extract_indicators(text: Column) -> Column:
         # maps have no equality, so repeats are found on the matched numbers
         return F.transform(F.array_distinct(zipped), one).cast(f"array<{item}>")
 
-    found = [rows(t, ["period"], [all_matches(text, _CALL % f + _ARG + _NUM, 1)]) for f, t in _SERIES_FIRST.items()]
-    found += [rows(t, ["period"], [all_matches(text, _CALL % f + r"\s*" + _NUM, 1)]) for f, t in _NUMBER_FIRST.items()]
+    found = [rows(t, ["period"], [matches_with(text, [f"ta.{f}"], _CALL % f + _ARG + _NUM, 1)]) for f, t in _SERIES_FIRST.items()]
+    found += [rows(t, ["period"], [matches_with(text, [f"ta.{f}"], _CALL % f + r"\s*" + _NUM, 1)]) for f, t in _NUMBER_FIRST.items()]
     for f, t in _NO_NUMBER.items():
-        pattern = _CALL % f + ("|BollingerBands" if f == "bb" else "")
-        found.append(rows(t, [], [F.transform(F.slice(all_matches(text, pattern, 0), 1, 1), lambda _: F.lit(""))]))
+        pattern, words = (_CALL % f + "|BollingerBands", ["ta.bb", "BollingerBands"]) if f == "bb" else (_CALL % f, [f"ta.{f}"])
+        found.append(rows(t, [], [F.transform(F.slice(matches_with(text, words, pattern), 1, 1), lambda _: F.lit(""))]))
     for f, (t, a, b) in _TWO_NUMBERS.items():
         pattern = _CALL % f + ("" if f == "dmi" else r"\s*\w+\s*,") + r"\s*" + _NUM + r"\s*,\s*" + _NUM
-        found.append(rows(t, [a, b], [all_matches(text, pattern, 1), all_matches(text, pattern, 2)]))
+        found.append(rows(t, [a, b], [matches_with(text, [f"ta.{f}"], pattern, 1), matches_with(text, [f"ta.{f}"], pattern, 2)]))
     return F.concat(*found)
 
 
@@ -153,7 +153,7 @@ def complexity(text: Column, n_indicators: Column) -> Column:
 
 def _group(text: Column, pattern: str) -> Column:
     """The first group of a pattern, NULL where it doesn't match or is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    return _let(F.regexp_extract(text, pattern, 1), lambda x: F.nullif(x, F.lit("")))
 
 
 def title(text: Column) -> Column:
