@@ -870,9 +870,10 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'part/' || p_partkey AS url, unnest(['RSI', 'SMA']) AS type, unnest([p_size::DOUBLE, 50.0::DOUBLE]) AS period FROM part")
 def distinct_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two kinds of calls of the scripts, each listed twice before."""
-    f = corpus.script_features(scripts(spark, sf_dir)).select("url", F.inline("indicators")).filter("type IN ('RSI', 'SMA')")
+    f = corpus.script_features(scripts(spark, sf_dir)).select("url", F.inline_outer("indicators")).filter("type IN ('RSI', 'SMA')")
     f = f.select("url", "type", F.col("params")["period"].alias("params"))
-    return corpus.distinct_indicators(f.unionByName(f)).withColumnRenamed("params", "period")
+    twice = f.select("*", F.explode(F.array(F.lit(1), F.lit(2)))).drop("col")
+    return corpus.distinct_indicators(twice).withColumnRenamed("params", "period")
 
 
 def _curation(spark: SparkSession, sf_dir: str) -> DataFrame:
