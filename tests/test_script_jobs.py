@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import SMALL
 from tidemark.functions import script_text
@@ -59,3 +60,25 @@ def test_a_pattern_is_evaluated_once(spark):
 def test_a_record_is_read_once(spark):
     s, fixed = queries.scripts(spark, SMALL), queries._curation(spark, SMALL)
     assert plan(corpus.spec_records(s, 0, fixed)).count("ArrowEvalPython") == 1
+
+
+def test_a_filter_on_the_text_stays_above_the_dealing(spark):
+    """Pushed below it, with the text's whole expression, it ran in the one task that reads the file."""
+    for rows in (corpus.script_features(queries.scripts(spark, SMALL)), queries.scripts(spark, SMALL).withColumn("name", corpus.title(F.col("source_text")))):
+        steps = rows.filter(F.col("name") == corpus.NO_TITLE)._jdf.queryExecution().optimizedPlan().toString()
+        below = steps[steps.rindex("RepartitionByExpression") :]
+        assert "alertcondition" not in below and "(?i)" not in below
+
+
+def test_untitled_scripts_are_read_once(spark):
+    """What is numbered is read three times, so its scripts are made once before; a place among edges takes few comparisons."""
+    assert plan(queries.name_unknown(spark, SMALL)).count("FileScan parquet") == 1
+    for edges in ([], [f"{i:03}" for i in range(5)], [f"{i:03}" for i in range(16)], [f"{i:03}" for i in range(100)], [f"{i:03}" for i in range(256)]):
+        rows = spark.createDataFrame([(x,) for x in ("", "0", "000", "0000", "015", "0155", "016", "099", "255", "9", None)], "x string").withColumn("n", corpus.edges_below(F.col("x"), edges)).collect()
+        assert [r["n"] for r in rows] == [sum(r["x"] is not None and e <= r["x"] for e in edges) for r in rows]
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("part/"), (F.col("id") * 7 % 3000).cast("string")).alias("url"), F.lit(corpus.NO_TITLE).alias("name"))
+    urls = [r["url"] for r in rows.collect()]
+    assert {r["url"]: r["name"] for r in corpus.name_unknown(rows).collect()} == {u: f"UnknownST{i + 1}" for i, u in enumerate(sorted(urls))}

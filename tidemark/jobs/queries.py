@@ -802,7 +802,8 @@ def _spread_part(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, source_text, seq: a script for each part."""
     part = _spread_part(spark, sf_dir, "p_partkey", "p_name", "p_size").withColumn("k", F.col("p_partkey"))
-    return part.select(F.concat(F.lit("part/"), F.col("k").cast("string")).alias("url"), F.expr(_TEXT).alias("source_text"), F.col("k").alias("seq"))
+    # a filter on the text would else go below the dealing, with the whole expression, into the few tasks that read the file
+    return corpus.once(part, source_text=F.expr(_TEXT)).select(F.concat(F.lit("part/"), F.col("k").cast("string")).alias("url"), "source_text", F.col("k").alias("seq"))
 
 
 _NAME = "CASE WHEN k % 10 = 9 THEN 'Unknown Strategy' ELSE trim(p_name || CASE k % 6 WHEN 0 THEN ' [4h]' WHEN 1 THEN ' (15m)' WHEN 2 THEN ' daily' ELSE '' END) END"

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalars import clean_link, confidence, normalise_newlines, raw_hash, spec_id
 from tidemark.functions.script_text import EVALUABLE, entry_and_bindings, frame_strategy
+from tidemark.operators.blocks import cut
 from tidemark.schemas import SPEC
 
 # Function name -> (type, names of its numeric arguments). Functions marked bare take no series before them.
@@ -79,12 +80,17 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with these columns, worked out once a row: a filter on one of them stays above, where the optimizer would else copy its whole expression, text and all, into a filter below."""
+    return rows.select("*", F.inline_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def is_tradeable(text: Column) -> Column:
     return text.rlike(TRADEABLE)
 
 
-def skip_reason(text: Column) -> Column:
-    return F.when(~is_tradeable(text), NO_SIGNALS)
+def skip_reason(tradeable: Column) -> Column:
+    return F.when(~tradeable, NO_SIGNALS)
 
 
 def is_evaluable(condition: Column) -> Column:
@@ -216,11 +222,11 @@ def script_features(scripts: DataFrame) -> DataFrame:
     """All pattern features of scripts(url, source_text), one narrow pass."""
     rows = scripts.withColumn("raw_hash", raw_hash(F.col("source_text"))).withColumn("source_text", normalise_newlines(F.col("source_text")))
     text = F.col("source_text")
+    rows = once(rows, is_tradeable=is_tradeable(text))
     rows = rows.withColumns({"indicators": extract_indicators(text), "parameters": extract_inputs(text), "unknown": unknown_calls(text), "name": title(text)})
     return rows.withColumns(
         {
-            "is_tradeable": is_tradeable(text),
-            "skip_reason": skip_reason(text),
+            "skip_reason": skip_reason(F.col("is_tradeable")),
             "strategy_type": script_type(text),
             "complexity": complexity(text, F.size("indicators")),
             "timeframe": timeframe(text, F.col("name")),
@@ -258,6 +264,13 @@ def spec_records(scripts: DataFrame, created_at: int | None = None, curation: Da
     return rows.select(*[given.get(c, entry if c == "entry" else F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields.items()])
 
 
+def edges_below(x: Column, edges: Sequence[str], block: int = 16) -> Column:
+    """How many of the sorted edges are at most x: a whole number of blocks by the last edge of each, then within the block that follows."""
+    strings = lambda of: F.array(*map(F.lit, of)).cast("array<string>")
+    count = lambda of: F.size(F.filter(of, lambda e: e <= x))
+    return _let(count(strings(edges[block - 1 :: block])) * block, lambda n: n + count(F.slice(strings(edges), n + 1, block)))
+
+
 def numbered(rows: DataFrame, order: str, name: str, buckets: int = 256) -> DataFrame:
     """rows with `name`, 1, 2, ... in the order of a string column: within buckets of neighbours, after the rows of the buckets before.
 
@@ -265,8 +278,7 @@ def numbered(rows: DataFrame, order: str, name: str, buckets: int = 256) -> Data
     """
     sample = rows.select(order).filter(F.col(order).isNotNull()).orderBy(F.xxhash64(order), order).limit(16 * buckets).toPandas()[order]
     edges = sorted(set(sample))[8::16]
-    bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order))) if edges else F.lit(0)
-    rows = rows.withColumn("_bucket", bucket)
+    rows = rows.withColumn("_bucket", edges_below(F.col(order), edges))
     sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a bucket
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
@@ -276,7 +288,9 @@ def numbered(rows: DataFrame, order: str, name: str, buckets: int = 256) -> Data
 def name_unknown(specs: DataFrame) -> DataFrame:
     """Scripts without a title become UnknownST1, 2, ... in order of their url; only those rows are ordered."""
     unknown = F.col("name") == NO_TITLE
-    named = numbered(specs.filter(unknown), "url", "_k").withColumn("name", F.concat(F.lit("UnknownST"), F.col("_k")))
+    rows = cut(specs.filter(unknown))  # read again and again: edges, sizes, places
+    rows = rows.coalesce(max(1, -(-rows.count() // TASK_ROWS)))  # few of each task are left, and each task of a shuffle writes a file for each task after it
+    named = numbered(rows, "url", "_k").withColumn("name", F.concat(F.lit("UnknownST"), F.col("_k")))
     return specs.filter(~unknown).unionByName(named.select(specs.columns))
 
 
