@@ -82,3 +82,20 @@ def test_numbers_follow_the_order(spark):
     rows = spark.range(3000).select(F.concat(F.lit("part/"), (F.col("id") * 7 % 3000).cast("string")).alias("url"), F.lit(corpus.NO_TITLE).alias("name"))
     urls = [r["url"] for r in rows.collect()]
     assert {r["url"]: r["name"] for r in corpus.name_unknown(rows).collect()} == {u: f"UnknownST{i + 1}" for i, u in enumerate(sorted(urls))}
+
+
+def test_a_report_reads_scripts_no_more_often_than_it_must(spark):
+    """Once for features, once for records, twice for corrections: nothing of a report needs the numbers of untitled scripts."""
+    assert plan(queries.corpus_report(spark, SMALL)).count("FileScan parquet") == 4
+
+
+def test_inputs_of_a_text(spark):
+    cases = {
+        "éab = input.int(3)\n9a=input.float( 1.5, 2)": {"ab": "3.0", "9a": "1.5"},
+        "a = input.int(1)\nb = a.input.int(5)\na\n =\tinput.int (2)": {"a": "2.0"},
+        "s = input.string( )\nn = input.int( )\nq = input.bool(true)\nshowX = input.bool(true)": {"s": "", "q": "true"},
+        "nothing": {},
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("p", corpus.extract_inputs(F.col("t")))
+    assert {r["t"]: r["p"] for r in rows.collect()} == cases
+    assert plan(rows).count("regexp_extract_all") == 1

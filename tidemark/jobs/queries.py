@@ -916,7 +916,7 @@ SELECT count(*) FILTER (has) AS written, count(*) FILTER (has AND hit) AS enrich
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8."""
     s, fixed = scripts(spark, sf_dir), _curation(spark, sf_dir)
-    return corpus.corpus_report(corpus.script_features(s), corpus.curate(corpus.spec_records(s, 0, fixed), fixed), fixed)
+    return corpus.corpus_report(corpus.script_features(s), corpus.curate(corpus.spec_records(s, 0, number=False), fixed), fixed)  # curate drops the skipped ones
 
 
 @query(f"WITH {_FIXED} SELECT CASE WHEN skips % 2 = 0 THEN 'duplicate' ELSE 'uncategorised' END AS category, count(*) AS n FROM j WHERE skips IS NOT NULL GROUP BY ALL")

@@ -131,8 +131,10 @@ def unknown_calls(text: Column) -> Column:
 
 def extract_inputs(text: Column) -> Column:
     """map of a script's input names to their defaults, the last of a name; display settings are left out."""
-    pattern = r"(\w+)\s*=\s*input\.(int|float|bool|string)\s*\(\s*([^,)]+)"
-    rows = F.arrays_zip(*[all_matches(text, pattern, i).alias(n) for i, n in ((1, "name"), (2, "kind"), (3, "raw"))])
+    # a name is tried once, from its start and as a whole; the groups are taken from the short match, not by a search of the text for each
+    pattern = r"(?<!\w)(\w++)\s*+=\s*+input\.(int|float|bool|string)\s*+\(\s*([^,)]+)"
+    group = lambda m, i, name: F.regexp_extract(m, pattern, i).alias(name)
+    rows = F.transform(matches_with(text, ["input."], pattern), lambda m: F.struct(group(m, 1, "name"), group(m, 2, "kind"), group(m, 3, "raw")))
 
     def value(r: Column) -> Column:
         raw = F.trim(r["raw"])
@@ -242,15 +244,21 @@ def script_specs(scripts: DataFrame) -> DataFrame:
     return rows.withColumns({"confidence": score, "id": spec_id(F.col("name"), F.col("raw_hash")), "evaluable": logic})
 
 
-def spec_records(scripts: DataFrame, created_at: int | None = None, curation: DataFrame | None = None) -> DataFrame:
-    """Records in the form of SPEC of the tradeable scripts(url, source_text) that `curation` doesn't skip, those without a title numbered by url."""
+def spec_records(scripts: DataFrame, created_at: int | None = None, curation: DataFrame | None = None, number: bool = True) -> DataFrame:
+    """Records in the form of SPEC of the tradeable scripts(url, source_text) that `curation` doesn't skip, those without a title numbered by url.
+
+    Without `number` those all keep one name, for reports that look at neither names nor ids.
+    """
     rows = scripts
     if curation is not None:
         rows = rows.withColumn("_hash", raw_hash(F.col("source_text"))).join(curation.filter("skip IS NOT NULL").select(F.col("raw_hash").alias("_hash")).distinct(), "_hash", "left_anti").drop("_hash")
     # numbers need no more of a script than its title, so they come first: the long work is done once on each script
     text = normalise_newlines(F.col("source_text"))
-    rows = name_unknown(rows.filter(is_tradeable(text)).withColumn("name", title(text))).withColumnRenamed("name", "_name")
-    rows = script_specs(rows).withColumn("name", F.col("_name")).withColumn("id", spec_id(F.col("name"), F.col("raw_hash")))
+    if number:
+        rows = name_unknown(once(rows, _tradeable=is_tradeable(text), name=title(text)).filter("_tradeable").drop("_tradeable")).withColumnRenamed("name", "_name")
+    rows = script_specs(rows)
+    if number:
+        rows = rows.withColumn("name", F.col("_name")).withColumn("id", spec_id(F.col("name"), F.col("raw_hash")))
     text_map = lambda m: F.transform_values(m, lambda k, v: F.regexp_replace(v.cast("string"), r"\.0$", ""))
     indicators = F.transform("indicators", lambda x: F.struct(x["type"].alias("type"), text_map(x["params"]).alias("params"), F.lit("close").alias("input"), x["outputKey"].alias("outputKey")))
     params = lambda b: F.when(b["period"].isNotNull(), F.create_map(F.lit("period"), b["period"])).otherwise(F.create_map().cast("map<string,string>"))
